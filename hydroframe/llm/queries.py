@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroframe.llm import bpe, idfile
+from hydroframe.llm import bpe, idfile, jaccard
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -14,6 +14,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = idfile.IdFiles.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return files.checksums()
@@ -22,6 +26,7 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_token_id_files": op6_token_id_files,
     }
 
