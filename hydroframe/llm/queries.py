@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroframe.llm import bpe, idfile, jaccard
+from hydroframe.llm import bpe, decontam, idfile, jaccard, topk
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+      AND len([x FOR x IN embedding IF NOT isfinite(x)]) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -23,13 +43,20 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.checksums()
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_exact_topk": op3_exact_topk,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_token_id_files": op6_token_id_files,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_topk": OP3_SQL}
