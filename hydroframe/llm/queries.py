@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, decontam, idfile, jaccard, topk
+from hydroframe.llm import bpe, decontam, idfile, jaccard, langid, quality, topk
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -43,18 +44,32 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.checksums()
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs.join(quality.graded(table(spark, sf_dir, "labels")), "doc_id"), levels=3)
+    return quality.rate(docs, model, good=2, least=0.35).drop("text")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op3_exact_topk": op3_exact_topk,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_token_id_files": op6_token_id_files,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_language_id": op9_language_id,
     }
 
 
