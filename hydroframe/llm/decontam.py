@@ -207,8 +207,8 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 3, most: int = MOST_WINDOWS) -> DataFrame:
-    """Every row of docs without its text, with n_words, n_hit, n_items, items_sha256, items and contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 3, most: int = MOST_WINDOWS, keep_text: bool = False) -> DataFrame:
+    """Every row of docs, without its text unless keep_text, with n_words, n_hit, n_items, items_sha256, items and contaminated.
 
     A word is hit if it stands inside any occurrence of a window.  Null and empty
     texts have no words; an item without words, or without item_id, has no
@@ -220,6 +220,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int
     textkit.bounded_batches(docs.sparkSession)
     made = ("n_words", "hit", "items", "n_hit", "n_items", "items_sha256", "contaminated")
     docs = docs.select(*[c for c in docs.columns if c not in made])
+    if keep_text:
+        docs = docs.withColumn("_text", F.col("text"))
     blocks, held = [], []
     n = 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
@@ -242,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int
         found = keyed.drop("text").join(both.select("_row", "n_words", F.pandas_udf(_united, "long")("hits").alias("n_hit"), "items"), "_row").drop("_row")
     listed = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
-        *[c for c in docs.columns if c != "text"], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        *[F.col("_text").alias("text") if c == "_text" else c for c in docs.columns if c != "text"], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), "items", (F.col("n_hit") > 0).alias("contaminated"),
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, decontam, idfile, jaccard, langid, quality, topk
+from hydroframe.llm import bpe, decontam, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -26,6 +26,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.counts(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -39,6 +44,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = idfile.IdFiles.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return files.checksums()
@@ -61,15 +70,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secretscan.scan(docs, secretscan.train())
+    return found.select("doc_id", "n_secrets", "secrets", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_exact_topk": op3_exact_topk,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_html_extraction": op5_html_extraction,
         "op6_token_id_files": op6_token_id_files,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
