@@ -39,14 +39,41 @@ LIMIT = 16
 # --- encoding by the tokenizers library -------------------------------------------------------------
 
 
+class Pieces(dict):
+    """From a word of the pre-tokenizer to the ids that the tokenizer's model gives it, packed."""
+
+    def __init__(self, model, kind: np.dtype, most: int) -> None:
+        super().__init__()
+        self.model, self.kind, self.most = model, kind, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        out = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+        if len(piece) < 200:
+            self[piece] = out
+        return out
+
+
 class Chunks(dict):
-    """From a chunk without white space to its ids, packed; misses are filled by one call for a whole batch."""
+    """From a chunk without white space to its ids, packed.
+
+    Chunks encode independently if the tokenizer splits at white space and drops it;
+    `simple` tells whether its normaliser and pre-tokenizer are of that known form.
+    A missing chunk then goes through the library's normaliser, pre-tokenizer and
+    model, with the words of the model cached too; else the library encodes whole
+    texts.
+    """
 
     _made: dict[str, Chunks] = {}
-    #: A subset of what the tokenizer drops between its words, so that chunks encode independently.
+    #: A subset of what the tokenizer drops between its words.
     SPACES = re.compile(r"[ \n\t\r]+")
+    #: The form of normaliser and pre-tokenizer, and the latter's pattern for lower-case printable ASCII.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -54,6 +81,17 @@ class Chunks(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        split, *rest = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.simple = (
+            (form.get("normalizer") or {}).get("normalizers") == self.NORMALIZER
+            and split == {"type": "Split", "pattern": {"Regex": self.PATTERN}, "behavior": "Removed", "invert": True}
+            and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
+            and not form.get("post_processor")
+        )
+        self.added = [x["content"] for x in form.get("added_tokens", [])]
+        self.pieces = Pieces(self.tokenizer.model, self.kind, most)
 
     @classmethod
     def of(cls, path: str) -> Chunks:
@@ -61,17 +99,26 @@ class Chunks(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def __missing__(self, chunk: str) -> bytes:
+        if any(x in chunk for x in self.added):
+            out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            if chunk.isascii() and chunk.isprintable():
+                words = self.ASCII.findall(chunk.lower())
+            else:
+                words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
+            out = b"".join(map(self.pieces.__getitem__, words))
+        if len(chunk) < 200:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.SPACES.sub(" ", t).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        new = list(set().union(*split).difference(self))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(got.ids, self.kind).tobytes()
+        if not self.simple:
+            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         get = self.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        return [b"".join(map(get, self.SPACES.sub(" ", t).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text", ids: str = "ids") -> DataFrame:
