@@ -1 +1,5 @@
-"""plans of hydroframe."""
+"""Registered queries and their SQL."""
+
+from hydroframe.plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
