@@ -21,6 +21,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +50,22 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        out = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+        out = array(self.kind.char, [t.id for t in self.model.tokenize(piece)]).tobytes()
         if len(piece) < 200:
             self[piece] = out
         return out
 
 
+def _byte_points() -> dict[int, int]:
+    """The code point of each byte in byte-level vocabularies: itself if it prints, else the next one from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
+BYTE_POINTS = _byte_points()
+
+
 class Chunks(dict):
     """From a chunk without white space to its ids, packed.
 
@@ -66,12 +77,12 @@ class Chunks(dict):
     """
 
     _made: dict[str, Chunks] = {}
-    #: A subset of what the tokenizer drops between its words.
-    SPACES = re.compile(r"[ \n\t\r]+")
     #: The form of normaliser and pre-tokenizer, and the latter's pattern for lower-case printable ASCII.
     NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+    #: A Latin word with a mark behind it, if any: composed letters that keep their length in lower case.
+    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         super().__init__()
@@ -91,6 +102,7 @@ class Chunks(dict):
             and not form.get("post_processor")
         )
         self.added = [x["content"] for x in form.get("added_tokens", [])]
+        self.simple = self.simple and all("<" in x for x in self.added)
         self.pieces = Pieces(self.tokenizer.model, self.kind, most)
 
     @classmethod
@@ -99,14 +111,18 @@ class Chunks(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __missing__(self, chunk: str) -> bytes:
-        if any(x in chunk for x in self.added):
-            out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if m := self.WORD.fullmatch(text):
+            words = [self.bytewise(m[1].lower()), m[2]] if m[2] else [self.bytewise(m[1].lower())]
+            out = b"".join(map(self.pieces.__getitem__, words))
+        elif "<" in text and any(x in text for x in self.added):
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         else:
-            if chunk.isascii() and chunk.isprintable():
-                words = self.ASCII.findall(chunk.lower())
+            if text.isascii() and text.isprintable():
+                words = self.ASCII.findall(text.lower())
             else:
-                words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
+                words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
             out = b"".join(map(self.pieces.__getitem__, words))
         if len(chunk) < 200:
             if len(self) >= self.most:
@@ -114,11 +130,16 @@ class Chunks(dict):
             self[chunk] = out
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def bytewise(self, word: str) -> str:
+        """The code points that stand for the bytes of a word of Latin letters in the model's vocabulary."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_POINTS)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of UTF-8 texts."""
         if not self.simple:
-            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         get = self.__getitem__
-        return [b"".join(map(get, self.SPACES.sub(" ", t).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" "))) for t in texts]
+        return [b"".join(map(get, t.split())) for t in texts]  # at ASCII white space, a part of what the tokenizer splits at
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -138,7 +159,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text
             data, cuts = textkit.buffers(batch.column(len(keep)))
             for first, last, part, edges in textkit.chunks(data, cuts):
                 raw, cut = part.tobytes(), edges.tolist()
-                out = [x + end for x in chunks.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)])]
+                out = [x + end for x in chunks.encode([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[: len(keep)], pa.array(out, pa.binary())], [*keep, ids])
 
     return docs.select(*at).mapInArrow(run, schema)
