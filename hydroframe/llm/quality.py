@@ -3,9 +3,12 @@
 P(grade <= k) = sigmoid(threshold[k] - w . x): one weight vector over hashed
 features of the text, shared by all grades, and ordered thresholds.  Features
 are lower-cased words and the last bytes of tokens between white space (marks
-that junk carries), each by presence with a damped count, scaled to length 1.
-Fitted by AdaGrad on a bounded sample of rated texts; it gives the expected
-grade and the tail probability of a grade at least `good`.
+that junk carries), each by presence and scaled down with the number of features,
+and four properties of the whole text in classes: how many words repeat the one
+before, how many are distinct, how much is in capitals, how much is marks.  Those
+of few sampled texts keep weight 0.  Fitted by AdaGrad on a bounded sample of
+rated texts; it gives the expected grade and the tail probability of a grade at
+least `good`.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ U = np.uint64
 BITS = 18
 #: Rated texts for each grade in the sample that a model is fitted on.
 SAMPLE = 2500
+#: A feature of fewer sampled texts than this has no weight.
+COMMON = 5
+#: Upper bounds of the classes of a text's properties; each has as many buckets at the table's end.
+CLASSES = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7])
+SHAPES = 4
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) of all rows, rows ascending; values of a row have length 1."""
+    """(row, bucket, value) of all rows, rows ascending."""
     rows = len(at) - 1
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -36,10 +44,35 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     tails = textkit.span_hashes(data, np.maximum(begin, finish - 3), finish, textkit.EXACT)
     row = np.concatenate([textkit.rows_of(starts, at), textkit.rows_of(begin, at)])
     bucket = np.concatenate([words >> U(64 - BITS + 1), (tails >> U(64 - BITS + 1)) | U(1 << (BITS - 1))]).astype(np.int64)
-    key, n = np.unique((row << BITS) | bucket, return_counts=True)
-    row, value = key >> BITS, np.log1p(n)
-    norm = np.sqrt(np.bincount(row, value * value, minlength=rows))
-    return row, key & ((1 << BITS) - 1), value / norm[row]
+    bucket = np.minimum(bucket, (1 << BITS) - 1 - SHAPES * (len(CLASSES) + 1))
+    key = np.unique((row << BITS) | bucket)
+    row = key >> BITS
+    scale = np.maximum(np.bincount(row, minlength=rows), 16) ** -0.25
+    shape_row, shape = _shapes(data, at, words, starts)
+    row, bucket = np.concatenate([row, shape_row]), np.concatenate([key & ((1 << BITS) - 1), shape])
+    value = np.concatenate([scale[key >> BITS], np.ones(len(shape))])
+    order = np.argsort(row, kind="stable")
+    return row[order], bucket[order], value[order]
+
+
+def _shapes(data: np.ndarray, at: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the classes of each row's properties; rows without words have none."""
+    rows = len(at) - 1
+    of = textkit.rows_of(starts, at)
+    n = np.bincount(of, minlength=rows)
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
+    order = np.lexsort((words, of))
+    fresh = np.ones(len(words), bool)
+    fresh[1:] = (words[order][1:] != words[order][:-1]) | (of[order][1:] != of[order][:-1])
+    each = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
+    letters, size = each((data >= 0x41) & (data <= 0x5A) | (data >= 0x61) & (data <= 0x7A)), np.maximum(np.diff(at), 1)
+    marks = np.isin(data, np.frombuffer(b"#$%&*|!@^~<>{}", np.uint8))
+    shares = [np.bincount(of, again, minlength=rows) / np.maximum(n, 1), 1 - np.bincount(of[order], fresh, minlength=rows) / np.maximum(n, 1), each((data >= 0x41) & (data <= 0x5A)) / np.maximum(letters, 1), each(marks) / size]
+    some = np.flatnonzero(n)
+    width = len(CLASSES) + 1
+    base = (1 << BITS) - SHAPES * width
+    return np.tile(some, SHAPES), np.concatenate([base + i * width + np.searchsorted(CLASSES, s[some]) for i, s in enumerate(shares)])
 
 
 class Model:
@@ -68,8 +101,11 @@ def _bags(rated: DataFrame) -> DataFrame:
     return rated.mapInArrow(run, "name long, grade int, bucket binary, value binary")
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, epochs: int = 12, rate: float = 0.5, l2: float = 1e-6, seed: int = 3) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, seed: int = 3) -> Model:
     """AdaGrad over minibatches; thresholds stay ordered, as their steps are exponentials."""
+    texts = np.bincount(np.concatenate([np.unique(b) for b, _ in bags]), minlength=1 << BITS)
+    common = texts >= min(COMMON, max(1, len(bags) // 20))
+    bags = [(b[common[b]], v[common[b]]) for b, v in bags]
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     shape = np.zeros(levels - 1)  # first threshold, then logarithms of the steps
     shape_seen = np.full(levels - 1, 1e-6)
