@@ -70,3 +70,34 @@ def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     j = F.least(i + 1, F.size(xs) - 1)
     x0, x1, y0, y1 = pick(xs, i), pick(xs, j), pick(ys, i), pick(ys, j)
     return F.when(x <= pick(xs, F.lit(0)), pick(ys, F.lit(0))).when(i == j, y0).otherwise(y0 + F.try_divide((y1 - y0) * (x - x0), x1 - x0))
+
+
+def vertex(points: Column, n: int) -> Column:
+    """The n-th vertex from the start (from 1), or from the end if negative."""
+    return F.try_element_at(points, F.lit(n))
+
+
+def index_of(points: Column, x: Column, y: Column, digits: int = 6) -> Column:
+    """The place (from 0) of a vertex after rounding, NULL if there is none."""
+    snapped = F.transform(points, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    return F.nullif(F.array_position(snapped, F.struct(F.round(x, digits).alias("x"), F.round(y, digits).alias("y"))), F.lit(0)) - 1
+
+
+def grows(values: Column, strict: bool = True) -> Column:
+    """Whether an array never falls, or always rises."""
+    pairs = F.zip_with(F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda a, b: (b > a) if strict else (b >= a))
+    return F.forall(pairs, lambda ok: ok)
+
+
+def wkb(points: list[tuple[float, float]], kind: str = "line") -> bytes:
+    """Little-endian WKB of a point, a line, a polygon of one ring, or several points."""
+    import struct
+
+    body = b"".join(struct.pack("<dd", x, y) for x, y in points)
+    if kind == "point":
+        return struct.pack("<BI", 1, 1) + body
+    if kind == "line":
+        return struct.pack("<BII", 1, 2, len(points)) + body
+    if kind == "polygon":
+        return struct.pack("<BIII", 1, 3, 1, len(points)) + body
+    return struct.pack("<BII", 1, 4, len(points)) + b"".join(struct.pack("<BIdd", 1, 1, x, y) for x, y in points)

@@ -78,3 +78,54 @@ def moving(rows: DataFrame, key: str, order: str, value: str, k: int, how: str)
     """rows with moved: the mean, min or max over k places to either side."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-k, k)
     return rows.withColumn("moved", {"mean": F.avg, "min": F.min, "max": F.max}[how](value).over(w))
+
+
+def merged_levees(levees: DataFrame, field: str, threshold: float, distance: float = 1e-4) -> DataFrame:
+    """field, merged, n, mean, highest, lowest of levees (id, field, x0 .. y1, height), each field on its own.
+
+    By id, a levee that isn't taken starts a merged one and takes what touches it,
+    step by step, while heights stay within the threshold of the first one's.
+    """
+    kind = dict(levees.dtypes)[field]
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ends: dict[tuple[int, int], list[int]] = {}
+        spots = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 2, 2)
+        height = pdf["height"].to_numpy(float)
+        for i, pair in enumerate(spots):
+            for x, y in pair:
+                ends.setdefault((int(x // distance), int(y // distance)), []).append(i)
+        taken, rows = [False] * len(pdf), []
+        for first in range(len(pdf)):
+            if taken[first]:
+                continue
+            taken[first], todo, run = True, [first], []
+            while todo:
+                i = todo.pop()
+                run.append(i)
+                for x, y in spots[i]:
+                    a, b = int(x // distance), int(y // distance)
+                    for k in sorted({j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in ends.get((a + p, b + q), ())}):
+                        near = min((u - x) ** 2 + (v - y) ** 2 for u, v in spots[k]) <= distance**2
+                        if not taken[k] and near and abs(height[k] - height[first]) <= threshold:
+                            taken[k] = True
+                            todo.append(k)
+            h = height[run]
+            rows.append((pdf[field].iloc[0], int(pdf["id"].iloc[first]), len(run), float(h.mean()), float(h.max()), float(h.min())))
+        return pd.DataFrame(rows, columns=[field, "merged", "n", "mean", "highest", "lowest"])
+
+    return levees.groupBy(field).applyInPandas(grow, f"{field} {kind}, merged long, n long, mean double, highest double, lowest double")
+
+
+def threshold_for(levees: DataFrame, field: str, most: int, thresholds: list[float]) -> float | None:
+    """The least of the thresholds that leaves at most so many merged levees; None if none does."""
+    low, high = 0, len(thresholds)
+    ordered = sorted(thresholds)
+    while low < high:
+        middle = (low + high) // 2
+        if merged_levees(levees, field, ordered[middle]).count() <= most:
+            high = middle
+        else:
+            low = middle + 1
+    return ordered[low] if low < len(ordered) else None

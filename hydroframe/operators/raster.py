@@ -147,3 +147,54 @@ def neighbour_components(pixels: DataFrame, top: float, value: str = "value") ->
     low = pixels.where(F.col(value) < top).select("row", "col")
     near = low.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array(*(F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("p"))
     return near.select("r", "c", "p.row", "p.col").join(low, ["row", "col"])
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a polygon, by the even-odd rule."""
+    inside = F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if ay == by:
+            continue
+        at = ax + (y - ay) * ((bx - ax) / (by - ay))
+        inside = inside != (((F.lit(ay) > y) != (F.lit(by) > y)) & (x < at))
+    return inside
+
+
+def masked(pixels: DataFrame, grid: Grid, corners: list[tuple[float, float]]) -> DataFrame:
+    """Pixels whose box meets the polygon's box, with active: whether their centre lies in the polygon."""
+    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+    near = read_window(pixels, grid, grid.aligned((min(xs), min(ys), max(xs), max(ys))), rounded=True)
+    return near.withColumn("active", in_polygon(grid.centre_x(F.col("col")), grid.centre_y(F.col("row")), corners))
+
+
+def blank(spark, grid: Grid, box: tuple[float, float, float, float], value: float = NODATA) -> DataFrame:
+    """Every pixel of a box, with one value."""
+    r0, r1, c0, c1 = grid.indices(grid.aligned(box), rounded=True)
+    return spark.range(r0, r1).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(c0), F.lit(c1 - 1))).alias("col"), F.lit(value).alias("value"))
+
+
+def to_points(pixels: DataFrame, grid: Grid, *bands: str) -> DataFrame:
+    """Centres of the pixels that have data in a band, with the bands; nodata as NULL."""
+    values = [F.when(F.col(b) != NODATA, F.col(b)).alias(b) for b in bands]
+    return pixels.select(grid.centre_x(F.col("col")).alias("x"), grid.centre_y(F.col("row")).alias("y"), *values).where(F.coalesce(*map(F.col, bands)).isNotNull())
+
+
+def to_boxes(pixels: DataFrame, grid: Grid, *bands: str) -> DataFrame:
+    """The boxes of the same pixels, as text."""
+    from hydroframe.functions.geometry import wkt_box
+
+    half = grid.size / 2
+    return to_points(pixels, grid, *bands).withColumn("wkt", wkt_box(F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half))
+
+
+def bounds(rows: int, cols: int, grid: Grid) -> tuple[float, float, float, float]:
+    return grid.x, grid.y - rows * grid.size, grid.x + cols * grid.size, grid.y
+
+
+def pixel_size(x: float, y: float, given: float | None = None) -> float:
+    """A raster's pixel size: its own if both axes agree within 1e-4, else the given one."""
+    if abs(abs(x) - abs(y)) <= 1e-4:
+        return abs(x)
+    if given is None:
+        raise ValueError("the pixels aren't square, and no size is given")
+    return given

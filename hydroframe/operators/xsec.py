@@ -193,3 +193,87 @@ def max_width(shape: Column, width: Column, table: Column) -> Column:
         .when(shape == YZ, F.array_max(first))
         .otherwise(F.raise_error(F.concat(F.lit("unknown shape "), shape.cast("string"))).cast("double"))
     )
+
+
+def parallel(points: np.ndarray, sections: list[tuple[float, list[float], list[float]]], distance: float) -> np.ndarray:
+    """The line moved by a distance, with heights: those of the sections (position, offsets, z) at that offset, linear between positions."""
+    places = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))])
+    ordered = sorted(sections, key=lambda s: s[0])
+    heights = [float(np.interp(distance, o, z)) for _, o, z in ordered]
+    return np.column_stack([offset_line(points, distance), np.interp(places, [s[0] for s in ordered], heights)])
+
+
+def width_at(position: float, sections: list[tuple[float, float]]) -> float:
+    """The width at a position, linear between sections (position, width)."""
+    ordered = sorted(sections)
+    return float(np.interp(position, [s[0] for s in ordered], [s[1] for s in ordered]))
+
+
+def split(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Parts of at most so many vertices, each beginning where the one before it ends."""
+    if most < 2:
+        raise ValueError("a part needs two vertices")
+    return [points[i : i + most] for i in range(0, max(1, len(points) - 1), most - 1)]
+
+
+def split_valid(points: np.ndarray, distances: list[float]) -> list[np.ndarray]:
+    """Parts that can each be moved by all distances."""
+    out, at = [], 0
+    while at < len(points) - 1:
+        end = at + highest_valid(points[at:], distances)
+        out.append(points[at : end + 1])
+        at = end
+    return out
+
+
+def ordered_triangles(triangles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Triangles so that each but the first of a connected part shares a side with an earlier one."""
+    by_side: dict[frozenset[int], list[int]] = {}
+    sides = [[frozenset(s) for s in ((a, b), (b, c), (c, a))] for a, b, c in triangles]
+    for i, three in enumerate(sides):
+        for s in three:
+            by_side.setdefault(s, []).append(i)
+    done, out = [False] * len(triangles), []
+    for first in range(len(triangles)):
+        queue = [first]
+        while queue:
+            i = queue.pop(0)
+            if done[i]:
+                continue
+            done[i] = True
+            out.append(triangles[i])
+            queue += [j for s in sides[i] for j in by_side[s] if not done[j]]
+    return out
+
+
+def wedges(ends: DataFrame) -> DataFrame:
+    """node, first, second, gap: neighbours of channel ends (node, channel, azimuth) around a node with more than 180 degrees between them."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("node").orderBy(F.desc("azimuth"), "channel")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead(F.struct("channel", "azimuth")).over(w), F.first(F.struct("channel", "azimuth")).over(whole))
+    pairs = ends.withColumn("_next", following).where(F.col("_next.channel") != F.col("channel"))
+    gap = F.pmod(F.col("azimuth") - F.col("_next.azimuth"), F.lit(360.0))
+    return pairs.select("node", F.col("channel").alias("first"), F.col("_next.channel").alias("second"), gap.alias("gap")).where("gap > 180")
+
+
+def filled(node: tuple[float, float, float], first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+    """Triangles from a node's point to the outer points of two channels (inmost first), and between them."""
+    out = []
+    n = min(len(first), len(second))
+    apex = np.array(node)
+    for i in range(n):
+        if i == 0:
+            out.append(np.vstack([apex, first[0], second[0]]))
+        else:
+            out.append(np.vstack([first[i - 1], first[i], second[i - 1]]))
+            out.append(np.vstack([first[i], second[i], second[i - 1]]))
+    return out
+
+
+def as_query(triangles: DataFrame, key: str = "id") -> DataFrame:
+    """key, sql: a channel's triangles as one query that unites their distinct rows."""
+    c = lambda n: F.format_string("%.6f", F.col(n))
+    row = F.concat(F.lit("SELECT "), F.concat_ws(", ", *(F.concat(c(n), F.lit(f" AS {n}")) for n in (f"{a}{i}" for i in (1, 2, 3) for a in "xyz"))))
+    return triangles.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(row)), " UNION ").alias("sql"))

@@ -204,13 +204,15 @@ def _(d):
     return d.table("orders").where((F.col("o_custkey") % 10 + 100).isin(102, 105)).select(F.col("o_orderkey").alias("id"))
 
 
-_TS = relations("line_w") + ", v AS (SELECT w.entity_id, w.dt, CASE WHEN w.kcu IN (3, 51, 200) THEN 9999 WHEN w.u1 = 0 THEN 'inf'::DOUBLE ELSE sqrt((l.x1 - l.x0)**2 + (l.y1 - l.y0)**2) / abs(w.u1) END AS v FROM line_w w JOIN lines l ON l.id = w.entity_id)"
+_TS = relations("line_w") + ", v AS (SELECT w.entity_id, w.dt, CASE WHEN w.kcu IN (3, 51, 200) THEN 9999 WHEN w.q = 0 THEN 'inf'::DOUBLE ELSE sqrt((l.x1 - l.x0)**2 + (l.y1 - l.y0)**2) / abs(w.q) END AS v FROM line_w w JOIN lines l ON l.id = w.entity_id)"
 
 
 @query("f14_ts_rule", _TS + " SELECT entity_id FROM v GROUP BY entity_id HAVING 100.0 * sum(CASE WHEN v < 1 THEN dt ELSE 0 END) / sum(dt) > 10 OR 100.0 * sum(CASE WHEN v < 3 THEN dt ELSE 0 END) / sum(dt) > 50 OR 100.0 * sum(CASE WHEN v < 5 THEN dt ELSE 0 END) / sum(dt) > 80")
 def _(d):
     wanted = preset("time step reduction")
-    return _line(d, *wanted).where(style.slows(*(F.col(x.column) for x in wanted))).select("entity_id")
+    size = d.lines().select(F.col("id").alias("entity_id"), G.length(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("length"))
+    fast = d.line_ts().withColumn("u1", F.col("q")).join(size, "entity_id")
+    return time_aggregate(fast, d.steps(), wanted, START, END).where(style.slows(*(F.col(x.column) for x in wanted))).select("entity_id")
 
 
 _LEN = "sqrt((x1 - x0)**2 + (y1 - y0)**2)"
@@ -601,15 +603,15 @@ def _(d):
     return lines.range_runs(_chains(d), "chain", "place", "v", 100.0).select("chain", "place", "run")
 
 
-@query("a34_run_statistics", _RUNS + "SELECT chain, run::BIGINT AS run, count(*) AS n, round(sum(v * len) / sum(len), 6) AS mean, min(v) AS lowest, max(v) AS highest, sum(len) AS length FROM f GROUP BY chain, run")
+@query("a34_run_statistics", _RUNS + "SELECT chain, run::BIGINT AS run, count(*) AS n, round(sum(v * len) / sum(len), 4) AS mean, min(v) AS lowest, max(v) AS highest, sum(len) AS length FROM f GROUP BY chain, run")
 def _(d):
     runs = lines.range_runs(_chains(d), "chain", "place", "v", 100.0)
-    return lines.run_statistics(runs, "chain", "v", "len").withColumn("mean", r("mean"))
+    return lines.run_statistics(runs, "chain", "v", "len").withColumn("mean", r("mean", 4))
 
 
-@query("a19_weighted_mean", f"SELECT chain, round(sum(v * len) / sum(len), 6) AS mean FROM ({_STEP}) GROUP BY chain")
+@query("a19_weighted_mean", f"SELECT chain, round(sum(v * len) / sum(len), 4) AS mean FROM ({_STEP}) GROUP BY chain")
 def _(d):
-    return lines.weighted_mean(_chains(d), "chain", "v", "len").withColumn("mean", r("mean"))
+    return lines.weighted_mean(_chains(d), "chain", "v", "len").withColumn("mean", r("mean", 4))
 
 
 @query("w06_moving_mean", f"SELECT chain, place, round(avg(v) OVER (PARTITION BY chain ORDER BY place ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS moved FROM ({_STEP})")

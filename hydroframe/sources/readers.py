@@ -100,3 +100,34 @@ def write_tiles(pixels: DataFrame, path: str, tile: int = 1000) -> None:
     """Pixels by tile, so that a window's read skips other tiles."""
     tiled = pixels.withColumn("tile_row", F.floor(F.col("row") / tile)).withColumn("tile_col", F.floor(F.col("col") / tile))
     tiled.repartition("tile_row", "tile_col").write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(path)
+
+
+def settings(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Settings of one JSON document."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_settings(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def with_new_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with empty real columns; a name that it has raises."""
+    if taken := [n for n in names if n in df.columns]:
+        raise ValueError(f"columns exist: {', '.join(taken)}")
+    return df.select("*", *(F.lit(None).cast("double").alias(n) for n in names))
+
+
+# The settings that a new model starts with.
+NUMERICAL = {"id": 1, "convergence_eps": 0.00001, "integration_method": 0, "max_degree": 5, "max_nonlin_iterations": 20, "use_of_cg": 20, "use_of_nested_newton": 0}
+INFILTRATION = {"id": 1, "infiltration_rate": 0, "infiltration_rate_file": "rasters/infiltration.tif"}
+
+
+def replaced_settings(spark: SparkSession, row: dict) -> DataFrame:
+    """A table of settings that holds this row alone, in place of what it had."""
+    return spark.createDataFrame([tuple(row.values())], list(row))
+
+
+def without(df: DataFrame, column: str, condition: Column) -> DataFrame:
+    """df with NULL in a column where the condition holds."""
+    return df.withColumn(column, F.when(condition, None).otherwise(F.col(column)))

@@ -200,3 +200,63 @@ def test_series_file(spark, tmp_path):
     readers.write_series_csv(spark.createDataFrame([(60.0, 1.5, None), (0.0, 0.25, 2.0)], "t double, a double, b double"), str(tmp_path / "s"))
     lines_ = spark.read.csv(str(tmp_path / "s"), header=True).orderBy("timestep").collect()
     assert [tuple(x) for x in lines_] == [("0", "0.250000", "2.000000"), ("60", "1.500000", "null")] or lines_[0][1] == "0.250000"
+
+
+def test_more_of_rasters(spark):
+    grid = raster.Grid(0.0, 30.0, 10.0)
+    pixels = raster.blank(spark, grid, (0, 0, 30, 30), 1.0)
+    assert pixels.count() == 9 and raster.bounds(3, 3, grid) == (0.0, 0.0, 30.0, 30.0)
+    active = {(r["row"], r["col"]) for r in raster.masked(pixels, grid, [(0.0, 0.0), (30.0, 0.0), (0.0, 30.0)]).where("active").collect()}
+    assert {(1, 0), (2, 0), (2, 1)} <= active and (0, 2) not in active and (0, 1) not in active
+    points = raster.to_points(pixels.withColumn("value", F.when(F.col("row") == 0, raster.NODATA).otherwise(2.0)), grid, "value")
+    assert points.count() == 6 and points.agg(F.max("y")).first()[0] == 15.0
+    assert raster.to_boxes(pixels.limit(1), grid, "value").first()["wkt"].startswith("POLYGON ((")
+    assert raster.pixel_size(0.5, -0.5) == 0.5 and raster.pixel_size(0.5, 1.0, 2.0) == 2.0
+    with pytest.raises(ValueError):
+        raster.pixel_size(0.5, 1.0)
+
+
+def test_merged_levees(spark):
+    rows = [(1, "a", 0.0, 0.0, 1.0, 0.0, 5.0), (2, "a", 1.0, 0.0, 2.0, 0.0, 5.4), (3, "a", 2.0, 0.0, 3.0, 0.0, 9.0), (4, "b", 3.0, 0.0, 4.0, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "id long, f string, x0 double, y0 double, x1 double, y1 double, height double")
+    got = {(r["f"], r["merged"], r["n"], round(r["mean"], 6)) for r in lines.merged_levees(df, "f", 0.5).collect()}
+    assert got == {("a", 1, 2, 5.2), ("a", 3, 1, 9.0), ("b", 4, 1, 9.0)}
+    assert lines.threshold_for(df, "f", 2, [0.1, 0.5, 4.0, 10.0]) == 4.0 and lines.threshold_for(df, "f", 0, [1.0]) is None
+
+
+def test_more_of_channels(spark):
+    line = np.array([(0.0, 0.0), (10.0, 0.0), (20.0, 0.0)])
+    moved = xsec.parallel(line, [(0.0, [-2.0, 0.0, 2.0], [3.0, 1.0, 3.0]), (20.0, [-2.0, 2.0], [5.0, 5.0])], 1.0)
+    assert np.allclose(moved, [(0, 1, 2), (10, 1, 3.5), (20, 1, 5)])
+    assert [xsec.width_at(p, [(10, 6), (0, 4)]) for p in (-1, 5, 20)] == [4, 5, 6]
+    parts = xsec.split(np.arange(14).reshape(7, 2), 3)
+    assert [len(p) for p in parts] == [3, 3, 3] and (parts[0][-1] == parts[1][0]).all()
+    assert len(xsec.split_valid(line, [1.0, -1.0])) == 1
+    order = xsec.ordered_triangles([(0, 1, 2), (5, 6, 7), (2, 3, 5), (1, 2, 3), (3, 5, 6)])
+    for i, t in enumerate(order[1:], 1):
+        assert any(len(set(t) & set(s)) == 2 for s in order[:i])
+    ends = spark.createDataFrame([(1, 10, 10.0), (1, 11, 80.0), (2, 12, 0.0), (2, 13, 120.0), (2, 14, 240.0), (3, 15, 7.0)], "node int, channel int, azimuth double")
+    assert [(r["node"], {r["first"], r["second"]}, r["gap"]) for r in xsec.wedges(ends).collect()] == [(1, {10, 11}, 290.0)]
+    assert len(xsec.filled((0, 0, 0), np.eye(3), np.eye(3) + 1)) == 5
+    mesh = xsec.mesh(spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0, "z": 1.0}, {"x": 9.0, "y": 0.0, "z": 3.0}])], "id int, points array<struct<x: double, y: double, z: double>>"), [0.0, 1.0])
+    assert xsec.as_query(mesh).first()["sql"].count(" UNION ") == 1
+
+
+def test_more_of_geometry(spark):
+    points = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y")) for x in range(3)))
+    assert one(spark, G.index_of(points, F.lit(1.0000001), F.lit(0.0))) == 1 and one(spark, G.index_of(points, F.lit(9.0), F.lit(0.0))) is None
+    assert one(spark, G.vertex(points, -1)["x"]) == 2.0 and one(spark, G.polyline_length(points)) == 2.0
+    assert one(spark, G.grows(F.array(*map(F.lit, (1, 1, 2))), False)) and not one(spark, G.grows(F.array(*map(F.lit, (1, 1, 2)))))
+    assert G.wkb([(1.0, 2.0)], "point").hex() == "0101000000000000000000f03f0000000000000040"
+    assert len(G.wkb([(0, 0), (1, 0), (0, 0)], "polygon")) == 13 + 48
+    assert one(spark, G.ccw_turn(F.lit(10.0), F.lit(350.0))) == 20.0
+
+
+def test_settings(spark, tmp_path):
+    rows = readers.replaced_settings(spark, readers.NUMERICAL)
+    readers.write_settings(rows, str(tmp_path / "s"))
+    assert readers.settings(spark, str(tmp_path / "s"), "id long, max_degree long").first()["max_degree"] == 5
+    with pytest.raises(ValueError):
+        readers.with_new_columns(rows, ["id"])
+    assert readers.without(rows, "max_degree", F.lit(True)).first()["max_degree"] is None
+    assert [c for c in readers.with_new_columns(rows, ["a"]).columns][-1] == "a"
