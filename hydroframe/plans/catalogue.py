@@ -603,15 +603,15 @@ def _(d):
     return lines.range_runs(_chains(d), "chain", "place", "v", 100.0).select("chain", "place", "run")
 
 
-@query("a34_run_statistics", _RUNS + "SELECT chain, run::BIGINT AS run, count(*) AS n, round(sum(v * len) / sum(len), 4) AS mean, min(v) AS lowest, max(v) AS highest, sum(len) AS length FROM f GROUP BY chain, run")
+@query("a34_run_statistics", _RUNS + "SELECT chain, run::BIGINT AS run, count(*) AS n, round(sum(v * len) / sum(len), 9) AS mean, min(v) AS lowest, max(v) AS highest, sum(len) AS length FROM f GROUP BY chain, run")
 def _(d):
     runs = lines.range_runs(_chains(d), "chain", "place", "v", 100.0)
-    return lines.run_statistics(runs, "chain", "v", "len").withColumn("mean", r("mean", 4))
+    return lines.run_statistics(runs, "chain", "v", "len").withColumn("mean", r("mean", 9))
 
 
-@query("a19_weighted_mean", f"SELECT chain, round(sum(v * len) / sum(len), 4) AS mean FROM ({_STEP}) GROUP BY chain")
+@query("a19_weighted_mean", f"SELECT chain, round(sum(v * len) / sum(len), 9) AS mean FROM ({_STEP}) GROUP BY chain")
 def _(d):
-    return lines.weighted_mean(_chains(d), "chain", "v", "len").withColumn("mean", r("mean", 4))
+    return lines.weighted_mean(_chains(d), "chain", "v", "len").withColumn("mean", r("mean", 9))
 
 
 @query("w06_moving_mean", f"SELECT chain, place, round(avg(v) OVER (PARTITION BY chain ORDER BY place ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS moved FROM ({_STEP})")
