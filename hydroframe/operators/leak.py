@@ -157,3 +157,31 @@ def highest_of(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def lowest_of(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key and the row of least value; of equals the last by order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(-F.col(value), F.col(order))).alias("best")).select(key, "best.*")
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The pixels of two neighbouring cells as one block; a lower cell is filled up with its least value, at its end."""
+    rows = max(len(left), len(right))
+
+    def grown(z: np.ndarray) -> np.ndarray:
+        return np.vstack([z, np.full((rows - len(z), z.shape[1]), z.min())]) if len(z) < rows else z
+
+    return np.hstack([grown(left), grown(right)])
+
+
+def edge_peaks(edges: list[np.ndarray], prominence: float) -> list[tuple[int, int]]:
+    """(edge, place) of the peaks of edges that follow each other, found on all of them as one."""
+    ends = np.cumsum([len(e) for e in edges])
+    out = []
+    for p in peaks(np.concatenate(edges), prominence) if len(edges) else []:
+        i = int(np.searchsorted(ends, p, "right"))
+        out.append((i, p - int(ends[i]) + len(edges[i])))
+    return out
+
+
+def significant(obstacles: DataFrame, flows: DataFrame, series: DataFrame, least_flow: float, least_reduction: float, key: str = "id") -> DataFrame:
+    """obstacles (key, crest) of lines with enough discharge (key, q), that take enough of it (key, q, factor, dt)."""
+    busy = flows.where(F.abs("q") > least_flow).select(key)
+    near = obstacles.join(busy, key, "left_semi")
+    taken = discharge_reduction(series.join(near.select(key).distinct(), key, "left_semi"), key)
+    return near.join(taken.where(F.col("reduced") > least_reduction), key)

@@ -198,3 +198,78 @@ def pixel_size(x: float, y: float, given: float | None = None) -> float:
     if given is None:
         raise ValueError("the pixels aren't square, and no size is given")
     return given
+
+
+def delaunay(points):
+    """Triangles (indices) of a plane's points, none with another point in its circle; by insertion, for some hundred points."""
+    import numpy as np
+
+    p = np.asarray(points, float)
+    low, size = p.min(axis=0), max(float(np.ptp(p, axis=0).max()), 1.0)
+    frame = low + size * np.array([[-20.0, -10.0], [20.0, -10.0], [0.0, 30.0]])
+    every, n = np.vstack([p, frame]), len(p)
+    triangles = {(n, n + 1, n + 2)}
+
+    def circle(t):
+        (ax, ay), (bx, by), (cx, cy) = every[list(t)]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        if abs(d) < 1e-12:
+            return None
+        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
+
+    circles = {t: circle(t) for t in triangles}
+    for i in range(n):
+        x, y = every[i]
+        hit = [t for t in triangles if circles[t] is not None and (x - circles[t][0]) ** 2 + (y - circles[t][1]) ** 2 < circles[t][2] * (1 - 1e-12)]
+        rim: dict[frozenset, int] = {}
+        for a, b, c in hit:
+            for e in ((a, b), (b, c), (c, a)):
+                rim[frozenset(e)] = rim.get(frozenset(e), 0) + 1
+        for t in hit:
+            triangles.discard(t)
+        for e, times in rim.items():
+            if times == 1:
+                t = (*sorted(e), i)
+                circles[t] = circle(t)
+                if circles[t] is not None:
+                    triangles.add(t)
+    return sorted(t for t in triangles if max(t) < n)
+
+
+def interpolate_linear(centres: DataFrame, grid: Grid, value: str = "value", tile: int = 32, halo: int = 16) -> DataFrame:
+    """row, col, value: linear between centres (x, y, value), inside the area that they span.
+
+    Tiles of pixels are worked on by themselves, each with the centres in and around
+    it; the halo should span some of the largest cells.  Centres without a value are
+    left out, and of centres at one place the least value stays.
+    """
+    import numpy as np
+    import pandas as pd
+
+    around = lambda c: F.explode(F.sequence(F.floor((c - halo) / tile), F.floor((c + halo) / tile)))
+    known = centres.where(F.col(value).isNotNull()).groupBy("x", "y").agg(F.min(value).alias(value))
+    dealt = known.withColumn("_tr", around(grid.row(F.col("y")))).withColumn("_tc", around(grid.col(F.col("x"))))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"row": pd.Series(dtype="int32"), "col": pd.Series(dtype="int32"), "value": pd.Series(dtype=float)})
+        if len(pdf) < 3:
+            return empty
+        pdf = pdf.sort_values(["x", "y"])
+        p, v = pdf[["x", "y"]].to_numpy(float), pdf[value].to_numpy(float)
+        r0, c0 = int(pdf["_tr"].iloc[0]) * tile, int(pdf["_tc"].iloc[0]) * tile
+        rows, cols = np.meshgrid(np.arange(r0, r0 + tile), np.arange(c0, c0 + tile), indexing="ij")
+        x, y = grid.x + (cols + 0.5) * grid.size, grid.y - (rows + 0.5) * grid.size
+        out = np.full(x.shape, np.nan)
+        for a, b, c in delaunay(p):
+            (ax, ay), (bx, by), (cx, cy) = p[[a, b, c]]
+            area = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+            u = ((by - cy) * (x - cx) + (cx - bx) * (y - cy)) / area
+            w = ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / area
+            inside = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9) & np.isnan(out)
+            out[inside] = (u * v[a] + w * v[b] + (1 - u - w) * v[c])[inside]
+        some = ~np.isnan(out)
+        return pd.DataFrame({"row": rows[some].astype("int32"), "col": cols[some].astype("int32"), "value": out[some]})
+
+    return dealt.groupBy("_tr", "_tc").applyInPandas(fill, "row int, col int, value double")

@@ -103,3 +103,26 @@ def pixelized(parts: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
 
     ts = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts("x0", "x1", grid.x, dx), cuts("y0", "y1", grid.y, dy)), lambda t: (t >= 0) & (t <= 1))))
     return parts.select(key, "segment", "x0", "y0", dx.alias("_dx"), dy.alias("_dy"), F.explode(ts).alias("t")).select(key, "segment", "t", (F.col("x0") + F.col("_dx") * F.col("t")).alias("x"), (F.col("y0") + F.col("_dy") * F.col("t")).alias("y"))
+
+
+def line_with_z(lines: DataFrame, pixels: DataFrame, grid: Grid, width: float = 0.0, key: str = "id", value: str = "value") -> DataFrame:
+    """key, points array<struct<x, y, z>>: the line at every step, with the highest value across its carpet as z; places without data are left out."""
+    at = along(segments(lines, key), grid.size, key).select(key, "segment", "place", "x", "y")
+    rows = levels_along(lines, pixels, grid, width, False, key, value).join(at, [key, "segment", "place"])
+    ordered = F.array_sort(F.collect_list(F.struct("segment", "place", "x", "y", F.col("level").alias("z"))))
+    return rows.groupBy(key).agg(F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("points"))
+
+
+def consecutive(points: DataFrame, key: str = "id", place: str = "place") -> DataFrame:
+    """key, x0 .. y1: segments between points (key, place, x, y) that follow each other by place."""
+    w = Window.partitionBy(key).orderBy(place)
+    return points.select(key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 is not null")
+
+
+def within_width(points: DataFrame, parts: DataFrame, widths: list[tuple[float, float]], key: str = "id") -> DataFrame:
+    """points (pid, key, x, y) no farther from their line than half its width there: linear between (position, width), constant beyond."""
+    from hydroframe.functions.geometry import interpolate
+
+    ordered = sorted(widths)
+    at, wide = (F.array(*(F.lit(float(v[i])) for v in ordered)) for i in (0, 1))
+    return project(points, parts, key).where(F.col("away") <= interpolate(F.col("place"), at, wide) / 2)

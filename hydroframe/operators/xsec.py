@@ -277,3 +277,27 @@ def as_query(triangles: DataFrame, key: str = "id") -> DataFrame:
     c = lambda n: F.format_string("%.6f", F.col(n))
     row = F.concat(F.lit("SELECT "), F.concat_ws(", ", *(F.concat(c(n), F.lit(f" AS {n}")) for n in (f"{a}{i}" for i in (1, 2, 3) for a in "xyz"))))
     return triangles.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(row)), " UNION ").alias("sql"))
+
+
+def section(text: str, shape: int, reference: float, wall: float = 0.01, tolerance: float = 0.01) -> tuple[list[float], list[float]]:
+    """(y, z) above datum of a section's table, without points that don't matter."""
+    y, z = checked(*parse(text, shape, wall), reference)
+    kept = simplified(np.column_stack([y, z]), tolerance)
+    return kept[:, 0].tolist(), kept[:, 1].tolist()
+
+
+def read_sections(rows: DataFrame, key: str = "id") -> DataFrame:
+    """key, y, z, error of rows (key, shape, reference, text): one that can't be read has an error and no points."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, shape, reference, text in zip(pdf[key], pdf["shape"], pdf["reference"], pdf["text"], strict=True):
+                try:
+                    out.append((name, *section(text, int(shape), float(reference)), None))
+                except (ValueError, TypeError, AttributeError, IndexError) as e:
+                    out.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "y", "z", "error"])
+
+    return rows.select(key, "shape", "reference", "text").mapInPandas(run, f"{key} {kind}, y array<double>, z array<double>, error string")

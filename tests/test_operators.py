@@ -260,3 +260,39 @@ def test_settings(spark, tmp_path):
         readers.with_new_columns(rows, ["id"])
     assert readers.without(rows, "max_degree", F.lit(True)).first()["max_degree"] is None
     assert [c for c in readers.with_new_columns(rows, ["a"]).columns][-1] == "a"
+
+
+def test_linear_interpolation_keeps_planes(spark):
+    grid = raster.Grid(0.0, 40.0, 1.0)
+    draw = np.random.default_rng(2)
+    spots = [(float(x), float(y)) for x in range(0, 41, 8) for y in range(0, 41, 8)] + [tuple(map(float, p)) for p in draw.uniform(1, 39, (30, 2))]
+    centres = spark.createDataFrame([(x, y, 2 * x - 3 * y + 1) for x, y in spots] + [(5.0, 5.0, None)], "x double, y double, value double")
+    got = raster.interpolate_linear(centres, grid, tile=16, halo=12).collect()
+    assert len(got) == 1600
+    assert all(math.isclose(r["value"], 2 * (r["col"] + 0.5) - 3 * (40 - r["row"] - 0.5) + 1, abs_tol=1e-6) for r in got)
+
+
+def test_lines_with_heights(spark):
+    grid = raster.Grid(0.0, 30.0, 10.0)
+    pixels = spark.createDataFrame([(r, c, float(r * 3 + c)) for r in range(3) for c in range(3)], "row int, col int, value double")
+    line = spark.createDataFrame([(1, [{"x": 0.0, "y": 15.0}, {"x": 30.0, "y": 15.0}])], "id int, points array<struct<x: double, y: double>>")
+    assert [(p["x"], p["z"]) for p in sampling.line_with_z(line, pixels, grid).first()["points"]] == [(5.0, 3.0), (15.0, 4.0), (25.0, 5.0)]
+    points = spark.createDataFrame([(7, 1, 10.0, 17.0), (8, 1, 10.0, 19.0)], "pid int, id int, x double, y double")
+    assert [r["pid"] for r in sampling.within_width(points, sampling.segments(line), [(0.0, 4.0), (20.0, 8.0)]).collect()] == [7]
+    assert sampling.consecutive(spark.createDataFrame([(1, 2, 5.0, 0.0), (1, 1, 0.0, 0.0)], "id int, place int, x double, y double")).first()["x1"] == 5.0
+
+
+def test_more_of_leaks(spark):
+    assert leak.side_by_side(np.array([[1.0], [2.0]]), np.array([[5.0]])).tolist() == [[1, 5], [2, 5]]
+    assert leak.edge_peaks([np.array([0, 1.0]), np.array([3.0, 0]), np.array([2.0, 0])], 0.5) == [(1, 0), (2, 0)]
+    obstacles = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 2.0)], "id int, crest double")
+    flows = spark.createDataFrame([(1, -9.0), (2, 1.0), (3, 9.0)], "id int, q double")
+    series = spark.createDataFrame([(1, 3.0, 0.5, 2.0), (2, 3.0, 0.5, 2.0), (3, 3.0, 1.0, 2.0)], "id int, q double, factor double, dt double")
+    assert [r["id"] for r in leak.significant(obstacles, flows, series, 5.0, 1.0).collect()] == [1]
+
+
+def test_read_sections(spark):
+    rows = spark.createDataFrame([(1, 6, 10.0, "0, 2\n1, 4"), (2, 6, 0.0, "nonsense"), (3, 99, 0.0, "0, 1"), (4, 7, 0.0, None)], "id int, shape int, reference double, text string")
+    got = {r["id"]: r for r in xsec.read_sections(rows).collect()}
+    assert got[1]["y"] == [0, 1, 3, 4] and got[1]["z"] == [11, 10, 10, 11] and got[1]["error"] is None
+    assert all(got[i]["error"] and got[i]["y"] is None for i in (2, 3, 4))
