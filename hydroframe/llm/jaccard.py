@@ -17,8 +17,10 @@ Lists aren't expanded into pairs.  Every node is first compared with one leader
 of its lists and joins the leader's star if they link.  Jaccard distance is a
 metric, so nodes of two stars can link only if the centres are near enough; list
 neighbours of different components are compared star by star, and member by
-member only where the centres allow a link.  No link between components is
-lost, and links within a component don't change it.
+member only where the centres allow a link.  A set whose prefix reaches the
+frequent shingles has all its rare ones in lists; so a rare shingle of another
+set that stands in no list twice isn't in it, which bounds what the two share.
+No link between components is lost, and links within one don't change it.
 
 What isn't exact by proof: sets are compared by 64-bit hashes of shingles.
 """
@@ -145,10 +147,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 def statistics(docs: DataFrame, rule: Rule) -> DataFrame:
     """(kind, key, n): kind 0, in how many texts a shingle is; kind 1, how many texts have a size up to 64.
 
-    Only shingles with small hashes count, as others seldom stand in a prefix, and
-    only those that a task met twice, as others aren't frequent.
+    Only shingles that a task met twice count, as others aren't frequent.
     """
-    bound = U(min((1 << 64) - 1, int((1 << 64) * 1.3 * (1 - rule.num / rule.den))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, held, size = np.zeros(65, np.int64), [], 0
@@ -162,22 +162,21 @@ def statistics(docs: DataFrame, rule: Rule) -> DataFrame:
             for _, _, data, at in _chunks(batch):
                 grams, counts = shingles(data, at, rule.words)
                 sizes += np.bincount(counts[counts <= 64], minlength=65)
-                held.append(grams[grams < bound])
+                held.append(grams)
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(65, np.int32)), pa.array(np.arange(65)), pa.array(sizes)], ["kind", "key", "n"])
 
-    return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(textkit.trimming(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) -> DataFrame:
-    """Of every document: doc_id, n, fingerprints a and b, row number rid, counts of shingles by bucket, keys."""
+    """Of every document: doc_id, n, fingerprints a and b, row number rid, counts of shingles by bucket, keys, and of large sets how many keys are of rare shingles and whether these are all that the set has."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
-    bound = U(min((1 << 64) - 1, int((1 << 64) * 1.3 * (1 - rule.num / rule.den))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -193,7 +192,6 @@ def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) ->
                 of = np.repeat(np.arange(end - first), counts)
                 filled = np.bincount(of * BUCKETS + (splitmix(grams) >> U(57)).astype(np.intp), minlength=(end - first) * BUCKETS)
                 rank = grams >> U(2)
-                rank[grams >= bound] |= U(1 << 62)
                 maybe = np.flatnonzero(coarse[(grams >> U(48)).astype(np.intp)])
                 if len(frequent) and len(maybe):
                     place = np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)
@@ -204,20 +202,25 @@ def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) ->
                 large = counts * rule.den >= rule.num * (boundary + 1)
                 length = np.where(large & (counts > 0), rule.prefix(counts), 0)
                 taken = ordered[np.repeat(starts, length) + textkit.ragged(length)] if length.sum() else np.zeros(0, U)
-                keys: list[np.ndarray] = np.split(splitmix(taken), np.cumsum(length)[:-1])
+                # The lowest bit of a key tells whether its shingle is frequent.
+                kinds = rank[np.lexsort((rank, of))][np.repeat(starts, length) + textkit.ragged(length)] >> U(63) if length.sum() else taken
+                tagged = (splitmix(taken) & ~U(1)) | kinds
+                rare = np.add.reduceat(np.append(1 - kinds.astype(np.int64), 0), np.minimum(np.cumsum(length) - length, len(kinds))) * (length > 0)
+                reach = (counts > boundary) & (rare < length)
+                keys: list[np.ndarray] = np.split(tagged, np.cumsum(length)[:-1])
                 for i in np.flatnonzero((counts > 0) & (counts <= boundary)).tolist():
-                    keys[i] = np.unique(np.concatenate([keys[i], *subset_keys(rule, grams[starts[i] : starts[i] + counts[i]], boundary)]))
+                    keys[i] = np.unique(np.concatenate([keys[i], *(x & ~U(1) for x in subset_keys(rule, grams[starts[i] : starts[i] + counts[i]], boundary))]))
                 lengths = np.array([len(x) for x in keys])
                 flat = np.concatenate(keys).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
                 bins = np.minimum(filled, 255).astype(np.uint8).reshape(-1, BUCKETS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), pa.array(rid + np.arange(end - first)), pa.array([x.tobytes() for x in bins], pa.binary()), lists],
-                    ["doc_id", "n", "a", "b", "rid", "bins", "keys"],
+                    [batch.column(0).slice(first, end - first), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), pa.array(rid + np.arange(end - first)), pa.array([x.tobytes() for x in bins], pa.binary()), lists, pa.array(np.where(counts > boundary, rare, -1), pa.int64()), pa.array(reach)],
+                    ["doc_id", "n", "a", "b", "rid", "bins", "keys", "rare", "reach"],
                 )
                 rid += end - first
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, rid long, bins binary, keys array<long>")
+    return docs.mapInArrow(textkit.trimming(run), "doc_id long, n long, a long, b long, rid long, bins binary, keys array<long>, rare long, reach boolean")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -238,7 +241,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 keep[i : i + 4096] = most * (1 + j) >= j * (n + m) - 1e-6
             yield batch.filter(pa.array(keep)).select(["u", "v", "slack"])
 
-    return both.select("u", "v", "slack", "un", "ub", "vn", "vb").mapInArrow(run, "u long, v long, slack double")
+    return both.select("u", "v", "slack", "un", "ub", "vn", "vb").mapInArrow(textkit.trimming(run), "u long, v long, slack double")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -268,7 +271,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 sets = [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(a), pa.array(b), pa.array(sets, pa.binary())], ["doc_id", "a", "b", "shingles"])
 
-    made = docs.select("doc_id", "text", slot.alias("s")).where("doc_id is not null").mapInArrow(run, "doc_id long, a long, b long, shingles binary")
+    made = docs.select("doc_id", "text", slot.alias("s")).where("doc_id is not null").mapInArrow(textkit.trimming(run), "doc_id long, a long, b long, shingles binary")
     return made.join(wanted, ["doc_id", "a", "b"]).select("rid", "shingles").dropDuplicates(["rid"])
 
 
@@ -293,7 +296,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule) ->
                 m.append(len(q))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in (inter, n, m))], ["u", "v", "slack", "inter", "n", "m"])
 
-    return both.select("u", "v", "slack", "x", "y").mapInArrow(run, "u long, v long, slack double, inter long, n long, m long")
+    return both.select("u", "v", "slack", "x", "y").mapInArrow(textkit.trimming(run), "u long, v long, slack double, inter long, n long, m long")
 
 
 def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -319,29 +322,42 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> D
     groups = made.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"))
     groups = written(groups.select("n", "a", "b", "label", F.col("least.rid").alias("rid")), "jaccard-groups")
     nodes = made.select("rid", "doc_id", "a", "b", "n", "bins").join(groups.select("rid"), "rid")
-    entries = made.select("rid", "n", F.explode("keys").alias("key")).join(groups.where("label is not null").select("rid"), "rid")
-    common = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    lists = written(entries.join(common, "key"), "jaccard-lists")
+    # A frequent shingle's list is taken as it is; of other lists, which are short, those of one node are left out.
+    packed = (F.col("n") * (1 << 32) + (F.col("rare") + 1) * 2 + F.col("reach").cast("long")).alias("info")
+    entries = made.select("rid", packed, F.explode("keys").alias("key")).join(groups.where("label is not null").select("rid"), "rid")
+    frequent = F.col("key").bitwiseAND(1) == 1
+    dealt = entries.where(~frequent).repartition(F.col("key"))
+    common = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    lists = dealt.join(common, "key").select("key", "rid", "info").unionByName(entries.where(frequent).select("key", "rid", "info"))
+    lists = written(lists, "jaccard-lists")
+    lists = lists.select("key", "rid", F.shiftright("info", 32).alias("n"), (F.shiftright(F.col("info").bitwiseAND((1 << 32) - 1), 1) - 1).alias("rare"), (F.col("info").bitwiseAND(1) == 1).alias("reach"))
 
     # Stars: each node with the leader that shares most of its lists.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(math.sqrt(den / num)))
-    leaders = lists.groupBy("key", band.alias("band")).agg(F.min(F.struct("rid", "n")).alias("lead"))
+    leaders = lists.groupBy("key", band.alias("band")).agg(F.min(F.struct("rare", "rid", "n")).alias("lead"))  # the fewest rare shingles: the middle of a group
     fits = f"least(n, lead.n) * {den} >= {num} * greatest(n, lead.n)"
-    shifted = lists.select("key", "rid", "n", band.alias("band"))
-    asked = shifted.join(leaders, ["key", "band"]).where(f"rid > lead.rid and {fits}").groupBy("rid", F.col("lead.rid").alias("leader")).agg(F.count("*").alias("c"))
+    shifted = lists.select("key", "rid", "n", "rare", band.alias("band"))
+    asked = shifted.join(leaders, ["key", "band"]).where(f"(rare, rid) > (lead.rare, lead.rid) and {fits}").groupBy("rid", F.col("lead.rid").alias("leader")).agg(F.count("*").alias("c"))
     best = asked.groupBy("rid").agg(F.max(F.struct("c", (-F.col("leader")).alias("back"))).alias("best")).select(F.col("rid").alias("u"), (-F.col("best.back")).alias("v"), F.lit(0.0).alias("slack"))
     linked = f"inter * {den} >= {num} * (n + m - inter)"
     stars = written(_similar(docs, best, nodes, rule).where(linked).select("u", "v", (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("d")), "jaccard-stars")
     comps = components(stars.select("u", "v"), "jaccard-star-components")
 
     # Lists that hold more than one component: compare stars by their centres.
-    placed = lists.join(stars.select(F.col("u").alias("rid"), F.col("v").alias("centre"), "d"), "rid", "left").join(comps.withColumnRenamed("id", "rid"), "rid", "left")
-    placed = placed.select("key", "rid", "n", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"))
-    held = placed.groupBy("key", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # most: what a set can share with one that reaches; over: that, less what a partner's size adds to the overlap needed.
+    known = lists.groupBy("rid").agg(F.first("rare").alias("rare"), F.first("reach").alias("reach"), F.first("n").alias("n"), F.sum(F.when(F.col("key").bitwiseAND(1) == 0, 1).otherwise(0)).alias("met"))
+    most = F.when(F.col("rare") < 0, F.col("n")).otherwise(F.col("n") - F.col("rare") + F.col("met"))
+    known = known.select("rid", "reach", (most * (num + den) - F.col("n") * num).alias("over"))
+    known = known.join(stars.select(F.col("u").alias("rid"), F.col("v").alias("centre")), "rid", "left").join(comps.withColumnRenamed("id", "rid"), "rid", "left")
+    known = known.select("rid", "reach", "over", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"))
+    placed = lists.select("key", "rid", "n").join(known, "rid")
+    held = placed.groupBy("key", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("over").alias("over"), F.min("reach").alias("reach"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     held = written(held.join(mixed, "key"), "jaccard-held")
-    left, right = (held.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi"))) for i in (1, 2))
-    meet = left.join(right, "key").where(f"star1 < star2 and comp1 <> comp2 and hi1 * {den} >= {num} * lo2 and hi2 * {den} >= {num} * lo1").select("star1", "star2").distinct()
+    left, right = (held.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi", "over", "reach"))) for i in (1, 2))
+    sized = f"star1 < star2 and comp1 <> comp2 and hi1 * {den} >= {num} * lo2 and hi2 * {den} >= {num} * lo1"
+    shared = f"not (reach2 and over1 < {num} * lo2) and not (reach1 and over2 < {num} * lo1)"
+    meet = left.join(right, "key").where(f"{sized} and {shared}").select("star1", "star2").distinct()
     radius = stars.groupBy("v").agg(F.max("d").alias("r"))
     meet = meet.join(radius.select(F.col("v").alias("star1"), F.col("r").alias("r1")), "star1", "left").join(radius.select(F.col("v").alias("star2"), F.col("r").alias("r2")), "star2", "left")
     meet = meet.select(F.col("star1").alias("u"), F.col("star2").alias("v"), (F.coalesce("r1", F.lit(0.0)) + F.coalesce("r2", F.lit(0.0))).alias("slack"))

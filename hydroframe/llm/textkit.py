@@ -7,7 +7,11 @@ not the batch.  Nulls read as empty text.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 21
-MAX_BATCH_BYTES = 32 << 20
+CHUNK_BYTES = 1 << 20
+MAX_BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -153,6 +157,22 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def trimming(run):
+    """run, giving the memory that it has freed back to the system at its end: idle workers stay beside later stages."""
+
+    def wrapped(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that long texts don't make large batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -165,13 +185,21 @@ def bounded_batches(spark: SparkSession) -> None:
             raise
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests, a single machine), a folder below the
-    session's warehouse serves instead.
+    Where the setting is unset, a folder below the session's warehouse serves on a
+    cluster, and a temporary one, gone at exit, with a local master (as in tests).
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="hydroframe-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        top = f"file://{_local[0]}"
     if not top:
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
