@@ -8,7 +8,7 @@ a whole, so ORACLE_SQL is None; tests compare the stages with brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.llm import bpe, decontam, jaccard, langid, secretscan
@@ -27,15 +27,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("accepted").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+#: So many ids at most are broadcast; more are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs without the ids, and those with them; texts aren't shuffled while the ids are few."""
+    if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti"), docs.join(ids, "doc_id", "left_semi")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (five words, 0.8): the one of least doc_id.
 
-    Rows without a doc_id can't be told apart, and stay.
+    Of rows that share a doc_id the first by text stays.  Rows without a doc_id
+    can't be told apart, and stay.
     """
-    found = jaccard.classes(docs, words=5, num=80, den=100)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    found = written(jaccard.classes(docs, words=5, num=80, den=100), "near-duplicates").where("doc_id is not null")
+    kept, _ = _split(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.limit(1).count():
+        kept, repeated = _split(kept, twice)
+        first = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.unionByName(repeated.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
