@@ -84,7 +84,7 @@ class Chunks(dict):
     #: A Latin word with a mark behind it, if any: composed letters that keep their length in lower case.
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -233,7 +233,7 @@ class Code:
     def __init__(self, lengths: np.ndarray) -> None:
         self.lengths = lengths
         self.codes = canonical(lengths)
-        self.wide = lengths.astype(np.int64)
+        self.both = (self.codes.astype(np.int64) << 5) | lengths
         self.bits = max(1, int(lengths.max(initial=0)))
         self.symbols = np.zeros(1 << self.bits, np.uint32)
         self.steps = np.zeros(1 << self.bits, np.uint8)
@@ -246,19 +246,22 @@ class Code:
 
     def pack(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit words of the codes, first bit highest, and the bit offset of each block."""
-        size = self.wide[ids]
-        ends = np.cumsum(size)
         if not len(ids):
             return np.zeros(1, np.uint64), np.zeros(0, np.uint64)
+        kind = np.int32 if len(ids) < 1 << 26 else np.int64  # of bit offsets; codes have at most 31 bits
+        both = self.both[ids]
+        size = (both & 31).astype(kind)
+        ends = np.cumsum(size, dtype=kind)
         at = ends - size
-        code, word, used = self.codes[ids], at >> 6, (at & 63) + size
-        over = np.maximum(used - 64, 0).astype(np.uint64)
-        high = np.where(used <= 64, code << (64 - np.minimum(used, 64)).astype(np.uint64), code >> over)
+        code, word, used = (both >> 5).astype(np.uint64), at >> 6, (at & 63) + size
+        high = code << (64 - np.minimum(used, 64)).astype(np.uint64)
+        split = np.flatnonzero(used > 64)
+        over = (used[split] - 64).astype(np.uint64)
+        high[split] = code[split] >> over
         words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         words[word[first]] = np.add.reduceat(high, first)  # their bits are disjoint
-        split = np.flatnonzero(over)
-        words[word[split] + 1] |= code[split] << (np.uint64(64) - over[split])
+        words[word[split] + 1] |= code[split] << (np.uint64(64) - over)
         return words, at[::BLOCK].astype(np.uint64)
 
     def unpack(self, words: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
@@ -341,7 +344,7 @@ class IdFiles:
 
             def flush() -> pa.RecordBatch:
                 sizes = np.array([len(x) // width for _, x in held], np.int64)
-                ids = np.frombuffer(b"".join([x for _, x in held]), f"<u{width}").astype(np.intp)
+                ids = np.frombuffer(b"".join([x for _, x in held]), f"<u{width}")
                 names = np.array([0 if d is None else d for d, _ in held], np.int64)
                 raw = to_file(code, names, sizes, ids, [i for i, (d, _) in enumerate(held) if d is None])
                 return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": start, "docs": len(held), "tokens": len(ids), "file": raw}], schema)
