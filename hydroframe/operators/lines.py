@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,26 +13,31 @@ from pyspark.sql import types as T
 def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: float) -> DataFrame:
     """rows with run: within a group, in order, a new run starts where a value would stretch the run's range beyond max_range.
 
-    The bounds of a run depend on where it began, so a group is folded in order; a
-    group is one chain of lines, streamed to its task in order.
+    The bounds of a run depend on where it began, so rows are folded in order: a
+    task gets whole groups, sorted by Spark, and walks them batch by batch with the
+    state of the current run alone, however long a group is.  Missing values stay in
+    the run they are in.
     """
     schema = T.StructType(rows.schema.fields + [T.StructField("run", T.LongType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        run, low, high, out = 0, None, None, []
-        for v in pdf[value].tolist():
-            if v is None or v != v:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, run, low, high = object(), 0, None, None
+        for pdf in batches:
+            out = []
+            for g, v in zip(pdf[group].tolist(), pdf[value].tolist(), strict=True):
+                if g != now:
+                    now, run, low, high = g, 0, None, None
+                if v is not None and v == v:
+                    if low is None:
+                        low = high = v
+                    elif max(high, v) - min(low, v) > max_range:
+                        run, low, high = run + 1, v, v
+                    else:
+                        low, high = min(low, v), max(high, v)
                 out.append(run)
-                continue
-            if low is not None and max(high, v) - min(low, v) > max_range:
-                run, low, high = run + 1, None, None
-            low, high = v if low is None else min(low, v), v if high is None else max(high, v)
-            out.append(run)
-        pdf["run"] = out
-        return pdf
-
-    return rows.groupBy(group).applyInPandas(fold, schema)
+            yield pdf.assign(run=out)
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, schema)
 
 
 def run_statistics(runs: DataFrame, group: str, value: str, length: str) -> DataFrame:
