@@ -347,10 +347,10 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> D
     # most: what a set can share with one that reaches; over: that, less what a partner's size adds to the overlap needed.
     known = lists.groupBy("rid").agg(F.first("rare").alias("rare"), F.first("reach").alias("reach"), F.first("n").alias("n"), F.sum(F.when(F.col("key").bitwiseAND(1) == 0, 1).otherwise(0)).alias("met"))
     most = F.when(F.col("rare") < 0, F.col("n")).otherwise(F.col("n") - F.col("rare") + F.col("met"))
-    known = known.select("rid", "reach", (most * (num + den) - F.col("n") * num).alias("over"))
-    known = known.join(stars.select(F.col("u").alias("rid"), F.col("v").alias("centre")), "rid", "left").join(comps.withColumnRenamed("id", "rid"), "rid", "left")
-    known = known.select("rid", "reach", "over", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"))
-    placed = lists.select("key", "rid", "n").join(known, "rid")
+    known = known.select("rid", "n", "reach", (most * (num + den) - F.col("n") * num).alias("over"))
+    known = known.join(stars.select(F.col("u").alias("rid"), F.col("v").alias("centre"), "d"), "rid", "left").join(comps.withColumnRenamed("id", "rid"), "rid", "left")
+    known = written(known.select("rid", "n", "reach", "over", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"), F.coalesce("d", F.lit(0.0)).alias("d")), "jaccard-known")
+    placed = lists.select("key", "rid").join(known, "rid")
     held = placed.groupBy("key", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("over").alias("over"), F.min("reach").alias("reach"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     held = written(held.join(mixed, "key"), "jaccard-held")
@@ -366,10 +366,12 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> D
     open_pairs = close.where(f"slack > 0 and not ({linked}) and inter / (n + m - inter) >= {num / den} - slack - 1e-9")
     links = stars.select("u", "v").unionByName(direct)
     if open_pairs.limit(1).count():
-        some = open_pairs.select(F.col("u").alias("star1"), F.col("v").alias("star2"))
-        one, two = (placed.select("key", F.col("star").alias(f"star{i}"), F.col("rid").alias(f"rid{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-        members = some.join(one, "star1").join(two, ["key", "star2"]).where(f"least(n1, n2) * {den} >= {num} * greatest(n1, n2)")
-        asked = members.select(F.col("rid1").alias("u"), F.col("rid2").alias("v"), F.lit(0.0).alias("slack")).distinct()
+        # A member can only reach the other star's if it is as far from its own centre as the centres leave open.
+        apart = (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("apart")
+        some = open_pairs.select(F.col("u").alias("star1"), F.col("v").alias("star2"), apart)
+        one, two = (known.select(F.col("star").alias(f"star{i}"), F.col("rid").alias(f"rid{i}"), F.col("n").alias(f"n{i}"), F.col("d").alias(f"d{i}")) for i in (1, 2))
+        near = some.join(one, "star1").join(two, "star2").where(f"d1 + d2 >= apart - {1 - num / den} - 1e-9 and least(n1, n2) * {den} >= {num} * greatest(n1, n2)")
+        asked = near.select(F.col("rid1").alias("u"), F.col("rid2").alias("v"), F.lit(0.0).alias("slack"))
         links = links.unionByName(_similar(docs, asked, nodes, rule).where(linked).select("u", "v"))
     final = components(links, "jaccard-components")
     named = groups.join(final.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
