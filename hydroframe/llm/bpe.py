@@ -170,7 +170,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merger(dict):
     """From a slice of text to its ids as little-endian uint32 bytes; at most `most` slices are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
         super().__init__()
         self.ranks, self.most = ranks, most
         self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
@@ -267,6 +267,9 @@ class Codec:
         return b"".join(map(self.words.__getitem__, ids.tolist()))
 
 
+textkit.keeps("bpe", Codec._made.clear)
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str]]]:
     data, at = textkit.buffers(batch.column(batch.schema.get_field_index(column)))
     for first, end, part, edges in textkit.chunks(data, at):
@@ -292,7 +295,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n_t
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], [*keep, ids, n_tokens])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(textkit.trimming(run, "bpe"), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -309,7 +312,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
                 made = [codec.decode(numbers[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(made, pa.binary())], [*keep, out])
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    return encoded.select(*keep).mapInArrow(textkit.trimming(run, "bpe"), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

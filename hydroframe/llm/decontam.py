@@ -118,7 +118,7 @@ def occurrences(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), k, np.int32)), pa.array(met), pa.array(n[met])], ["k", "i", "n"])
 
     out = {k: np.zeros(len(x), np.int64) for k, x in keys.items()}
-    for r in docs.select("text").mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # a row for each shingle of the part's windows
+    for r in docs.select("text").mapInArrow(textkit.trimming(run), "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # a row for each shingle of the part's windows
         out[r["k"]][r["i"]] = r["n"]
     return out
 
@@ -204,7 +204,7 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
                     [*keep, "n_words", "n_hit", "hit", "items"],
                 )
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(textkit.trimming(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 3, most: int = MOST_WINDOWS, keep_text: bool = False) -> DataFrame:

@@ -151,7 +151,7 @@ def _bags(docs: DataFrame, seed: int) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["name", "lang", "part", "bucket", "share"])
 
-    return docs.mapInArrow(run, "name long, lang string, part int, bucket binary, share binary")
+    return docs.mapInArrow(textkit.trimming(run), "name long, lang string, part int, bucket binary, share binary")
 
 
 def _step(model: Model, rows: list, labels: np.ndarray, rate: float) -> None:
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found, score, accepted = here.predict(part, edges, share)
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(said[found], pa.string()), pa.array(score), pa.array(accepted)], [*keep, *names])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(textkit.trimming(run), schema)
 
 
 def held_out(key: str = "doc_id"):

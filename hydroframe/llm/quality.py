@@ -98,7 +98,7 @@ def _bags(rated: DataFrame) -> DataFrame:
                 bags = [(bucket[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:2], pa.array([x for x, _ in bags], pa.binary()), pa.array([y for _, y in bags], pa.binary())], ["name", "grade", "bucket", "value"])
 
-    return rated.mapInArrow(run, "name long, grade int, bucket binary, value binary")
+    return rated.mapInArrow(textkit.trimming(run), "name long, grade int, bucket binary, value binary")
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, seed: int = 3) -> Model:
@@ -181,7 +181,7 @@ def rate(docs: DataFrame, model: Model, good: int, least: float = 0.5, text: str
                 tail = tails[:, good - 1]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], [*keep, *names])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(textkit.trimming(run), schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

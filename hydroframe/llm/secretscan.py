@@ -351,4 +351,4 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, text: str = "text"
                 spans = pa.array([[{"start": s, "end": e, "score": p} for s, e, p in x] for x in found], pa.list_(span))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[: len(keep)], spans, pa.array(map(len, found), pa.int64()), clean], [*keep, *names])
 
-    return with_path.mapInArrow(run, schema)
+    return with_path.mapInArrow(textkit.trimming(run), schema)

@@ -13,14 +13,14 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 20
-MAX_BATCH_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 19
+MAX_BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -157,18 +157,36 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def trimming(run):
-    """run, giving the memory that it has freed back to the system at its end: idle workers stay beside later stages."""
+_keeps: dict[str, Callable[[], None]] = {}
 
-    def wrapped(batches):
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Say how to drop what an operator keeps in a worker from one task to the next."""
+    _keeps[owner] = drop
+
+
+def trimming(run, owner: str = ""):
+    """run, for one operator in a worker that others use too.
+
+    What other operators keep is dropped first; freed memory goes back to the
+    system at the end, as idle workers stay beside later stages.
+    """
+
+    def trim() -> None:
         import ctypes
 
+        if f := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            f(0)
+
+    def wrapped(batches):
+        for name, drop in _keeps.items():
+            if name != owner:
+                drop()
+        trim()
         try:
             yield from run(batches)
         finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return wrapped
 

@@ -133,6 +133,9 @@ class Counter:
         return sum(map(self.bare.__getitem__, re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", whole)))
 
 
+textkit.keeps("unigram", Counter._made.clear)
+
+
 class Units(dict):
     """From a unit, with what stands before it, to its count and score; at most `most` are kept."""
 
@@ -171,4 +174,4 @@ def counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 low = (1 << SHIFT) - 1
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array([x & low for x in got], pa.int64()), pa.array([-(x >> SHIFT) for x in got], pa.int64())], [*keep, *names])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(textkit.trimming(run, "unigram"), schema)
