@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share a doc_id the first by text stays.  Rows without a doc_id
     can't be told apart, and stay.
     """
-    found = written(jaccard.classes(docs, words=5, num=80, den=100), "near-duplicates").where("doc_id is not null")
+    found = written(jaccard.classes(docs, words=5, num=80, den=100, texts=True), "near-duplicates").where("doc_id is not null")
     kept, _ = _split(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.limit(1).count():
