@@ -39,6 +39,18 @@ def test_all_visible_words_stay():
         assert sorted(html.render(page).split()) == sorted([*words, *(x for x in html.render(page).split() if x not in words)])
 
 
+def test_all_that_stands_in_tables_stays():
+    assert html.render("<table><tbody><form><tr><td>x<td>y</form><tr><td>z</table>") == "x  y\nz"
+    assert html.render("<table><form><tr><form><td>x</td><td>y</td></form></tr></form></table>end") == "x  y\n\nend"
+    assert html.render("<table><thead>a<div>b</div><tr><th>c<tbody><caption>d</caption>e<tr><td>f<tfoot><p>g</table>") == "a\nb\nd\ne\ng\nc\nf"
+    draw = random.Random(4)
+    tags = [f"<{x}>" for x in ("table", "/table", "tbody", "/tbody", "thead", "tfoot", "form", "/form", "tr", "/tr", "td", "th", "/td", "div", "/div", "p", "b", "/b", "caption", "ul", "li", "blockquote", "pre")]
+    for _ in range(1000):
+        words = [f"w{i}" for i in range(15)]
+        got = html.render("<table>" * draw.randint(0, 1) + "".join(f"{draw.choice(tags)} {w} " for w in words))
+        assert sorted(x for x in got.split() if x[0] == "w") == sorted(words)
+
+
 def test_extract_rows(spark):
     rows = [(1, "<p>a", "u"), (1, "<p>a", "u"), (2, None, "u"), (3, "", "v")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, html string, text string"))
