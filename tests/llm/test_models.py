@@ -51,6 +51,15 @@ def test_all_that_stands_in_tables_stays():
         assert sorted(x for x in got.split() if x[0] == "w") == sorted(words)
 
 
+def test_depth_changes_nothing():
+    inner = "<p>a</p><p>b</p><ul><li>c<li>d</ul><table><tr><td>e<td>f<tr><td>gg<td>h</table><pre>i\n  j</pre><details><summary>k</summary>no</details><div>l</div>"
+    for tag in ("b", "font", "div", "span"):
+        for depth in (300, 20_000):
+            assert html.render(f"<{tag}>" * depth + inner) == html.render(inner)
+    assert html.render("<blockquote>" * 300 + "x<p>y").splitlines()[-1] == "  " * 300 + "y"
+    assert html.render("<table><tr><td>" * 1500 + "<p>x</p><p>y</p>").splitlines() == ["x", "", "y"]
+
+
 def test_extract_rows(spark):
     rows = [(1, "<p>a", "u"), (1, "<p>a", "u"), (2, None, "u"), (3, "", "v")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, html string, text string"))
