@@ -60,6 +60,17 @@ def test_depth_changes_nothing():
     assert html.render("<table><tr><td>" * 1500 + "<p>x</p><p>y</p>").splitlines() == ["x", "", "y"]
 
 
+def test_formulas_drawings_and_choices():
+    assert html.render("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b") == "a x= 1 2 b"
+    assert html.render("<math><semantics><mrow><mi>y</mi></mrow><annotation>no</annotation></semantics><mphantom>no</mphantom></math>") == "y"
+    drawing = "<svg><title>no</title><defs><text>no</text></defs><rect/>no<g><text>one <tspan>tw</tspan>o<tspan x=1>three</tspan></text><a><text><![CDATA[f<r]]></text></a></g><text display='none'>no</text><foreignObject><p>html<p>in</foreignObject></svg>z"
+    assert html.render(drawing) == "one two three f<r\n\nhtml\n\nin\n\nz"
+    assert html.render("<svg><defs><p>out") == "out"  # a paragraph ends a drawing
+    assert html.render("<svg><defs/><text>t</text></svg>") == "t"
+    assert html.render("u<select><option>a<option label=b>no<optgroup label=g><option>c<option hidden>no</select>v") == "u\na\nb\ng\nc\nv"
+    assert html.render("<p>k<textarea>\n l &lt;\n  m</textarea>n") == "k\n l <\n  m\nn"
+
+
 def test_extract_rows(spark):
     rows = [(1, "<p>a", "u"), (1, "<p>a", "u"), (2, None, "u"), (3, "", "v")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, html string, text string"))
