@@ -1,13 +1,15 @@
 """Secret scans (operator 10): candidates of a text, judged by a random forest.
 
 A candidate is a run of at least SHORTEST bytes out of letters, digits and
-+ / = _ - that isn't one plain word, or a private-key block's head.  Most
++ / = _ - . (each part of it between = signs), the value of any length and any
+characters that a name with a key word is given (password = "..."), a password in
+an address (scheme://user:password@host), or a private-key block's head.  Most
 candidates are no secrets, so a forest removes false positives.  It looks at the
 candidate's length, its transitions between kinds of characters and between
 letters, how much of it a dictionary covers, the path that the text came from, and
 the words before and after.  It is fitted on labelled findings, by default on
 `labelled`, which draws them from a seed: real forms of keys and tokens, and what
-is mistaken for them (hashes of commits and files, identifiers, placeholders,
+is mistaken for them (plain words, numbers and code given to names, hashes of commits and files, identifiers, placeholders,
 encoded pictures, long words, paths).
 """
 
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 from hydroframe.llm import textkit
 
 SHORTEST, NEAR = 16, 48
+#: Features of a longer candidate are those of so many bytes at its start; it is masked as a whole.
+MOST_READ = 1 << 14
 MARK = "[SECRET]"
 
 # Words that stand beside secrets, beside look-alikes, in placeholders and in paths, and common word parts.
-KEY_WORDS = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "key"]
+KEY_WORDS = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "key", "passphrase", "pass"]
+PASS_WORDS = ["password", "passwd", "pwd", "passphrase", "pass"]
 OTHER_WORDS = ["commit", "sha256", "sha1", "md5", "checksum", "integrity", "uuid", "guid", "hash", "digest", "etag", "revision", "image", "base64", "id", "version", "http", "www", "href", "src", "file", "path", "doi", "isbn"]
 PLACEHOLDERS = ["example", "your", "xxxx", "placeholder", "changeme", "dummy", "sample", "test", "foobar", "12345678", "abcdef", "insert", "redacted", "0000"]
 TEST_PATHS = ["test", "example", "sample", "doc", "fixture", "mock", "readme"]
@@ -40,6 +45,12 @@ INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/=_-."]] = True
 HEAD = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 
+#: A name with a key word and what gives it a value, the value (quoted, or up to the next name's), and a password in an address.
+_NAME = r"(?:passphrase|password|passwd|pass|pwd|secret|token|api[_-]?key|auth|bearer|credential|key)[\w-]{0,40}[\"'`\])]{0,3}[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]]{0,40}[ \t]*=(?!=)|:=|=>|={1,3}|:(?!//))[ \t]*"
+NAMED = re.compile(_NAME.encode(), re.I)
+VALUE = re.compile(rb"""\"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|["'`]?((?:(?![&,;|][\w.-]+[=:])[^\s"'`<>])+)""")
+LOGIN = re.compile(rb"""://[^\s/:@"'<>]*:([^\s/"'<>]+)@""")
+
 _KIND = np.full(256, 4, np.int64)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 0, 1, 2
 _KIND[[ord(c) for c in "+/=_-."]] = 3
@@ -47,6 +58,7 @@ _KIND[[ord(c) for c in "+/=_-."]] = 3
 FEATURES = [
     "length", "log_length", "digits", "upper", "lower", "marks", "changes", "digit_letter", "case_changes", "letter_pairs", "vowel_share", "distinct", "entropy",
     "hex_only", "longest_letters", "longest_same", "covered", "prefix", "placeholder", "uuid", "key_word", "other_word", "assigned", "quoted", "path_test", "path_code", "slashes", "dots",
+    "others", "named", "pass_word", "login",
 ]
 
 
@@ -63,6 +75,7 @@ def _pair_logs() -> np.ndarray:
 _PAIRS = _pair_logs()
 _COVER = re.compile("|".join(sorted((re.escape(w) for w in PARTS if len(w) > 1), key=len, reverse=True)))
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+_NAMED_BEFORE = re.compile(_NAME + r"[\"'`]?\Z", re.I)
 _ASSIGN = re.compile(r"[:=]\s*[\"'`]?$|\bbearer\s+$")
 
 
@@ -95,6 +108,7 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
         min(n, 300), np.log(n), share[0], share[1], share[2], share[3], change.sum() / n, mixed.sum() / n, cases.sum() / n, pairs, vowels, len(p) / min(n, 64), float(-(p * np.log2(p)).sum()),
         float(re.fullmatch(r"[0-9a-f]+", small) is not None), letters, same, covered, float(candidate.startswith(tuple(PREFIXES))), float(any(w in small for w in PLACEHOLDERS)), float(_UUID.fullmatch(small) is not None),
         _beside(KEY_WORDS, left), _beside(OTHER_WORDS, close[-24:]), float(_ASSIGN.search(close[-12:]) is not None), float(before[-1:] in "\"'`" and before[-1:] != "" and after[:1] == before[-1:]), float(any(w in where for w in TEST_PATHS)), float(any(w in where for w in CODE_PATHS)), candidate.count("/") / n, candidate.count(".") / n,
+        share[4], float(_NAMED_BEFORE.search(before) is not None), float(any(w in left for w in PASS_WORDS)), float(before[-1:] == ":" and after[:1] == "@"),
     ]
 
 
@@ -114,8 +128,19 @@ def labelled(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
         secret = i % 2
         path = pick(["src0", "src7", "config/settings.py", ".env", "app/deploy.yml", "web", "", "notes.txt", "src12", "data/export.json"])
         left, right = prose(int(draw.integers(0, 4))) + pick([" ", "\n", ". "]), pick([" ", "\n", ", ", ". "]) + prose(int(draw.integers(0, 3)))
+
+        def named(left=left, right=right) -> tuple[str, str]:
+            name = pick(KEY_WORDS)
+            name = pick([name, name.upper(), pick(["db_", "my", "service_", "client_"]) + name, f'"{name}"'])
+            quote = pick(['"', "'", '"', ""])
+            return left + name + pick([" = ", "=", ": ", ":", " := "]) + quote, quote + pick(["", ";", ",", "!!"] if quote else ["", "", ";", ","]) + right
+
+        def login(left=left, right=right) -> tuple[str, str]:
+            user = pick(["user", "root", "admin", "", "app_" + pick(PARTS)])
+            return left + pick(["postgres", "mysql", "https", "redis", "amqp", "ftp", "mongodb+srv"]) + "://" + user + ":", "@" + pick(["localhost", "db", "10.0.0.7", "host.example.com"]) + pick(["", ":5432/db", "/"]) + right
+
         if secret:
-            form = pick(["hex", "hex", "hex", "HEX", "base64", "word", "aws", "prefix", "jwt", "dashed"])
+            form = pick(["hex", "hex", "hex", "HEX", "base64", "word", "aws", "prefix", "jwt", "dashed", "short", "short", "short", "login"])
             if form in ("hex", "HEX"):
                 value = string(hexa, pick([32, 40, 40, 48, 64]))
                 value = value.upper() if form == "HEX" else value
@@ -129,19 +154,26 @@ def labelled(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
                 value = pick(PREFIXES[2:]) + string(word, int(draw.integers(24, 44)))
             elif form == "jwt":
                 value = "eyJ" + string(word, int(draw.integers(15, 40))) + ".eyJ" + string(word, int(draw.integers(20, 80))) + "." + string(word + "-_", 43)
+            elif form in ("short", "login"):
+                value = pick([
+                    string(word, int(draw.integers(6, 16))),
+                    "".join(pick(PARTS) for _ in range(int(draw.integers(1, 4)))).capitalize() + string(digits, int(draw.integers(2, 5))) + pick(["", "!", "#", "$", "?"]),
+                    string(word + "!@#$%^&*-_.", int(draw.integers(7, 20))),
+                    string(lower, int(draw.integers(9, 24))),
+                    string(word, int(draw.integers(6, 16))),
+                ])
             else:
                 value = "-".join(string(word, 8) for _ in range(int(draw.integers(3, 6))))
             if form in ("aws", "prefix", "jwt") and draw.random() < 0.3:
                 before, after = left, right
+            elif form == "login":
+                before, after = login()
             else:
-                name = pick(KEY_WORDS)
-                name = pick([name, name.upper(), pick(["db_", "my", "service_", "client_"]) + name])
-                quote = pick(['"', "'", '"', ""])
-                before, after = left + name + pick([" = ", "=", ": ", ":", " := "]) + quote, quote + pick(["", ";", ",", "!!"]) + right
-                if draw.random() < 0.1:
+                before, after = named()
+                if form != "short" and draw.random() < 0.1:
                     before = left + pick(["Bearer ", "bearer "])
         else:
-            form = pick(["long", "long", "word-chain", "commit", "checksum", "uuid", "placeholder", "url", "digits", "picture", "camel", "rule", "junk", "mixed"])
+            form = pick(["long", "long", "word-chain", "commit", "checksum", "uuid", "placeholder", "url", "digits", "picture", "camel", "rule", "junk", "mixed", "plain", "plain", "plain", "code", "number"])
             before, after = left, right
             if form == "long":
                 value = "".join(pick(PARTS) for _ in range(int(draw.integers(6, 16))))
@@ -166,6 +198,16 @@ def labelled(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
                 value, before = string(digits, int(draw.integers(16, 24))), left + pick(["", "isbn ", "order ", "id ", "tel "])
             elif form == "picture":
                 value, before = string(word + "+/", int(draw.integers(100, 280))), left + "src=\"data:image/png;base64,"
+            elif form == "plain":
+                value = pick(["".join(pick(PARTS) for _ in range(int(draw.integers(1, 5)))), pick(PARTS), pick(["none", "null", "true", "false", "string", "str", "int", "required", "optional", "value", "name", "undefined", "nil", "bytes", "yes", "no", "see", "C", "user", *KEY_WORDS])])
+                value, (before, after) = pick([value, value, value.capitalize(), value.upper()]), named()
+            elif form == "code":
+                name = pick(KEY_WORDS).replace("-", "_")
+                value = pick([f"os.environ['{name.upper()}']", f"get_{name}()", f"request.{name}", f"${{{name.upper()}}}", f"${name.upper()}", f"self.{name}", f"settings.{name.upper()}", f"getenv('{name}')", f"config.{name}", f"{{{{{name}}}}}", f"<{name}>", f"process.env.{name.upper()}", f"%({name})s", "*" * int(draw.integers(3, 12)), "x" * int(draw.integers(3, 12)), "...", "lambda", f"your_{name}", f"my_{name}", f"{name}_here"])
+                before, after = login() if draw.random() < 0.3 else named()
+            elif form == "number":
+                value, name = string(digits, int(draw.integers(1, 6))), pick(["tokens", "n_tokens", "max_tokens", "key", "token_id", "keys", "auth_level"])
+                before = left + name + pick([" = ", "=", ": ", ":"])
             elif form == "camel":
                 value = "".join("".join(pick(PARTS) for _ in range(2)).capitalize() for _ in range(int(draw.integers(3, 7))))
             elif form == "rule":
@@ -216,7 +258,8 @@ class Forest:
                     impurity = np.where(ok, a - a * a / k + b - b * b / (len(some) - k), np.inf)
                     i = int(impurity.argmin())
                     if impurity[i] < best[0]:
-                        best = (float(impurity[i]), f, float((v[i] + v[i + 1]) / 2))
+                        middle = float((v[i] + v[i + 1]) / 2)
+                        best = (float(impurity[i]), f, middle if middle < v[i + 1] else float(v[i]))
                 if best[0] == np.inf:
                     return place
                 left = x[some, best[1]] <= best[2]
@@ -253,36 +296,50 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, seed: in
 
 
 def candidates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of the candidates of rows that lie one after another.
+    """Byte spans of the candidates of rows that lie one after another, in order and each once; they may overlap.
 
-    Runs without a digit need a capital after a lower-case letter, or a mark, within
-    them: else they are words.  Marks at a run's end, and a dot or = at its start,
-    aren't part of it; a name before = or : isn't either.
+    Marks at the end of a run's part, and a dot or = at its start, aren't part of it.
     """
     starts, ends = textkit.runs(INSIDE[data], at)
     long = ends - starts >= SHORTEST
-    starts, ends = starts[long].copy(), ends[long].copy()
-    if not len(starts):
-        return starts, ends
-    equal = np.append(data == 0x3D, False)
-    for i in range(len(starts)):  # few runs are long
-        s, e = int(starts[i]), int(ends[i])
-        cut = np.flatnonzero(equal[s:e])
-        inner = cut[(cut > 0) & (cut < e - s - 3)]
-        if len(inner):
-            s += int(inner[-1]) + 1
-        while s < e and data[s] in b".=-_/+":
-            s += 1
-        while e > s and data[e - 1] in b".-_/":
-            e -= 1
-        starts[i], ends[i] = s, e
-    kind = _KIND[data]
-    digit = np.concatenate([[0], np.cumsum(kind == 0)])
-    rise = np.concatenate([[0, 0], np.cumsum((kind[1:] == 1) & (kind[:-1] == 2))])
-    mark = np.concatenate([[0], np.cumsum(kind == 3)])
-    some = (digit[ends] > digit[starts]) | (rise[ends] > rise[np.minimum(starts + 1, ends)]) | (mark[ends] > mark[starts])
-    keep = some & (ends - starts >= SHORTEST)
-    return starts[keep], ends[keep]
+    spans: set[tuple[int, int]] = set()
+    for first, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):  # few runs are long
+        cut = np.flatnonzero(data[first:end] == 0x3D)
+        edges = [first, *(first + cut[(cut > 0) & (cut < end - first - 3)] + 1).tolist(), end]
+        for s, e in zip(edges, edges[1:], strict=False):
+            while s < e and data[s] in b".=-_/+":
+                s += 1
+            while e > s and data[e - 1] in (b".-_/" if e == end or e == s + 1 else b"=.-_/"):
+                e -= 1
+            if e - s >= SHORTEST:
+                spans.add((s, e))
+    raw = data.tobytes()
+    for first, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        free = (0, 0)  # the last value without quotes; a value that starts within it ends with it
+        for m in NAMED.finditer(raw, first, end):
+            if free[0] <= m.end() < free[1]:
+                spans.add((m.end(), free[1]))
+            elif v := VALUE.match(raw, m.end(), end):
+                s, e = v.span(v.lastindex)
+                if v.lastindex == 4:
+                    while e > s + 1 and raw[e - 1] in b".,;:)]}":
+                        e -= 1
+                    free = (s, e)
+                spans.add((s, e))
+        spans.update(m.span(1) for m in LOGIN.finditer(raw, first, end))
+    both = np.array(sorted(spans), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def united(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Spans of a row in order, those that overlap as one with the higher score."""
+    out: list[tuple[int, int, float]] = []
+    for s, e, p in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), max(p, out[-1][2]))
+        else:
+            out.append((s, e, p))
+    return out
 
 
 def findings(data: np.ndarray, at: np.ndarray, paths: list[str], forest: Forest, least: float) -> list[list[tuple[int, int, float]]]:
@@ -293,7 +350,7 @@ def findings(data: np.ndarray, at: np.ndarray, paths: list[str], forest: Forest,
     for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
         before = raw[max(int(at[r]), s - NEAR) : s].decode("utf-8", "replace")
         after = raw[e : min(int(at[r + 1]), e + NEAR)].decode("utf-8", "replace")
-        described.append(describe(raw[s:e].decode("latin-1"), before, after, paths[r]))
+        described.append(describe(raw[s : min(e, s + MOST_READ)].decode("latin-1"), before, after, paths[r]))
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(at) - 1)]
     if described:
         for s, e, r, p in zip(starts.tolist(), ends.tolist(), rows.tolist(), forest.score(np.array(described)).tolist(), strict=True):
@@ -306,10 +363,8 @@ def findings(data: np.ndarray, at: np.ndarray, paths: list[str], forest: Forest,
                 end = raw.find(b"-----END", m.end(), int(at[r + 1]))
                 stop = raw.find(b"\n", end) if end >= 0 else -1
                 e = int(at[r + 1]) if end < 0 or stop < 0 or stop > at[r + 1] else stop
-                s0, e0 = m.start() - int(at[r]), e - int(at[r])
-                out[r] = [x for x in out[r] if x[1] <= s0 or x[0] >= e0] + [(s0, e0, 1.0)]
-                out[r].sort()
-    return out
+                out[r].append((m.start() - int(at[r]), e - int(at[r]), 1.0))
+    return [united(x) for x in out]
 
 
 def scan(docs: DataFrame, forest: Forest, least: float = 0.5, text: str = "text", path: str | None = "source") -> DataFrame:

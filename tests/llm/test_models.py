@@ -160,6 +160,23 @@ def test_scanning(spark):
     assert secretscan.scan(docs.limit(0), secretscan.train(secretscan.labelled(50))).count() == 0
 
 
+def test_values_of_any_length_are_judged():
+    forest = secretscan.train()
+    for text, wanted in [
+        ('password = "S3cretPw9x"', ["S3cretPw9x"]), ("postgres://user:S3cretPassw0rd@host/db", ["S3cretPassw0rd"]), ("LONG_PREFIX_SECRET=short7Q", ["short7Q"]), ('password: "hUnter2!x", n', ["hUnter2!x"]),
+        ('token = "qwhzkvbnptmxrjcdgf"', ["qwhzkvbnptmxrjcdgf"]), ("The key: never give up", []), ("password: required", []), ("max_tokens: 512", []),
+    ]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = secretscan.findings(data, np.array([0, len(data)]), ["src1"], forest, 0.5)[0]
+        assert [text[s:e] for s, e, _ in found] == wanted
+    starts, ends = secretscan.candidates(data := np.frombuffer(text.encode() * 2, np.uint8), np.array([0, len(text), len(data)]))
+    assert [(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)] == [(12, 15), (27, 30)]  # values end with their rows
+    parts = b"x=bcd4fgh1jklmn0p1234567890QWE=aGVsbG8gd29ybGQ1234XYZ plainlettersofanylength"
+    starts, ends = secretscan.candidates(np.frombuffer(parts, np.uint8), np.array([0, len(parts)]))
+    assert [parts[s:e] for s, e in zip(starts, ends, strict=True)] == [b"bcd4fgh1jklmn0p1234567890QWE", b"aGVsbG8gd29ybGQ1234XYZ", b"plainlettersofanylength"]
+    assert secretscan.united([(3, 9, 0.6), (1, 4, 0.9), (9, 11, 0.5)]) == [(1, 9, 0.9), (9, 11, 0.5)]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
