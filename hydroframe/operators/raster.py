@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -205,8 +206,9 @@ def delaunay(points):
     import numpy as np
 
     p = np.asarray(points, float)
-    low, size = p.min(axis=0), max(float(np.ptp(p, axis=0).max()), 1.0)
-    frame = low + size * np.array([[-20.0, -10.0], [20.0, -10.0], [0.0, 30.0]])
+    p = p - (p.min(axis=0) + p.max(axis=0)) / 2
+    size = max(float(np.ptp(p, axis=0).max()), 1.0)
+    frame = size * np.array([[-2000.0, -1000.0], [2000.0, -1000.0], [0.0, 3000.0]])
     every, n = np.vstack([p, frame]), len(p)
     triangles = {(n, n + 1, n + 2)}
 
@@ -238,38 +240,104 @@ def delaunay(points):
     return sorted(t for t in triangles if max(t) < n)
 
 
+def hull(points):
+    """The corners of the convex hull of a plane's points, counter-clockwise."""
+    ordered = sorted(set(map(tuple, points)))
+    if len(ordered) < 3:
+        return ordered
+    out = []
+    for way in (ordered, ordered[::-1]):
+        side: list[tuple[float, float]] = []
+        for q in way:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (q[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (q[0] - side[-2][0]):
+                side.pop()
+            side.append(q)
+        out += side[:-1]
+    return out
+
+
 def interpolate_linear(centres: DataFrame, grid: Grid, value: str = "value", tile: int = 32, halo: int = 16) -> DataFrame:
     """row, col, value: linear between centres (x, y, value), inside the area that they span.
 
     Tiles of pixels are worked on by themselves, each with the centres in and around
-    it; the halo should span some of the largest cells.  Centres without a value are
-    left out, and of centres at one place the least value stays.
+    it.  A tile whose triangles may not be those of all centres (a circle reaches
+    beyond the centres at hand, or a spanned pixel has no triangle) is done again with
+    twice the halo; so tile and halo change the work, but not the result.  Centres
+    without a value are left out, and of centres at one place the least value stays.
     """
     import numpy as np
     import pandas as pd
 
-    around = lambda c: F.explode(F.sequence(F.floor((c - halo) / tile), F.floor((c + halo) / tile)))
+    spark = centres.sparkSession
     known = centres.where(F.col(value).isNotNull()).groupBy("x", "y").agg(F.min(value).alias(value))
-    dealt = known.withColumn("_tr", around(grid.row(F.col("y")))).withColumn("_tc", around(grid.col(F.col("x"))))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"row": pd.Series(dtype="int32"), "col": pd.Series(dtype="int32"), "value": pd.Series(dtype=float)})
-        if len(pdf) < 3:
-            return empty
-        pdf = pdf.sort_values(["x", "y"])
-        p, v = pdf[["x", "y"]].to_numpy(float), pdf[value].to_numpy(float)
-        r0, c0 = int(pdf["_tr"].iloc[0]) * tile, int(pdf["_tc"].iloc[0]) * tile
-        rows, cols = np.meshgrid(np.arange(r0, r0 + tile), np.arange(c0, c0 + tile), indexing="ij")
-        x, y = grid.x + (cols + 0.5) * grid.size, grid.y - (rows + 0.5) * grid.size
-        out = np.full(x.shape, np.nan)
-        for a, b, c in delaunay(p):
-            (ax, ay), (bx, by), (cx, cy) = p[[a, b, c]]
-            area = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
-            u = ((by - cy) * (x - cx) + (cx - bx) * (y - cy)) / area
-            w = ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / area
-            inside = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9) & np.isnan(out)
-            out[inside] = (u * v[a] + w * v[b] + (1 - u - w) * v[c])[inside]
-        some = ~np.isnan(out)
-        return pd.DataFrame({"row": rows[some].astype("int32"), "col": cols[some].astype("int32"), "value": out[some]})
-
-    return dealt.groupBy("_tr", "_tc").applyInPandas(fill, "row int, col int, value double")
+
+    def corners(batches):
+        for pdf in batches:
+            yield pd.DataFrame(hull(pdf[["x", "y"]].to_numpy(float).tolist()), columns=["x", "y"])
+
+    rim = hull([(float(r["x"]), float(r["y"])) for r in known.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(corners, "x double, y double").collect()])
+    nothing = spark.createDataFrame([], "row int, col int, value double")
+    if len(rim) < 3:
+        return nothing
+    low, high = np.min(rim, axis=0), np.max(rim, axis=0)
+    size = grid.size
+    r_low, r_high = (math.floor((grid.y - y) / size / tile) for y in (high[1], low[1]))
+    c_low, c_high = (math.floor((x - grid.x) / size / tile) for x in (low[0], high[0]))
+    wide = c_high - c_low + 1
+
+    def filler(halo: int):
+        def fill(key: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            """Pixels of a settled tile; of another one row without a value that names the tile."""
+            r0, c0 = int(key["_tr"].iloc[0]) * tile, int(key["_tc"].iloc[0]) * tile
+            rows, cols = np.meshgrid(np.arange(r0, r0 + tile), np.arange(c0, c0 + tile), indexing="ij")
+            x, y = grid.x + (cols + 0.5) * size, grid.y - (rows + 0.5) * size
+            # what is loaded: the inside of the square of tile and halo, and all beyond the centres' extent
+            left, right = grid.x + (c0 - halo) * size, grid.x + (c0 + tile + halo) * size
+            bottom, top = grid.y - (r0 + tile + halo) * size, grid.y - (r0 - halo) * size
+            whole = left < low[0] and right > high[0] and bottom < low[1] and top > high[1]
+            spanned = np.ones(x.shape, bool)
+            for (ax, ay), (bx, by) in zip(rim, rim[1:] + rim[:1], strict=True):
+                spanned &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= -1e-9 * math.hypot(bx - ax, by - ay) * size
+            again = pd.DataFrame({"row": [r0], "col": [c0], "value": [np.nan]})
+            out = np.full(x.shape, np.nan)
+            if len(pdf) >= 3 and spanned.any():
+                pdf = pdf.sort_values(["x", "y"])
+                p, v = pdf[["x", "y"]].to_numpy(float), pdf[value].to_numpy(float)
+                for a, b, c in delaunay(p):
+                    (ax, ay), (bx, by), (cx, cy) = p[[a, b, c]]
+                    area = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+                    if area == 0:
+                        continue
+                    u = ((by - cy) * (x - cx) + (cx - bx) * (y - cy)) / area
+                    w = ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / area
+                    inside = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9) & np.isnan(out)
+                    if not inside.any():
+                        continue
+                    if not whole:
+                        dx1, dy1, dx2, dy2 = bx - ax, by - ay, cx - ax, cy - ay
+                        d = 2 * (dx1 * dy2 - dy1 * dx2)
+                        ux, uy = (dy2 * (dx1**2 + dy1**2) - dy1 * (dx2**2 + dy2**2)) / d, (dx1 * (dx2**2 + dy2**2) - dx2 * (dx1**2 + dy1**2)) / d
+                        radius, ux, uy = math.hypot(ux, uy), ax + ux, ay + uy
+                        if max(ux - radius, low[0]) <= left or min(ux + radius, high[0]) >= right or max(uy - radius, low[1]) <= bottom or min(uy + radius, high[1]) >= top:
+                            return again
+                    out[inside] = (u * v[a] + w * v[b] + (1 - u - w) * v[c])[inside]
+            some = ~np.isnan(out)
+            if not whole and (spanned & ~some).any():
+                return again
+            return pd.DataFrame({"row": rows[some].astype("int32"), "col": cols[some].astype("int32"), "value": out[some]})
+
+        return fill
+
+    ids = spark.range((r_high - r_low + 1) * wide)
+    tiles = ids.select((F.floor(F.col("id") / wide) + r_low).cast("long").alias("_tr"), (F.col("id") % wide + c_low).cast("long").alias("_tc"))
+    done, halo = nothing, max(1, halo)
+    while True:
+        around = lambda c, halo=halo: F.explode(F.sequence(F.floor((c - halo) / tile), F.floor((c + halo) / tile)))
+        dealt = known.withColumn("_tr", around(grid.row(F.col("y")))).withColumn("_tc", around(grid.col(F.col("x")))).join(F.broadcast(tiles), ["_tr", "_tc"], "left_semi")
+        made = tiles.groupBy("_tr", "_tc").cogroup(dealt.groupBy("_tr", "_tc")).applyInPandas(filler(halo), "row int, col int, value double")
+        settled = F.col("value").isNotNull() & ~F.isnan("value")
+        open_tiles = made.where(~settled).select(F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc")).distinct().collect()
+        done = done.unionByName(made.where(settled))
+        if not open_tiles:
+            return done
+        tiles, halo = spark.createDataFrame([(r["_tr"], r["_tc"]) for r in open_tiles], "_tr long, _tc long"), 2 * halo

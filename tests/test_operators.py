@@ -272,6 +272,16 @@ def test_linear_interpolation_keeps_planes(spark):
     assert all(math.isclose(r["value"], 2 * (r["col"] + 0.5) - 3 * (40 - r["row"] - 0.5) + 1, abs_tol=1e-6) for r in got)
 
 
+def test_linear_interpolation_between_wide_cells(spark):
+    grid = raster.Grid(0.0, 160.0, 1.0)
+    draw = np.random.default_rng(5)
+    spots = [(0.0, 0.0), (160.0, 0.0), (0.0, 160.0), (160.0, 160.0)] + [tuple(map(float, p)) for p in draw.uniform(10, 150, (5, 2))]
+    centres = spark.createDataFrame([(x, y, float(draw.uniform())) for x, y in spots], "x double, y double, value double")
+    got = {(r["row"], r["col"]): r["value"] for r in raster.interpolate_linear(centres, grid).collect()}
+    whole = {(r["row"], r["col"]): r["value"] for r in raster.interpolate_linear(centres, grid, tile=160, halo=200).collect()}
+    assert len(got) == 160 * 160 and got.keys() == whole.keys() and all(math.isclose(got[k], whole[k], abs_tol=1e-9) for k in got)
+
+
 def test_lines_with_heights(spark):
     grid = raster.Grid(0.0, 30.0, 10.0)
     pixels = spark.createDataFrame([(r, c, float(r * 3 + c)) for r in range(3) for c in range(3)], "row int, col int, value double")
