@@ -259,17 +259,10 @@ def wedges(ends: DataFrame) -> DataFrame:
 
 
 def filled(node: tuple[float, float, float], first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
-    """Triangles from a node's point to the outer points of two channels (inmost first), and between them."""
-    out = []
-    n = min(len(first), len(second))
-    apex = np.array(node)
-    for i in range(n):
-        if i == 0:
-            out.append(np.vstack([apex, first[0], second[0]]))
-        else:
-            out.append(np.vstack([first[i - 1], first[i], second[i - 1]]))
-            out.append(np.vstack([first[i], second[i], second[i - 1]]))
-    return out
+    """Triangles from a node's point to the outer points of two channels (inmost first), and between them; every point is a corner of one."""
+    side = np.vstack([np.array(node, float)[None], first])
+    both = np.vstack([side, second])
+    return [both[list(t)] for t in between(side[:, :2], np.asarray(second, float)[:, :2])]
 
 
 def as_query(triangles: DataFrame, key: str = "id") -> DataFrame:

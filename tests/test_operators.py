@@ -242,6 +242,14 @@ def test_more_of_channels(spark):
     assert xsec.as_query(mesh).first()["sql"].count(" UNION ") == 1
 
 
+def test_wedges_reach_all_points():
+    first, second = np.array([(1.0, 0, 1), (2, 0, 2), (3, 0, 3), (5, 0, 4)]), np.array([(0, 1.0, 5), (0, 2, 6)])
+    for a, b in ((first, second), (second, first)):
+        triangles = xsec.filled((0, 0, 0), a, b)
+        assert {tuple(map(float, q)) for t in triangles for q in t} == {(0.0, 0.0, 0.0), *(tuple(map(float, q)) for q in np.vstack([first, second]))}
+        assert math.isclose(sum(abs(np.linalg.det(np.vstack([t[:, :2].T, [1, 1, 1]]))) / 2 for t in triangles), 5.0)
+
+
 def test_more_of_geometry(spark):
     points = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y")) for x in range(3)))
     assert one(spark, G.index_of(points, F.lit(1.0000001), F.lit(0.0))) == 1 and one(spark, G.index_of(points, F.lit(9.0), F.lit(0.0))) is None
