@@ -3,7 +3,7 @@
 STAGES are (name, function).  A function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.  No stage can be told as SQL as
-a whole, so ORACLE_SQL is None; tests compare the stages with brute force.
+a whole, so ORACLE_SQL is None; a test compares near_duplicates with brute force.
 """
 
 from __future__ import annotations
@@ -31,26 +31,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 MOST_IDS = 1_000_000
 
 
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """docs without the ids, and those with them; texts aren't shuffled while the ids are few."""
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti"), docs.join(ids, "doc_id", "left_semi")
+    return docs.join(ids, by, "left_anti"), docs.join(ids, by, "left_semi")
+
+
+def _numbered(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs with _row, a number in the order of doc_id and text; of rows with one doc_id and text the first stays."""
+    single, repeated = _split(docs, twice)
+    copies, texts = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars"), Window.partitionBy("doc_id").orderBy("text")
+    repeated = repeated.withColumn("_n", F.row_number().over(copies)).where("_n = 1").withColumn("_n", F.row_number().over(texts))
+    rows = written(single.select(*COLUMNS, F.lit(1).alias("_n")).unionByName(repeated.select(*COLUMNS, "_n")), "near-duplicates-rows")
+    order = rows.where("doc_id is not null").select("doc_id", "_n").orderBy("doc_id", "_n").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    order = written(docs.sparkSession.createDataFrame(order, "doc_id long, _n int, _row long"), "near-duplicates-order")
+    return written(rows.join(order, ["doc_id", "_n"], "left").select(*COLUMNS, "_row"), "near-duplicates-numbered")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five words, 0.8): the one of least doc_id.
+    """One row of each class of near-duplicates (five words, 0.8): the one of least doc_id, then the first by text.
 
-    Of rows that share a doc_id the first by text stays.  Rows without a doc_id
-    can't be told apart, and stay.
+    Rows that share a doc_id are told apart by their texts; those with the same
+    text are one.  Rows without a doc_id can't be told apart, and stay.
     """
-    found = written(jaccard.classes(docs, words=5, num=80, den=100, texts=True), "near-duplicates").where("doc_id is not null")
-    kept, _ = _split(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.limit(1).count():
-        kept, repeated = _split(kept, twice)
-        first = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.unionByName(repeated.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = _numbered(docs.select(*COLUMNS), twice) if twice.limit(1).count() else docs.select(*COLUMNS, F.col("doc_id").alias("_row"))
+    found = written(jaccard.classes(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100, texts=True), "near-duplicates").where("doc_id is not null")
+    kept, _ = _split(rows, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct(), "_row")
     return kept.select(*COLUMNS)
 
 

@@ -188,3 +188,23 @@ def test_pipeline(spark, data):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "byte_bpe"]
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, data).columns == docs.columns
+
+
+def test_near_duplicates_as_brute_force(spark):
+    import corpus_pipeline
+
+    draw = random.Random(6)
+    bases = [[f"b{k}w{i}" for i in range(60)] for k in range(4)]
+    text = lambda k, change: " ".join([*bases[k][: 60 - change], *(f"c{change}x{i}" for i in range(change))])
+    rows = [(1, text(0, 0)), (5, text(0, 1)), (5, text(1, 0)), (6, text(2, 0)), (6, text(3, 0)), (6, text(3, 2)), (7, text(1, 1)), (8, ""), (8, "..."), (8, "..."), (None, text(0, 0)), (None, text(0, 0))]
+    rows += [(draw.randint(9, 30), text(draw.randrange(4), draw.choice([0, 1, 2, 20]))) for _ in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    class_of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if None not in (rows[i][0], rows[j][0]) and (rows[i] == rows[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                class_of = [class_of[j] if c == class_of[i] else c for c in class_of]
+    wanted = [min(r for r, c in zip(rows, class_of, strict=True) if c == k) for k in set(class_of) if rows[k][0] is not None or class_of.count(k) == 1]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str) and {t for i, t in got if i == 5} >= {text(1, 0)}
