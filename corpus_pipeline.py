@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     rows = _numbered(docs.select(*COLUMNS), twice) if twice.limit(1).count() else docs.select(*COLUMNS, F.col("doc_id").alias("_row"))
-    found = written(jaccard.classes(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100, texts=True), "near-duplicates").where("doc_id is not null")
+    found = written(jaccard.classes(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100), "near-duplicates").where("doc_id is not null")
     kept, _ = _split(rows, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct(), "_row")
     return kept.select(*COLUMNS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.textkit import written
+from hydroframe.llm.textkit import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,18 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(id, comp) of every vertex of edges (u, v): comp is the least id that links reach.
 
     Alternating large-star and small-star steps; each round is written to the
-    shared folder.  Loops and repeated links do no harm; nulls aren't allowed; an
-    empty table gives none.
+    shared folder, and the one before dropped.  Loops and repeated links do no harm;
+    nulls aren't allowed; an empty table gives none.
     """
-    links = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), name)
+    tables = tables or Tables(edges.sparkSession, "components")
+    links = tables.write(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "links")
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = links.agg(F.count("*"), mark).first()
     while before[0]:
-        links = written(_star(_star(links, True), False), name)
+        last, links = links, tables.write(_star(_star(links, True), False), "links")
+        tables.drop(last)
         now = links.agg(F.count("*"), mark).first()
         if now == before:
             break

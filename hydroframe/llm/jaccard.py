@@ -22,7 +22,9 @@ frequent shingles has all its rare ones in lists; so a rare shingle of another
 set that stands in no list twice isn't in it, which bounds what the two share.
 No link between components is lost, and links within one don't change it.
 
-What isn't exact by proof: sets are compared by 64-bit hashes of shingles.
+What isn't exact by proof: shingles count as equal if 128-bit hashes are (tabulated
+by byte and place in the word, so no texts are bound to collide), and a set's size
+counts 64-bit hashes; a text of n words is miscounted with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -39,14 +41,19 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm import textkit
 from hydroframe.llm.components import components
-from hydroframe.llm.textkit import splitmix, written
+from hydroframe.llm.textkit import Tables, splitmix
 
 U = np.uint64
-BUCKETS = 128
-#: Frequent shingles are those in HEAVY sets or more, the most frequent MOST_HEAVY of them; this bounds what is broadcast and only orders shingles.
-HEAVY, MOST_HEAVY = 100, 200_000
-#: Bits of the filter that spares shuffling the sets of documents without candidates.
-FILTER_BITS = 22
+#: Bits of the number of a set's buckets: a bucket for two to four of its shingles, within these bounds.
+LEAST_BUCKETS, MOST_BUCKETS = 4, 13
+#: Frequent shingles are those in HEAVY sets or more, the most frequent MOST_HEAVY of them; this bounds what is broadcast (16 MB) and only orders shingles.
+HEAVY, MOST_HEAVY = 100, 2_000_000
+#: Bits of the filter that spares shuffling the texts of documents without candidates, by their number.
+FILTER_BITS = (16, 27)
+#: So many ids at most are broadcast; more are joined by a shuffle.
+MOST_IDS = 250_000
+#: Texts that are compared with one in a task; more of them take further tasks.
+SHARE = 256
 
 
 class Rule:
@@ -100,30 +107,46 @@ def subset_keys(rule: Rule, values: np.ndarray, boundary: int) -> list[np.ndarra
     return out
 
 
-def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, ascending, and the number in each row."""
+def shingles(data: np.ndarray, at: np.ndarray, k: int, wide: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct shingle hashes of each row, ascending, and the number in each row; if wide, also a second hash of each."""
     rows = len(at) - 1
     starts, ends = textkit.runs(textkit.SPACED[data], at)
-    words = textkit.span_hashes(data, starts, ends)
     row = textkit.rows_of(starts, at)
-    grams = textkit.sequence_hashes(words, k)
-    whole = row[: len(grams)] == row[k - 1 : k - 1 + len(grams)] if len(grams) else np.zeros(0, bool)
-    grams, of = grams[whole], row[: len(grams)][whole]
     n_words = np.bincount(row, minlength=rows)
     first = np.cumsum(n_words) - n_words
-    for j in range(1, k):  # fewer words than k: the whole text is one shingle
-        short = np.flatnonzero(n_words == j)
-        if len(short):
+    whole = row[: max(len(row) - k + 1, 0)] == row[k - 1 :]
+    short = [(j, np.flatnonzero(n_words == j)) for j in range(1, k)]  # fewer words than k: the whole text is one shingle
+    of = np.concatenate([row[: len(whole)][whole], *(x for _, x in short)])
+    hashes = []
+    for words in textkit.word_hashes(data, starts, ends, (0, 1) if wide else (0,)):
+        parts = [textkit.sequence_hashes(words, k)[whole]]
+        for j, those in short:
             with np.errstate(over="ignore"):
-                total = np.full(len(short), j, U)
+                total = np.full(len(those), j, U)
                 for i in range(j):
-                    total += words[first[short] + i] * U(pow(0xA24BAED4963EE407, i + 1, 1 << 64))
-            grams, of = np.concatenate([grams, splitmix(total)]), np.concatenate([of, short])
-    order = np.lexsort((grams, of))
-    grams, of = grams[order], of[order]
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-    return grams[keep], np.bincount(of[keep], minlength=rows)
+                    total += words[first[those] + i] * U(pow(0xA24BAED4963EE407, i + 1, 1 << 64))
+            parts.append(splitmix(total))
+        hashes.append(np.concatenate(parts))
+    order = np.lexsort((*hashes[::-1], of))
+    of, hashes = of[order], [h[order] for h in hashes]
+    keep = np.ones(len(of), bool)
+    keep[1:] = of[1:] != of[:-1]
+    for h in hashes:
+        keep[1:] |= h[1:] != h[:-1]
+    return *(h[keep] for h in hashes), np.bincount(of[keep], minlength=rows)
+
+
+def in_common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets have in common, by both hashes."""
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    if not len(x[0]):
+        return 0
+    at = np.searchsorted(y[0], x[0])
+    same = y[0][np.minimum(at, len(y[0]) - 1)] == x[0]
+    both = same & (y[1][np.minimum(at, len(y[1]) - 1)] == x[1])
+    odd = np.flatnonzero(same & ~both)  # the first hash agrees: the second decides, if several share the first
+    return int(both.sum()) + sum(x[1][i] in y[1][at[i] : np.searchsorted(y[0], x[0][i], "right")] for i in odd.tolist())
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -176,12 +199,12 @@ def statistics(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) -> DataFrame:
     """Of every document: doc_id, n, fingerprints a and b, row number rid, counts of shingles by bucket, keys, and of large sets how many keys are of rare shingles and whether these are all that the set has."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        frequent = shared.value
+        frequent = sent.value
         coarse = np.zeros(1 << 16, bool)
         coarse[(frequent >> U(48)).astype(np.intp)] = True
         rid = TaskContext.get().partitionId() << 40
@@ -190,7 +213,9 @@ def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) ->
                 grams, counts = shingles(data, at, rule.words)
                 a, b = fingerprints(grams, counts)
                 of = np.repeat(np.arange(end - first), counts)
-                filled = np.bincount(of * BUCKETS + (splitmix(grams) >> U(57)).astype(np.intp), minlength=(end - first) * BUCKETS)
+                bits = np.clip(np.ceil(np.log2(np.maximum(counts, 1) / 4)), LEAST_BUCKETS, MOST_BUCKETS).astype(np.int64)
+                edges = np.concatenate([[0], np.cumsum(1 << bits)])
+                filled = np.bincount(np.repeat(edges[:-1], counts) + (splitmix(grams) >> np.repeat(64 - bits, counts).astype(U)).astype(np.intp), minlength=edges[-1])
                 rank = grams >> U(2)
                 maybe = np.flatnonzero(coarse[(grams >> U(48)).astype(np.intp)])
                 if len(frequent) and len(maybe):
@@ -213,9 +238,10 @@ def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) ->
                 lengths = np.array([len(x) for x in keys])
                 flat = np.concatenate(keys).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-                bins = np.minimum(filled, 255).astype(np.uint8).reshape(-1, BUCKETS)
+                raw, cut = np.minimum(filled, 255).astype(np.uint8).tobytes(), edges.tolist()
+                bins = [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), pa.array(rid + np.arange(end - first)), pa.array([x.tobytes() for x in bins], pa.binary()), lists, pa.array(np.where(counts > boundary, rare, -1), pa.int64()), pa.array(reach)],
+                    [batch.column(0).slice(first, end - first), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), pa.array(rid + np.arange(end - first)), pa.array(bins, pa.binary()), lists, pa.array(np.where(counts > boundary, rare, -1), pa.int64()), pa.array(reach)],
                     ["doc_id", "n", "a", "b", "rid", "bins", "keys", "rare", "reach"],
                 )
                 rid += end - first
@@ -223,6 +249,20 @@ def signatures(docs: DataFrame, rule: Rule, heavy: np.ndarray, boundary: int) ->
     return docs.mapInArrow(textkit.trimming(run), "doc_id long, n long, a long, b long, rid long, bins binary, keys array<long>, rare long, reach boolean")
 
 
+def _bound(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """What pairs of sets can share at most, by their counts in buckets; many for sets that these can't bound."""
+    out = np.empty(len(x), np.int64)
+    sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+    for m, n in np.unique(sizes, axis=0).tolist():
+        some = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == n))
+        p, q = (np.frombuffer(b"".join([side[i] for i in some.tolist()]), np.uint8).reshape(len(some), w) for side, w in ((x, m), (y, n)))
+        full = (p == 255).any(axis=1) & (q == 255).any(axis=1)
+        less = min(m, n)
+        p, q = (z.reshape(len(some), less, -1).sum(axis=2, dtype=np.int64) for z in (p, q))
+        out[some] = np.where(full, 1 << 40, np.minimum(p, q).sum(axis=1))
+    return out
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Those pairs (u, v, slack) whose bucket counts allow a similarity of num / den - slack."""
     side = nodes.select("rid", "n", "bins")
@@ -232,79 +272,90 @@ def _near(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in (4, 6))
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 n, m, slack = (part.column(c).to_numpy() for c in (3, 5, 2))
-                most = np.minimum(np.minimum(x, y).sum(axis=1, dtype=np.int64) + 4 * np.minimum(n, m) * ((x == 255) & (y == 255)).any(axis=1), np.minimum(n, m))
+                most = np.minimum(_bound(part.column(4).to_pylist(), part.column(6).to_pylist()), np.minimum(n, m))
                 j = np.maximum(least - slack - 1e-9, 0)
-                keep[i : i + 4096] = most * (1 + j) >= j * (n + m) - 1e-6
+                keep[i : i + 1024] = most * (1 + j) >= j * (n + m) - 1e-6
             yield batch.filter(pa.array(keep)).select(["u", "v", "slack"])
 
     return both.select("u", "v", "slack", "un", "ub", "vn", "vb").mapInArrow(textkit.trimming(run), "u long, v long, slack double")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule, texts: bool) -> DataFrame:
-    """(rid, shingles) of the wanted nodes (rid, doc_id, a, b): their hashes, or the text that they can be made from again.
+def _texts(docs: DataFrame, asked: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """The n rows of asked (doc_id, a, b, ...) with the bytes of their texts, from a scan of docs.
 
-    A filter of fixed size over their doc_ids passes by other documents; it only
-    saves work, the join decides.
+    A filter over the doc_ids, with 16 bits for each, passes by other documents; it only
+    saves work, the join by doc_id and fingerprints decides.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(slot.alias("s")).groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).collect()  # 2**FILTER_BITS / 32 rows at most
-    bits = np.zeros((1 << FILTER_BITS) // 32, np.uint64)
-    for w, b in words:
-        bits[w] = b
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = asked.select(slot.alias("s")).groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas()  # 2**bits / 32 rows at most
+    table = np.zeros((1 << bits) // 32, np.uint32)
+    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, done = sent.value, set()
         for batch in batches:
             s = batch.column(2).to_numpy().astype(np.int64)
-            some = (table[s >> 5] >> (s & 31).astype(U)) & U(1)
+            some = (table[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)
             batch = batch.filter(pa.array(some.astype(bool)))
             for first, end, data, at in _chunks(batch):
                 grams, counts = shingles(data, at, rule.words)
                 a, b = fingerprints(grams, counts)
-                cut, raw = (at, data.tobytes()) if texts else (np.concatenate([[0], np.cumsum(counts)]) * 8, grams.tobytes())
-                sets = [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(a), pa.array(b), pa.array(sets, pa.binary())], ["doc_id", "a", "b", "shingles"])
+                names = list(zip(batch.column(0).slice(first, end - first).to_pylist(), a.tolist(), b.tolist(), strict=True))
+                new = [i for i, x in enumerate(names) if x not in done and not done.add(x)]  # of repeated rows one is enough
+                raw, cut = data.tobytes(), at.tolist()
+                yield pa.RecordBatch.from_arrays([*(pa.array([names[i][c] for i in new], pa.int64()) for c in range(3)), pa.array([raw[cut[i] : cut[i + 1]] for i in new], pa.binary())], ["doc_id", "a", "b", "body"])
 
-    made = docs.select("doc_id", "text", slot.alias("s")).where("doc_id is not null").mapInArrow(textkit.trimming(run), "doc_id long, a long, b long, shingles binary")
-    return made.join(wanted, ["doc_id", "a", "b"]).select("rid", "shingles").dropDuplicates(["rid"])
+    made = docs.select("doc_id", "text", slot.alias("s")).where("doc_id is not null").mapInArrow(textkit.trimming(run), "doc_id long, a long, b long, body binary")
+    return made.join(F.broadcast(asked) if n <= MOST_IDS else asked, ["doc_id", "a", "b"])
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, texts: bool) -> DataFrame:
-    """(u, v, slack, inter, n, m) of the pairs, by their whole sets."""
-    pairs = written(_near(pairs, nodes, rule), "pairs")
-    ids = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
-    wanted = written(nodes.select("rid", "doc_id", "a", "b").join(ids, "rid"), "wanted")
-    sets = written(_sets(docs, wanted, rule, texts), "sets")
-    both = pairs.join(sets.select(F.col("rid").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rid").alias("v"), F.col("shingles").alias("y")), "v")
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """(u, v, slack, inter, n, m) of the pairs, by their whole sets.
 
-    def grams(raw: bytes) -> np.ndarray:
-        return shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), rule.words)[0] if texts else np.frombuffer(raw, U)
+    Each v goes, once for every SHARE of its pairs, to where these are compared, and
+    their u with it: a text is shuffled once for each pair, and no task holds all
+    that meet one v.  Repeated rows of a document can repeat pairs.
+    """
+    near = tables.write(_near(pairs, nodes, rule), "pairs")
+    schema = "u long, v long, slack double, inter long, n long, m long"
+    shares = near.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    there = near.join(shares, "v").select(F.col("v").alias("home"), F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"), F.col("u").alias("rid"), "slack")
+    both = there.unionByName(there.select("home", "share", F.col("home").alias("rid"), F.lit(None).cast("double").alias("slack")).distinct())
+    asked = tables.write(both.join(nodes.select("rid", "doc_id", "a", "b"), "rid"), "asked")
+    tables.drop(near)
+    if not (n := asked.count()):
+        return docs.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = b"", np.empty(0, U)  # pairs come by their right side
+        place, right = None, None
         for batch in batches:
-            inter, n, m = [], [], []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                if (raw := y.as_py()) != last:
-                    last, right = raw, grams(raw)
-                p, q = grams(x.as_py()), right
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                inter.append(int((q[at] == p).sum()))
-                n.append(len(p))
-                m.append(len(q))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in (inter, n, m))], ["u", "v", "slack", "inter", "n", "m"])
-
-    return both.select("u", "v", "slack", "x", "y").mapInArrow(textkit.trimming(run), "u long, v long, slack double, inter long, n long, m long")
-
-
-def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, texts: bool = False) -> DataFrame:
+            home, share, rid = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            slacks, out = batch.column(3).to_pylist(), []
+            for first, end, data, at in textkit.chunks(*textkit.buffers(batch.column(4))):
+                one, two, counts = shingles(data, at, rule.words, wide=True)
+                cut = np.concatenate([[0], np.cumsum(counts)])
+                for i in range(first, end):
+                    of = slice(cut[i - first], cut[i - first + 1])
+                    here = (one[of], two[of])
+                    if slacks[i] is None:
+                        place, right = (home[i], share[i]), here
+                    elif place == (home[i], share[i]):
+                        out.append((rid[i], home[i], slacks[i], in_common(here, right), len(here[0]), len(right[0])))
+                    else:
+                        raise RuntimeError("a text came before the one that it is compared with")
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["u", "v", "slack", "inter", "n", "m"])
+
+    met = _texts(docs, asked, n, rule).repartition("home", "share").sortWithinPartitions("home", "share", F.col("slack").isNotNull())
+    return met.select("home", "share", "rid", "slack", "body").mapInArrow(textkit.trimming(run), schema)
+
+
+def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of docs (doc_id, text).
 
     component_id is the least doc_id among the documents that links reach.  A text
@@ -313,32 +364,33 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, text
     documents with equal sets; a null doc_id is never a component's, unless a
     component has no other, and its text is compared only through equal texts
     with a doc_id.  Other columns are left out.
-
-    Pairs are verified on shuffled sets, or with `texts` on shuffled texts: these
-    take a third of the disk, and more time.  The result is the same.
     """
     textkit.bounded_batches(docs.sparkSession)
-    rule = Rule(words, num, den)
+    rule, tables = Rule(words, num, den), Tables(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = written(statistics(docs, rule), "jaccard-stats")
+    seen = tables.write(statistics(docs, rule), "stats")
     often = seen.where(f"kind = 0 and n >= {HEAVY}").orderBy(F.desc("n"), "key").limit(MOST_HEAVY).select("key").toPandas()["key"].to_numpy(np.int64)  # bounded
     light = seen.where(f"kind = 0 and n < {HEAVY}").agg(F.coalesce(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.lit(1.0))).first()[0]
     sizes = {r["key"]: r["n"] for r in seen.where("kind = 1").collect()}  # 65 rows
     boundary = rule.boundary(sizes, float(light))
-    made = written(signatures(docs, rule, np.sort(often.view(U)), boundary), "jaccard-signatures")
-
-    groups = made.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"))
-    groups = written(groups.select("n", "a", "b", "label", F.col("least.rid").alias("rid")), "jaccard-groups")
-    nodes = made.select("rid", "doc_id", "a", "b", "n", "bins").join(groups.select("rid"), "rid")
+    tables.drop(seen)
+    made = tables.write(signatures(docs, rule, np.sort(often.view(U)), boundary), "signatures")
+
+    groups = made.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"), F.count("*").alias("c"))
+    groups = tables.write(groups.select("n", "a", "b", "label", F.col("least.rid").alias("rid"), "c"), "groups")
+    # Rows that don't stand for their group, or whose group has no label; usually few, so that keys needn't be shuffled to leave them out.
+    several = groups.where("c > 1 or label is null").select("n", "a", "b", F.when(F.col("label").isNotNull(), F.col("rid")).alias("first"))
+    spare = tables.write(made.select("rid", "n", "a", "b").join(several, ["n", "a", "b"]).where("first is null or rid <> first").select("rid"), "spare")
+    nodes = made.select("rid", "doc_id", "a", "b", "n", "bins").where("n > 0").join(F.broadcast(spare) if spare.count() <= MOST_IDS else spare, "rid", "left_anti")
     # A frequent shingle's list is taken as it is; of other lists, which are short, those of one node are left out.
     packed = (F.col("n") * (1 << 32) + (F.col("rare") + 1) * 2 + F.col("reach").cast("long")).alias("info")
-    entries = made.select("rid", packed, F.explode("keys").alias("key")).join(groups.where("label is not null").select("rid"), "rid")
+    alone = made.where("n > 0").join(F.broadcast(spare) if spare.count() <= MOST_IDS else spare, "rid", "left_anti")
+    entries = alone.select("rid", packed, F.explode("keys").alias("key"))
     frequent = F.col("key").bitwiseAND(1) == 1
     dealt = entries.where(~frequent).repartition(F.col("key"))
     common = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    lists = dealt.join(common, "key").select("key", "rid", "info").unionByName(entries.where(frequent).select("key", "rid", "info"))
-    lists = written(lists, "jaccard-lists")
-    lists = lists.select("key", "rid", F.shiftright("info", 32).alias("n"), (F.shiftright(F.col("info").bitwiseAND((1 << 32) - 1), 1) - 1).alias("rare"), (F.col("info").bitwiseAND(1) == 1).alias("reach"))
+    rare = tables.write(dealt.join(common, "key").select("key", "rid", "info").unionByName(entries.where(frequent).select("key", "rid", "info")), "lists")
+    lists = rare.select("key", "rid", F.shiftright("info", 32).alias("n"), (F.shiftright(F.col("info").bitwiseAND((1 << 32) - 1), 1) - 1).alias("rare"), (F.col("info").bitwiseAND(1) == 1).alias("reach"))
 
     # Stars: each node with the leader that shares most of its lists.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(math.sqrt(den / num)))
@@ -348,8 +400,8 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, text
     asked = shifted.join(leaders, ["key", "band"]).where(f"(rare, rid) > (lead.rare, lead.rid) and {fits}").groupBy("rid", F.col("lead.rid").alias("leader")).agg(F.count("*").alias("c"))
     best = asked.groupBy("rid").agg(F.max(F.struct("c", (-F.col("leader")).alias("back"))).alias("best")).select(F.col("rid").alias("u"), (-F.col("best.back")).alias("v"), F.lit(0.0).alias("slack"))
     linked = f"inter * {den} >= {num} * (n + m - inter)"
-    stars = written(_similar(docs, best, nodes, rule, texts).where(linked).select("u", "v", (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("d")), "jaccard-stars")
-    comps = components(stars.select("u", "v"), "jaccard-star-components")
+    stars = tables.write(_similar(docs, best, nodes, rule, tables).where(linked).select("u", "v", (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("d")).distinct(), "stars")
+    comps = components(stars.select("u", "v"), tables)
 
     # Lists that hold more than one component: compare stars by their centres.
     # most: what a set can share with one that reaches; over: that, less what a partner's size adds to the overlap needed.
@@ -357,11 +409,12 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, text
     most = F.when(F.col("rare") < 0, F.col("n")).otherwise(F.col("n") - F.col("rare") + F.col("met"))
     known = known.select("rid", "n", "reach", (most * (num + den) - F.col("n") * num).alias("over"))
     known = known.join(stars.select(F.col("u").alias("rid"), F.col("v").alias("centre"), "d"), "rid", "left").join(comps.withColumnRenamed("id", "rid"), "rid", "left")
-    known = written(known.select("rid", "n", "reach", "over", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"), F.coalesce("d", F.lit(0.0)).alias("d")), "jaccard-known")
+    known = tables.write(known.select("rid", "n", "reach", "over", F.coalesce("centre", "rid").alias("star"), F.coalesce("comp", "rid").alias("comp"), F.coalesce("d", F.lit(0.0)).alias("d")), "known")
     placed = lists.select("key", "rid").join(known, "rid")
     held = placed.groupBy("key", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("over").alias("over"), F.min("reach").alias("reach"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    held = written(held.join(mixed, "key"), "jaccard-held")
+    held = tables.write(held.join(mixed, "key"), "held")
+    tables.drop(rare)
     left, right = (held.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi", "over", "reach"))) for i in (1, 2))
     sized = f"star1 < star2 and comp1 <> comp2 and hi1 * {den} >= {num} * lo2 and hi2 * {den} >= {num} * lo1"
     shared = f"not (reach2 and over1 < {num} * lo2) and not (reach1 and over2 < {num} * lo1)"
@@ -369,7 +422,8 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, text
     radius = stars.groupBy("v").agg(F.max("d").alias("r"))
     meet = meet.join(radius.select(F.col("v").alias("star1"), F.col("r").alias("r1")), "star1", "left").join(radius.select(F.col("v").alias("star2"), F.col("r").alias("r2")), "star2", "left")
     meet = meet.select(F.col("star1").alias("u"), F.col("star2").alias("v"), (F.coalesce("r1", F.lit(0.0)) + F.coalesce("r2", F.lit(0.0))).alias("slack"))
-    close = written(_similar(docs, meet, nodes, rule, texts), "jaccard-close")
+    close = tables.write(_similar(docs, meet, nodes, rule, tables), "close")
+    tables.drop(held)
     direct = close.where(linked).select("u", "v")
     open_pairs = close.where(f"slack > 0 and not ({linked}) and inter / (n + m - inter) >= {num / den} - slack - 1e-9")
     links = stars.select("u", "v").unionByName(direct)
@@ -380,10 +434,13 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, text
         one, two = (known.select(F.col("star").alias(f"star{i}"), F.col("rid").alias(f"rid{i}"), F.col("n").alias(f"n{i}"), F.col("d").alias(f"d{i}")) for i in (1, 2))
         near = some.join(one, "star1").join(two, "star2").where(f"d1 + d2 >= apart - {1 - num / den} - 1e-9 and least(n1, n2) * {den} >= {num} * greatest(n1, n2)")
         asked = near.select(F.col("rid1").alias("u"), F.col("rid2").alias("v"), F.lit(0.0).alias("slack"))
-        links = links.unionByName(_similar(docs, asked, nodes, rule, texts).where(linked).select("u", "v"))
-    final = components(links, "jaccard-components")
+        links = links.unionByName(_similar(docs, asked, nodes, rule, tables).where(linked).select("u", "v"))
+    final = components(links, tables)
     named = groups.join(final.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = named.groupBy("comp").agg(F.min("label").alias("component_id"))
-    label = written(named.join(least, "comp").select("n", "a", "b", "component_id"), "jaccard-labels")
+    label = named.join(least, "comp").select("n", "a", "b", "component_id")
     out = made.select("doc_id", "n", "a", "b").join(label, ["n", "a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = textkit.written(out, "jaccard-classes")
+    tables.drop()
+    return out

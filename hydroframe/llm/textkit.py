@@ -134,6 +134,45 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         return splitmix(value + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+#: Positions of a word that have a table of their own; further ones mix theirs in.
+PLACES = 32
+
+
+def places_table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each byte at each of PLACES positions, A-Z as a-z: entry 256 * position + byte."""
+    with np.errstate(over="ignore"):
+        table = splitmix(np.arange(1, 256 * PLACES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed) * _U(0xD1342543DE82EF95)).reshape(PLACES, 256)
+    table[:, 65:91] = table[:, 97:123]
+    return table.reshape(-1)
+
+
+PLACED = (places_table(1), places_table(2))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """64-bit hashes of disjoint spans, ascending: sums of a random value for each byte and place (tabulation), then a finaliser.
+
+    Each number in `which` stands for a table of its own, so two give 128 bits.
+    Unlike a polynomial's, the values at different places have nothing to do with each
+    other, so no pair of words is bound to collide.
+    """
+    if not len(starts):
+        return [np.empty(0, _U) for _ in which]
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(first[-1] + lengths[-1])) - np.repeat(first, lengths)
+    code = ((place & (PLACES - 1)) << 8) | data[place + np.repeat(starts, lengths)]
+    far = np.flatnonzero(place >= PLACES) if int(lengths.max()) > PLACES else ()
+    out = []
+    with np.errstate(over="ignore"):
+        for i in which:
+            value = PLACED[i][code]
+            if len(far):
+                value[far] = splitmix(value[far] ^ ((place[far] >> 5).astype(_U) * _U(0xA24BAED4963EE407)))
+            out.append(splitmix(np.add.reduceat(value, first) + lengths.astype(_U) * _U(0xD6E8FEB86659FD93)))
+    return out
+
+
 def rows_of(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The row that each position lies in."""
     return np.searchsorted(at, starts, "right") - 1
@@ -209,8 +248,8 @@ _local: list[str] = []
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset, a folder below the session's warehouse serves on a
-    cluster, and a temporary one, gone at exit, with a local master (as in tests).
+    Where the setting is unset, a temporary folder, gone at exit, serves with a local
+    master (as in tests); a cluster has no folder that is known to be shared.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -219,18 +258,51 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         top = f"file://{_local[0]}"
     if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read back: a cut of the lineage."""
+#: Spark deletes the shuffle files of a query that has ended; what was written doesn't need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written as a table in the shared folder and read back: a cut of the lineage."""
+    return _write(df, shared_dir(df.sparkSession, name))
+
+
+class Tables:
+    """Tables in the shared folder that an operator writes on its way, and drops when what follows is written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name = spark, name
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, f"{self.name}-{name}")
+        out = _write(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete those tables, or all that are left."""
+        for key in [id(f) for f in frames] or list(self.paths):
+            _, path = self.paths.pop(key)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
