@@ -77,10 +77,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian uint32) and ids_sha256; exact: the ids decode to the text."""
-    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), path)
-    back = bpe.decode(encoded, path)
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("exact"))
+    made = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path("byte_bpe_multi_50k.tiktoken"), decoded="decoded")
+    return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("exact"))
 
 
 STAGES = [

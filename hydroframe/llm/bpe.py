@@ -237,11 +237,12 @@ class Codec:
     def __init__(self, path: str) -> None:
         ranks = load_ranks(path)
         self.splitter, self.merger = Splitter(), Merger(ranks)
-        size = max(ranks.values(), default=-1) + 1
-        words = [b""] * size
+        sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
         for word, rank in ranks.items():
-            words[rank] = word
-        self.words = words
+            sizes[rank] = len(word)
+        self.sizes = sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -264,7 +265,15 @@ class Codec:
         return [b"".join(found[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids.tolist()))
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that all ids stand for, by one gather, and where each text's begin and end; edges are offsets of the texts' ids."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.bytes[np.repeat(self.first[ids] - (ends - sizes), sizes) + np.arange(total)]
+        return out, np.concatenate([[0], ends])[edges]
 
 
 textkit.keeps("bpe", Codec._made.clear)
@@ -277,23 +286,33 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[
         yield first, end, [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """Every row of docs with its ids (binary, little-endian uint32) and their number.
+def _decoded(codec: Codec, raw: bytes, edges: np.ndarray) -> pa.Array:
+    data, at = codec.decode_all(np.frombuffer(raw, "<u4"), edges // 4)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+    """Every row of docs with its ids (binary, little-endian uint32) and their number; with `decoded`, also a column of the bytes that the ids stand for.
 
     Null and empty texts have no ids.  Rows that repeat stay repeated.  Columns
-    of docs named like the two new ones are replaced.
+    of docs named like the new ones are replaced.  The bytes are decoded from the ids
+    alone, as `decode` does it, without another pass.
     """
     textkit.bounded_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (ids, n_tokens)]
+    keep = [c for c in docs.columns if c not in (ids, n_tokens, decoded)]
     schema = docs.select(*keep).schema.add(ids, "binary").add(n_tokens, "long")
+    names = [*keep, ids, n_tokens]
+    if decoded:
+        schema, names = schema.add(decoded, "binary"), [*names, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
             for first, end, texts in _texts(batch, text):
                 out = codec.encode(texts)
-                part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], [*keep, ids, n_tokens])
+                sizes = np.array([len(x) for x in out])
+                more = [_decoded(codec, b"".join(out), np.concatenate([[0], np.cumsum(sizes)]))] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(out, pa.binary()), pa.array(sizes // 4, pa.int64()), *more], names)
 
     return docs.select(*keep).mapInArrow(textkit.trimming(run, "bpe"), schema)
 
@@ -308,16 +327,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
         for batch in batches:
             data, at = textkit.buffers(batch.column(batch.schema.get_field_index(ids)))
             for first, end, part, edges in textkit.chunks(data, at):
-                numbers, cut = part.view("<u4") if part.flags.aligned else np.frombuffer(part.tobytes(), "<u4"), (edges // 4).tolist()
-                made = [codec.decode(numbers[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(made, pa.binary())], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, _decoded(codec, part.tobytes(), edges)], [*keep, out])
 
     return encoded.select(*keep).mapInArrow(textkit.trimming(run, "bpe"), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document; the decoded bytes come from the ids alone."""
-    made = decode(encode(docs.select("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path).drop("text"), path)
+    made = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
