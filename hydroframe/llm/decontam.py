@@ -6,7 +6,11 @@ document that contains the window, so the prefix that a necessary match needs is
 one shingle: the rarest, by its occurrences in the whole corpus.  A document
 joins its shingles with those prefixes; the place of the shingle within the
 window fixes where the window would stand (positional bound), which must lie in
-the document (length bound); the words there are then compared one by one.
+the document (length bound); the words there are then compared one by one, first
+by hashes, then byte by byte.
+
+Windows are a table that Spark makes, with the items of each; parts of it, of about
+`most` windows, go to the driver one after another and are broadcast.
 """
 
 from __future__ import annotations
@@ -23,38 +27,58 @@ from pyspark.sql import types as T
 from hydroframe.llm import textkit
 
 U = np.uint64
-#: Windows in one broadcast table; more of them go in further passes.
-MOST_WINDOWS = 1_000_000
+#: Windows in one broadcast table (some 40 MB); more of them go in further passes.
+MOST_WINDOWS = 200_000
+#: Bytes as they are compared: A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SLOTS = 1 << 20
 
 
+def canonical(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in lower case with a space after each, and where each begins (and the last ends)."""
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    within = textkit.ragged(sizes)
+    out[np.repeat(begin[:-1], sizes) + within] = LOWER[data[np.repeat(starts, sizes) + within]]
+    return out, begin
+
+
+def windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """(window, items): the distinct windows of all items as bytes, words in lower case with a space after each, and the item_ids that hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for first, end, data, at in textkit.chunks(*textkit.buffers(batch.column(1))):
+                starts, ends = textkit.runs(textkit.ALNUM[data], at)
+                text, begin = canonical(data, starts, ends)
+                raw, cut, item, found = text.tobytes(), begin.tolist(), [], []
+                edges = np.searchsorted(starts, at).tolist()
+                for i in range(first, end):
+                    a, b = edges[i - first], edges[i - first + 1]
+                    these = {raw[cut[j] : cut[min(j + size, b)]] for j in range(a, max(a + 1, b - size + 1) if b > a else a)}
+                    found += these
+                    item += [names[i]] * len(these)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(item, pa.int64())], ["window", "item"])
+
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
+    return rows.mapInArrow(textkit.trimming(run), "window binary, item long").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
 class Windows:
-    """Distinct windows: word hashes (padded with 0), lengths, and the items of each."""
-
-    def __init__(self, words: np.ndarray, lengths: np.ndarray, items: list[list[int]], size: int) -> None:
-        self.words, self.lengths, self.items, self.size = words, lengths, items, size
-
-    @classmethod
-    def of(cls, texts: list[tuple[int, str | None]], size: int) -> Windows:
-        found: dict[bytes, list[int]] = {}
-        for item, text in texts:
-            data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-            at = np.array([0, len(data)])
-            starts, ends = textkit.runs(textkit.ALNUM[data], at)
-            hashes = textkit.span_hashes(data, starts, ends) if len(data) else np.empty(0, U)
-            n = len(hashes)
-            for i in range(max(1, n - size + 1) if n else 0):
-                key = hashes[i : i + size].tobytes()
-                if item not in (those := found.setdefault(key, [])):
-                    those.append(item)
-        words, lengths = np.zeros((len(found), size), U), np.zeros(len(found), np.int64)
-        for i, key in enumerate(found):
-            row = np.frombuffer(key, U)
-            words[i, : len(row)], lengths[i] = row, len(row)
-        return cls(words, lengths, list(found.values()), size)
-
-    def part(self, first: int, end: int) -> Windows:
-        return Windows(self.words[first:end], self.lengths[first:end], self.items[first:end], self.size)
+    """Distinct windows: their bytes, word hashes (padded with 0), lengths, and the items of each."""
+
+    def __init__(self, rows: pa.Table, size: int) -> None:
+        rows = rows.sort_by("window")
+        data, self.at = textkit.buffers(rows["window"])
+        self.raw, self.size = data.tobytes(), size
+        self.items = rows["items"].to_pylist()
+        starts, ends = textkit.runs(textkit.ALNUM[data], self.at)
+        self.lengths = np.diff(np.searchsorted(starts, self.at))
+        self.words = np.zeros((len(self.items), size), U)
+        self.words[np.repeat(np.arange(len(self.items)), self.lengths), textkit.ragged(self.lengths)] = textkit.word_hashes(data, starts, ends)[0]
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, window, place) of every shingle; a window under k words has one of all its words."""
@@ -95,9 +119,10 @@ class Lookup:
         return maybe[same], at[same]
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and their number in each row."""
     starts, ends = textkit.runs(textkit.ALNUM[data], at)
-    return textkit.span_hashes(data, starts, ends), np.diff(np.searchsorted(starts, at))
+    return starts, ends, textkit.word_hashes(data, starts, ends)[0], np.diff(np.searchsorted(starts, at))
 
 
 def occurrences(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -110,7 +135,7 @@ def occurrences(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.nd
         total = {k: np.zeros(len(x), np.int64) for k, x in shared.value.items()}
         for batch in batches:
             for _, _, data, at in textkit.chunks(*textkit.buffers(batch.column(0))):
-                words, _ = _words(data, at)
+                _, _, words, _ = _words(data, at)
                 for k, lookup in tables.items():  # rows meet here; that only moves a count
                     total[k] += np.bincount(lookup.find(textkit.sequence_hashes(words, k))[1], minlength=len(total[k]))
         for k, n in total.items():
@@ -165,6 +190,16 @@ def _matches(words: np.ndarray, n_words: np.ndarray, prefixes: Prefixes, tables:
     return np.concatenate(found_at), np.concatenate(found_window)
 
 
+def _proved(start: np.ndarray, window: np.ndarray, windows: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the words at each start have the window's bytes."""
+    if not len(start):
+        return np.empty(0, bool)
+    text, begin = canonical(data, starts, ends)
+    raw, low, high = text.tobytes(), begin[start].tolist(), begin[start + windows.lengths[window]].tolist()
+    first, last = windows.at[window].tolist(), windows.at[window + 1].tolist()
+    return np.array([raw[a:b] == windows.raw[c:d] for a, b, c, d in zip(low, high, first, last, strict=True)])
+
+
 def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
     """docs without text, with n_words, n_hit, items of the windows that occur and, if asked for, a bit for each word."""
     spark = docs.sparkSession
@@ -185,8 +220,10 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
         for batch in batches:
             data, at = textkit.buffers(batch.column(len(keep)))
             for first, end, part, edges in textkit.chunks(data, at):
-                words, n_words = _words(part, edges)
+                starts, stops, words, n_words = _words(part, edges)
                 start, window = _matches(words, n_words, prefixes, tables, windows)
+                same = _proved(start, window, windows, part, starts, stops)
+                start, window = start[same], window[same]
                 depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, start, 1)
                 np.add.at(depth, start + windows.lengths[window], -1)
@@ -214,37 +251,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int
     texts have no words; an item without words, or without item_id, has no
     windows; an empty benchmark hits nothing.  Items that share an item_id count
     as one.  Rows that repeat stay repeated.  Columns of docs named like new ones
-    are replaced.  The benchmark's windows are broadcast, `most` of them at once;
-    a larger benchmark takes one pass for each part, merged by row.
+    are replaced; none is lost.  About `most` windows are broadcast at once; a larger
+    benchmark takes one pass for each part, merged by row.
     """
     textkit.bounded_batches(docs.sparkSession)
     made = ("n_words", "hit", "items", "n_hit", "n_items", "items_sha256", "contaminated")
     docs = docs.select(*[c for c in docs.columns if c not in made])
+    text, row = textkit.fresh("text", docs.columns), textkit.fresh("row", docs.columns)
     if keep_text:
-        docs = docs.withColumn("_text", F.col("text"))
-    blocks, held = [], []
-    n = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        n += len(row["text"] or "") // 2 + 1  # no more windows than that
-        if n >= most:
-            blocks.append(Windows.of(held, size))
-            held, n = [], 0
-    if held or not blocks:
-        blocks.append(Windows.of(held, size))
-    if len(blocks) == 1:
-        found = _hits(docs, blocks[0], k, False).drop("hit")
+        docs = docs.withColumn(text, F.col("text"))
+    tables = textkit.Tables(docs.sparkSession, "decontam")
+    every = tables.write(windows(benchmark, size), "windows")
+    parts = max(1, -(-every.count() // most))
+    part = lambda i: Windows(every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == i).toArrow(), size)
+    if parts == 1:
+        found = _hits(docs, part(0), k, False).drop("hit")
     else:
-        keyed = textkit.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
-        parts = [_hits(keyed.select("_row", "text"), w, k, True) for w in blocks]
-        union = parts[0]
-        for p in parts[1:]:
+        keyed = textkit.written(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+        found = [tables.write(_hits(keyed.select(row, "text"), part(i), k, True).where(f"{i} = 0 or n_hit > 0"), f"part{i}") for i in range(parts)]
+        union = found[0]
+        for p in found[1:]:
             union = union.unionByName(p)
-        both = union.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = keyed.drop("text").join(both.select("_row", "n_words", F.pandas_udf(_united, "long")("hits").alias("n_hit"), "items"), "_row").drop("_row")
+        both = union.groupBy(row).agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        both = textkit.written(both.select(row, "n_words", F.pandas_udf(_united, "long")("hits").alias("n_hit"), "items"), "decontam-hits")
+        found = keyed.drop("text").join(both, row).drop(row)
+    tables.drop()
     listed = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
-        *[F.col("_text").alias("text") if c == "_text" else c for c in docs.columns if c != "text"], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        *[F.col(text).alias("text") if c == text else c for c in docs.columns if c != "text"], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), "items", (F.col("n_hit") > 0).alias("contaminated"),
     )
 

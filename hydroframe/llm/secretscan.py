@@ -378,7 +378,7 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, text: str = "text"
     textkit.bounded_batches(docs.sparkSession)
     names = ["secrets", "n_secrets", "clean_text"]
     keep = [c for c in docs.columns if c not in names]
-    with_path = docs.select(*keep, (F.coalesce(F.col(path).cast("string"), F.lit("")) if path in keep else F.lit("")).alias("_path"))
+    with_path = docs.select(*keep, (F.coalesce(F.col(path).cast("string"), F.lit("")) if path in keep else F.lit("")).alias(textkit.fresh("path", keep)))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "secrets array<struct<start: bigint, end: bigint, score: double>>", "n_secrets bigint", "clean_text string"])
     place = keep.index(text)

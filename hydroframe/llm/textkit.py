@@ -16,8 +16,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 MAX_BATCH_BYTES = 4 << 20
@@ -303,6 +305,51 @@ class Tables:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def least(rows: DataFrame, most: int) -> DataFrame:
+    """Of rows (grp string, name long, tie long), the `most` least distinct (name, tie) of each grp.
+
+    Every task keeps as many, then 32 tasks merge what these kept, then one: no task
+    reads more than `most` rows of a group from each that it merges, however the rows lie.
+    """
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lambda parts: pd.concat(parts).drop_duplicates().sort_values(["name", "tie"]).groupby("grp").head(most)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > 200_000:
+                held = [cut(held)]
+                size = 0
+        if held:
+            yield cut(held)
+
+    schema = "grp string, name long, tie long"
+    once = rows.select("grp", "name", "tie").mapInPandas(trimming(keep), schema).withColumn("salt", F.spark_partition_id() % 32)
+    return once.repartition(32, "salt").select("grp", "name", "tie").mapInPandas(keep, schema).repartition(1).mapInPandas(keep, schema)
+
+
+def chosen(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """(name, group, text) of rows with the `most` least (name, hash of the text) of each group; rows that are alike in all count once.
+
+    Two scans: one of hashes for the bounds, one for the texts within them.
+    """
+    tied = rows.select("name", group, "text", F.xxhash64("text").alias("tie"))
+    bounds = least(tied.select(F.col(group).cast("string").alias("grp"), "name", "tie"), most).groupBy("grp").agg(F.max(F.struct("name", "tie")).alias("last"))
+    bounds = rows.sparkSession.createDataFrame(bounds.select("grp", "last.name", "last.tie").collect(), "grp string, last_name long, last_tie long")  # one row a group
+    within = (F.col("name") < F.col("last_name")) | ((F.col("name") == F.col("last_name")) & (F.col("tie") <= F.col("last_tie")))
+    met = tied.join(F.broadcast(bounds), (F.col(group).cast("string") == F.col("grp")) & within)
+    return met.groupBy("name", group, "tie").agg(F.first("text").alias("text")).select("name", group, "text")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A name for a column of an operator's own that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
