@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.llm import textkit
@@ -139,26 +139,33 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
 
 
 def train(rated: DataFrame, levels: int, sample: int = SAMPLE, seed: int = 3) -> Model:
-    """Fit on `sample` rows of each grade of rated (doc_id, grade, text), chosen by a hash of doc_id.
+    """Fit on at most `sample` rows of each grade of rated (doc_id, grade, text), chosen by a hash of doc_id, then of the text.
 
     Rows with a null text or a grade that is null or not in 0 .. levels - 1 aren't
-    used.  Without rows every weight is 0 and the thresholds are evenly placed.
+    used; rows that repeat count once.  Without rows every weight is 0 and the
+    thresholds are evenly placed.
     """
     textkit.bounded_batches(rated.sparkSession)
     rows = rated.where(F.col("text").isNotNull() & F.col("grade").between(0, levels - 1)).select(F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("name"), F.col("grade").cast("int").alias("grade"), "text")
-    order = Window.partitionBy("grade").orderBy("name")
-    chosen = rows.select("grade", "name").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).groupBy("grade").agg(F.max("name").alias("most"))
-    limits = {r["grade"]: r["most"] for r in chosen.collect()}  # one row a grade
-    if not limits:
+    got = _bags(textkit.chosen(rows, "grade", sample)).toPandas().sort_values(["name", "grade", "bucket", "value"], ignore_index=True)
+    if not len(got):
         return Model(np.zeros(1 << BITS), np.arange(levels - 1) - (levels - 2) / 2)
-    within = F.lit(False)
-    for grade, most in limits.items():
-        within = within | ((F.col("grade") == grade) & (F.col("name") <= most))
-    got = _bags(rows.where(within)).toPandas().sort_values(["name", "grade", "bucket", "value"], ignore_index=True)
     bags = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32).astype(float)) for b, v in zip(got["bucket"], got["value"], strict=True)]
     return fit(bags, got["grade"].to_numpy(), levels, seed=seed)
 
 
+def sampled(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, grade, text) of at most `sample` graded (doc_id, grade) documents of each grade, chosen by a hash of doc_id.
+
+    The ids are chosen before the texts are looked at, so that no texts are shuffled
+    but those chosen.  Of documents that share a doc_id the least text is taken.
+    """
+    known = grades.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").where("grade is not null")
+    names = known.select(F.col("grade").cast("string").alias("grp"), F.xxhash64("doc_id").alias("name"), F.col("doc_id").cast("long").alias("tie"))
+    ids = textkit.least(names, sample).select(F.col("tie").alias("doc_id"), F.col("grp").cast("int").alias("grade"))  # `sample` a grade
+    return docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+
+
 def rate(docs: DataFrame, model: Model, good: int, least: float = 0.5, text: str = "text") -> DataFrame:
     """Every row with expected_grade, tail_probability of a grade of at least `good`, and selected (at least `least`).
 

@@ -91,7 +91,7 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs.join(quality.graded(table(spark, sf_dir, "labels")), "doc_id"), levels=3)
+    model = quality.train(quality.sampled(docs, quality.graded(table(spark, sf_dir, "labels"))), levels=3)
     return quality.rate(docs, model, good=2, least=0.5).drop("text")
 
 
