@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.llm import textkit
@@ -171,24 +171,17 @@ def _step(model: Model, rows: list, labels: np.ndarray, rate: float) -> None:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, epochs: int = 6, rate: float = 2.0, seed: int = 7, least: float = 0.5) -> Model:
-    """Fit a model on `sample` texts of each language, chosen by a hash of key among all rows that have one.
+    """Fit a model on at most `sample` texts of each language, chosen by a hash of key, then of the text, among all rows that have one.
 
-    Rows with a null text or language aren't used.  Without any row the model knows
-    no language and every prediction is `und`.
+    Rows with a null text or language aren't used; rows that repeat count once.
+    Without any row the model knows no language and every prediction is `und`.
     """
     textkit.bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("name"), text)
-    order = Window.partitionBy("lang").orderBy("name")
-    chosen = rows.select("lang", "name").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).groupBy("lang").agg(F.max("name").alias("most"))
-    limits = {r["lang"]: r["most"] for r in chosen.collect()}  # one row a language
-    if not limits:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("name"), F.col(text).alias("text"))
+    got = _bags(textkit.chosen(rows, "lang", sample), seed).toPandas().sort_values(["name", "lang", "part", "bucket", "share"], ignore_index=True)
+    languages = sorted(set(got["lang"]))
+    if not languages:
         return Model([], np.zeros((1 << BITS, DIM)), np.zeros((DIM, 0)), np.zeros(0), 1.0, least)
-    # The sampled rows by those bounds, so that no texts are shuffled.
-    within = F.lit(False)
-    for name, most in limits.items():
-        within = within | ((F.col("lang") == name) & (F.col("name") <= most))
-    got = _bags(rows.where(within).select("name", "lang", text), seed).toPandas().sort_values(["name", "lang", "part", "bucket", "share"], ignore_index=True)
-    languages = sorted(limits)
     label = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     bags = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32).astype(np.float64)) for b, s in zip(got["bucket"], got["share"], strict=True)]
     apart = (got["name"].to_numpy() & 7) == 0
