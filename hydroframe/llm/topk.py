@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, STRIP = 4096, 2048, 256
+#: Rows of a block at most, and bytes of its weights; queries that are scored at once.
+QUERY_BLOCK, CANDIDATE_BLOCK, BLOCK_BYTES, STRIP = 16384, 8192, 32 << 20, 256
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -88,11 +89,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     gets all of them; empty tables give no rows.
     """
     spark = vectors.sparkSession
-    n, m = vectors.count(), queries.count()
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("weights")), F.lit(0))).first()
+    m = queries.count()
     schema = "query_id long, vec_id long, score long"
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks, groups = math.ceil(n / CANDIDATE_BLOCK), math.ceil(m / QUERY_BLOCK)
+    fit = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    # More blocks than memory asks for copy queries to more tasks; only as many as there are cores.
+    blocks = max(math.ceil(n / min(CANDIDATE_BLOCK, fit)), min(math.ceil(n / 512), spark.sparkContext.defaultParallelism))
+    groups = math.ceil(m / min(QUERY_BLOCK, fit))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("asked"), "vec_id", "weights")
     right = queries.select(every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("asked"), "vec_id", "weights")

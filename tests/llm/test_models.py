@@ -1,5 +1,6 @@
 """Operators 5, 7, 9 and 10, and the pipeline."""
 
+import math
 import random
 
 import numpy as np
@@ -208,3 +209,112 @@ def test_near_duplicates_as_brute_force(spark):
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted(wanted, key=str) and {t for i, t in got if i == 5} >= {text(1, 0)}
+
+
+def test_a_sample_is_bounded_on_ties(spark):
+    """Of 3,000 rows of one doc_id, and of rows without one, no more than the sample goes to the driver."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), (F.col("id") % 3).cast("int").alias("grade"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(5)
+    tied = rows.select(F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("name"), "grade", "text")
+    got = textkit.chosen(tied.unionByName(tied), "grade", 50).collect()
+    assert len(got) == 150 and len({(r["grade"], r["text"]) for r in got}) == 150
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    every = sorted((r["name"], signed(xxhash.xxh64_intdigest(r["text"].encode(), 42)), r["text"]) for r in tied.where("grade = 1").collect())
+    assert {r["text"] for r in got if r["grade"] == 1} == {t for *_, t in every[:50]}
+
+
+def test_graded_texts_are_chosen_by_id(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(3, "b"), (3, "a"), (5, None), (None, "x")], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, grade int")
+    got = quality.sampled(docs, grades, 10).collect()
+    assert len(got) == 20 and all(r["grade"] == r["doc_id"] % 2 for r in got)
+    assert {(r["doc_id"], r["text"]) for r in quality.sampled(docs, grades, 1000).collect()} == {(i, "a" if i == 3 else f"t{i}") for i in range(40)}
+    assert quality.sampled(docs.limit(0), grades).count() == 0
+
+
+def test_scores_as_written_out(spark):
+    """Expected grade and tail from the model's weights, feature by feature."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    model = quality.Model(draw.normal(size=1 << quality.BITS), np.array([-0.5, 0.75]))
+    texts = ["Some words, some MARKS!! and 12", "", None, "again again again", "été"]
+    got = quality.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, good=2).collect()
+    weights = model.weights.astype(np.float32)
+    for r in got:
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        _, bucket, value = quality.features(raw, np.array([0, len(raw)]))
+        score = sum(float(weights[b]) * float(v) for b, v in zip(bucket, value, strict=True))
+        tails = [1 / (1 + math.exp(t - score)) for t in (-0.5, 0.75)]
+        assert abs(r["expected_grade"] - sum(tails)) < 1e-6 and abs(r["tail_probability"] - tails[1]) < 1e-6 and r["selected"] == (tails[1] >= 0.5)
+
+
+def test_gradient_of_the_ordinal_loss():
+    """One step of a fit from zero goes down the loss as finite differences do."""
+    import numpy as np
+
+    bags = [(np.array([i % 3, 3 + i % 2], np.int32), np.ones(2)) for i in range(32)]
+    grades = np.array([i % 3 for i in range(32)])
+    before, after = quality.fit(bags, grades, 3, epochs=1), quality.fit(bags, grades, 3, epochs=40)
+
+    def loss(m):
+        cuts = np.concatenate([[-np.inf], m.thresholds, [np.inf]])
+        total = 0.0
+        for (b, v), y in zip(bags, grades, strict=True):
+            s = float((m.weights[b] * v).sum())
+            total -= math.log(1 / (1 + math.exp(min(s - cuts[y + 1], 500))) - 1 / (1 + math.exp(min(s - cuts[y], 500))))
+        return total
+
+    assert loss(after) < 0.5 * loss(before) and (np.diff(after.thresholds) > 0).all()
+
+
+def test_visibility_and_sizes_of_tables():
+    assert html.render("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<ul><li>no<li style=visibility:visible>li</ul></div>z") == "a\nyes\n\n- li\n\nz"
+    assert html.render("<p style='visibility:hidden'>no<p style='display:none'>no<span style='visibility:visible'>no</span>") == ""
+    assert html.render("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>x<tr style='visibility:visible'><td>y</table>").split() == ["x", "y"]
+    wide = "<table><tr><td>" + "x" * 50_000 + "<td>end" + "<tr><td>a<td>b" * 3000 + "</table>"
+    assert len(html.render(wide)) < 6 * len(wide)
+    far = "<table><tr>" + "".join(f"<td>{'y' * 80}" for _ in range(900)) + "<tr><td colspan=899><td>x" * 2000 + "</table>"
+    assert len(html.render(far)) < 6 * len(far) and html.render(far).split().count("x") == 2000
+    nest = "<table><tr><td>" + "<table><tr><td>aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa<tr><td>b<td>" * 200
+    assert len(html.render(nest)) < 60 * len(nest)
+
+
+def test_tables_as_a_matrix():
+    """Random tables with spans against a matrix of columns, filled cell by cell."""
+    draw = random.Random(9)
+    for _ in range(300):
+        height, rows, matrix = draw.randint(1, 6), [], {}
+        for r in range(height):
+            cells, c = [], 0
+            for k in range(draw.randint(0, 4)):
+                while (r, c) in matrix:
+                    c += 1
+                wide, high = draw.choice([1, 1, 2, 3]), draw.choice([1, 1, 2, 3])
+                word = f"w{r}{k}" + "o" * draw.randint(0, 9)
+                for i in range(r, r + high):
+                    for j in range(c, c + wide):
+                        matrix.setdefault((i, j), None)
+                matrix[r, c] = word
+                cells.append(f"<td colspan={wide} rowspan={high}>{word}")
+                c += wide
+            rows.append("<tr>" + "".join(cells))
+        texts = {k: v for k, v in matrix.items() if v}
+        used = sorted({c for _, c in texts})
+        start, at = {}, 0
+        for i, c in enumerate(used):
+            start[c] = at
+            if i + 1 < len(used):
+                at += max(len(v) for (_, j), v in texts.items() if j == c) + 2 * min(2, used[i + 1] - c)
+        want = []
+        for r in range(height):
+            line = ""
+            for c in used:
+                if (r, c) in texts:
+                    line = line.ljust(start[c]) + texts[r, c]
+            if line:
+                want.append(line)
+        got = html.render("<table>" + "".join(rows) + "</table>")
+        assert [x.strip() for x in got.splitlines() if x] == [x.strip() for x in want]
+        assert "\n".join(x for x in got.splitlines() if x) == "\n".join(want)

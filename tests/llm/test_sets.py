@@ -174,3 +174,40 @@ def test_contamination_as_brute_force(spark, most):
     assert not any(r["contaminated"] for r in decontam.contamination(frame, items.limit(0)).collect())
     assert decontam.contamination(frame.limit(0), items).count() == 0
     assert "text" in decontam.contamination(frame, items, keep_text=True).columns
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_collide_under_a_polynomial(spark):
+    one, two = thue_morse(1024)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.classes(docs).collect()} == {(1, 1), (2, 2)}
+    items = spark.createDataFrame([(5, two)], "item_id long, text string")
+    assert {(r["doc_id"], r["n_hit"]) for r in decontam.contamination(docs, items).collect()} == {(1, 0), (2, 1)}
+
+
+def test_occurrences_are_proved_by_bytes(spark, monkeypatch):
+    """With hashes that all agree, the bytes alone decide."""
+    import numpy as np
+
+    rows = [(1, "alpha beta gamma"), (2, "delta eps zeta"), (3, "x alpha-beta gamma y")]
+    data = np.frombuffer(b"".join(t.encode() for _, t in rows), np.uint8)
+    at = np.cumsum([0, *(len(t) for _, t in rows)])
+    starts, ends = decontam.textkit.runs(decontam.textkit.ALNUM[data], at)
+    import pyarrow as pa
+
+    windows = decontam.Windows(pa.table({"window": pa.array([b"alpha beta gamma "]), "items": pa.array([[7]])}), 3)
+    first, window = np.array([0, 3, 6, 7]), np.zeros(4, int)
+    assert decontam._proved(first, window, windows, data, starts, ends).tolist() == [True, False, False, True]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 8])
+def test_columns_of_docs_stay(spark, most):
+    frame = spark.createDataFrame([(1, "one", "a", "b", "c")], "doc_id long, text string, _text string, _row string, row string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for keep in (True, False):
+        got = decontam.contamination(frame, items, most=most, keep_text=keep).collect()
+        assert [(r["_text"], r["_row"], r["row"], r["n_hit"]) for r in got] == [("a", "b", "c", 1)]
+        assert not keep or got[0]["text"] == "one"
