@@ -62,6 +62,10 @@ def wkt_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(xmin, ymin), corner(xmax, ymin), corner(xmax, ymax), corner(xmin, ymax), corner(xmin, ymin)), F.lit("))"))
 
 
+def wkt_point(x: Column, y: Column) -> Column:
+    return F.concat(F.lit("POINT ("), x.cast("double").cast("string"), F.lit(" "), y.cast("double").cast("string"), F.lit(")"))
+
+
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     """Piecewise linear through ascending xs and their ys; the end values beyond."""
     pick = lambda a, i: F.get(a, i)

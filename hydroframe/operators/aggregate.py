@@ -39,9 +39,13 @@ def time_aggregate(values: DataFrame, steps: DataFrame, requests: list[Request],
     """One row for each entity of values (key, t, variables), one column for each request.
 
     The window joins as a small dimension; all requests share one scan and one
-    aggregate with partial sums.  Bounds of the window are also filters of the scan.
+    aggregate with partial sums.  Bounds of the window are also filters of the scan: its
+    end, and the last step at or before its start, which the dimension has.
     """
     win = window(steps, start, end)
+    if start is not None:
+        held = steps.where(F.col("t") <= start).agg(F.max("t").alias("t"))
+        values = values.where(F.col("t") >= F.coalesce(held.scalar(), F.lit(float("-inf"))))
     if end is not None:
         values = values.where(F.col("t") < end)
     inputs = values.columns

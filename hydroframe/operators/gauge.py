@@ -45,7 +45,7 @@ def totals(crossed: DataFrame, flows: DataFrame) -> DataFrame:
 def discharge_series(crossed: DataFrame, line_ts: DataFrame) -> DataFrame:
     """gauge, t, q: the signed sum at each step, NULL if a line has no value there."""
     q = F.col("q") * F.col("direction")
-    joined = line_ts.select(F.col("entity_id").alias("id"), "t", "q").join(F.broadcast(crossed), "id")
+    joined = line_ts.select(F.col("entity_id").alias("id"), "t", "q").join(crossed, "id")
     return joined.groupBy("gauge", "t").agg(F.when(F.count(q) < F.count(F.lit(1)), None).otherwise(F.sum(q)).alias("q"))
 
 

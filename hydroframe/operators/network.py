@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,45 +16,83 @@ from hydroframe.functions import geometry as G
 SWEEPS = 100
 
 
+#: Classes of a gradient table at most; it is broadcast.
+MOST_CLASSES = 1_000_000
+
+
 def upstream_distance(pipes: DataFrame) -> DataFrame:
-    """id, distance: a pipe's length and the longest way of pipes (id, src, dst, length) upstream of it.
+    """id, distance: a pipe's length and the distance of the farthest node upstream of it, by pipes (id, src, dst, length).
 
-    Every round the nodes whose way grew hand it on to the pipes that leave them; so
-    there are as many rounds as the longest way has pipes.  A cycle never settles, and
-    raises once there were more rounds than pipes.
+    The distance of two nodes is the shortest way along the pipes, so branches that
+    meet again count once, and cycles do no harm.  Every round the ways that became
+    shorter are handed on to the pipes that leave their ends; so there are as many
+    rounds as the shortest ways have pipes.  Lengths under 0 raise.
     """
     edges = _cut(pipes.select("id", "src", "dst", "length"))
-    n = edges.count()
-    best = edges.groupBy(F.col("dst").alias("node")).agg(F.max("length").alias("way"))
-    grown, rounds = best, 0
-    while True:
-        handed = edges.join(grown, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("length") + F.col("way")).alias("new"))
-        merged = _cut(best.join(handed, "node", "full").select("node", F.greatest("way", "new").alias("way"), (F.col("new") > F.coalesce("way", F.lit(-1.0))).alias("grew")))
-        best, grown = merged.select("node", "way"), merged.where("grew").select("node", "way")
-        if grown.limit(1).count() == 0:
-            break
-        rounds += 1
-        if rounds > n:
-            raise ValueError("the network has a cycle")
-    return edges.join(best.withColumnRenamed("node", "src"), "src", "left").select("id", (F.col("length") + F.coalesce("way", F.lit(0.0))).alias("distance"))
+    if edges.where("length < 0").limit(1).count():
+        raise ValueError("a pipe has a negative length")
+    steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("length").alias("length"))
+    best = _cut(steps.select(F.col("src").alias("far"), F.col("dst").alias("node"), F.col("length").alias("way")))
+    grown = best
+    while grown.limit(1).count():
+        handed = grown.join(steps.select(F.col("src").alias("node"), "dst", "length"), "node").where("far <> dst")
+        handed = handed.groupBy("far", F.col("dst").alias("node")).agg(F.min(F.col("way") + F.col("length")).alias("new"))
+        merged = _cut(best.join(handed, ["far", "node"], "full").select("far", "node", F.least("way", "new").alias("way"), (F.col("new") < F.coalesce("way", F.lit(float("inf")))).alias("grew")))
+        best, grown = merged.select("far", "node", "way"), merged.where("grew").select("far", "node", "way")
+    farthest = best.groupBy(F.col("node").alias("src")).agg(F.max("way").alias("way"))
+    return edges.join(farthest, "src", "left").select("id", (F.col("length") + F.coalesce("way", F.lit(0.0))).alias("distance"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: through the folder of checkpoints if one is set, else as it is, cached."""
+    """df without its lineage, through the folder of checkpoints; without one, a local session gets a temporary folder."""
     sc = df.sparkSession.sparkContext
-    top = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if top and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(top)
-    return df.cache() if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        top = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not top and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="hydroframe-"))
+    return df.checkpoint()
+
+
+def classes_of(table: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """The classes (low, high, gradient; half open) as parts that don't overlap, each with the first class that holds it."""
+    ends = sorted({x for low, high, _ in table for x in (low, high)})
+    starts: dict[float, list[int]] = {}
+    for i, (low, _, _) in enumerate(table):
+        starts.setdefault(low, []).append(i)
+    out, open_classes = [], []
+    for a, b in zip(ends, ends[1:], strict=False):
+        for i in starts.get(a, ()):
+            heapq.heappush(open_classes, i)
+        while open_classes and table[open_classes[0]][1] <= a:
+            heapq.heappop(open_classes)
+        if open_classes:
+            out.append((a, b, table[open_classes[0]][2]))
+    return out
 
 
 def gradient_of(rows: DataFrame, table: DataFrame, distance: str = "distance") -> DataFrame:
-    """rows with the gradient of the first class (low, high, gradient; half open) that holds the distance, else NULL; the table is small."""
-    classes = [(r["low"], r["high"], r["gradient"]) for r in table.orderBy("place" if "place" in table.columns else "low").limit(10_000).collect()]
-    found = F.lit(None).cast("double")
-    for low, high, gradient in reversed(classes):
-        found = F.when((F.col(distance) >= low) & (F.col(distance) < high), F.lit(float(gradient))).otherwise(found)
-    return rows.withColumn("gradient", found)
+    """rows with the gradient of the first class (low, high, gradient; half open) that holds the distance, else NULL.
+
+    The table is a dimension: up to MOST_CLASSES rows, more raise.  Its classes, cut where
+    they overlap, are looked up by their sorted bounds, batch by batch.
+    """
+    classes = [(float(r["low"]), float(r["high"]), float(r["gradient"])) for r in table.orderBy("place" if "place" in table.columns else "low").limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"a gradient table has at most {MOST_CLASSES} classes")
+    parts = np.array(classes_of(classes)).reshape(-1, 3)
+    sent = rows.sparkSession.sparkContext.broadcast(parts)
+
+    def look_up(d: pd.Series) -> pd.Series:
+        low, high, gradient = sent.value.T
+        if not len(low):
+            return pd.Series(np.full(len(d), np.nan))
+        i = np.searchsorted(low, d.to_numpy(float), "right") - 1
+        inside = (i >= 0) & (d.to_numpy(float) < high[np.maximum(i, 0)])
+        return pd.Series(np.where(inside, gradient[np.maximum(i, 0)], np.nan))
+
+    found = F.pandas_udf(look_up, "double")(F.col(distance).cast("double"))
+    return rows.withColumn("gradient", found).withColumn("gradient", F.when(~F.isnan("gradient"), F.col("gradient")))
 
 
 def check_gradients(table: list[tuple[float, float, float]], diagonal: float) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.operators.raster import NODATA, Grid, sample, zonal_min
@@ -61,10 +61,25 @@ def bank_level(sections: DataFrame, pixels: DataFrame, grid: Grid, key: str = "i
     return sides.select(key, F.round(F.least("left", "right"), 3).alias("bank_level"))
 
 
-def drain_level(manholes: DataFrame, pixels: DataFrame, grid: Grid, radius: float, overwrite: bool = False, value: str = "value") -> DataFrame:
-    """manholes with drain_level: the lowest ground around connected ones that lack a level (or all, to overwrite)."""
+#: Kinds of manholes that are connected, by name and code, and the indicator of inspection manholes.
+CONNECTED, INSPECTION = ["connected", "double_connected", "102", "105"], ["inspection", "0"]
+
+
+def takes_level(columns: list[str], connected_only: bool, inspection_only: bool) -> Column:
+    """Whether a manhole gets a level: both rules are optional, and don't count without their column."""
+    rule = F.lit(True)
+    if connected_only and "calculation_type" in columns:
+        rule = rule & F.coalesce(F.lower(F.col("calculation_type").cast("string")).isin(CONNECTED), F.lit(False))
+    if inspection_only and "manhole_indicator" in columns:
+        rule = rule & F.coalesce(F.lower(F.col("manhole_indicator").cast("string")).isin(INSPECTION), F.lit(False))
+    return rule
+
+
+def drain_level(manholes: DataFrame, pixels: DataFrame, grid: Grid, radius: float, overwrite: bool = False, value: str = "value", connected_only: bool = True, inspection_only: bool = False) -> DataFrame:
+    """manholes with drain_level: the lowest ground around those that the rules take and that lack a level (or all of them, to overwrite)."""
     lowest = zonal_min(manholes, pixels, grid, radius, value)
-    new = F.when((F.col("calculation_type") == "connected") & (F.col("drain_level").isNull() | F.lit(overwrite)) & F.col("lowest").isNotNull(), F.col("lowest")).otherwise(F.col("drain_level"))
+    taken = takes_level(manholes.columns, connected_only, inspection_only) & (F.col("drain_level").isNull() | F.lit(overwrite))
+    new = F.when(taken & F.col("lowest").isNotNull(), F.col("lowest")).otherwise(F.col("drain_level"))
     return manholes.join(lowest, "id", "left").withColumn("drain_level", new).drop("lowest")
 
 

@@ -41,3 +41,15 @@ def step_label(name: Column, asked: Column, got: Column) -> Column:
     """name_<step>, or both steps where another than the asked one came."""
     clean = lambda c: F.regexp_replace(c, "[-:]", "")
     return F.when(asked == got, F.concat_ws("_", name, clean(got))).otherwise(F.concat_ws("_", name, F.lit("get"), clean(asked), F.lit("got"), clean(got)))
+
+
+def with_source(style: Column, token: str, source: Column) -> Column:
+    """A style's text with another source in the place of every <token>...</token>'s content."""
+    return F.regexp_replace(style, F.lit(f"<{token}>[^<]*</{token}>"), F.concat(F.lit(f"<{token}>"), source, F.lit(f"</{token}>")))
+
+
+def request_payload(uuid: Column, west: Column, south: Column, east: Column, north: Column, size: Column) -> Column:
+    """The JSON of a request for a raster within bounds: its box as text, and width and height in whole pixels."""
+    box = F.concat_ws(",", *(c.cast("string") for c in (west, south, east, north)))
+    pixels = lambda a, b: F.ceil(F.round((b - a) / size, 5)).cast("int")
+    return F.to_json(F.struct(uuid.alias("raster"), box.alias("bbox"), pixels(west, east).alias("width"), pixels(south, north).alias("height")))

@@ -68,6 +68,28 @@ def thalweg(y: list[float], z: list[float]) -> float:
     return float(np.interp(sum(low) / len(low), range(len(y)), y))
 
 
+def thalweg_of(y: Column, z: Column) -> Column:
+    """thalweg, for arrays."""
+    from hydroframe.functions.geometry import interpolate
+
+    places = F.transform(F.sequence(F.lit(0), F.size(z) - 1), lambda i: i.cast("double"))
+    low = F.filter(places, lambda i: F.get(z, i.cast("int")) == F.array_min(z))
+    mean = F.aggregate(low, F.lit(0.0), lambda s, i: s + i) / F.size(low)
+    return F.when(F.size(z) > 0, interpolate(mean, places, y))
+
+
+def offsets_of(y: Column, z: Column) -> Column:
+    """Distances of all points from the thalweg, for arrays."""
+    return F.transform(y, lambda v: v - thalweg_of(y, z))
+
+
+def unique_offsets_of(every: Column) -> Column:
+    """unique_offsets, for an array of arrays; offsets of equal size go from left to right, smaller ones first."""
+    cut = F.transform(F.flatten(every), lambda v: (v * 1000).cast("long") / 1000)
+    whole = F.array_union(F.array_distinct(cut), F.array(F.lit(0.0)))
+    return F.transform(F.array_sort(F.transform(whole, lambda v: F.struct(F.abs(v).alias("size"), v.alias("v")))), lambda s: s["v"])
+
+
 def offsets(y: list[float], z: list[float]) -> list[float]:
     middle = thalweg(y, z)
     return [v - middle for v in y]

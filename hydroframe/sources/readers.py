@@ -32,6 +32,36 @@ def lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(sep=";", header=True).csv(path)
 
 
+def lookup_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """A table of codes out of landed lines with semicolons."""
+    return lines.select(F.from_csv(column, schema, {"sep": ";"}).alias("r")).select("r.*")
+
+
+#: What begins a geometry's text, by kind.
+POINTS_OF = {"point": "POINT", "line": "LINESTRING", "polygon": "POLYGON"}
+
+
+def features(table: DataFrame, geometry: str = "wkt", layer: str | None = None, column: str = "layer") -> DataFrame:
+    """The rows of a vector table, or of one of its layers, with kind and points (array<struct<x, y>>) of their WKT.
+
+    Points, lines and polygons of one ring; other texts and NULL give no points.
+    """
+    rows = table if layer is None else table.where(F.col(column) == layer)
+    text = F.upper(F.trim(F.col(geometry)))
+    kind = F.lit(None).cast("string")
+    for name, word in POINTS_OF.items():
+        kind = F.when(text.rlike(rf"^{word} ?Z?\s*\("), name).otherwise(kind)
+    pairs = F.split(F.regexp_replace(text, r"^[A-Z ]*\(+|\)+$", ""), r"\s*,\s*")
+    number = lambda p, i: F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("double")
+    points = F.transform(pairs, lambda p: F.struct(number(p, 1).alias("x"), number(p, 2).alias("y")))
+    return rows.withColumn("kind", kind).withColumn("points", F.when(F.col("kind").isNotNull(), points))
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """name and kind of every column, in order."""
+    return df.sparkSession.createDataFrame(df.dtypes, "name string, kind string")
+
+
 def scenarios(raw: DataFrame, column: str = "value") -> DataFrame:
     """Scenario rows of landed JSON texts; a text that can't be read gives NULLs."""
     return raw.select(F.from_json(column, SCENARIO).alias("s")).select("s.*")
