@@ -49,6 +49,16 @@ def raised_by_obstacles(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return edges.join(highest, "edge", "left").select("edge", F.greatest("level", "crest").alias("level"))
 
 
+def search_precision(min_height: float) -> float:
+    """The precision of crest levels, unless one is given."""
+    return min(min_height / 10, 0.1)
+
+
+def stands_out(value: Column, lowest: Column, min_height: float, precision: float) -> Column:
+    """Whether a peak may belong to an obstacle: more than the height, less the precision, above the lowest edge."""
+    return value > lowest + (min_height - precision)
+
+
 # --- grids of numbers -------------------------------------------------------------------------------
 
 
@@ -74,6 +84,17 @@ def peaks(z: np.ndarray, prominence: float) -> list[int]:
     return out
 
 
+def line_peaks(rows: DataFrame, key: str, order: str, value: str, prominence: float) -> DataFrame:
+    """key, order, value of the peaks of each key's line, in order; one line is one group."""
+    kinds = dict(rows.dtypes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, ignore_index=True)
+        return group.loc[peaks(group[value].to_numpy(float), prominence), [key, order, value]]
+
+    return rows.select(key, order, value).groupBy(key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (key, order, value)))
+
+
 def ridge(z: np.ndarray, start: np.ndarray, end: np.ndarray) -> float | None:
     """The highest level at which start and end pixels (masks) are linked, through 8 neighbours, by pixels as high.
 
@@ -131,7 +152,7 @@ def obstacles_of_pair(z: np.ndarray, lowest_edge: float, min_height: float, prec
 
 def find_obstacles(pixels: DataFrame, pair: str, min_height: float, precision: float | None = None) -> DataFrame:
     """pair, left, right, crest of pixels (pair, row, col, z, lowest): every pair of cells on its own, as its block of pixels."""
-    precise = min(min_height / 10, 0.1) if precision is None else precision
+    precise = search_precision(min_height) if precision is None else precision
     kind = dict(pixels.dtypes)[pair]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

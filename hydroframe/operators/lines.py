@@ -46,6 +46,12 @@ def run_statistics(runs: DataFrame, group: str, value: str, length: str) -> Data
     return runs.groupBy(group, "run").agg(F.count("*").alias("n"), F.try_divide(F.sum(v * w), F.sum(w)).alias("mean"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.sum(length).alias("length"))
 
 
+def numbered_groups(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """rows with grp: within a key, in order, a new group (from 1) begins where the value changes."""
+    w = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("grp", F.sum(F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def weighted_mean(rows: DataFrame, group: str, value: str, length: str) -> DataFrame:
     w = F.when(F.col(value).isNotNull(), F.col(length))
     return rows.groupBy(group).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("mean"))
