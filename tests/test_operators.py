@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
-from hydroframe.operators import gauge, graph, leak, lines, network, raster, sampling, scenario, xsec
+from hydroframe.operators import gauge, graph, joins, leak, lines, network, raster, sampling, scenario, xsec
 from hydroframe.sources import readers
 
 
@@ -133,11 +133,58 @@ def test_pipes(spark):
     pipes = spark.createDataFrame([(3, 3, 1, 5.0), (2, 2, 1, 7.0), (1, 1, 0, 2.0), (9, 9, 8, 4.0)], "id long, src long, dst long, length double")
     assert {tuple(r) for r in network.upstream_distance(pipes).collect()} == {(3, 5.0), (2, 7.0), (1, 9.0), (9, 4.0)}
     with pytest.raises(ValueError):
-        network.upstream_distance(spark.createDataFrame([(1, 1, 2, 1.0), (2, 2, 1, 1.0)], "id long, src long, dst long, length double"))
+        network.upstream_distance(spark.createDataFrame([(1, 1, 2, -1.0)], "id long, src long, dst long, length double"))
     with pytest.raises(ValueError):
         network.check_gradients([(0, 10, 0.1)], 20)
 
 
+def test_ways_that_meet_again(spark):
+    """Distances are shortest ways, and the farthest node counts; cycles are allowed."""
+    kind = "id long, src string, dst string, length double"
+    meeting = spark.createDataFrame([(1, "a", "b", 1.0), (2, "a", "c", 5.0), (3, "c", "b", 5.0), (4, "b", "d", 1.0)], kind)
+    assert {tuple(r) for r in network.upstream_distance(meeting).collect()} == {(1, 1.0), (2, 5.0), (3, 10.0), (4, 6.0)}
+    circle = spark.createDataFrame([(1, "a", "b", 1.0), (2, "b", "a", 2.0), (3, "b", "b", 9.0)], kind)
+    assert {tuple(r) for r in network.upstream_distance(circle).collect()} == {(1, 3.0), (2, 3.0), (3, 10.0)}
+    assert network.upstream_distance(meeting.limit(0)).count() == 0
+
+
+def test_ways_as_floyd_and_warshall(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, int(draw.integers(0, 14)), int(draw.integers(0, 14)), float(draw.integers(0, 9))) for i in range(40)]
+    way = np.full((14, 14), np.inf)
+    for _, a, b, n in rows:
+        way[a, b] = min(way[a, b], n)
+    np.fill_diagonal(way, 0)
+    for k in range(14):
+        way = np.minimum(way, way[:, k : k + 1] + way[k : k + 1])
+    want = {(i, n + max(x for x in way[:, a] if x < np.inf)) for i, a, _, n in rows}
+    assert {tuple(r) for r in network.upstream_distance(spark.createDataFrame(rows, "id long, src long, dst long, length double")).collect()} == want
+
+
+def test_gradient_classes(spark):
+    """More than 10,000 classes, gaps, and classes that overlap: the first by place counts."""
+    many = spark.range(10_001).select(F.col("id").cast("double").alias("low"), (F.col("id") + 1).cast("double").alias("high"), F.col("id").cast("double").alias("gradient"))
+    rows = spark.createDataFrame([(0.5,), (10_000.5,), (10_001.0,), (-1.0,), (None,)], "distance double")
+    assert {r["distance"]: r["gradient"] for r in network.gradient_of(rows, many).collect()} == {0.5: 0.0, 10_000.5: 10_000.0, 10_001.0: None, -1.0: None, None: None}
+    draw = np.random.default_rng(6)
+    classes = [(i, float(a), float(a + n), float(i)) for i, (a, n) in enumerate(zip(draw.integers(0, 50, 30), draw.integers(1, 9, 30), strict=True))]
+    table = spark.createDataFrame(classes, "place int, low double, high double, gradient double")
+    asked = spark.createDataFrame([(x / 2,) for x in range(130)], "distance double")
+    for r in network.gradient_of(asked, table).collect():
+        assert r["gradient"] == next((g for _, a, b, g in classes if a <= r["distance"] < b), None)
+    assert all(r["gradient"] is None for r in network.gradient_of(asked, table.limit(0)).collect())
+
+
+def test_as_of_and_within(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), ("a", None, 4), (None, 5, 5)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 5, "x"), ("a", 5, "y"), ("a", 2, "z"), ("b", 10, "w"), ("a", None, "n")], "k string, t int, v string")
+    assert {(r["id"], r["v"]) for r in joins.as_of(left, right, "k", "t", "v").collect()} == {(1, "y"), (2, None), (3, None), (4, None), (5, None)}
+    points = spark.createDataFrame([(x / 4,) for x in range(-20, 60)], "at double")
+    spans = spark.createDataFrame([(1, -3.0, 4.0), (2, 4.0, 4.0), (3, 3.9, 12.5), (4, None, 1.0)], "s int, low double, high double")
+    want = {(x / 4, s) for x in range(-20, 60) for s, a, b in ((1, -3.0, 4.0), (3, 3.9, 12.5)) if a <= x / 4 < b}
+    assert {(r["at"], r["s"]) for r in joins.within(points, spans, "at", "low", "high", 2.0).collect()} == want
+
+
 def test_relaxed_levels_hold(spark):
     draw = np.random.default_rng(3)
     rows = [(i, i, i // 2, 1, float(s), float(s) - 0.1) for i, s in zip(range(1, 60), draw.normal(0, 1, 59), strict=True)]
