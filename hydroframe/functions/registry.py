@@ -23,42 +23,60 @@ METHODS = {
 # Signs with their long names.
 SIGNS = {"net": "Net", "pos": "Positive", "neg": "Negative", "abs": "Absolute", "": ""}
 
-# Short name, kind (flow, node, or a hybrid of both), signed, methods (all, no sum, none), units with multipliers, rule before resampling.
-VARIABLES = """
-q flow signed all m3/s:1,1 none
-u1 flow signed nosum m/s:1,1 none
-au flow - nosum m2:1,1 none
-qp flow signed all m3/s:1,1 none
-up1 flow signed nosum m/s:1,1 none
-ts_max flow - nosum s:1,1 none
-grad flow_hybrid signed nosum m:1,1 none
-bed_grad flow_hybrid - none m:1,1 none
-wl_at_xsec flow_hybrid - nosum m:1,1 none
-s1 node - nosum m.a.s.l.:1,1 none
-vol node - nosum m3:1,1 split
-rain node - all m3/s:1,1;m3/h:1,3600 split
-rain_depth node - all mm/s:1000,1;mm/h:1000,3600 none
-infiltration_rate_simple node - all m3/s:1,1;m3/h:1,3600 none
-infiltration_rate_simple_mm node - all mm/s:1000,1;mm/h:1000,3600 none
-su node - nosum m2:1,1 none
-uc node - nosum m/s:1,1 none
-ucx node signed nosum m/s:1,1 none
-ucy node signed nosum m/s:1,1 none
-q_lat node signed all m3/s:1,1;m3/h:1,3600 split
-q_lat_mm node signed all mm/s:1000,1;mm/h:1000,3600 none
-intercepted_volume node - nosum m3:1,1 split
-intercepted_volume_mm node - nosum mm:1000,1 none
-q_sss node signed all m3/s:1,1;m3/h:1,3600 split
-q_sss_mm node signed all mm/s:1000,1;mm/h:1000,3600 none
-q_in_x node_hybrid - all m3/s:1,1 1d
-q_in_x_mm node_hybrid - all mm/s:1000,1 1d
-q_in_y node_hybrid - all m3/s:1,1 1d
-q_in_y_mm node_hybrid - all mm/s:1000,1 1d
-q_out_x node_hybrid - all m3/s:1,1 1d
-q_out_x_mm node_hybrid - all mm/s:1000,1 1d
-q_out_y node_hybrid - all m3/s:1,1 1d
-q_out_y_mm node_hybrid - all mm/s:1000,1 1d
-"""
+
+@dataclass(frozen=True)
+class Variable:
+    """Short name, kind (flow, node, or a hybrid of both), whether it takes a sign, its methods, units with multipliers, and the rule before resampling."""
+
+    name: str
+    kind: str
+    signed: bool
+    methods: tuple[str, ...]
+    units: dict[str, tuple[float, float]]
+    resample: str
+
+
+ALL = tuple(METHODS)
+NO_SUM = tuple(m for m in METHODS if m != "sum")
+
+# The variables.
+VARIABLES = [
+    Variable("q", "flow", True, ALL, {"m3/s": (1, 1)}, "none"),
+    Variable("u1", "flow", True, NO_SUM, {"m/s": (1, 1)}, "none"),
+    Variable("au", "flow", False, NO_SUM, {"m2": (1, 1)}, "none"),
+    Variable("qp", "flow", True, ALL, {"m3/s": (1, 1)}, "none"),
+    Variable("up1", "flow", True, NO_SUM, {"m/s": (1, 1)}, "none"),
+    Variable("ts_max", "flow", False, NO_SUM, {"s": (1, 1)}, "none"),
+    Variable("grad", "flow_hybrid", True, NO_SUM, {"m": (1, 1)}, "none"),
+    Variable("bed_grad", "flow_hybrid", False, (), {"m": (1, 1)}, "none"),
+    Variable("wl_at_xsec", "flow_hybrid", False, NO_SUM, {"m": (1, 1)}, "none"),
+    Variable("s1", "node", False, NO_SUM, {"m.a.s.l.": (1, 1)}, "none"),
+    Variable("vol", "node", False, NO_SUM, {"m3": (1, 1)}, "split"),
+    Variable("rain", "node", False, ALL, {"m3/s": (1, 1), "m3/h": (1, 3600)}, "split"),
+    Variable("rain_depth", "node", False, ALL, {"mm/s": (1000, 1), "mm/h": (1000, 3600)}, "none"),
+    Variable("infiltration_rate_simple", "node", False, ALL, {"m3/s": (1, 1), "m3/h": (1, 3600)}, "none"),
+    Variable("infiltration_rate_simple_mm", "node", False, ALL, {"mm/s": (1000, 1), "mm/h": (1000, 3600)}, "none"),
+    Variable("su", "node", False, NO_SUM, {"m2": (1, 1)}, "none"),
+    Variable("uc", "node", False, NO_SUM, {"m/s": (1, 1)}, "none"),
+    Variable("ucx", "node", True, NO_SUM, {"m/s": (1, 1)}, "none"),
+    Variable("ucy", "node", True, NO_SUM, {"m/s": (1, 1)}, "none"),
+    Variable("q_lat", "node", True, ALL, {"m3/s": (1, 1), "m3/h": (1, 3600)}, "split"),
+    Variable("q_lat_mm", "node", True, ALL, {"mm/s": (1000, 1), "mm/h": (1000, 3600)}, "none"),
+    Variable("intercepted_volume", "node", False, NO_SUM, {"m3": (1, 1)}, "split"),
+    Variable("intercepted_volume_mm", "node", False, NO_SUM, {"mm": (1000, 1)}, "none"),
+    Variable("q_sss", "node", True, ALL, {"m3/s": (1, 1), "m3/h": (1, 3600)}, "split"),
+    Variable("q_sss_mm", "node", True, ALL, {"mm/s": (1000, 1), "mm/h": (1000, 3600)}, "none"),
+    Variable("q_in_x", "node_hybrid", False, ALL, {"m3/s": (1, 1)}, "1d"),
+    Variable("q_in_x_mm", "node_hybrid", False, ALL, {"mm/s": (1000, 1)}, "1d"),
+    Variable("q_in_y", "node_hybrid", False, ALL, {"m3/s": (1, 1)}, "1d"),
+    Variable("q_in_y_mm", "node_hybrid", False, ALL, {"mm/s": (1000, 1)}, "1d"),
+    Variable("q_out_x", "node_hybrid", False, ALL, {"m3/s": (1, 1)}, "1d"),
+    Variable("q_out_x_mm", "node_hybrid", False, ALL, {"mm/s": (1000, 1)}, "1d"),
+    Variable("q_out_y", "node_hybrid", False, ALL, {"m3/s": (1, 1)}, "1d"),
+    Variable("q_out_y_mm", "node_hybrid", False, ALL, {"mm/s": (1000, 1)}, "1d"),
+]
+
+BY_NAME = {v.name: v for v in VARIABLES}
 
 # Kinds of flowlines whose flow doesn't limit the time step, those whose direction is turned, and of nodes.
 NOT_REDUCING = [3, 4, 51, 52, 53, 54, 55, 56, 57, 58, 150, 200, 300, 400, 500]
@@ -77,31 +95,6 @@ PRESETS = {
 }
 
 
-@dataclass(frozen=True)
-class Variable:
-    name: str
-    kind: str
-    signed: bool
-    methods: tuple[str, ...]
-    units: dict[str, tuple[float, float]]
-    resample: str
-
-
-def _variables() -> dict[str, Variable]:
-    out = {}
-    for line in VARIABLES.split("\n"):
-        if not line.strip():
-            continue
-        name, kind, signed, methods, units, resample = line.split(" ")
-        allowed = {"all": tuple(METHODS), "nosum": tuple(m for m in METHODS if m != "sum"), "none": ()}[methods]
-        parts = {u.rpartition(":")[0]: tuple(map(float, u.rpartition(":")[2].split(","))) for u in units.split(";")}
-        out[name] = Variable(name, kind, signed == "signed", allowed, parts, resample)
-    return out
-
-
-BY_NAME = _variables()
-
-
 def of_kind(*kinds: str) -> list[str]:
     return [v.name for v in BY_NAME.values() if v.kind in kinds]
 

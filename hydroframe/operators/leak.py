@@ -165,6 +165,59 @@ def find_obstacles(pixels: DataFrame, pair: str, min_height: float, precision: f
     return pixels.groupBy(pair).applyInPandas(run, f"{pair} {kind}, left int, right int, crest double")
 
 
+def ends_on(obstacles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, side, cell, row, col: where obstacles of a pair's side edges stand on the edge between its cells.
+
+    obstacles is (edge, from_edge, from_row, from_col, to_edge, to_row, to_col), one row for each
+    edge that one is assigned to, with rows and columns of the pair's block; pairs is (pair,
+    middle, left_1, left_2, right_1, right_2): the edge between the cells, and those of the
+    reference cell (1) and of the other one (2) next to it on both sides.  An obstacle without an
+    end on the middle edge isn't taken.
+    """
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(k).alias("cell"), F.col(f"{side}_{k}").alias("edge")) for side in ("left", "right") for k in (1, 2))))
+    asked = pairs.select("pair", "middle", sides.alias("s")).select("pair", "middle", "s.*").where("edge is not null")
+    met = asked.join(obstacles, "edge").where("from_edge = middle or to_edge = middle")
+    at = lambda c: F.when(F.col("from_edge") == F.col("middle"), F.col(f"from_{c}")).otherwise(F.col(f"to_{c}"))
+    return met.select("pair", "side", "cell", at("row").alias("row"), at("col").alias("col")).distinct()
+
+
+def connecting_obstacles(pixels: DataFrame, ends: DataFrame, middle: DataFrame, min_height: float, precision: float | None = None) -> DataFrame:
+    """pair, edge, crest, from_row, from_col, to_row, to_col: obstacles that close the gap where a skewed ridge changes sides.
+
+    The second pass: an end on the middle edge of an obstacle left of one cell is connected with
+    those of obstacles right of the other cell (ends: pair, side, cell, row, col), if pixels (pair,
+    row, col, z) link both high enough above the edge's level (middle: pair, edge, level).  Every
+    pair of cells is worked on by itself, as its block of pixels; only pairs with ends are.
+    """
+    precise = search_precision(min_height) if precision is None else precision
+    kinds = dict(middle.dtypes)
+    asked = ends.join(middle, "pair")
+    blocks = pixels.join(asked.select("pair").distinct(), "pair", "left_semi")
+    names = ["pair", "edge", "crest", "from_row", "from_col", "to_row", "to_col"]
+
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block) and len(found):
+            rows, cols = block["row"].to_numpy(int), block["col"].to_numpy(int)
+            top, left = rows.min(), cols.min()
+            z = np.full((rows.max() - top + 1, cols.max() - left + 1), float(block["z"].min()))
+            z[rows - top, cols - left] = block["z"].to_numpy(float)
+            for side in (1, 2):  # left of one cell with right of the other
+                starts = found[(found["side"] == "left") & (found["cell"] == side)].sort_values(["row", "col"])
+                stops = found[(found["side"] == "right") & (found["cell"] == 3 - side)].sort_values(["row", "col"])
+                for a in starts.itertuples():
+                    for b in stops.itertuples():
+                        start, end = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
+                        start[a.row - top, a.col - left], end[b.row - top, b.col - left] = True, True
+                        crest = ridge(z, start, end)
+                        if crest is not None and crest > a.level + min_height - precise:
+                            out.append((a.pair, a.edge, crest, a.row, a.col, b.row, b.col))
+        return pd.DataFrame(out, columns=names)
+
+    schema = f"pair {kinds['pair']}, edge {kinds['edge']}, crest double, from_row int, from_col int, to_row int, to_col int"
+    return blocks.groupBy("pair").cogroup(asked.groupBy("pair")).applyInPandas(run, schema)
+
+
 def cell_pairs(neighbours: DataFrame) -> DataFrame:
     """Reference cells with their top and right neighbours."""
     return neighbours.where(F.col("location").isin("top", "right"))

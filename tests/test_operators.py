@@ -361,3 +361,22 @@ def test_read_sections(spark):
     got = {r["id"]: r for r in xsec.read_sections(rows).collect()}
     assert got[1]["y"] == [0, 1, 3, 4] and got[1]["z"] == [11, 10, 10, 11] and got[1]["error"] is None
     assert all(got[i]["error"] and got[i]["y"] is None for i in (2, 3, 4))
+
+
+def test_obstacles_over_skewed_gaps(spark):
+    """A ridge that comes along the left of the lower cell and goes on along the right of the upper one."""
+    z = np.zeros((8, 6))
+    z[3:, 1] = 5.0  # lower cell: rows 4 .. 7
+    z[3, 1:5] = 4.0
+    z[:4, 4] = 5.0
+    z[3, 1] = z[3, 4] = 5.0
+    pixels = spark.createDataFrame([(7, r, k, float(z[r, k])) for r in range(8) for k in range(6)], "pair long, row int, col int, z double")
+    pairs = spark.createDataFrame([(7, 50, 1, 2, 3, 4), (8, 60, None, None, 5, 6)], "pair long, middle long, left_1 long, left_2 long, right_1 long, right_2 long")
+    kind = "edge long, from_edge long, from_row int, from_col int, to_edge long, to_row int, to_col int"
+    obstacles = spark.createDataFrame([(1, 9, 7, 1, 50, 3, 1), (4, 50, 3, 4, 9, 0, 4), (4, 9, 0, 0, 9, 1, 1), (2, 50, 3, 0, 9, 1, 1)], kind)
+    ends = leak.ends_on(obstacles, pairs)
+    assert {tuple(r) for r in ends.collect()} == {(7, "left", 1, 3, 1), (7, "right", 2, 3, 4), (7, "left", 2, 3, 0)}
+    middle = spark.createDataFrame([(7, 50, 1.0), (8, 60, 0.0)], "pair long, edge long, level double")
+    assert [tuple(r) for r in leak.connecting_obstacles(pixels, ends, middle, 2.0).collect()] == [(7, 50, 4.0, 3, 1, 3, 4)]
+    assert leak.connecting_obstacles(pixels, ends, middle, 4.0).count() == 0
+    assert leak.connecting_obstacles(pixels, ends.limit(0), middle, 2.0).count() == 0
