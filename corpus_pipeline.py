@@ -3,7 +3,7 @@
 STAGES are (name, function).  A function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.  No stage can be told as SQL as
-a whole, so ORACLE_SQL is None; a test compares near_duplicates with brute force.
+a whole, so ORACLE_SQL is None; tests compare every stage with a plain version of it.
 """
 
 from __future__ import annotations
