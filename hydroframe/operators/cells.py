@@ -69,10 +69,11 @@ def potential_edges(obstacles: DataFrame, cell_edges: DataFrame, flowlines: Data
     """obstacle, edge: edges of an obstacle's cells whose flowline it crosses, but not those that it starts or ends on.
 
     obstacles is (id, cells array, from_edge, to_edge, x0 .. y1); cell_edges (cell, edge);
-    flowlines (edge, fx0 .. fy1).  Only edges of the obstacle's own cells are compared.
+    flowlines (edge, fx0 .. fy1).  Only edges of the obstacle's own cells are compared.  An
+    obstacle at the model's boundary has no edge (null) at that end.
     """
     asked = obstacles.select("id", "from_edge", "to_edge", "x0", "y0", "x1", "y1", F.explode(F.array_distinct("cells")).alias("cell"))
-    near = asked.join(cell_edges, "cell").where("edge <> from_edge and edge <> to_edge").join(flowlines, "edge")
+    near = asked.join(cell_edges, "cell").where("not (edge <=> from_edge) and not (edge <=> to_edge)").join(flowlines, "edge")
     one, two = tuple(map(F.col, ("x0", "y0", "x1", "y1"))), tuple(map(F.col, ("fx0", "fy0", "fx1", "fy1")))
     return near.where(G.crosses(one, two)).select(F.col("id").alias("obstacle"), "edge").distinct()
 

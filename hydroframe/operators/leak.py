@@ -131,23 +131,140 @@ def ridge(z: np.ndarray, start: np.ndarray, end: np.ndarray) -> float | None:
     return None
 
 
+def ridges(z: np.ndarray, starts: list[tuple[int, int]], ends: list[tuple[int, int]]) -> np.ndarray:
+    """For each start and each end pixel, the highest level at which pixels as high link both through 8 neighbours; -inf if none do.
+
+    One sweep from the highest pixel down answers all pairs: when two groups of pixels
+    meet, the level is that of every pair with one end in each.  Pixels of -inf aren't there.
+    """
+    rows, cols = z.shape
+    flat = np.asarray(z, float).reshape(-1)
+    out = np.full((len(starts), len(ends)), -np.inf)
+    asked: dict[int, tuple[list[int], list[int]]] = {}
+    for side, pixels in enumerate((starts, ends)):
+        for n, (r, c) in enumerate(pixels):
+            asked.setdefault(r * cols + c, ([], []))[side].append(n)
+    parent = np.full(flat.size, -1).tolist()
+    held: dict[int, tuple[list[int], list[int]]] = {}
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def meet(one: tuple[list[int], list[int]], two: tuple[list[int], list[int]], level: float) -> None:
+        if one[0] and two[1]:
+            out[np.ix_(one[0], two[1])] = level
+
+    for i in np.argsort(-flat, kind="stable").tolist():
+        level = flat[i]
+        if level == -np.inf:
+            break
+        parent[i] = root = i
+        if i in asked:
+            held[i] = asked[i]
+            meet(held[i], held[i], level)
+        r, c = divmod(i, cols)
+        for a in range(max(0, r - 1), min(rows, r + 2)):
+            for k in range(a * cols + max(0, c - 1), a * cols + min(cols, c + 2)):
+                if parent[k] < 0 or (other := find(k)) == root:
+                    continue
+                parent[other] = root
+                if (theirs := held.pop(other, None)) is not None:
+                    if (ours := held.get(root)) is None:
+                        held[root] = theirs
+                    else:
+                        meet(ours, theirs, level)
+                        meet(theirs, ours, level)
+                        held[root] = (ours[0] + theirs[0], ours[1] + theirs[1])
+    return out
+
+
+def relevant(to_first: np.ndarray, to_last: np.ndarray, crests: np.ndarray, min_height: float) -> np.ndarray:
+    """Whether ridges of these crests hold water back from both sides that they run along.
+
+    to_first and to_last have the level at which a ridge's start is linked with each
+    pixel of either side.  A side whose pixels are all linked at less than the height
+    below the crest is a plateau, and there is no obstacle.
+    """
+    return (to_first.min(axis=1) < crests - min_height) & (to_last.min(axis=1) < crests - min_height)
+
+
+def along(z: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The first and the last pixel of each column that is there."""
+    there = np.isfinite(z)
+    last = len(z) - 1 - there[::-1].argmax(axis=0)
+    return list(zip(there.argmax(axis=0).tolist(), range(z.shape[1]), strict=True)), list(zip(last.tolist(), range(z.shape[1]), strict=True))
+
+
+def judged(z: np.ndarray, starts: list[tuple[int, int]], ends: list[tuple[int, int]], bound: float, min_height: float) -> list[tuple[int, int, float]]:
+    """(start, end, crest) by their numbers: ridges over the bound that are relevant."""
+    first, last = along(z)
+    levels = ridges(z, starts, ends + first + last)
+    crests, to_first, to_last = np.split(levels, [len(ends), len(ends) + len(first)], axis=1)
+    out = []
+    for j in range(len(ends)):
+        good = (crests[:, j] > bound) & relevant(to_first, to_last, crests[:, j], min_height)
+        out += [(int(i), j, float(crests[i, j])) for i in np.flatnonzero(good)]
+    return sorted(out)
+
+
 def obstacles_of_pair(z: np.ndarray, lowest_edge: float, min_height: float, precision: float) -> list[tuple[int, int, float]]:
     """(place left, place right, crest) of ridges that run from the left to the right side of a pair's pixels.
 
     Peaks of both sides that stand out by the height are tried in pairs; a ridge counts
-    if it lies more than the height, less the precision, above the lowest edge.
+    if it lies more than the height, less the precision, above the lowest edge, and
+    neither the upper nor the lower side is a plateau as high (see `relevant`).
     """
+    bound = lowest_edge + min_height - precision
+    left = [(p, 0) for p in peaks(z[:, 0], min_height) if z[p, 0] > bound]
+    right = [(p, z.shape[1] - 1) for p in peaks(z[:, -1], min_height) if z[p, -1] > bound]
+    return [(left[i][0], right[j][0], crest) for i, j, crest in judged(z, left, right, bound, min_height)]
+
+
+def obstacles_of_cells(blocks: list[tuple[int, int, np.ndarray]], lowest_edge: float, min_height: float, precision: float, prominence: float) -> list[tuple[int, int, int, int, int, int, float]]:
+    """(cell, row, col, cell, row, col, crest) of ridges from the left to the right side of two cells, the upper one first.
+
+    blocks are (top, left, pixels), in rows and columns of the raster; cells may differ
+    in size.  Sides in one line are searched for peaks as one, others cell by cell.  A
+    ridge between peaks of one cell is searched for and judged in that cell, another in both.
+    """
+    bound = lowest_edge + min_height - precision
+
+    def tops(last: bool) -> list[tuple[int, int, int]]:
+        lines = [z[:, -1 if last else 0] for _, _, z in blocks]
+        cols = [left + (z.shape[1] - 1 if last else 0) for _, left, z in blocks]
+        if cols[0] == cols[1]:
+            found = edge_peaks(lines, prominence)
+        else:
+            found = [(n, p) for n, line in enumerate(lines) for p in peaks(line, prominence)]
+        return [(n, blocks[n][0] + p, cols[n]) for n, p in found if lines[n][p] > bound]
+
+    starts, ends = tops(False), tops(True)
+    if not starts or not ends:
+        return []
     out = []
-    for a in peaks(z[:, 0], min_height):
-        for b in peaks(z[:, -1], min_height):
-            if min(z[a, 0], z[b, -1]) <= lowest_edge + min_height - precision:
-                continue
-            start, end = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
-            start[a, 0], end[b, -1] = True, True
-            crest = ridge(z, start, end)
-            if crest is not None and crest > lowest_edge + min_height - precision:
-                out.append((a, b, crest))
-    return out
+    for n in (0, 1):
+        own, others = [s for s in starts if s[0] == n], [e for e in ends if e[0] == n]
+        if own and others:
+            top, left, z = blocks[n]
+            place = lambda pixels: [(r - top, k - left) for _, r, k in pixels]  # noqa: B023, E731
+            out += [(*own[i], *others[j], crest) for i, j, crest in judged(z, place(own), place(others), bound, min_height)]
+    if any(s[0] != e[0] for s in starts for e in ends):
+        top, left, z = joined(blocks)
+        place = lambda pixels: [(r - top, k - left) for _, r, k in pixels]
+        out += [(*starts[i], *ends[j], crest) for i, j, crest in judged(z, place(starts), place(ends), bound, min_height) if starts[i][0] != ends[j][0]]
+    return sorted(out)
+
+
+def joined(blocks: list[tuple[int, int, np.ndarray]]) -> tuple[int, int, np.ndarray]:
+    """(top, left, pixels) of blocks as one, -inf where there is none."""
+    top, left = min(t for t, _, _ in blocks), min(k for _, k, _ in blocks)
+    z = np.full((max(t + len(b) for t, _, b in blocks) - top, max(k + b.shape[1] for _, k, b in blocks) - left), -np.inf)
+    for t, k, b in blocks:
+        z[t - top : t - top + len(b), k - left : k - left + b.shape[1]] = b
+    return top, left, z
 
 
 def find_obstacles(pixels: DataFrame, pair: str, min_height: float, precision: float | None = None) -> DataFrame:
@@ -205,13 +322,14 @@ def connecting_obstacles(pixels: DataFrame, ends: DataFrame, middle: DataFrame,
             for side in (1, 2):  # left of one cell with right of the other
                 starts = found[(found["side"] == "left") & (found["cell"] == side)].sort_values(["row", "col"])
                 stops = found[(found["side"] == "right") & (found["cell"] == 3 - side)].sort_values(["row", "col"])
-                for a in starts.itertuples():
-                    for b in stops.itertuples():
-                        start, end = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
-                        start[a.row - top, a.col - left], end[b.row - top, b.col - left] = True, True
-                        crest = ridge(z, start, end)
-                        if crest is not None and crest > a.level + min_height - precise:
-                            out.append((a.pair, a.edge, crest, a.row, a.col, b.row, b.col))
+                if not len(starts) or not len(stops) or z.max() == z.min():
+                    continue
+                place = lambda ends: list(zip((ends["row"] - top).tolist(), (ends["col"] - left).tolist(), strict=True))
+                levels = ridges(z, place(starts), place(stops))
+                for i, a in enumerate(starts.itertuples()):
+                    for j, b in enumerate(stops.itertuples()):
+                        if levels[i, j] > a.level + min_height - precise:
+                            out.append((a.pair, a.edge, float(levels[i, j]), a.row, a.col, b.row, b.col))
         return pd.DataFrame(out, columns=names)
 
     schema = f"pair {kinds['pair']}, edge {kinds['edge']}, crest double, from_row int, from_col int, to_row int, to_col int"

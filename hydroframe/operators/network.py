@@ -28,22 +28,22 @@ def upstream_distance(pipes: DataFrame) -> DataFrame:
     shorter are handed on to the pipes that leave their ends; so there are as many
     rounds as the shortest ways have pipes.  Lengths under 0 raise.
     """
-    edges = _cut(pipes.select("id", "src", "dst", "length"))
+    edges = cut(pipes.select("id", "src", "dst", "length"))
     if edges.where("length < 0").limit(1).count():
         raise ValueError("a pipe has a negative length")
     steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("length").alias("length"))
-    best = _cut(steps.select(F.col("src").alias("far"), F.col("dst").alias("node"), F.col("length").alias("way")))
+    best = cut(steps.select(F.col("src").alias("far"), F.col("dst").alias("node"), F.col("length").alias("way")))
     grown = best
     while grown.limit(1).count():
         handed = grown.join(steps.select(F.col("src").alias("node"), "dst", "length"), "node").where("far <> dst")
         handed = handed.groupBy("far", F.col("dst").alias("node")).agg(F.min(F.col("way") + F.col("length")).alias("new"))
-        merged = _cut(best.join(handed, ["far", "node"], "full").select("far", "node", F.least("way", "new").alias("way"), (F.col("new") < F.coalesce("way", F.lit(float("inf")))).alias("grew")))
+        merged = cut(best.join(handed, ["far", "node"], "full").select("far", "node", F.least("way", "new").alias("way"), (F.col("new") < F.coalesce("way", F.lit(float("inf")))).alias("grew")))
         best, grown = merged.select("far", "node", "way"), merged.where("grew").select("far", "node", "way")
     farthest = best.groupBy(F.col("node").alias("src")).agg(F.max("way").alias("way"))
     return edges.join(farthest, "src", "left").select("id", (F.col("length") + F.coalesce("way", F.lit(0.0))).alias("distance"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, through the folder of checkpoints; without one, a local session gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
 from hydroframe.functions.registry import BY_NAME, Request, preset
-from hydroframe.operators import cells, gauge, graph, leak, lines, network, raster, sampling, scenario, style, xsec
+from hydroframe.operators import cells, detect, gauge, graph, leak, lines, network, raster, sampling, scenario, style, xsec
 from hydroframe.plans.catalogue import _ALONG, _BEDS, _CROSS, _INVERT, _LEN, _NEAR, _SERIES, GRID, _cells, _flows, _gauges, _inverts, _levees, _scenarios, query, r
 from hydroframe.plans.sql import relations
 from hydroframe.sources import readers
@@ -330,6 +330,18 @@ def _(d):
     return cells.result_rows(edges, met, True).select("edge", "level", "crest", "x0")
 
 
+@query("h15_two_passes")
+def _(d):
+    squares = _squares(d)
+    x, y = (lambda n: (c(f"{n}.xmin") + 20)), (lambda n: (c(f"{n}.ymin") + 20))
+    one, two = squares.alias("a"), squares.alias("b")
+    beside = one.join(two, (c("b.id") == c("a.id") + 1) & (c("b.xmin") == c("a.xmax")) & (c("b.ymin") == c("a.ymin")))
+    above = one.join(two, (c("a.id") == c("b.id") + 20) & (c("a.xmin") == c("b.xmin")) & (c("a.ymax") == c("b.ymin")))
+    ends = [c("a.id").alias("start_id"), c("b.id").alias("end_id"), x("a").alias("fx0"), y("a").alias("fy0"), x("b").alias("fx1"), y("b").alias("fy1")]
+    flows = beside.select((c("a.id") * 2).alias("id"), *ends).unionByName(above.select((c("a.id") * 2 + 1).alias("id"), *ends))
+    return detect.detect(squares, d.pixels(), flows, GRID, 5.0, value="z").select("edge", *(r(n, 6).alias(n) for n in ("level", "crest", "x0", "y0", "x1", "y1")))
+
+
 @query("h16_ids_of_pairs", relations("lines") + "SELECT l.id AS line, a.sumax AS start_sumax FROM lines l JOIN nodes a ON a.id = l.start_id WHERE l.end_id % 2 = 0")
 def _(d):
     by_id = d.nodes().select(c("id").alias("start_id"), c("sumax").alias("start_sumax"))
