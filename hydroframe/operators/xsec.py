@@ -148,28 +148,103 @@ def highest_valid(points: np.ndarray, distances: list[float]) -> int:
     return low
 
 
+class NoTriangles(ValueError):
+    """Two lines between which no triangles can be laid."""
+
+
+def turns(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sign of the side of a-b on which p lies: 1 left, -1 right, 0 on it."""
+    u, v = b - a, p - a
+    return np.sign(np.round(u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0], 9))
+
+
+def cuts(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> bool:
+    """Whether the inside of the segment a-b meets a line in a point; ends that touch and shared parts don't count."""
+    if len(line) < 2:
+        return False
+    p, q = line[:-1], line[1:]
+    one, two, three, four = turns(a, b, p), turns(a, b, q), turns(p, q, a), turns(p, q, b)
+    return bool(((three * four < 0) & (one * two <= 0) & ((one != 0) | (two != 0))).any())
+
+
+def meet(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two lines have a point in common."""
+    if len(one) < 2 or len(two) < 2:
+        return False
+    a, b, p, q = one[:-1, None], one[1:, None], two[None, :-1], two[None, 1:]
+    sides = (turns(a, b, p), turns(a, b, q), turns(p, q, a), turns(p, q, b))
+    across = (sides[0] * sides[1] <= 0) & (sides[2] * sides[3] <= 0)
+    flat = (sides[0] == 0) & (sides[1] == 0)
+    near = np.ones(across.shape, bool)
+    for k in (0, 1):
+        near &= (np.maximum(a[..., k], b[..., k]) >= np.minimum(p[..., k], q[..., k])) & (np.maximum(p[..., k], q[..., k]) >= np.minimum(a[..., k], b[..., k]))
+    return bool((across & (~flat | near)).any())
+
+
 def between(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles between two lines; indices count left points first.  The shorter diagonal goes first."""
-    i = j = 0
+    """Triangles between two lines; indices count left points first.
+
+    The right line is turned around if it ends nearer to where the left one begins.
+    Both are walked along together, by the shorter diagonal (of equals the right one)
+    unless it cuts a line and the other doesn't.  If both cut one, the next corner of a line
+    is cut off by itself, if it points away from the other line.  Lines that meet, and lines
+    where neither goes on, have no triangles (NoTriangles); a point may stand for a line.
+    """
     n, m = len(left), len(right)
+    if not n or not m:
+        raise NoTriangles("a side has no points")
+    order = list(range(m))
+    if math.dist(left[0], right[0]) > math.dist(left[0], right[-1]):
+        order.reverse()
+        right = right[::-1]
+    if meet(left, right):
+        raise NoTriangles("the sides meet")
+    plain = n == 1 or m == 1
+    valid = lambda a, b: plain or not (cuts(a, b, left) or cuts(a, b, right))
+    corner = lambda line, k, side: k + 2 < len(line) and turns(line[k], line[k + 1], line[k + 2]) == side and valid(line[k], line[k + 2])
+    i = j = 0
     out = []
     while i < n - 1 or j < m - 1:
-        a = math.dist(left[i + 1], right[j]) if i < n - 1 else math.inf
-        b = math.dist(left[i], right[j + 1]) if j < m - 1 else math.inf
-        if a <= b:
-            out.append((i, i + 1, n + j))
-            i += 1
+        if i == n - 1 or j == m - 1:
+            go = "right" if i == n - 1 else "left"
         else:
-            out.append((i, n + j, n + j + 1))
+            base, a, b = valid(left[i], right[j]), valid(left[i + 1], right[j]), valid(left[i], right[j + 1])
+            shorter = "left" if math.dist(left[i + 1], right[j]) < math.dist(left[i], right[j + 1]) else "right"
+            go = shorter if a and b else "left" if a else "right" if b else ""
+            if not go or not base:
+                go = "left corner" if corner(left, i, -1) else "right corner" if corner(right, j, 1) else ""
+        if go == "left":
+            out.append((i, i + 1, n + order[j]))
+            i += 1
+        elif go == "right":
+            out.append((i, n + order[j], n + order[j + 1]))
             j += 1
+        elif go == "left corner":
+            out.append((i, i + 1, i + 2))
+            i += 2
+        elif go == "right corner":
+            out.append((n + order[j], n + order[j + 1], n + order[j + 2]))
+            j += 2
+        else:
+            raise NoTriangles(f"no triangle leads on from {left[i].tolist()} and {right[j].tolist()}")
     return out
 
 
-def mesh(channels: DataFrame, distances: list[float], key: str = "id") -> DataFrame:
-    """key, triangle, x1 .. z3 of channels (key, points array<struct<x, y, z>>): triangles between lines moved by neighbouring distances.
+CORNERS = [f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]
 
-    z is the channel's own at each vertex; one channel is one group.
-    """
+
+def line_of(points) -> np.ndarray:
+    """Points (x, y, z) without repeats of the one before."""
+    if points is None or any(q is None or any(v is None for v in (q["x"], q["y"], q["z"])) for q in points):
+        raise NoTriangles("a point is missing")
+    p = np.array([(q["x"], q["y"], q["z"]) for q in points], float).reshape(-1, 3)
+    p = p[np.concatenate([[True], np.abs(np.diff(p[:, :2], axis=0)).max(axis=1) > 0])] if len(p) else p
+    if len(p) < 2:
+        raise NoTriangles("a channel needs two vertices")
+    return p
+
+
+def _meshed(channels: DataFrame, distances: list[float], key: str) -> DataFrame:
     kind = dict(channels.dtypes)[key]
     ordered = sorted(distances)
 
@@ -177,17 +252,32 @@ def mesh(channels: DataFrame, distances: list[float], key: str = "id") -> DataFr
         for pdf in batches:
             rows = []
             for name, points in zip(pdf[key], pdf["points"], strict=True):
-                p = np.array([(q["x"], q["y"], q["z"]) for q in points], float)
-                moved = [np.column_stack([offset_line(p[:, :2], d), p[:, 2]]) for d in ordered]
-                count = 0
-                for right, left in zip(moved, moved[1:], strict=False):
-                    both = np.vstack([left, right])
-                    for t in between(left[:, :2], right[:, :2]):
-                        rows.append((name, count, *both[list(t)].reshape(-1).tolist()))
-                        count += 1
-            yield pd.DataFrame(rows, columns=[key, "triangle", "x1", "y1", "z1", "x2", "y2", "z2", "x3", "y3", "z3"])
+                try:
+                    p = line_of(points)
+                    moved = [np.column_stack([offset_line(p[:, :2], d), p[:, 2]]) for d in ordered]
+                    strips = [(np.vstack([left, right]), between(left[:, :2], right[:, :2])) for right, left in zip(moved, moved[1:], strict=False)]
+                except NoTriangles as e:
+                    rows.append((name, None, *[None] * 9, str(e)))
+                    continue
+                every = [both[list(t)].reshape(-1).tolist() for both, triangles in strips for t in triangles]
+                rows += [(name, i, *t, None) for i, t in enumerate(every)]
+            yield pd.DataFrame(rows, columns=[key, "triangle", *CORNERS, "error"]).astype({"triangle": "Int32"})
 
-    return channels.select(key, "points").mapInPandas(run, f"{key} {kind}, triangle int, " + ", ".join(f"{c}{i} double" for i in (1, 2, 3) for c in "xyz"))
+    return channels.select(key, "points").mapInPandas(run, f"{key} {kind}, triangle int, {', '.join(f'{n} double' for n in CORNERS)}, error string")
+
+
+def mesh(channels: DataFrame, distances: list[float], key: str = "id") -> DataFrame:
+    """key, triangle, x1 .. z3 of channels (key, points array<struct<x, y, z>>): triangles between lines moved by neighbouring distances.
+
+    z is the channel's own at each vertex.  A channel between whose lines no triangles can
+    be laid, or with less than two vertices, has none; `mesh_errors` tells why.
+    """
+    return _meshed(channels, distances, key).where("error is null").drop("error")
+
+
+def mesh_errors(channels: DataFrame, distances: list[float], key: str = "id") -> DataFrame:
+    """key, error of channels that have no mesh."""
+    return _meshed(channels, distances, key).where("error is not null").select(key, "error")
 
 
 def triangle_pixels(triangles: DataFrame, grid) -> DataFrame:
@@ -287,6 +377,74 @@ def filled(node: tuple[float, float, float], first: np.ndarray, second: np.ndarr
     return [both[list(t)] for t in between(side[:, :2], np.asarray(second, float)[:, :2])]
 
 
+def channel_ends(channels: DataFrame) -> DataFrame:
+    """node, channel, azimuth, starts of channels (id, start_node, end_node, points): both ends, with the direction in which the channel leaves the node."""
+    from hydroframe.functions import geometry as G
+
+    n = F.size("points")
+    at = lambda i: F.get("points", i)
+    end = lambda node, a, b, starts: F.struct(F.col(node).alias("node"), G.azimuth(at(a)["x"], at(a)["y"], at(b)["x"], at(b)["y"]).alias("azimuth"), F.lit(starts).alias("starts"))
+    both = F.explode(F.array(end("start_node", F.lit(0), F.lit(1), True), end("end_node", n - 1, n - 2, False)))
+    return channels.where(n > 1).select(F.col("id").alias("channel"), both.alias("e")).select("e.node", "channel", "e.azimuth", "e.starts").where("node is not null and azimuth is not null")
+
+
+def _wedged(channels: DataFrame) -> DataFrame:
+    ends = channel_ends(channels)
+    kinds = dict(ends.dtypes)
+    once = ends.groupBy("node", "channel").agg(F.max_by("azimuth", "starts").alias("azimuth"), F.max("starts").alias("starts"))
+    found = wedges(once.select("node", "channel", "azimuth")).select("node", "first", "second")
+    for name in ("first", "second"):
+        found = found.join(once.select("node", F.col("channel").alias(name), F.col("starts").alias(f"{name}_starts")), ["node", name])
+        found = found.join(channels.select(F.col("id").alias(name), F.col("points").alias(f"{name}_points"), F.col("distances").alias(f"{name}_distances")), name)
+
+    def outer(points, distances, starts: bool, left: bool) -> np.ndarray:
+        """The node's end of a channel's moved lines on one side, seen from the node; inmost first."""
+        p = line_of(points)
+        sign = 1 if starts == left else -1
+        on = sorted((float(d) for d in distances if d is not None and d * sign > 0), key=abs) if distances is not None else []
+        return np.array([[*offset_line(p[:, :2], d)[0 if starts else -1], p[0 if starts else -1, 2]] for d in on]).reshape(-1, 3)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for w in pdf.itertuples(index=False):
+                owner = w.second if w.first_starts and not w.second_starts else w.first
+                try:
+                    one = outer(w.first_points, w.first_distances, w.first_starts, True)
+                    two = outer(w.second_points, w.second_distances, w.second_starts, False)
+                    if owner == w.first:
+                        own, other, middle = one, two, line_of(w.first_points)[0 if w.first_starts else -1]
+                    else:
+                        own, other, middle = two, one, line_of(w.second_points)[0 if w.second_starts else -1]
+                    triangles = filled(tuple(middle), own, other)
+                except NoTriangles as e:
+                    rows.append((w.node, w.first, w.second, owner, None, *[None] * 9, str(e)))
+                    continue
+                rows += [(w.node, w.first, w.second, owner, i, *t.reshape(-1).tolist(), None) for i, t in enumerate(triangles)]
+            yield pd.DataFrame(rows, columns=["node", "first", "second", "channel", "triangle", *CORNERS, "error"]).astype({"triangle": "Int32"})
+
+    which = ", ".join(f"{n} {kinds['channel']}" for n in ("first", "second", "channel"))
+    return found.mapInPandas(run, f"node {kinds['node']}, {which}, triangle int, {', '.join(f'{n} double' for n in CORNERS)}, error string")
+
+
+def wedge_mesh(channels: DataFrame) -> DataFrame:
+    """node, channel, triangle, x1 .. z3: triangles that fill gaps of over 180 degrees between channels at their nodes.
+
+    channels is (id, start_node, end_node, points, distances array<double>; left is positive).
+    Seen from the node, the gap lies left of the first channel and right of the second: the
+    node and the first one's left offsets are triangulated with the second one's right ones,
+    whichever way both run.  The triangles belong to the first, or to the second if that one
+    ends where the first begins.  A channel that starts and ends at a node counts by its start.
+    Gaps without offsets on a side, and those where triangles can't be laid, stay open; `wedge_errors` tells why.
+    """
+    return _wedged(channels).where("error is null").drop("error", "first", "second")
+
+
+def wedge_errors(channels: DataFrame) -> DataFrame:
+    """node, first, second, error of gaps that stay open."""
+    return _wedged(channels).where("error is not null").select("node", "first", "second", "error")
+
+
 def as_query(triangles: DataFrame, key: str = "id") -> DataFrame:
     """key, sql: a channel's triangles as one query that unites their distinct rows."""
     c = lambda n: F.format_string("%.6f", F.col(n))

@@ -128,6 +128,20 @@ def _(d):
 # --- scalars ----------------------------------------------------------------------------------------
 
 
+@query("r36_wedges", "SELECT s_suppkey AS node, 2 * s_suppkey + (s_suppkey % 4 = 2)::INTEGER AS channel, 3 * s_suppkey - 1.4 * (1 + s_suppkey % 3)::DOUBLE AS x, 3 * s_suppkey - 0.2 * (1 + s_suppkey % 3)::DOUBLE AS y, CASE WHEN s_suppkey % 4 = 2 THEN 5.0 ELSE 4.0 END::DOUBLE AS z FROM supplier")
+def _(d):
+    i, width = c("s_suppkey"), (1 + c("s_suppkey") % 3).cast("double")
+    point = lambda x, y, z: F.struct((i + x).cast("double").alias("x"), (i + y).cast("double").alias("y"), F.lit(z).alias("z"))
+    both = lambda turned, a, b: F.when(turned, F.array(b, a)).otherwise(F.array(a, b))
+    far = lambda n: i * 1000 + n
+    one, two = (i % 4).isin(1, 3), (i % 4).isin(2, 3)  # whether each ends at the node
+    channel = lambda n, turned, at, dx, dy, z: F.struct((i * 2 + n).alias("id"), F.when(turned, far(n)).otherwise(-i).alias("start_node"), F.when(turned, -i).otherwise(far(n)).alias("end_node"), both(turned, at, point(dx, dy, z)).alias("points"))
+    rows = d.table("supplier").select(width.alias("w"), F.explode(F.array(channel(0, one, point(0, 0, 1.0), 30, 40, 1.0), channel(1, two, point(0, 0, 2.0), 40, -30, 2.0))).alias("q"))
+    found = xsec.wedge_mesh(rows.select("q.*", F.array(-c("w"), F.lit(0.0), c("w")).alias("distances")))
+    total = lambda a: r(c(f"{a}1") + c(f"{a}2") + c(f"{a}3"), 6).alias(a)
+    return found.select((-c("node")).alias("node"), "channel", total("x"), total("y"), total("z"))
+
+
 @query("m07_components", relations("lines") + f"SELECT id, round((x1 - x0) / {_LEN} * 5, 6) AS x, round((y1 - y0) / {_LEN} * 5, 6) AS y FROM lines")
 def _(d):
     a = G.angle(*_xy())

@@ -380,3 +380,62 @@ def test_obstacles_over_skewed_gaps(spark):
     assert [tuple(r) for r in leak.connecting_obstacles(pixels, ends, middle, 2.0).collect()] == [(7, 50, 4.0, 3, 1, 3, 4)]
     assert leak.connecting_obstacles(pixels, ends, middle, 4.0).count() == 0
     assert leak.connecting_obstacles(pixels, ends.limit(0), middle, 2.0).count() == 0
+
+
+def area(points, triangles):
+    return sum(abs(np.linalg.det(np.vstack([points[list(t)][:, :2].T, [1, 1, 1]]))) / 2 for t in triangles)
+
+
+def test_triangles_stay_between_the_lines():
+    """Moved lines of winding channels: the triangles cover the strip once, whichever way one line runs."""
+    draw = np.random.default_rng(12)
+    done = 0
+    for _ in range(120):
+        turns = np.cumsum(draw.uniform(-0.9, 0.9, 12))
+        line = np.cumsum(np.column_stack([np.cos(turns), np.sin(turns)]) * draw.uniform(1, 4, (12, 1)), axis=0)
+        left, right = xsec.offset_line(line, 0.5), xsec.offset_line(line, -0.3)
+        if not xsec.valid_offset(line, 0.5) or not xsec.valid_offset(line, -0.3) or xsec.meet(left, right):
+            continue
+        ring = np.vstack([left, right[::-1]])
+        x, y = ring.T
+        strip = abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+        for other in (right, right[::-1]):
+            assert math.isclose(area(np.vstack([left, other]), xsec.between(left, other)), strip, rel_tol=1e-9)
+        done += 1
+    assert done > 60
+
+
+def test_lines_without_triangles(spark):
+    left, right = np.array([(0.0, 0.0), (4.0, 0.0)]), np.array([(2.0, -1.0), (2.0, 1.0)])
+    for a, b in ((left, right), (left, left), (left[:0], right), (left, left + [2.0, 0.0])):
+        with pytest.raises(xsec.NoTriangles):
+            xsec.between(a, b)
+    assert xsec.between(left, np.array([(2.0, 1.0)])) == [(0, 1, 2)] and xsec.between(left[:1], right[:1]) == []
+    bay = np.array([(0.0, 1.0), (4.0, 1.0), (4.0, 9.0), (5.0, 9.0), (5.0, 1.0), (9.0, 1.0)])
+    flat = np.array([(0.0, 0.0), (9.0, 0.0)])
+    for t in xsec.between(bay, flat):
+        p = np.vstack([bay, flat])[list(t)]
+        assert not any(xsec.cuts(p[i], p[i - 1], line) for i in range(3) for line in (bay, flat)) or len({i for i in t if i < 6}) == 2
+    kind = "id int, points array<struct<x: double, y: double, z: double>>, extra int"
+    point = lambda x, y: {"x": x, "y": y, "z": 0.0}
+    rows = [(1, [point(0.0, 0.0), point(9.0, 0.0)], 5), (2, [point(0.0, 0.0)], 5), (3, None, 5), (4, [point(1.0, 1.0), point(1.0, 1.0)], 5), (5, [], 5), (6, [point(0.0, None), point(9.0, 0.0)], 5)]
+    channels = spark.createDataFrame(rows, kind)
+    assert {r["id"] for r in xsec.mesh(channels, [0.0, 1.0]).collect()} == {1}
+    assert {r["id"] for r in xsec.mesh_errors(channels, [0.0, 1.0]).collect()} == {2, 3, 4, 5, 6}
+    assert xsec.mesh(channels.limit(0), [0.0, 1.0]).count() == 0 and xsec.mesh(channels, [1.0]).count() == 0
+
+
+def test_wedges_at_nodes(spark):
+    kind = "id long, start_node long, end_node long, points array<struct<x: double, y: double, z: double>>, distances array<double>"
+    point = lambda x, y: {"x": x, "y": y, "z": 1.0}
+    rows = [(1, 7, 8, [point(0.0, 0.0), point(0.0, 9.0)], [-2.0, 0.0, 2.0, 1.0]), (2, 9, 7, [point(9.0, 0.0), point(0.0, 0.0)], [-1.0, 0.0, 1.0])]
+    got = xsec.wedge_mesh(spark.createDataFrame(rows, kind)).collect()
+    assert {(r["node"], r["channel"]) for r in got} == {(7, 2)}
+    corners = {(round(r[f"x{i}"], 6), round(r[f"y{i}"], 6)) for r in got for i in (1, 2, 3)}
+    assert corners == {(0.0, 0.0), (0.0, -1.0), (-1.0, 0.0), (-2.0, 0.0)}
+    rest = [(3, None, 5, rows[0][3], None), (4, 5, 5, None, None)]
+    bare = spark.createDataFrame([rows[0], (2, 9, 7, rows[1][3], [0.0]), *rest], kind)
+    assert xsec.wedge_mesh(bare).count() == 1 and xsec.wedge_errors(bare).count() == 0
+    bare = spark.createDataFrame([(1, 7, 8, rows[0][3], None), rows[1], *rest], kind)
+    assert [tuple(r) for r in xsec.wedge_errors(bare).collect()] == [(7, 1, 2, "a side has no points")] and xsec.wedge_mesh(bare).count() == 0
+    assert xsec.wedge_mesh(spark.createDataFrame(rows, kind).limit(0)).count() == 0
