@@ -358,6 +358,100 @@ def ordered_triangles(triangles: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+POINTS = "array<struct<x: double, y: double, z: double>>"
+
+
+def _points(p: np.ndarray) -> list[dict]:
+    return [{"x": float(x), "y": float(y), "z": float(z)} for x, y, z in p]
+
+
+def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
+    """rows of the schema, as make gives them for each row; rows whose line can't be used have none."""
+    names = [part.strip().split()[0] for part in schema.split(";")]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                try:
+                    out += list(make(row))
+                except NoTriangles:
+                    continue
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, schema.replace(";", ","))
+
+
+def simplified_lines(channels: DataFrame, tolerance: float) -> DataFrame:
+    """id, points of channels (id, points, keep array<int>): vertices that keep each line within the tolerance.
+
+    Vertices whose numbers (from 0) are in keep, those with a cross-section, always stay:
+    the parts between them are simplified one by one.  Null keep is none.
+    """
+
+    def make(row):
+        p = line_of(row.points)
+        given = np.array([(q["x"], q["y"]) for q in row.points], float)
+        kept = [given[i] for i in (row.keep if row.keep is not None else []) if 0 <= i < len(given)]
+        at = sorted({0, len(p) - 1, *(int(np.abs(p[:, :2] - k).max(axis=1).argmin()) for k in kept)})
+        parts = [simplified(p[a : b + 1, :2], tolerance) for a, b in zip(at, at[1:], strict=False)]
+        flat = np.vstack([parts[0], *(part[1:] for part in parts[1:])])
+        place, n = [], 0
+        for q in flat:
+            n += int((p[n:, :2] == q).all(axis=1).argmax())
+            place.append(n)
+        yield row.id, _points(p[place])
+
+    return _mapped(channels.select("id", "points", "keep"), f"id {dict(channels.dtypes)['id']}; points {POINTS}", make)
+
+
+def parallels(channels: DataFrame, sections: DataFrame, distances: list[float]) -> DataFrame:
+    """id, distance, points: each channel (id, points) moved by each distance, with the heights of its sections (id, position, offsets, z).
+
+    A section's height at the distance is linear between its offsets, and a vertex's is
+    linear between sections; beyond the ends the last value stays.  Channels without
+    sections or with less than two vertices have no lines.
+    """
+    held = sections.where("position is not null and size(offsets) > 0 and size(offsets) = size(z)").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "offsets", F.col("z").alias("heights")))).alias("sections"))
+    asked = channels.select("id", "points").join(held, "id").withColumn("distance", F.explode(F.array(*map(F.lit, map(float, distances)))))
+
+    def make(row):
+        p = line_of(row.points)[:, :2]
+        yield row.id, row.distance, _points(parallel(p, [(s["position"], s["offsets"], s["heights"]) for s in row.sections], row.distance))
+
+    return _mapped(asked, f"id {dict(channels.dtypes)['id']}; distance double; points {POINTS}", make)
+
+
+def valid_parts(channels: DataFrame, distances: list[float]) -> DataFrame:
+    """id, part, points: channels (id, points) cut into parts that can each be moved by all distances without turning around."""
+
+    def make(row):
+        p, at = line_of(row.points), 0
+        for n, part in enumerate(split_valid(p[:, :2], list(distances))):
+            yield row.id, n, _points(p[at : at + len(part)])
+            at += len(part) - 1
+
+    return _mapped(channels.select("id", "points"), f"id {dict(channels.dtypes)['id']}; part int; points {POINTS}", make)
+
+
+def in_order(triangles: DataFrame, key: str = "id") -> DataFrame:
+    """triangles (key, triangle, x1 .. z3) with place: each but the first of a connected part shares a side with one before; a channel's mesh is one group."""
+    schema = triangles.select(key, "triangle", *CORNERS)
+    kinds = ", ".join(f"{n} {k}" for n, k in schema.dtypes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("triangle", ignore_index=True)
+        corners = [tuple(tuple(np.round(group.loc[i, [f"x{n}", f"y{n}"]].to_numpy(float), 6).tolist()) for n in (1, 2, 3)) for i in range(len(group))]
+        number = {q: n for n, q in enumerate(dict.fromkeys(q for t in corners for q in t))}
+        numbered: dict[tuple[int, ...], list[int]] = {}
+        for i, t in enumerate(corners):
+            numbered.setdefault(tuple(number[q] for q in t), []).append(i)
+        order = [numbered[t].pop(0) for t in ordered_triangles([tuple(number[q] for q in t) for t in corners])]
+        return group.iloc[order].assign(place=range(len(order)))
+
+    return schema.groupBy(key).applyInPandas(run, f"{kinds}, place int")
+
+
 def wedges(ends: DataFrame) -> DataFrame:
     """node, first, second, gap: neighbours of channel ends (node, channel, azimuth) around a node with more than 180 degrees between them."""
     from pyspark.sql import Window

@@ -128,6 +128,47 @@ def _(d):
 # --- scalars ----------------------------------------------------------------------------------------
 
 
+def _straight(d: Derived) -> DataFrame:
+    """Lines with a vertex at a quarter of their length."""
+    x0, y0, x1, y1 = _xy()
+    point = lambda t: F.struct((x0 + (x1 - x0) * t).alias("x"), (y0 + (y1 - y0) * t).alias("y"), F.lit(0.0).alias("z"))
+    return d.lines().where("x0 <> x1 or y0 <> y1").select("id", F.array(point(0.0), point(0.25), point(1.0)).alias("points"))
+
+
+_STRAIGHT = relations("lines", extra=f"s AS (SELECT *, {_LEN} AS len FROM lines WHERE x0 <> x1 OR y0 <> y1)")
+
+
+@query("h11_offset_strips", _STRAIGHT + "SELECT id, 16::BIGINT AS n, round(10 * len, 4) AS area FROM s")
+def _(d):
+    area = F.abs((c("x2") - c("x1")) * (c("y3") - c("y1")) - (c("x3") - c("x1")) * (c("y2") - c("y1"))) / 2
+    return xsec.mesh(_straight(d), [-5.0, -1.0, 0.0, 1.0, 5.0]).groupBy("id").agg(F.count("*").alias("n"), r(F.sum(area), 4).alias("area"))
+
+
+@query("r30_simplified", _STRAIGHT + "SELECT id, CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END AS n FROM s")
+def _(d):
+    keep = F.when(c("id") % 2 == 0, F.array(F.lit(1)))
+    return xsec.simplified_lines(_straight(d).withColumn("keep", keep), 0.01).select("id", F.size("points").alias("n"))
+
+
+@query("r32_valid_parts", _STRAIGHT + "SELECT id, 0 AS part, 3 AS n FROM s")
+def _(d):
+    return xsec.valid_parts(_straight(d), [-5.0, 5.0]).select("id", "part", F.size("points").alias("n"))
+
+
+@query("r34_parallels", _STRAIGHT + "SELECT id, round(x0 + (x1 - x0) / 4 - 2 * (y1 - y0) / len, 6) AS x, round(y0 + (y1 - y0) / 4 + 2 * (x1 - x0) / len, 6) AS y, round(0.7 + 0.25 * 10, 6) AS z FROM s")
+def _(d):
+    rows = _straight(d)
+    section = lambda place, low: F.struct(place.alias("position"), F.array(F.lit(-5.0), F.lit(5.0)).alias("offsets"), F.array(F.lit(low), F.lit(low + 1.0)).alias("z"))
+    whole = G.polyline_length(c("points"))
+    sections = rows.select("id", F.explode(F.array(section(F.lit(0.0), 0.0), section(whole, 10.0))).alias("s")).select("id", "s.*")
+    return xsec.parallels(rows, sections, [2.0]).select("id", c("points")[1].alias("p")).select("id", r(c("p.x")).alias("x"), r(c("p.y")).alias("y"), r(c("p.z")).alias("z"))
+
+
+@query("w16_triangle_order", _STRAIGHT + "SELECT id, place::INTEGER AS place FROM s CROSS JOIN range(8) p(place)")
+def _(d):
+    return xsec.in_order(xsec.mesh(_straight(d), [-1.0, 0.0, 1.0])).select("id", "place")
+
+
 @query("r36_wedges", "SELECT s_suppkey AS node, 2 * s_suppkey + (s_suppkey % 4 = 2)::INTEGER AS channel, 3 * s_suppkey - 1.4 * (1 + s_suppkey % 3)::DOUBLE AS x, 3 * s_suppkey - 0.2 * (1 + s_suppkey % 3)::DOUBLE AS y, CASE WHEN s_suppkey % 4 = 2 THEN 5.0 ELSE 4.0 END::DOUBLE AS z FROM supplier")
 def _(d):
     i, width = c("s_suppkey"), (1 + c("s_suppkey") % 3).cast("double")

@@ -439,3 +439,34 @@ def test_wedges_at_nodes(spark):
     bare = spark.createDataFrame([(1, 7, 8, rows[0][3], None), rows[1], *rest], kind)
     assert [tuple(r) for r in xsec.wedge_errors(bare).collect()] == [(7, 1, 2, "a side has no points")] and xsec.wedge_mesh(bare).count() == 0
     assert xsec.wedge_mesh(spark.createDataFrame(rows, kind).limit(0)).count() == 0
+
+
+def test_lines_of_channels(spark):
+    kind = "id int, points array<struct<x: double, y: double, z: double>>, keep array<int>"
+    point = lambda x, y, z=0.0: {"x": float(x), "y": float(y), "z": float(z)}
+    straight = [point(x, 0.0, x) for x in range(5)]
+    rows = [(1, straight, [2]), (2, straight, None), (3, straight[:1], [0]), (4, None, None), (5, [straight[0], straight[0], straight[1]], [7])]
+    lines = spark.createDataFrame(rows, kind)
+    got = {r["id"]: [(p["x"], p["z"]) for p in r["points"]] for r in xsec.simplified_lines(lines, 0.1).collect()}
+    assert got == {1: [(0, 0), (2, 2), (4, 4)], 2: [(0, 0), (4, 4)], 5: [(0, 0), (1, 1)]}
+    bend = [point(math.cos(a), math.sin(a)) for a in np.linspace(0, math.pi, 24)]
+    arcs = spark.createDataFrame([(1, [point(-9, -9)] + bend, None), (2, straight, None)], kind)
+    parts = {}
+    for r in sorted(xsec.valid_parts(arcs, [1.2]).collect(), key=lambda r: (r["id"], r["part"])):
+        p = np.array([(q["x"], q["y"]) for q in r["points"]])
+        assert len(p) == 2 or xsec.valid_offset(p, 1.2)
+        parts.setdefault(r["id"], []).append(p)
+    assert len(parts[2]) == 1 and len(parts[1]) > 1
+    for n, m in zip(parts[1], parts[1][1:], strict=False):
+        assert n[-1].tolist() == m[0].tolist()
+    sections = spark.createDataFrame([(1, 0.0, [-1.0, 1.0], [0.0, 2.0]), (1, 4.0, [-1.0, 1.0], [4.0, 6.0]), (2, None, [0.0], [0.0]), (3, 0.0, [0.0], [0.0])], "id int, position double, offsets array<double>, z array<double>")
+    moved = xsec.parallels(lines, sections, [-1.0, 0.5]).collect()
+    assert {(r["id"], r["distance"]): [(p["x"], p["y"], p["z"]) for p in r["points"]] for r in moved} == {(1, d): [(x, d, x + d + 1) for x in range(5)] for d in (-1.0, 0.5)}
+    mesh = xsec.mesh(lines, [-2.0, 0.0, 1.0])
+    seen: dict = {}
+    for r in sorted(xsec.in_order(mesh).collect(), key=lambda r: (r["id"], r["place"])):
+        corners = [(round(r[f"x{i}"], 6), round(r[f"y{i}"], 6)) for i in (1, 2, 3)]
+        sides = {frozenset(s) for s in ((corners[0], corners[1]), (corners[1], corners[2]), (corners[0], corners[2]))}
+        assert r["place"] == 0 or sides & seen[r["id"]]
+        seen.setdefault(r["id"], set()).update(sides)
+    assert set(seen) >= {1, 2} and xsec.in_order(mesh.limit(0)).count() == 0
