@@ -284,7 +284,10 @@ def test_more_of_channels(spark):
         assert any(len(set(t) & set(s)) == 2 for s in order[:i])
     ends = spark.createDataFrame([(1, 10, 10.0), (1, 11, 80.0), (2, 12, 0.0), (2, 13, 120.0), (2, 14, 240.0), (3, 15, 7.0)], "node int, channel int, azimuth double")
     assert [(r["node"], {r["first"], r["second"]}, r["gap"]) for r in xsec.wedges(ends).collect()] == [(1, {10, 11}, 290.0)]
-    assert len(xsec.filled((0, 0, 0), np.eye(3), np.eye(3) + 1)) == 5
+    outwards = np.array([(1.0, 0, 0), (2, 0, 0), (3, 0, 0)])
+    assert len(xsec.filled((0, 0, 0), outwards, outwards[:, [1, 0, 2]])) == 5
+    with pytest.raises(xsec.NoTriangles):  # a side that runs around the way to the other one
+        xsec.filled((0, 0, 0), np.eye(3), np.eye(3) + 1)
     mesh = xsec.mesh(spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0, "z": 1.0}, {"x": 9.0, "y": 0.0, "z": 3.0}])], "id int, points array<struct<x: double, y: double, z: double>>"), [0.0, 1.0])
     assert xsec.as_query(mesh).first()["sql"].count(" UNION ") == 1
 
