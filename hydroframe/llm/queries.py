@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, decontam, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
+from hydroframe.llm import bpe, decontam, dedup, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -62,6 +62,15 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP12_SQL = """
+WITH k AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM k WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
+"""
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.counts(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
@@ -112,6 +121,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_secrets", "secrets", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a hash of the doc_id, are the history; the other half is delivered to it."""
+    first = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return dedup.classes(table(spark, sf_dir, "documents"), first).drop("repeats_history")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -124,8 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
         "op10_secret_scan": op10_secret_scan,
+        "op12_exact_dedup": op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_exact_dedup": OP12_SQL}
