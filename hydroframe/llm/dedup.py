@@ -31,7 +31,7 @@ from hydroframe.llm.textkit import Tables, splitmix
 #: ASCII white space, which equal texts may differ in.
 WHITE = " \t\n\x0b\x0c\r"
 #: Digests of a shard on average at most; and the least number of shards, in bits.
-SHARD, LEAST_BITS, MOST_BITS = 50_000, 9, 30
+SHARD, LEAST_BITS, MOST_BITS = 50_000, 8, 30
 #: Bits a digest of a level.
 ROOM = 2
 #: What decides which row of a group stays, least first: code points below zero, whether there is no doc_id, the doc_id, the row's number.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, decontam, dedup, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
+from hydroframe.llm import audit, bpe, decontam, dedup, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -62,6 +62,28 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE t AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), d AS (
+    SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS m
+    FROM t
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (SELECT part, m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)
+), o AS (
+    SELECT '' AS filter_order, 0 AS done, 0 AS step, 0 AS bit, 0 AS before
+    UNION ALL SELECT filter_order || chr((65 + f)::INT), done | (1 << f)::INT, step + 1, (1 << f)::INT, done FROM o, range(5) r(f) WHERE done & (1 << f)::INT = 0
+), steps AS (
+    SELECT a.filter_order, b.step, b.bit, b.before FROM o a JOIN o b ON a.step = 5 AND b.step > 0 AND starts_with(a.filter_order, b.filter_order)
+), s AS (
+    SELECT part, filter_order, step, bit, count(*) FILTER (m & (before | bit) = 0) AS kept, count(*) FILTER (m & before = 0 AND m & bit <> 0) AS removed, count(*) FILTER (m & before <> 0 AND m & bit <> 0) AS redundant,
+        count(*) FILTER (m = bit) AS unique_fails, count(*) FILTER (m & before = 0 AND m & bit <> 0 AND good) AS good_lost, count(*) FILTER (m & before = 0 AND m & bit <> 0 AND toxic) AS toxic_lost
+    FROM c CROSS JOIN steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM s
+"""
+
 OP12_SQL = """
 WITH k AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents
@@ -121,6 +143,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_secrets", "secrets", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="lang")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, by a hash of the doc_id, are the history; the other half is delivered to it."""
     first = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -139,9 +165,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
         "op10_secret_scan": op10_secret_scan,
+        "op11_filter_audit": op11_filter_audit,
         "op12_exact_dedup": op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL}
