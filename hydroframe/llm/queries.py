@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import audit, bpe, decontam, dedup, html, idfile, jaccard, langid, quality, secretscan, topk, unigram
+from hydroframe.llm import audit, bpe, decontam, dedup, html, idfile, jaccard, langid, quality, secretscan, topk, trie, unigram
 from hydroframe.llm.textkit import table, tokenizer_path
 
 
@@ -93,6 +93,25 @@ FROM k WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
 
+OP13_SQL = """
+WITH own AS (
+    SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+    SELECT c, t, (xor(list_reduce([4294967295] || flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')]), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 4)::INT AS h FROM own
+), paths AS (SELECT o.c, coalesce(b.t, [])[1:o.h] || o.t[o.h + 1:] AS p FROM crc o LEFT JOIN own b ON b.c = o.c - o.c % 20
+), steps AS (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM paths
+), node AS (
+    SELECT p[1:d] AS k, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(p) = d), '') AS ends,
+        (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(p[d].t), '[^\\x20\\x09-\\x0D]+')) END) AS saved
+    FROM steps GROUP BY p[1:d], d
+), kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), ends AS (SELECT node.*, coalesce(kids.n, 0) AS kids FROM node LEFT JOIN kids ON kids.k = node.k AND kids.d = node.d
+), up AS (SELECT k[1:a] AS k, a AS d, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM ends) GROUP BY ALL)
+SELECT e.conv_id, e.d::BIGINT AS depth, p.conv_id AS parent_conv_id, e.n AS n_convs, e.kids AS n_children, up.leaves AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM ends e JOIN up ON up.k = e.k AND up.d = e.d LEFT JOIN node p ON p.d = e.d - 1 AND p.k = e.k[1:e.d - 1]
+"""
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.counts(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
@@ -153,6 +172,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.classes(table(spark, sf_dir, "documents"), first).drop("repeats_history")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -167,8 +190,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scan": op10_secret_scan,
         "op11_filter_audit": op11_filter_audit,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
