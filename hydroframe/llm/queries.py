@@ -95,7 +95,7 @@ FROM k WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 OP13_SQL = """
 WITH own AS (
-    SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat_ws(':', length(coalesce(role, '')), coalesce(role, ''), coalesce(text, '')))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), crc AS (
     SELECT c, t, (xor(list_reduce([4294967295] || flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')]), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 4)::INT AS h FROM own
 ), paths AS (SELECT o.c, coalesce(b.t, [])[1:o.h] || o.t[o.h + 1:] AS p FROM crc o LEFT JOIN own b ON b.c = o.c - o.c % 20

@@ -71,8 +71,8 @@ def turns(conversations: DataFrame) -> DataFrame:
 def rebuilt(conversations: DataFrame) -> DataFrame:
     """conv_id, path and words of its turns, after its first turns gave way to those of its family's head.
 
-    A family are the 20 conversations up to the next multiple of 20, whose head is the
-    first one; h = crc32 of the decimal conv_id, modulo 4, turns are exchanged.
+    A family are the conversations of one multiple of 20, their head: conv_id less its
+    remainder, which has the sign of conv_id as in SQL.  h = crc32 of the decimal conv_id, modulo 4, turns are exchanged.
     """
     head = F.max(F.when(F.col("conv_id") == F.col("family"), F.slice("t", 1, 3))).over(Window.partitionBy("family"))
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
