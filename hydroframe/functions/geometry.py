@@ -28,8 +28,8 @@ def azimuth(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def joint(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """The signed angle at b between the directions a to b and b to c, in degrees."""
-    ux, uy, vx, vy = bx - ax, by - ay, cx - bx, cy - by
+    """The signed angle at b between the directions to a and to c, in degrees; 180 straight on."""
+    ux, uy, vx, vy = ax - bx, ay - by, cx - bx, cy - by
     return F.degrees(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy))
 
 

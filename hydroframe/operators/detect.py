@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from hydroframe.operators import cells as C
 from hydroframe.operators import leak
-from hydroframe.operators.network import cut
 from hydroframe.operators.raster import NODATA, Grid
+from hydroframe.sources.scratch import cut
 
 c = F.col
 OPPOSITE = {"left": "right", "right": "left", "top": "bottom", "bottom": "top"}

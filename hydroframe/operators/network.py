@@ -3,55 +3,123 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hydroframe.functions import geometry as G
+from hydroframe.sources.scratch import Scratch
 
-SWEEPS = 100
-
-
+#: Rounds of settling at most; with ways of 2, 4, ... pipes, trees of any depth need fewer.
+ROUNDS = 100
+#: A level is lower if it is so by more than this.
+EXACT = 1e-9
 #: Classes of a gradient table at most; it is broadcast.
 MOST_CLASSES = 1_000_000
 
 
+def _forest(free: DataFrame, n: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Ways of 1, 2, 4, ... pipes (node, to, way) over nodes that one pipe leaves (the same columns), and the longest of them if they run in circles.
+
+    A way of 2 ** (k + 1) pipes joins two of 2 ** k, so there are as many steps as the depth
+    has binary digits; ways of more pipes than there are run around a circle.
+    """
+    ways, now = [], scratch.write(free)
+    while now.limit(1).count():
+        ways.append(now)
+        if 1 << (len(ways) - 1) > n:
+            break
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("way").alias("_way"))
+        now = scratch.write(now.join(on, "to").select("node", F.col("_to").alias("to"), (F.col("way") + F.col("_way")).alias("way")))
+    return ways, now
+
+
+def _trees(ways: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(node, far): the longest way to each node over nodes that one pipe leaves; nodes without such a way are left out."""
+    far = None
+    for way in ways:
+        before = F.lit(0.0)
+        if far is not None:
+            way, before = way.join(far, "node", "left"), F.coalesce("far", F.lit(0.0))
+        grown = way.select(F.col("to").alias("node"), (F.col("way") + before).alias("far"))
+        far = scratch.write((grown if far is None else grown.unionByName(far)).groupBy("node").agg(F.max("far").alias("far")))
+    return far
+
+
+def _ends(ways: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(node, end): where the forced way of each node ends."""
+    at = ways[0].select("node", F.col("to").alias("end"))
+    for way in reversed(ways):  # by the binary digits of the way's length, the greatest first
+        at = scratch.write(at.join(way.select(F.col("node").alias("end"), "to"), "end", "left").select("node", F.coalesce("to", "end").alias("end")))
+    return at
+
+
+def _pairs(steps: DataFrame, sources: DataFrame, ways: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(source, node, way): the shortest way from each source to every other node.
+
+    Every round, only what became shorter is handed on, along pipes and along ways of
+    2, 4, ... pipes; so rounds grow with the forks on a way, and the logarithm of what lies between.
+    """
+    edges = steps
+    for way in ways[1:]:
+        edges = edges.unionByName(way)
+    edges = scratch.write(edges)
+    best = steps.join(sources.select(F.col("source").alias("node")), "node").select(F.col("node").alias("source"), F.col("to").alias("node"), "way", F.lit(True).alias("grew"))
+    best = scratch.write(best)
+    while best.where("grew").limit(1).count():
+        handed = best.where("grew").select("source", "node", F.col("way").alias("_way")).join(edges, "node").where("source <> to")
+        handed = handed.groupBy("source", F.col("to").alias("node")).agg(F.min(F.col("_way") + F.col("way")).alias("new"))
+        shorter = F.col("new") < F.coalesce("way", F.lit(float("inf")))
+        merged = best.drop("grew").join(handed, ["source", "node"], "full").select("source", "node", F.least("way", "new").alias("way"), F.coalesce(shorter, F.lit(False)).alias("grew"))
+        last, best = best, scratch.write(merged)
+        scratch.drop(last)
+    return best.drop("grew")
+
+
 def upstream_distance(pipes: DataFrame) -> DataFrame:
     """id, distance: a pipe's length and the distance of the farthest node upstream of it, by pipes (id, src, dst, length).
 
-    The distance of two nodes is the shortest way along the pipes, so branches that
-    meet again count once, and cycles do no harm.  Every round the ways that became
-    shorter are handed on to the pipes that leave their ends; so there are as many
-    rounds as the shortest ways have pipes.  Lengths under 0 raise.
+    The distance of two nodes is the shortest way along the pipes, so branches that meet
+    again count once, and cycles do no harm.  Lengths under 0 raise.
+
+    Where one pipe leaves a node, its way is forced: such nodes form trees, whose longest
+    ways come from pointer doubling, in rows linear in the pipes and steps logarithmic in
+    the depth.  Only nodes that several pipes leave (forks), and those on circles, need
+    the shortest way to each node beyond: the farthest of the tree that hangs on a fork
+    stands for all of it.
     """
-    edges = cut(pipes.select("id", "src", "dst", "length"))
+    scratch = Scratch(pipes.sparkSession, "upstream")
+    edges = scratch.write(pipes.select("id", "src", "dst", F.col("length").cast("double").alias("length")))
     if edges.where("length < 0").limit(1).count():
         raise ValueError("a pipe has a negative length")
-    steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("length").alias("length"))
-    best = cut(steps.select(F.col("src").alias("far"), F.col("dst").alias("node"), F.col("length").alias("way")))
-    grown = best
-    while grown.limit(1).count():
-        handed = grown.join(steps.select(F.col("src").alias("node"), "dst", "length"), "node").where("far <> dst")
-        handed = handed.groupBy("far", F.col("dst").alias("node")).agg(F.min(F.col("way") + F.col("length")).alias("new"))
-        merged = cut(best.join(handed, ["far", "node"], "full").select("far", "node", F.least("way", "new").alias("way"), (F.col("new") < F.coalesce("way", F.lit(float("inf")))).alias("grew")))
-        best, grown = merged.select("far", "node", "way"), merged.where("grew").select("far", "node", "way")
-    farthest = best.groupBy(F.col("node").alias("src")).agg(F.max("way").alias("way"))
-    return edges.join(farthest, "src", "left").select("id", (F.col("length") + F.coalesce("way", F.lit(0.0))).alias("distance"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, through the folder of checkpoints; without one, a local session gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        top = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not top and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="hydroframe-"))
-    return df.checkpoint()
+    steps = scratch.write(edges.where("src <> dst").groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("length").alias("way")))
+    n = steps.count()
+    degree = scratch.write(steps.groupBy("node").agg(F.count("*").alias("n"), F.max("to").alias("to"), F.max("way").alias("way")))
+    free, forks = degree.where("n = 1").drop("n"), degree.where("n > 1").select(F.col("node").alias("source"))
+    others = lambda sources: free.join(sources.select(F.col("source").alias("node")), "node", "left_anti")
+    ways, around = _forest(free, n, scratch)
+    if around.limit(1).count():  # these end on circles, one at least on every node of each
+        forks = scratch.write(forks.unionByName(around.select(F.col("to").alias("source")).distinct()))
+        ways, _ = _forest(others(forks), n, scratch)
+    pairs = None
+    if forks.limit(1).count():
+        pairs = _pairs(steps, forks, ways, scratch)
+        if ways:  # a node that can be reached from the fork it hangs on isn't beyond its tree: it gets ways of its own
+            back = scratch.write(_ends(ways, scratch).join(pairs.select(F.col("source").alias("end"), "node"), ["node", "end"]).select(F.col("node").alias("source")).distinct())
+            if back.limit(1).count():
+                forks = scratch.write(forks.unionByName(back))
+                ways, _ = _forest(others(forks), n, scratch)
+                pairs = _pairs(steps, forks, ways, scratch)
+    far = _trees(ways, scratch) if ways else scratch.write(steps.select("node", F.lit(0.0).alias("far")).limit(0))
+    if pairs is not None:
+        hung = pairs.join(far.select(F.col("node").alias("source"), "far"), "source", "left").select("node", (F.col("way") + F.coalesce("far", F.lit(0.0))).alias("far"))
+        far = hung.unionByName(far).groupBy("node").agg(F.max("far").alias("far"))
+    out = scratch.write(edges.join(far.select(F.col("node").alias("src"), "far"), "src", "left").select("id", (F.col("length") + F.coalesce("far", F.lit(0.0))).alias("distance")))
+    scratch.keep(out)
+    return out
 
 
 def classes_of(table: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
@@ -114,48 +182,53 @@ def invert_levels(pipes: DataFrame, cover: float) -> DataFrame:
     return pipes.withColumn("invert_start", start - short).withColumn("invert_end", end - short)
 
 
-def relax(pipes: DataFrame, component: str, max_drop: float, smooth_angle: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """pipes with levels settled: no pipe starts above the end of the one before it, and no drop is more than max_drop.
+def relax(pipes: DataFrame, max_drop: float, smooth_angle: float | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """pipes with levels settled: no pipe starts above the end of one before it, and no drop is more than max_drop.
 
-    Every component settles on its own, pipes by id, at most `sweeps` times.  With a
-    smooth_angle (degrees; needs x0 .. y1), where pipes turn by more, the drop
-    between them is taken away.  `sweeps` in the result says how many were needed.
+    Pipes are only lowered, as a whole, and as little as these bounds allow, so it doesn't
+    matter which pipe is looked at first.  With a smooth_angle (degrees; needs x0 .. y1),
+    where the angle between two pipes is more (180 is straight on), no drop is left between
+    them.  Pipes without levels, and pipes that end where they start, bind none and stay.
+
+    Every bound says how much a pipe may lie above another one, so levels are shortest ways
+    from the given ones.  Every round, pipes that went down hand on the least level at
+    their nodes (never pairs of pipes), and over ways of 2, 4, ... pipes, each to its first
+    follower; so rounds grow with the logarithm of the depth.  Bounds that contradict
+    each other (a circle that loses height) would lower pipes for ever: `settled` is false
+    for pipes that still moved after so many rounds.
     """
-    schema = T.StructType(pipes.schema.fields + [T.StructField("sweeps", T.IntegerType())])
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        start, end = group["invert_start"].to_numpy(float).copy(), group["invert_end"].to_numpy(float).copy()
-        leaving: dict[object, list[int]] = {}
-        for i, node in enumerate(group["src"]):
-            leaving.setdefault(node, []).append(i)
-        meets = [(i, j) for i, node in enumerate(group["dst"]) for j in leaving.get(node, []) if i != j]
-        bends = [False] * len(meets)
-        if smooth_angle is not None:
-            import math
-
-            xy = group[["x0", "y0", "x1", "y1"]].to_numpy(float)
-            for k, (i, j) in enumerate(meets):
-                ux, uy, vx, vy = xy[i, 2] - xy[i, 0], xy[i, 3] - xy[i, 1], xy[j, 2] - xy[j, 0], xy[j, 3] - xy[j, 1]
-                bends[k] = abs(math.degrees(math.atan2(ux * vy - uy * vx, ux * vx + uy * vy))) > smooth_angle
-        n, moved = 0, True
-        while moved and n < sweeps:
-            moved = False
-            for (i, j), bend in zip(meets, bends, strict=True):
-                if start[j] > end[i] + 1e-9:
-                    by, k = start[j] - end[i], j
-                elif end[i] - start[j] - max_drop > 0.001:
-                    by, k = end[i] - start[j] - max_drop, i
-                elif bend and end[i] - start[j] > 0.0001:
-                    by, k = end[i] - start[j], i
-                else:
-                    continue
-                start[k], end[k], moved = start[k] - by, end[k] - by, True
-            n += 1
-        group["invert_start"], group["invert_end"], group["sweeps"] = start, end, n
-        return group[[f.name for f in schema]]
-
-    return pipes.groupBy(component).applyInPandas(settle, schema)
+    scratch = Scratch(pipes.sparkSession, "relax")
+    rows = scratch.write(pipes)
+    fall = (F.col("invert_start") - F.col("invert_end")).cast("double")
+    level = scratch.write(rows.where(fall.isNotNull() & (F.col("src") != F.col("dst"))).select("id", "src", "dst", fall.alias("fall"), F.col("invert_start").cast("double").alias("level"), F.lit(True).alias("moved")))
+    first = level.groupBy(F.col("src").alias("dst")).agg(F.min("id").alias("to"))
+    ways, _ = _forest(level.join(first, "dst").select(F.col("id").alias("node"), "to", (-F.col("fall")).alias("way")), level.count(), scratch)
+    bounds = [level.select("id", F.col("id").alias("to"), F.lit(0.0).alias("way")).limit(0)]
+    for k, way in enumerate(ways[1:], 1):
+        bounds.append(way.select(F.col("node").alias("id"), "to", "way"))
+        bounds.append(way.select(F.col("to").alias("id"), F.col("node").alias("to"), (F.lit(max_drop * 2**k) - F.col("way")).alias("way")))
+    if smooth_angle is not None:
+        bent = bend(rows.where("src <> dst")).where(F.abs("angle") > smooth_angle).join(level.select("id", "fall"), "id")
+        bounds.append(bent.select(F.col("other").alias("id"), F.col("id").alias("to"), F.col("fall").alias("way")))
+    far = scratch.write(reduce(DataFrame.unionByName, bounds))
+    for _ in range(rounds):
+        moved = level.where("moved")
+        into = moved.groupBy(F.col("dst").alias("src")).agg(F.min(F.col("level") - F.col("fall")).alias("new"))
+        out_of = moved.groupBy(F.col("src").alias("dst")).agg((F.min("level") + max_drop).alias("new"))
+        new = level.join(into, "src").select("id", "new").unionByName(level.join(out_of, "dst").select("id", (F.col("new") + F.col("fall")).alias("new")))
+        new = new.unionByName(moved.join(far, "id").select(F.col("to").alias("id"), (F.col("level") + F.col("way")).alias("new")))
+        lower = F.coalesce(F.col("new") < F.col("level") - EXACT, F.lit(False))
+        after = level.drop("moved").join(new.groupBy("id").agg(F.min("new").alias("new")), "id", "left")
+        last, level = level, scratch.write(after.select("id", "src", "dst", "fall", F.when(lower, F.col("new")).otherwise(F.col("level")).alias("level"), lower.alias("moved")))
+        scratch.drop(last)
+        if not level.where("moved").limit(1).count():
+            break
+    down = F.coalesce(F.col("_level") - F.col("invert_start"), F.lit(0.0))
+    out = rows.join(level.select("id", F.col("level").alias("_level"), "moved"), "id", "left")
+    out = out.withColumns({"invert_start": F.col("invert_start") + down, "invert_end": F.col("invert_end") + down, "settled": ~F.coalesce("moved", F.lit(False))}).select(*pipes.columns, "settled")
+    out = scratch.write(out)
+    scratch.keep(out)
+    return out
 
 
 def edited(pipes: DataFrame) -> DataFrame:

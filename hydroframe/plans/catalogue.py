@@ -416,10 +416,15 @@ def _(d):
     return network.edited(designed).select("id", r("invert_start").alias("invert_start"), r("invert_end").alias("invert_end"))
 
 
-@query("r39_relaxed_levels")
+#: The same bounds pipe by pipe, tightened in rounds.
+_SETTLED = """, b AS (SELECT id, id AS other, 0.0 AS more FROM j UNION ALL SELECT a.id, c.id, -(a.s - a.e) FROM j a JOIN j c ON c.src = a.dst AND c.id <> a.id UNION ALL SELECT c.id, a.id, a.s - a.e + 0.5 FROM j a JOIN j c ON c.src = a.dst AND c.id <> a.id),
+levels AS (SELECT id, s - short AS level, 0 AS n FROM j UNION ALL SELECT b.other, min(l.level + b.more), l.n + 1 FROM levels l JOIN b ON b.id = l.id WHERE l.n < 60 GROUP BY b.other, l.n) """
+
+
+@query("r39_relaxed_levels", relations("pipes", extra=_INVERT + _SETTLED, recursive=True) + "SELECT l.id, round(l.level, 6) AS invert_start, round(l.level - (j.s - j.e), 6) AS invert_end, true AS settled FROM levels l JOIN j USING (id) WHERE l.n = 60")
 def _(d):
-    settled = network.relax(_inverts(d).withColumn("net", F.lit(1)), "net", 0.5)
-    return settled.select("id", r("invert_start").alias("invert_start"), r("invert_end").alias("invert_end"), "sweeps")
+    settled = network.relax(_inverts(d), 0.5)
+    return settled.select("id", r("invert_start").alias("invert_start"), r("invert_end").alias("invert_end"), "settled")
 
 
 # --- rasters ----------------------------------------------------------------------------------------
@@ -729,7 +734,7 @@ def _(d):
     return d.lines().select("id", r(G.azimuth(*_xy())).alias("azimuth"))
 
 
-@query("m10_bends", relations("lines") + "SELECT a.id, b.id AS other, round(abs(degrees(atan2((a.x1 - a.x0) * (b.y1 - a.y1) - (a.y1 - a.y0) * (b.x1 - a.x1), (a.x1 - a.x0) * (b.x1 - a.x1) + (a.y1 - a.y0) * (b.y1 - a.y1)))), 6) AS angle FROM lines a JOIN lines b ON b.start_id = a.end_id AND a.id <> b.id")
+@query("m10_bends", relations("lines") + "SELECT a.id, b.id AS other, round(abs(degrees(atan2((a.x0 - a.x1) * (b.y1 - a.y1) - (a.y0 - a.y1) * (b.x1 - a.x1), (a.x0 - a.x1) * (b.x1 - a.x1) + (a.y0 - a.y1) * (b.y1 - a.y1)))), 6) AS angle FROM lines a JOIN lines b ON b.start_id = a.end_id AND a.id <> b.id")
 def _(d):
     pipes = d.lines().select("id", F.col("start_id").alias("src"), F.col("end_id").alias("dst"), *_xy())
     return network.bend(pipes).withColumn("angle", r(F.abs("angle")))

@@ -185,18 +185,79 @@ def test_as_of_and_within(spark):
     assert {(r["at"], r["s"]) for r in joins.within(points, spans, "at", "low", "high", 2.0).collect()} == want
 
 
-def test_relaxed_levels_hold(spark):
-    draw = np.random.default_rng(3)
-    rows = [(i, i, i // 2, 1, float(s), float(s) - 0.1) for i, s in zip(range(1, 60), draw.normal(0, 1, 59), strict=True)]
-    out = network.relax(spark.createDataFrame(rows, "id long, src long, dst long, net int, invert_start double, invert_end double"), "net", 0.5).collect()
-    level = {r["src"]: r for r in out}
-    assert out[0]["sweeps"] < network.SWEEPS
+def swept(rows, max_drop, angle=None, sweeps=5000):
+    """Pipe by pipe in the order of id, until nothing moves: (id, src, dst, start, end, x0, y0, x1, y1)."""
+    level = {r[0]: [r[3], r[4]] for r in rows}
+    meets = [(i, j) for i in sorted(rows) for j in sorted(rows) if i[2] == j[1] and i[0] != j[0] and i[1] != i[2] and j[1] != j[2]]
+    for _ in range(sweeps):
+        moved = False
+        for i, j in meets:
+            (_, end), (start, _) = level[i[0]], level[j[0]]
+            back, on = (i[5] - i[7], i[6] - i[8]), (j[7] - i[7], j[8] - i[8])
+            bent = angle is not None and abs(math.degrees(math.atan2(back[0] * on[1] - back[1] * on[0], back[0] * on[0] + back[1] * on[1]))) > angle
+            if start > end + 1e-7:
+                k, by = j, start - end
+            elif end - start - (0 if bent else max_drop) > 1e-7:
+                k, by = i, end - start - (0 if bent else max_drop)
+            else:
+                continue
+            level[k[0]] = [level[k[0]][0] - by, level[k[0]][1] - by]
+            moved = True
+        if not moved:
+            return level
+    return None
+
+
+def drawn_pipes(kind, seed):
+    draw = np.random.default_rng(seed)
+    n = 40
+    ends = {"tree": [(i, i // 2) for i in range(1, n)], "chain": [(i, i + 1) for i in range(n)], "star": [(i, 0) for i in range(1, 20)] + [(0, 100 + i) for i in range(15)], "web": [(i, int(j)) for i in range(1, 14) for j in draw.choice(i, min(i, 2), False)]}[kind]
+    ids = draw.permutation(len(ends))
+    rows = [(int(k), a, b, float(s), float(s) - (0.0 if kind == "web" else float(f)), *map(float, draw.integers(0, 9, 4))) for k, (a, b), s, f in zip(ids, ends, draw.integers(-300, 300, len(ends)) / 100, draw.integers(-10, 30, len(ends)) / 100, strict=True)]
+    return rows + [(1000, 5, 5, 9.0, 1.0, 0.0, 0.0, 1.0, 1.0)]
+
+
+PIPE = "id long, src long, dst long, invert_start double, invert_end double, x0 double, y0 double, x1 double, y1 double"
+
+
+@pytest.mark.parametrize("kind,angle", [("tree", None), ("chain", None), ("star", None), ("web", None), ("tree", 100.0), ("chain", 60.0)])
+def test_levels_settle_as_pipe_by_pipe(spark, kind, angle):
+    rows = drawn_pipes(kind, len(kind))
+    want = swept(rows, 0.5, angle)
+    out = network.relax(spark.createDataFrame(rows, PIPE), 0.5, angle).collect()
+    assert want is not None and len(out) == len(rows) and all(r["settled"] for r in out)
     for r in out:
-        after = level.get(r["dst"])
-        if after is not None and after["id"] != r["id"]:
-            drop = r["invert_end"] - after["invert_start"]
-            assert -1e-6 <= drop <= 0.501 + 1e-6
-        assert math.isclose(r["invert_start"] - r["invert_end"], 0.1)
+        assert math.isclose(r["invert_start"], want[r["id"]][0], abs_tol=1e-5) and math.isclose(r["invert_end"], want[r["id"]][1], abs_tol=1e-5)
+
+
+def test_levels_that_cannot_settle(spark):
+    rows = [(1, 1, 2, 1.0, 0.5), (2, 2, 1, 1.0, 0.5), (3, 8, 9, 1.0, 0.5), (4, 9, 10, 2.0, 1.5), (5, 9, 11, None, 1.0)]
+    out = {r["id"]: r for r in network.relax(spark.createDataFrame(rows, PIPE[: PIPE.index(", x0")]), 0.5, rounds=8).collect()}
+    assert not out[1]["settled"] and not out[2]["settled"] and out[3]["settled"] and out[4]["settled"]
+    assert math.isclose(out[4]["invert_start"], 0.5) and out[5]["invert_start"] is None and out[3]["invert_start"] == 1.0
+    assert network.relax(spark.createDataFrame(rows, PIPE[: PIPE.index(", x0")]).limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ways_of_trees_forks_and_circles(spark, seed):
+    draw = np.random.default_rng(seed)
+    n = 18
+    rows = [(k, int(a), int(b), float(w)) for k, (a, b, w) in enumerate(zip(draw.integers(0, n, n + 2 * seed), draw.integers(0, n, n + 2 * seed), draw.integers(1, 20, n + 2 * seed), strict=True))]
+    way = np.full((n, n), np.inf)
+    np.fill_diagonal(way, 0)
+    for _, a, b, w in rows:
+        way[a, b] = min(way[a, b], w)
+    for k in range(n):
+        way = np.minimum(way, way[:, [k]] + way[[k], :])
+    far = np.where(np.isinf(way), 0, way).max(axis=0)
+    got = network.upstream_distance(spark.createDataFrame(rows, "id long, src long, dst long, length double")).collect()
+    assert {tuple(r) for r in got} == {(k, w + far[a]) for k, a, _, w in rows}
+
+
+def test_rounds_of_a_long_chain(spark):
+    chain = spark.range(3000).select("id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("length"))
+    got = network.upstream_distance(chain)
+    assert got.where("distance <> id + 1").count() == 0 and got.count() == 3000
 
 
 def test_rasters(spark):
