@@ -2,31 +2,110 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydroframe.sources.scratch import Scratch
+
+
+#: Rows of a slice of a chain on average; a chain spans as many tasks as it has slices.
+SLICE = 1_000_000
 
-def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: float) -> DataFrame:
-    """rows with run: within a group, in order, a new run starts where a value would stretch the run's range beyond max_range.
 
-    The bounds of a run depend on where it began, so rows are folded in order: a
-    task gets whole groups, sorted by Spark, and walks them batch by batch with the
-    state of the current run alone, however long a group is.  Missing values stay in
-    the run they are in.
+def _last_runs(v: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """For runs that start at each value: how many more runs follow, and where the last one starts.
+
+    The next run after one that starts at i begins at the first value that stretches the range
+    beyond `most`; two queues keep the greatest and least value of a moving stretch.
     """
-    schema = T.StructType(rows.schema.fields + [T.StructField("run", T.LongType())])
+    n = len(v)
+    values, after = v.tolist(), [n] * n
+    high: deque[int] = deque()
+    low: deque[int] = deque()
+    i = 0
+    for j, x in enumerate(values):
+        while high and values[high[-1]] <= x:
+            high.pop()
+        high.append(j)
+        while low and values[low[-1]] >= x:
+            low.pop()
+        low.append(j)
+        while values[high[0]] - values[low[0]] > most:
+            after[i] = j
+            i += 1
+            if high[0] < i:
+                high.popleft()
+            if low[0] < i:
+                low.popleft()
+    count, last = [0] * n, list(range(n))
+    for i in range(n - 1, -1, -1):
+        if after[i] < n:
+            count[i], last[i] = count[after[i]] + 1, last[after[i]]
+    return np.array(count, np.int64), np.array(last, np.int64)
+
+
+class Transition:
+    """What a slice of a chain does to a run that comes into it.
+
+    A run comes in with its lowest and highest value.  The slice breaks it at the first value
+    that stretches its range too far, which can only be one higher or lower than all before it
+    in the slice; what follows depends on that place alone.  So there is one case for each such
+    place (those that end alike are one), up to the first that breaks any run, and one for none.
+    """
+
+    FIELDS = ("high", "low", "runs", "end_low", "end_high")
+
+    def __init__(self, cases: np.ndarray, low: float, high: float) -> None:
+        self.cases, self.low, self.high = cases, low, high
+
+    @classmethod
+    def of(cls, v: np.ndarray, most: float) -> Transition:
+        if not len(v):
+            return cls(np.empty((0, 5)), np.inf, -np.inf)
+        high, low = np.maximum.accumulate(v), np.minimum.accumulate(v)
+        new = np.flatnonzero(np.r_[True, (high[1:] > high[:-1]) | (low[1:] < low[:-1])])
+        sure = np.flatnonzero(high[new] - low[new] > most)
+        if len(sure):
+            new = new[: sure[0] + 1]
+        count, last = _last_runs(v, most)
+        to = last[new]
+        end_low, end_high = np.minimum.accumulate(v[::-1])[::-1][to], np.maximum.accumulate(v[::-1])[::-1][to]
+        cases = np.stack([high[new], low[new], count[new] + 1, end_low, end_high], axis=1)
+        alike = np.r_[(cases[1:, 2:] == cases[:-1, 2:]).all(axis=1), False]  # the later place stands for both: if it breaks a run, one of them does
+        return cls(cases[~alike], float(low[-1]), float(high[-1]))
+
+    def __call__(self, low: float, high: float, most: float) -> tuple[int, float, float]:
+        """Of a run that comes in with these bounds (inf, -inf: none yet): the runs that begin, and the bounds of the last."""
+        broken = np.flatnonzero(np.maximum(self.cases[:, 0], high) - np.minimum(self.cases[:, 1], low) > most)
+        if high < low or not len(broken):  # the first values of a chain start a run without a break
+            if high < low and len(self.cases):
+                return int(self.cases[0, 2]) - 1, float(self.cases[0, 3]), float(self.cases[0, 4])
+            return 0, min(low, self.low), max(high, self.high)
+        runs, end_low, end_high = self.cases[broken[0], 2:]
+        return int(runs), float(end_low), float(end_high)
+
+
+def _folded(rows: DataFrame, group: str, order: str, value: str, max_range: float, keys: list[str], start: tuple[str, str, str] | None = None) -> DataFrame:
+    """rows with run, chain by chain in order; start: columns with a chain's first run number and the bounds of its run so far."""
+    kept = [f for f in rows.schema.fields if start is None or f.name not in (*start, *set(keys) - {group})]
+    schema = T.StructType(kept + [T.StructField("run", T.LongType())])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, run, low, high = object(), 0, None, None
         for pdf in batches:
             out = []
-            for g, v in zip(pdf[group].tolist(), pdf[value].tolist(), strict=True):
+            first = zip(*(pdf[c].tolist() for c in start), strict=True) if start else iter(lambda: (0, None, None), 0)
+            for g, v, (r, lowest, highest) in zip(zip(*([None if x != x else x for x in pdf[k].tolist()] for k in keys), strict=True), pdf[value].tolist(), first, strict=False):
                 if g != now:
-                    now, run, low, high = g, 0, None, None
+                    now, run, low, high = g, int(r), lowest, highest
+                    if low is not None and not low <= high:
+                        low = high = None
                 if v is not None and v == v:
                     if low is None:
                         low = high = v
@@ -35,9 +114,51 @@ def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: f
                     else:
                         low, high = min(low, v), max(high, v)
                 out.append(run)
-            yield pdf.assign(run=out)
+            yield pdf[[f.name for f in kept]].assign(run=out)
+
+    return rows.repartition(keys[0]).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
+
+
+def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: float, slice_rows: int = SLICE) -> DataFrame:
+    """rows with run: within a group, in order, a new run starts where a value would stretch the run's range beyond max_range.
+
+    The bounds of a run depend on where it began.  Groups of up to slice_rows rows are
+    folded in order by one task.  A longer one is cut into slices of its order: what each
+    slice does to a run that comes in is told as a Transition, these are composed along the
+    group (a row a slice), and every slice is then folded from the run that comes into it,
+    so one group spans as many tasks as it has slices.  Missing values stay in the run they
+    are in.  Infinite values aren't allowed in groups of more than a slice.
+    """
+    count = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
+    long = [] if not count.limit(1).count() else count.agg(F.sum("_n")).first()
+    if not long:
+        return _folded(rows, group, order, value, max_range, [group])
+    own = F.broadcast(count.select("_group"))  # no more groups than slices
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    short = _folded(rows.join(own, same, "left_anti"), group, order, value, max_range, [group])
+    scratch = Scratch(rows.sparkSession, "runs")
+    sliced = scratch.write(rows.join(own, same, "left_semi").repartitionByRange(1 + long[0] // slice_rows, group, order).withColumn("_slice", F.spark_partition_id()))
+    kind = dict(rows.dtypes)[group]
+
+    def transition(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("_o")["_v"].to_numpy(float)
+        made = Transition.of(v[~np.isnan(v)], max_range)
+        return pd.DataFrame({"_slice": pdf["_slice"].iloc[:1], "_group": pdf["_group"].iloc[:1], "low": made.low, "high": made.high, "cases": [made.cases.reshape(-1).tolist()]})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        run, low, high, out = 0, np.inf, -np.inf, []
+        pdf = pdf.sort_values("_slice", ignore_index=True)
+        for cases, lowest, highest in zip(pdf["cases"], pdf["low"], pdf["high"], strict=True):
+            out.append((run, low, high))
+            more, low, high = Transition(np.asarray(cases, float).reshape(-1, 5), lowest, highest)(low, high, max_range)
+            run += more
+        return pd.DataFrame({"_slice": pdf["_slice"], "_group": pdf["_group"]} | dict(zip(("_run", "_low", "_high"), zip(*out, strict=True), strict=True)))
 
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, schema)
+    narrow = sliced.select("_slice", F.col(group).alias("_group"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    summaries = narrow.groupBy("_slice", "_group").applyInPandas(transition, f"_slice int, _group {kind}, low double, high double, cases array<double>")
+    states = scratch.write(summaries.groupBy("_group").applyInPandas(composed, f"_slice int, _group {kind}, _run long, _low double, _high double"))
+    met = sliced.join(F.broadcast(states.withColumnRenamed("_slice", "_at")), (F.col("_slice") == F.col("_at")) & same).drop("_at", "_group")
+    return short.unionByName(_folded(met, group, order, value, max_range, ["_slice", group], ("_run", "_low", "_high")))
 
 
 def run_statistics(runs: DataFrame, group: str, value: str, length: str) -> DataFrame:

@@ -608,6 +608,15 @@ def _(d):
     return lines.range_runs(_chains(d), "chain", "place", "v", 100.0).select("chain", "place", "run")
 
 
+_LONG = _RUNS.replace(f"({_STEP})", "(SELECT o_orderpriority AS chain, o_orderkey AS place, round(o_totalprice / 1000, 3)::DOUBLE AS v, 1 AS len FROM orders)")
+
+
+@query("w05_long_chains", _LONG + "SELECT chain, place, run::BIGINT AS run FROM f")
+def _(d):
+    rows = d.table("orders").select(F.col("o_orderpriority").alias("chain"), F.col("o_orderkey").alias("place"), F.round(F.col("o_totalprice") / 1000, 3).cast("double").alias("v"))
+    return lines.range_runs(rows, "chain", "place", "v", 100.0, slice_rows=200).select("chain", "place", "run")
+
+
 @query("a34_run_statistics", _RUNS + "SELECT chain, run::BIGINT AS run, count(*) AS n, round(sum(v * len) / sum(len), 9) AS mean, min(v) AS lowest, max(v) AS highest, sum(len) AS length FROM f GROUP BY chain, run")
 def _(d):
     runs = lines.range_runs(_chains(d), "chain", "place", "v", 100.0)

@@ -288,6 +288,46 @@ def test_runs(spark):
     assert lines.range_runs(rows.limit(0), "g", "i", "v", 1.0).count() == 0
 
 
+def plain_runs(values, most):
+    run, low, high, out = 0, None, None, []
+    for v in values:
+        if v is not None:
+            if low is None:
+                low = high = v
+            elif max(high, v) - min(low, v) > most:
+                run, low, high = run + 1, v, v
+            low, high = min(low, v), max(high, v)
+        out.append(run)
+    return out
+
+
+def test_transitions_of_slices():
+    draw = np.random.default_rng(5)
+    for kind in range(60):
+        n, most = int(draw.integers(1, 60)), float(draw.integers(0, 12))
+        v = (np.cumsum(draw.integers(-3, 4, n)) if kind % 3 else draw.integers(0, 20, n)).astype(float)
+        cut = sorted(draw.integers(0, n + 1, 3).tolist())
+        run, low, high = 0, np.inf, -np.inf
+        for a, b in zip([0, *cut], [*cut, n], strict=True):
+            more, low, high = lines.Transition.of(v[a:b], most)(low, high, most)
+            run += more
+        want = plain_runs(v.tolist(), most)
+        last = [x for x, r in zip(v, want, strict=True) if r == want[-1]]
+        assert (run, low, high) == (want[-1], min(last), max(last))
+
+
+def test_chains_over_many_slices(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for group, n in (("long", 3000), ("other", 500), ("short", 20), (None, 300), ("flat", 400)):
+        values = [None if x < 0.05 else float(y) for x, y in zip(draw.random(n), np.round(np.cumsum(draw.normal(0, 1, n)), 2) * (group != "flat"), strict=True)]
+        rows += [(group, i, v, r, "x") for i, (v, r) in enumerate(zip(values, plain_runs(values, 3.0), strict=True))]
+    df = spark.createDataFrame(rows, "g string, i int, v double, want int, more string").repartition(5)
+    got = lines.range_runs(df, "g", "i", "v", 3.0, slice_rows=100)
+    assert got.columns == ["g", "i", "v", "want", "more", "run"] and got.count() == len(rows)
+    assert got.where("run <> want").count() == 0
+
+
 def test_adjacent_levees(spark):
     rows = [(1, 0.0, 0.0, 1.0, 0.0, 5.0), (2, 1.00005, 0.0, 2.0, 0.0, 5.2), (3, 2.0, 0.0, 3.0, 0.0, 9.0)]
     df = spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double, height double")
