@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
+from hydroframe.sources.scratch import Scratch
 
 
 def with_ends(lines: DataFrame, values: DataFrame, *columns: str, key: str = "entity_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -103,3 +104,23 @@ def resolved_neighbours(cells: DataFrame, lines: DataFrame) -> DataFrame:
     shared = {f"side_{c}": (F.greatest if c.endswith("min") else F.least)(f"a_{c}", f"b_{c}") for c in ("xmin", "ymin", "xmax", "ymax")}
     found = both.select("id", "start_id", "end_id", where.alias("location"), *(v.alias(k) for k, v in shared.items()))
     return found.where("location is not null and side_xmin <= side_xmax and side_ymin <= side_ymax")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, part) of every vertex of links (u, v): part is the least id that links reach.
+
+    In turns, the greater and the smaller neighbours of a vertex hang on the least one, until
+    all links are stars; no vertex gathers its neighbours in a list.
+    """
+    scratch = Scratch(links.sparkSession, "components")
+    now = scratch.write(links.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v").distinct())
+    sign, before = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), None
+    while (mark := sign(now)) != before:
+        before, last = mark, now
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        now = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        now = scratch.write(now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        scratch.drop(last)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("part")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("part"))).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydroframe.operators.graph import components
 from hydroframe.sources.scratch import Scratch
 
 
@@ -214,52 +215,93 @@ def moving(rows: DataFrame, key: str, order: str, value: str, k: int, how: str)
     return rows.withColumn("moved", {"mean": F.avg, "min": F.min, "max": F.max}[how](value).over(w))
 
 
+def _touching(levees: DataFrame, field: str, most: float, distance: float) -> DataFrame:
+    """levees with part: no merged levee of a threshold up to `most` reaches beyond its field and part.
+
+    Ends meet by cells of the distance.  Around a cell, levees in order of their height hang
+    together as long as the next one is less than `most` higher, so no pairs are made.
+    """
+    key = dict(levees.dtypes)["id"]
+    cell = lambda c: F.floor(F.col(c) / distance)
+    ends = levees.select(F.col(field).alias("_f"), "id", "height", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p"))
+    ends = ends.select("_f", "id", "height", cell("p.x").alias("i"), cell("p.y").alias("j"))
+    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    near = ends.withColumn("a", shift).withColumn("b", shift).select("_f", "id", "height", (F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j"))
+    order = Window.partitionBy("_f", "i", "j").orderBy("height", "id")
+    linked = near.withColumn("v", F.lag("id").over(order)).withColumn("below", F.lag("height").over(order))
+    links = linked.where((F.col("height") - F.col("below") < most) & (F.col("id") != F.col("v"))).select(F.col("id").alias("u"), "v").distinct()
+    parts = components(links)
+    return levees.join(parts.select(F.col("id").cast(key).alias("id"), F.col("part").alias("_part")), "id", "left").withColumn("part", F.coalesce("_part", F.col("id").cast("long"))).drop("_part")
+
+
+def _grown(pdf: pd.DataFrame, threshold: float, distance: float) -> Iterator[list[int]]:
+    """Rows of each merged levee of a part, sorted by id."""
+    ends: dict[tuple[int, int], list[int]] = {}
+    spots = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 2, 2)
+    height = pdf["height"].to_numpy(float)
+    for i, pair in enumerate(spots):
+        for x, y in pair:
+            ends.setdefault((int(x // distance), int(y // distance)), []).append(i)
+    taken = [False] * len(pdf)
+    for first in range(len(pdf)):
+        if taken[first]:
+            continue
+        taken[first], run, edge = True, [first], [first]
+        low = high = height[first]
+        beside: set[int] = set()
+        while edge:  # what touches the merged levee so far, by its heights before this round
+            for i in edge:
+                for x, y in spots[i]:
+                    a, b = int(x // distance), int(y // distance)
+                    for k in {j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in ends.get((a + p, b + q), ())}:
+                        if not taken[k] and min((u - x) ** 2 + (v - y) ** 2 for u, v in spots[k]) <= distance**2:
+                            beside.add(k)
+            edge = [k for k in sorted(beside) if abs(height[k] - low) < threshold and abs(height[k] - high) < threshold]
+            for k in edge:
+                taken[k] = True
+                low, high = min(low, height[k]), max(high, height[k])
+            beside -= set(edge)
+            run += edge
+        yield run
+
+
 def merged_levees(levees: DataFrame, field: str, threshold: float, distance: float = 1e-4) -> DataFrame:
     """field, merged, n, mean, highest, lowest of levees (id, field, x0 .. y1, height), each field on its own.
 
-    By id, a levee that isn't taken starts a merged one and takes what touches it,
-    step by step, while heights stay within the threshold of the first one's.
+    By id, a levee that isn't taken starts a merged one.  Round by round this takes all that
+    touch it and whose heights are less than the threshold from its lowest and its highest
+    so far.  Which levee is taken depends on the order, so a task walks all that hang
+    together (by ends and heights) in one field; levees without a height stay alone.
     """
     kind = dict(levees.dtypes)[field]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        ends: dict[tuple[int, int], list[int]] = {}
-        spots = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 2, 2)
-        height = pdf["height"].to_numpy(float)
-        for i, pair in enumerate(spots):
-            for x, y in pair:
-                ends.setdefault((int(x // distance), int(y // distance)), []).append(i)
-        taken, rows = [False] * len(pdf), []
-        for first in range(len(pdf)):
-            if taken[first]:
-                continue
-            taken[first], todo, run = True, [first], []
-            while todo:
-                i = todo.pop()
-                run.append(i)
-                for x, y in spots[i]:
-                    a, b = int(x // distance), int(y // distance)
-                    for k in sorted({j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in ends.get((a + p, b + q), ())}):
-                        near = min((u - x) ** 2 + (v - y) ** 2 for u, v in spots[k]) <= distance**2
-                        if not taken[k] and near and abs(height[k] - height[first]) <= threshold:
-                            taken[k] = True
-                            todo.append(k)
-            h = height[run]
-            rows.append((pdf[field].iloc[0], int(pdf["id"].iloc[first]), len(run), float(h.mean()), float(h.max()), float(h.min())))
+        rows = []
+        for run in _grown(pdf, threshold, distance):
+            h = pdf["height"].to_numpy(float)[run]
+            rows.append((pdf[field].iloc[0], int(pdf["id"].iloc[run[0]]), len(run), float(h.mean()), float(h.max()), float(h.min())))
         return pd.DataFrame(rows, columns=[field, "merged", "n", "mean", "highest", "lowest"])
 
-    return levees.groupBy(field).applyInPandas(grow, f"{field} {kind}, merged long, n long, mean double, highest double, lowest double")
+    return _touching(levees, field, threshold, distance).groupBy(field, "part").applyInPandas(grow, f"{field} {kind}, merged long, n long, mean double, highest double, lowest double")
+
+
+def merged_counts(levees: DataFrame, field: str, thresholds: list[float], distance: float = 1e-4) -> DataFrame:
+    """threshold, n: how many merged levees each threshold leaves, in one job for all of them.
+
+    What hangs together at the greatest threshold holds what does at the others.
+    """
+    tries = F.explode(F.array(*map(F.lit, sorted({float(t) for t in thresholds})))).alias("threshold")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, threshold = pdf.sort_values("id", ignore_index=True), float(pdf["threshold"].iloc[0])
+        return pd.DataFrame({"threshold": [threshold], "n": [sum(1 for _ in _grown(pdf, threshold, distance))]})
+
+    parts = _touching(levees.select("id", field, "x0", "y0", "x1", "y1", "height"), field, max(thresholds), distance).select("*", tries)
+    return parts.groupBy(field, "part", "threshold").applyInPandas(count, "threshold double, n long").groupBy("threshold").agg(F.sum("n").alias("n"))
 
 
 def threshold_for(levees: DataFrame, field: str, most: int, thresholds: list[float]) -> float | None:
     """The least of the thresholds that leaves at most so many merged levees; None if none does."""
-    low, high = 0, len(thresholds)
-    ordered = sorted(thresholds)
-    while low < high:
-        middle = (low + high) // 2
-        if merged_levees(levees, field, ordered[middle]).count() <= most:
-            high = middle
-        else:
-            low = middle + 1
-    return ordered[low] if low < len(ordered) else None
+    found = merged_counts(levees, field, thresholds).where(F.col("n") <= most).agg(F.min("threshold")).first()[0]
+    return found if found is not None or levees.limit(1).count() else min(thresholds)

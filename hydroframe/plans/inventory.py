@@ -481,6 +481,11 @@ def _(d):
     return lines.merged_levees(_dykes(d), "chain", 0.5).select("chain", "merged", "n", r("mean").alias("mean"), "highest")
 
 
+@query("r20_counts_by_threshold", "SELECT t AS threshold, CASE WHEN t > 0.25 THEN count(DISTINCT s_suppkey // 10) ELSE count(*) END AS n FROM supplier, (SELECT unnest([0.1, 0.2, 0.25, 0.3, 0.5])::DOUBLE AS t) GROUP BY t")
+def _(d):
+    return lines.merged_counts(_dykes(d), "chain", [0.1, 0.2, 0.25, 0.3, 0.5])
+
+
 @query("j24_members", "SELECT s_suppkey AS line, s_suppkey // 10 AS merged FROM supplier")
 def _(d):
     dykes = _dykes(d)

@@ -369,7 +369,48 @@ def test_merged_levees(spark):
     df = spark.createDataFrame(rows, "id long, f string, x0 double, y0 double, x1 double, y1 double, height double")
     got = {(r["f"], r["merged"], r["n"], round(r["mean"], 6)) for r in lines.merged_levees(df, "f", 0.5).collect()}
     assert got == {("a", 1, 2, 5.2), ("a", 3, 1, 9.0), ("b", 4, 1, 9.0)}
-    assert lines.threshold_for(df, "f", 2, [0.1, 0.5, 4.0, 10.0]) == 4.0 and lines.threshold_for(df, "f", 0, [1.0]) is None
+    assert lines.threshold_for(df, "f", 2, [0.1, 0.5, 4.0, 4.5, 10.0]) == 4.5 and lines.threshold_for(df, "f", 0, [1.0]) is None
+
+
+def plain_levees(rows, threshold):
+    """(first id, members) by the rule: rounds of all that touch and are less than the threshold from the lowest and the highest."""
+    left, out = sorted(rows), []
+    touch = lambda a, b: any(math.dist(p, q) <= 1e-4 for p in (a[2:4], a[4:6]) for q in (b[2:4], b[4:6]))
+    while left:
+        run = [left.pop(0)]
+        while True:
+            low, high = min(r[6] for r in run), max(r[6] for r in run)
+            more = [r for r in left if r[1] == run[0][1] and abs(r[6] - low) < threshold and abs(r[6] - high) < threshold and any(touch(r, m) for m in run)]
+            if not more:
+                break
+            run += more
+            left = [r for r in left if r not in more]
+        out.append((run[0][0], sorted(r[0] for r in run)))
+    return out
+
+
+def test_merged_levees_by_the_rule(spark):
+    draw = np.random.default_rng(12)
+    rows = [(int(k), "ab"[int(draw.integers(2))], *map(float, draw.integers(0, 4, 4)), float(draw.integers(0, 12)) / 4) for k in draw.permutation(70)]
+    df = spark.createDataFrame(rows, "id long, f string, x0 double, y0 double, x1 double, y1 double, height double").repartition(3)
+    for threshold in (0.25, 0.6, 1.1):
+        want = {(first, len(ids)) for first, ids in plain_levees(rows, threshold)}
+        assert {(r["merged"], r["n"]) for r in lines.merged_levees(df, "f", threshold).collect()} == want
+    tries = [0.1, 0.3, 0.6, 1.1, 5.0]
+    assert {tuple(r) for r in lines.merged_counts(df, "f", tries).collect()} == {(t, len(plain_levees(rows, t))) for t in tries}
+
+
+def test_components(spark):
+    draw = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in draw.integers(0, 80, (60, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300 + i) for i in range(30)]
+    part = {x: x for pair in links for x in pair}
+    for _ in range(100):
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    from hydroframe.operators.graph import components
+
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert {tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == {(k, v) for k, v in part.items() if k not in alone}
 
 
 def test_more_of_channels(spark):
