@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -318,3 +319,36 @@ def test_tables_as_a_matrix():
         got = html.render("<table>" + "".join(rows) + "</table>")
         assert [x.strip() for x in got.splitlines() if x] == [x.strip() for x in want]
         assert "\n".join(x for x in got.splitlines() if x) == "\n".join(want)
+
+
+def test_columns_under_cells_of_earlier_rows():
+    """Against a dictionary of columns, with cells that cross."""
+    r = random.Random(4)
+    for _ in range(300):
+        taken, plain = html.Taken(), {}
+        for row in range(12):
+            taken.row(row)
+            plain = {c: until for c, until in plain.items() if until > row}
+            column = 0
+            for _ in range(r.randrange(4)):
+                want = column
+                while want in plain:
+                    want += 1
+                assert taken.free(column) == want
+                wide, high = r.randrange(1, 4), r.randrange(2, 6)
+                taken.take(want, want + wide, row + high)
+                plain |= {c: max(row + high, plain.get(c, 0)) for c in range(want, want + wide)}
+                column = want + wide
+
+
+def test_odd_spans_and_many_of_them():
+    for value, width in (("²", 1), ("①", 1), ("٣", 1), ("2px", 2), (" +3", 3), ("-2", 1), ("0", 1), ("9" * 5000, 1000), ("", 1), ("x", 1)):
+        page = f"<table><tr><td colspan='{value}'>a<td>b<tr><td>c" + "<td>d" * (width + 1) + "</table>"
+        assert html.render(page).split() == ["a", "b", "c"] + ["d"] * (width + 1)
+        assert html.render(f"<table><tr><td rowspan='{value}'>a<td>b<tr><td>c</table>").split() == ["a", "b", "c"]
+    start = time.perf_counter()
+    for n in (500, 4000):
+        html.render("<table><tr>" + "<td colspan=1000 rowspan=65534>x" * n + "<tr><td>y" * n + "</table>")
+        html.render("<table>" + "<tr><td rowspan=65534>x" * n + "</table>")
+        html.render("<table>" + "<tr><td rowspan=99>x<td colspan=9>y" * n + "</table>")
+    assert time.perf_counter() - start < 20
