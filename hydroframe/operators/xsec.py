@@ -13,55 +13,6 @@ from pyspark.sql import functions as F
 CLOSED, TABULATED_RECTANGLE, TABULATED_TRAPEZIUM, YZ = {1, 2, 3}, 5, 6, 7
 
 
-def table_rows(text: str) -> list[tuple[float, float]]:
-    return [(float(a), float(b)) for a, b in (line.split(",") for line in text.strip().split("\n") if line.strip())]
-
-
-def parse(text: str, shape: int, wall: float = 0.0) -> tuple[list[float], list[float]]:
-    """(y, z) of a cross-section's table.
-
-    A height-width table becomes both halves about its middle; a rectangle's rows
-    are steps, with walls of width `wall`.  A YZ table stays, with y's that repeat
-    moved apart by `wall`.
-    """
-    rows = table_rows(text)
-    if shape == YZ:
-        y, z = [r[0] for r in rows], [r[1] for r in rows]
-    elif shape in (TABULATED_RECTANGLE, TABULATED_TRAPEZIUM):
-        half: list[tuple[float, float]] = []  # from the bottom up: half width, height
-        for i, (height, width) in enumerate(rows):
-            if shape == TABULATED_RECTANGLE and i:
-                half.append((half[-1][0], height))
-            half.append((width / 2, height))
-        if half[0][0] == 0 and len(half) > 1:
-            left, right = half[::-1], half[1:]
-        else:
-            left, right = half[::-1], half
-        most = max(w for w, _ in half)
-        y = [most - w for w, _ in left] + [most + w for w, _ in right]
-        z = [h for _, h in left] + [h for _, h in right]
-    else:
-        raise ValueError(f"shape {shape} has no table")
-    if shape != TABULATED_TRAPEZIUM:
-        last = len(y) // 2
-        for i in range(1, len(y)):  # steps move outwards from the middle
-            if y[i] <= y[i - 1]:
-                if i <= last:
-                    y[i] = y[i - 1] + wall
-                else:
-                    y[i] = y[i - 1] + wall
-    return y, z
-
-
-def checked(y: list[float], z: list[float], reference: float) -> tuple[list[float], list[float]]:
-    """y and z above datum; y must begin at 0 and grow."""
-    if not y or min(y) != 0:
-        raise ValueError("the least y must be 0")
-    if any(b <= a for a, b in zip(y, y[1:], strict=False)):
-        raise ValueError("y must grow")
-    return y, [v + reference for v in z]
-
-
 def thalweg(y: list[float], z: list[float]) -> float:
     """y at the mean place of the lowest points."""
     low = [i for i, v in enumerate(z) if v == min(z)]
@@ -544,27 +495,3 @@ def as_query(triangles: DataFrame, key: str = "id") -> DataFrame:
     c = lambda n: F.format_string("%.6f", F.col(n))
     row = F.concat(F.lit("SELECT "), F.concat_ws(", ", *(F.concat(c(n), F.lit(f" AS {n}")) for n in (f"{a}{i}" for i in (1, 2, 3) for a in "xyz"))))
     return triangles.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(row)), " UNION ").alias("sql"))
-
-
-def section(text: str, shape: int, reference: float, wall: float = 0.01, tolerance: float = 0.01) -> tuple[list[float], list[float]]:
-    """(y, z) above datum of a section's table, without points that don't matter."""
-    y, z = checked(*parse(text, shape, wall), reference)
-    kept = simplified(np.column_stack([y, z]), tolerance)
-    return kept[:, 0].tolist(), kept[:, 1].tolist()
-
-
-def read_sections(rows: DataFrame, key: str = "id") -> DataFrame:
-    """key, y, z, error of rows (key, shape, reference, text): one that can't be read has an error and no points."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, shape, reference, text in zip(pdf[key], pdf["shape"], pdf["reference"], pdf["text"], strict=True):
-                try:
-                    out.append((name, *section(text, int(shape), float(reference)), None))
-                except (ValueError, TypeError, AttributeError, IndexError) as e:
-                    out.append((name, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[key, "y", "z", "error"])
-
-    return rows.select(key, "shape", "reference", "text").mapInPandas(run, f"{key} {kind}, y array<double>, z array<double>, error string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
 from hydroframe.functions.registry import BY_NAME, Request, preset
-from hydroframe.operators import cells, detect, gauge, graph, leak, lines, network, raster, sampling, scenario, style, xsec
+from hydroframe.operators import cells, detect, gauge, graph, leak, lines, network, raster, sampling, scenario, sections, style, xsec
 from hydroframe.plans.catalogue import _ALONG, _BEDS, _CROSS, _INVERT, _LEN, _NEAR, _SERIES, GRID, _cells, _flows, _gauges, _inverts, _levees, _scenarios, query, r
 from hydroframe.plans.sql import relations
 from hydroframe.sources import readers
@@ -234,7 +234,7 @@ def _sections(d: Derived) -> DataFrame:
     w = (c("p_partkey") % 9 + 1).cast("string")
     text = F.when(c("p_partkey") % 7 == 0, "no table").otherwise(F.concat(F.lit("0,"), w, F.lit("\n1,"), (c("p_partkey") % 9 + 3).cast("string")))
     rows = d.table("part").select(c("p_partkey").alias("id"), F.lit(6).alias("shape"), F.lit(2.0).alias("reference"), text.alias("text"))
-    return xsec.read_sections(rows)
+    return sections.read_sections(rows)
 
 
 @query("m24_parsed_sections", "SELECT p_partkey AS id, 4::INTEGER AS n, 1.0::DOUBLE AS left, p_partkey % 9 + 2.0::DOUBLE AS right, 3.0::DOUBLE AS top, 2.0::DOUBLE AS bottom FROM part WHERE p_partkey % 7 > 0")
@@ -243,6 +243,19 @@ def _(d):
     return _sections(d).where("error is null").select("id", F.size("y").alias("n"), at("y", 1).alias("left"), at("y", 2).alias("right"), at("z", 0).alias("top"), at("z", 2).alias("bottom"))
 
 
+@query("m24_walls_and_steps", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 2 THEN 8 END::INTEGER AS n, CASE p_partkey % 4 WHEN 0 THEN w + 0.1 WHEN 2 THEN 1.1 END::DOUBLE AS third, CASE p_partkey % 4 WHEN 0 THEN w + 1 WHEN 2 THEN w + 2 END::DOUBLE AS last,
+CASE p_partkey % 4 WHEN 1 THEN 'y must not fall' WHEN 3 THEN 'widths must not shrink' END AS error FROM (SELECT p_partkey, p_partkey % 9 + 1 AS w FROM part)""")
+def _(d):
+    w = lambda more=0.0: (c("p_partkey") % 9 + 1 + F.lit(more)).cast("string")
+    kind = c("p_partkey") % 4
+    overtaken = F.concat(F.lit("0,3\n"), w(), F.lit(",2\n"), w(), F.lit(",1\n"), w(0.05), F.lit(",0\n"), w(1.0), F.lit(",3"))
+    steps = F.concat(F.lit("0,"), w(), F.lit("\n1,"), w(), F.lit("\n2,"), w(2.0))
+    text = F.when(kind == 0, overtaken).when(kind == 1, F.concat(F.lit("0,3\n50,2\n"), w(-0.5), F.lit(",1\n70,3"))).when(kind == 2, steps).otherwise(F.concat(F.lit("0,20\n1,"), w()))
+    rows = d.table("part").select(c("p_partkey").alias("id"), F.when(kind < 2, 7).when(kind == 2, 5).otherwise(6).alias("shape"), F.lit(0.0).alias("reference"), text.alias("text"))
+    found = sections.sections(rows, wall=0.1)
+    return found.select("id", F.size("y").alias("n"), r(F.get("y", F.lit(2))).alias("third"), r(F.element_at("y", -1)).alias("last"), "error")
+
+
 @query("m25_thalweg", "SELECT p_partkey AS id, 1 + (p_partkey % 9 + 1) / 2.0::DOUBLE AS thalweg FROM part WHERE p_partkey % 7 > 0")
 def _(d):
     return _sections(d).where("error is null").select("id", r(xsec.thalweg_of(c("y"), c("z"))).alias("thalweg"))
@@ -263,7 +276,7 @@ def _(d):
 def _(d):
     text = F.concat(F.lit("0,2\n1,1.995\n2,2\n4,"), (c("p_partkey") % 9 + 5).cast("string"))
     rows = d.table("part").select(c("p_partkey").alias("id"), F.lit(7).alias("shape"), F.lit(0.0).alias("reference"), text.alias("text"))
-    return xsec.read_sections(rows).select("id", F.size("y").alias("n"))
+    return sections.read_sections(rows).select("id", F.size("y").alias("n"))
 
 
 @query("h31_section_errors", "SELECT count(*) FILTER (WHERE p_partkey % 7 = 0) AS bad, count(*) FILTER (WHERE p_partkey % 7 > 0) AS read FROM part")

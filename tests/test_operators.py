@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
-from hydroframe.operators import gauge, graph, joins, leak, lines, network, raster, sampling, scenario, xsec
+from hydroframe.operators import gauge, graph, joins, leak, lines, network, raster, sampling, scenario, sections, xsec
 from hydroframe.sources import readers
 
 
@@ -91,15 +91,38 @@ def test_obstacles_of_a_pair(spark):
     assert [tuple(r) for r in got] == [(1, 3, 3, 4.0)]
 
 
+def by_the_loop(y, z, wall):
+    """Equal y's pushed on again and again; what is overtaken goes."""
+    y, z = list(y), list(z)
+    while any(b <= a for a, b in zip(y, y[1:], strict=False)):
+        y = [y[0]] + [b + wall if b == a else b for a, b in zip(y, y[1:], strict=False)]
+        while any(b < a for a, b in zip(y, y[1:], strict=False)):
+            keep = [True] + [b >= a for a, b in zip(y, y[1:], strict=False)]
+            y, z = [v for v, k in zip(y, keep, strict=True) if k], [v for v, k in zip(z, keep, strict=True) if k]
+    return y, z
+
+
+def test_tables_of_sections(spark):
+    cases = [
+        ("0, 2\n1, 4", 5, [0, 1, 1.125, 3, 3.125, 4], [1, 1, 0, 0, 1, 1]), ("0, 2\n1, 4", 6, [0, 1, 3, 4], [1, 0, 0, 1]), ("0, 10\n1, 20\n2, 40", 6, [0, 10, 15, 25, 30, 40], [2, 1, 0, 0, 1, 2]),
+        ("0, 0\n1, 4", 6, [0, 2, 4], [1, 0, 1]), ("0, 3\n2, 1\n4, 0\n8, 4", 7, [0, 2, 4, 8], [3, 1, 0, 4]), ("0,2\n1,2", 6, [0, 0.125, 2, 2.125], [1, 0, 0, 1]), ("0,2\n1,2\n", 5, [0, 0.125, 2, 2.125], [1, 0, 0, 1]),
+        ("0,9\n1,8\n1,7\n1.0625,6\n2,5", 7, [0, 1, 1.125, 2], [9, 8, 7, 5]), ("0,3\n2,2\n1,1\n3,0", 7, None, sections.FALLING), ("0,3\n1,2", 6, None, sections.SHRINKING), ("1,3\n2,2", 7, None, sections.NO_ZERO),
+        ("0;3", 7, None, sections.UNREADABLE), ("", 7, None, sections.UNREADABLE), (None, 5, None, sections.UNREADABLE), ("0,1,2", 7, None, sections.UNREADABLE), ("0,1", 3, None, sections.NO_TABLE), ("0,1", None, None, sections.NO_TABLE),
+    ]
+    draw = np.random.default_rng(9)
+    for _ in range(40):
+        y = np.cumsum(np.r_[0, draw.choice([0, 0, 0.0625, 0.125, 0.5], 9)])
+        cases.append(("\n".join(f"{a},{i}" for i, a in enumerate(y)), 7, *map(list, by_the_loop(y.tolist(), range(10), 0.125))))
+    rows = spark.createDataFrame([(i, shape, 0.0, text) for i, (text, shape, *_) in enumerate(cases)], "id int, shape int, reference double, text string")
+    for r in sections.sections(rows, wall=0.125).collect():
+        _, _, y, z = cases[r["id"]]
+        assert (cases[r["id"]][0], r["y"], r["error"] or r["z"]) == (cases[r["id"]][0], y, z)
+    flat = sections.sections(rows, wall=0.0).where("id = 5 or id = 1").orderBy("id").collect()
+    assert flat[0]["error"] is None and flat[1]["error"] == sections.NOT_GROWING
+
+
 def test_sections():
-    assert xsec.parse("0, 2\n1, 4", xsec.TABULATED_RECTANGLE, 0.01) == ([0, 1, 1.01, 3, 3.01, 4], [1, 1, 0, 0, 1, 1])
-    assert xsec.parse("0, 2\n1, 4", xsec.TABULATED_TRAPEZIUM) == ([0, 1, 3, 4], [1, 0, 0, 1])
-    assert xsec.parse("0, 10\n1, 20\n2, 40", xsec.TABULATED_TRAPEZIUM) == ([0, 10, 15, 25, 30, 40], [2, 1, 0, 0, 1, 2])
-    assert xsec.parse("0, 0\n1, 4", xsec.TABULATED_TRAPEZIUM) == ([0, 2, 4], [1, 0, 1])
-    assert xsec.parse("0, 3\n2, 1\n4, 0\n8, 4", xsec.YZ) == ([0, 2, 4, 8], [3, 1, 0, 4])
     assert xsec.thalweg([0, 10, 15, 25, 30, 40], [2, 1, 0, 0, 1, 2]) == 20.0
-    with pytest.raises(ValueError):
-        xsec.checked([0, 0], [1, 2], 0.0)
     assert xsec.unique_offsets([[-1.0006, 0.5], [0.5]]) == [-1.0, 0.0, 0.5]
 
 
@@ -503,7 +526,7 @@ def test_more_of_leaks(spark):
 
 def test_read_sections(spark):
     rows = spark.createDataFrame([(1, 6, 10.0, "0, 2\n1, 4"), (2, 6, 0.0, "nonsense"), (3, 99, 0.0, "0, 1"), (4, 7, 0.0, None)], "id int, shape int, reference double, text string")
-    got = {r["id"]: r for r in xsec.read_sections(rows).collect()}
+    got = {r["id"]: r for r in sections.read_sections(rows).collect()}
     assert got[1]["y"] == [0, 1, 3, 4] and got[1]["z"] == [11, 10, 10, 11] and got[1]["error"] is None
     assert all(got[i]["error"] and got[i]["y"] is None for i in (2, 3, 4))
 
