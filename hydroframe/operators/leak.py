@@ -49,9 +49,9 @@ def raised_by_obstacles(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return edges.join(highest, "edge", "left").select("edge", F.greatest("level", "crest").alias("level"))
 
 
-def search_precision(min_height: float) -> float:
-    """The precision of crest levels, unless one is given."""
-    return min(min_height / 10, 0.1)
+def search_precision(min_height):
+    """The precision of crest levels, unless one is given; of a number or a column."""
+    return min(min_height / 10, 0.1) if isinstance(min_height, (int, float)) else F.least(min_height / 10, F.lit(0.1))
 
 
 def stands_out(value: Column, lowest: Column, min_height: float, precision: float) -> Column:

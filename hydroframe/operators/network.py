@@ -169,6 +169,12 @@ def check_gradients(table: list[tuple[float, float, float]], diagonal: float) ->
         raise ValueError("the gradient table ends within the network")
 
 
+def gradients_fit(ends: DataFrame, net: str, last: float) -> DataFrame:
+    """net, fits: whether the last class of gradients reaches beyond the extent of each network, by its points (net, x, y)."""
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    return ends.groupBy(net).agg((F.sqrt(wide * wide + high * high) <= last).alias("fits"))
+
+
 def invert_levels(pipes: DataFrame, cover: float) -> DataFrame:
     """pipes (ground, ground_end, diameter in mm, gradient, length) with invert_start and invert_end.
 

@@ -47,6 +47,16 @@ class Grid:
         up = lambda v, o: o + math.ceil((v - o) / self.size) * self.size
         return down(box[0], self.x), down(box[1], self.y), up(box[2], self.x), up(box[3], self.y)
 
+    def aligned_of(self, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> tuple[Column, ...]:
+        """aligned, for columns."""
+        move = lambda to, v, o: F.lit(o) + to((v - o) / self.size) * self.size
+        return move(F.floor, xmin, self.x), move(F.floor, ymin, self.y), move(F.ceil, xmax, self.x), move(F.ceil, ymax, self.y)
+
+
+def pixel_size_of(x: Column, y: Column, given: Column) -> Column:
+    """pixel_size, for columns; NULL where the pixels aren't square and no size is given."""
+    return F.when(F.abs(F.abs(x) - F.abs(y)) <= 1e-4, F.abs(x)).otherwise(given)
+
 
 def read_window(pixels: DataFrame, grid: Grid, box: tuple[float, float, float, float], pad: bool = False, rounded: bool = False, nodata: float = NODATA) -> DataFrame:
     """Pixels in a box; with pad every pixel of it, nodata where there is none."""

@@ -53,3 +53,9 @@ def request_payload(uuid: Column, west: Column, south: Column, east: Column, nor
     box = F.concat_ws(",", *(c.cast("string") for c in (west, south, east, north)))
     pixels = lambda a, b: F.ceil(F.round((b - a) / size, 5)).cast("int")
     return F.to_json(F.struct(uuid.alias("raster"), box.alias("bbox"), pixels(west, east).alias("width"), pixels(south, north).alias("height")))
+
+
+def named(rasters: DataFrame) -> DataFrame:
+    """rasters (code) that have a name of their own, with name, and timed."""
+    name = F.create_map(*[F.lit(x) for known in (STATIC, TIMED) for k, v in known.items() for x in (v, k)])[F.col("code")]
+    return rasters.drop("name").withColumn("name", name).where("name is not null").withColumn("timed", F.col("code").isin(list(TIMED.values())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydroframe.sources.scratch import Scratch
+
 
 def window(steps: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
     """(t, te, dt) of every step whose value holds within start .. end: from te for dt seconds.
@@ -45,3 +47,27 @@ def sequence_of_steps(first, last, interval, temporal):
     middle = first + F.bround(n / 2, 0).cast("long") * 3600000
     spread = F.array_distinct(F.concat(F.sequence(first, last, F.greatest(interval, F.lit(1))), F.array(last)))
     return F.when(~temporal, F.array(F.lit(None).cast("long"))).when(interval.isNull(), F.array_distinct(F.array(first, F.least(middle, last), last))).otherwise(spread)
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """rows with their place (from 1) in an order of all of them, without one task that sees all.
+
+    Rows are dealt by ranges of the order; a range's numbers go on from those of the ranges
+    before it, which are counted first.
+    """
+    scratch = Scratch(rows.sparkSession, "numbered")
+    dealt = scratch.write(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")
+
+
+def quantile_classes(rows: DataFrame, n: int, *order: str, name: str = "class") -> DataFrame:
+    """rows with a class from 1 to n: as many in each, the first ones one more where they don't fit."""
+    count = rows.count()
+    size, more = divmod(count, n)
+    place = F.col("_place") - 1
+    early = place < more * (size + 1)
+    found = F.when(early, F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / max(size, 1)))
+    return numbered(rows, *order, name="_place").withColumn(name, (found + 1).cast("int")).drop("_place")

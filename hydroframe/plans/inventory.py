@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
-from hydroframe.functions.registry import BY_NAME, METHODS, NODE_TYPES, Request, of_kind
+from hydroframe.functions import requests
+from hydroframe.functions.registry import BY_NAME, METHODS, NODE_TYPES, Request
 from hydroframe.operators import cells, gauge, graph, joins, leak, lines, network, raster, sampling, scenario, window
 from hydroframe.operators.aggregate import time_aggregate
 from hydroframe.plans.catalogue import _ALONG, _CELLS, _CROSS, _GRAD, _LEN, _NEAR, _Q, _ZONAL, GRID, _cells, _flows, _gauges, _levees, _line, _node, _points, _scenarios, _side, query, r
 from hydroframe.plans.sql import END, START, relations
-from hydroframe.sources import readers
+from hydroframe.sources import geotiff, readers
 from hydroframe.sources.derived import Derived
+from hydroframe.sources.scratch import shared_folder
 
 c = F.col
 
@@ -97,9 +99,9 @@ def _(d):
     return readers.require(d.lines().where("kcu = 100").select("id", c("y1").alias("crest_level")), "crest_level", "id")
 
 
-@query("s17_settings_row", "SELECT 1::BIGINT AS id, 5::BIGINT AS max_degree, 20::BIGINT AS use_of_cg")
+@query("s17_settings_row", "SELECT n_nationkey AS id, 5 AS max_degree, 20 AS use_of_cg FROM nation")
 def _(d):
-    return readers.replaced_settings(d.spark, readers.NUMERICAL).select("id", "max_degree", "use_of_cg")
+    return readers.replaced_settings(d.table("nation").select(c("n_nationkey").alias("id")), readers.NUMERICAL).select("id", "max_degree", "use_of_cg")
 
 
 @query("s18_raster_steps", "SELECT c_name AS scenario, 4::BIGINT AS n, '2024-01-01T00:00:00' AS first FROM customer")
@@ -115,12 +117,28 @@ def _(d):
     return d.nodes().select("id", readers.output_column(d.nodes(), "node_type"), G.wkt_point(c("x"), c("y")).alias("wkt"))
 
 
+@query("k03_raster_bands", relations("pixels") + "SELECT row, col, z::DOUBLE AS z, zmax::DOUBLE AS zmax FROM pixels")
+def _(d):
+    path = shared_folder(d.spark, "k03")
+    geotiff.write_raster(d.pixels(), GRID, ["z", "zmax"], path, size=32)
+    return geotiff.read_raster(d.spark, path)
+
+
+@query("k05_mosaic_window", relations("pixels") + "SELECT row, col, z::DOUBLE AS z FROM pixels WHERE row BETWEEN 20 AND 45 AND col < 30 AND z <> 7")
+def _(d):
+    path = shared_folder(d.spark, "k05")
+    pixels = d.pixels().where("z <> 7").select("row", "col", "z")
+    geotiff.write_raster(pixels.where("row < 32"), GRID, ["z"], path, size=16)
+    geotiff.write_raster(pixels.where("row >= 32"), GRID, ["z"], path, size=16, mode="append")
+    return geotiff.read_raster(d.spark, path).where("row between 20 and 45 and col < 30")
+
+
 @query("k06_target_columns", relations("nodes") + "SELECT id, sumax, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM nodes")
 def _(d):
     return readers.with_new_columns(d.nodes().select("id", "sumax"), ["a", "b"])
 
 
-@query("k08_layer_fields", "SELECT * FROM (VALUES ('id', 'bigint'), ('x', 'double'), ('y', 'double'), ('sumax', 'double'), ('dmax', 'double'), ('node_type', 'int')) v(name, kind)")
+@query("k08_layer_fields", relations("nodes") + "SELECT v.name, v.kind, v.n FROM (SELECT count(id) AS id, count(x) AS x, count(y) AS y, count(sumax) AS sumax, count(dmax) AS dmax, count(node_type) AS t FROM nodes) q, LATERAL (VALUES ('id', 'bigint', q.id), ('x', 'double', q.x), ('y', 'double', q.y), ('sumax', 'double', q.sumax), ('dmax', 'double', q.dmax), ('node_type', 'int', q.t)) v(name, kind, n)")
 def _(d):
     return readers.fields(d.nodes())
 
@@ -143,12 +161,25 @@ def _(d):
     return d.nodes().select("id", "node_type", F.try_element_at(names, c("node_type")).alias("node_type_description"), c("dmax").alias("z_coordinate"))
 
 
-_NAMED = [("q", "net", "sum", None), ("s1", None, "max", None), ("ts_max", None, "below_thres", 2.5), ("rain", None, "max_time", None), ("ucx", "pos", "above_thres", 0.25)]
+_VARIABLES, _METHODS = list(BY_NAME), list(METHODS)
+_TEXTS = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_REQUESTS = f"""WITH req AS (SELECT o_orderkey AS id, ({_TEXTS(_VARIABLES)})[o_orderkey % {len(_VARIABLES)} + 1] AS variable, ([NULL, 'net', 'pos', 'abs'])[o_custkey % 4 + 1] AS sign,
+({_TEXTS(_METHODS)})[o_custkey // 4 % {len(_METHODS)} + 1] AS method, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 100 / 4.0::DOUBLE END AS threshold FROM orders),
+valid AS (SELECT *, (sign IS NULL OR variable IN ('q', 'u1', 'qp', 'up1', 'grad', 'ucx', 'ucy', 'q_lat', 'q_lat_mm', 'q_sss', 'q_sss_mm')) AS sign_fits,
+variable <> 'bed_grad' AND NOT (method = 'sum' AND variable IN ('u1', 'au', 'up1', 'ts_max', 'grad', 'wl_at_xsec', 's1', 'vol', 'su', 'uc', 'ucx', 'ucy', 'intercepted_volume', 'intercepted_volume_mm')) AS method_fits, (method LIKE '%_thres') = (threshold IS NOT NULL) AS threshold_fits FROM req) """
+
 
+def _requests(d: Derived) -> DataFrame:
+    """A request for each order: variable, sign, method and threshold by its numbers."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    i, k = c("o_orderkey"), c("o_custkey")
+    rows = d.table("orders").select(i.alias("id"), pick(_VARIABLES, i).alias("variable"), pick([None, "net", "pos", "abs"], k).alias("sign"), pick(_METHODS, F.floor(k / 4)).alias("method"), F.when(i % 2 == 0, k % 100 / 4).alias("threshold"))
+    return requests.told(rows)
 
-@query("p03_column_names", "SELECT variable, lower(replace(concat_ws('_', variable, sign, method, threshold::VARCHAR), '.', '_')) AS name FROM (VALUES " + ", ".join(f"('{v}', {repr(s) if s else 'NULL'}, '{m}', {'NULL::DOUBLE' if t is None else f'{t}::DOUBLE'})" for v, s, m, t in _NAMED) + ") x(variable, sign, method, threshold)")
+
+@query("p03_column_names", _REQUESTS + "SELECT id, lower(replace(concat_ws('_', variable, sign, method, threshold::VARCHAR), '.', '_')) AS name FROM req")
 def _(d):
-    return d.spark.createDataFrame([(v, Request(v, m, s, t).column) for v, s, m, t in _NAMED], "variable string, name string")
+    return _requests(d).select("id", "name")
 
 
 @query("p04_added_column", relations("nodes") + "SELECT id, sumax, NULL::DOUBLE AS level FROM nodes")
@@ -197,9 +228,9 @@ def _(d):
     return lines.numbered_groups(d.table("events").select(c("user_id").alias("id"), c("event_id").alias("place"), "event_type"), "id", "place", "event_type").select("id", "place", "grp")
 
 
-@query("w18_sorted_nodes", relations("nodes") + "SELECT row_number() OVER (ORDER BY id)::INTEGER AS place, id FROM nodes")
+@query("w18_sorted_nodes", relations("nodes") + "SELECT row_number() OVER (ORDER BY id) AS place, id FROM nodes")
 def _(d):
-    return d.nodes().select(F.row_number().over(Window.orderBy("id")).alias("place"), "id")
+    return window.numbered(d.nodes().select("id"), "id").select("place", "id")
 
 
 @query("w19_first_ten", "SELECT c_name AS name FROM customer ORDER BY c_name LIMIT 10")
@@ -260,15 +291,14 @@ def _(d):
     return p.join(p.groupBy("row").agg(F.min("z").alias("lowest")), "row").where(leak.stands_out(c("z"), c("lowest"), 20.0, leak.search_precision(20.0))).select("row", "col")
 
 
-@query("f19_valid_requests", "SELECT v.name AS variable, m.name AS method, v.name NOT IN ('bed_grad') AND NOT (m.name = 'sum' AND v.name IN ('u1', 'au', 'up1', 'ts_max', 'grad', 'wl_at_xsec', 's1', 'vol', 'su', 'uc', 'ucx', 'ucy', 'intercepted_volume', 'intercepted_volume_mm')) AS valid FROM (VALUES " + ", ".join(f"('{v}')" for v in BY_NAME) + ") v(name), (VALUES " + ", ".join(f"('{m}')" for m in METHODS) + ") m(name)")
+@query("f19_valid_requests", _REQUESTS + "SELECT id, sign_fits AND method_fits AND threshold_fits AS valid FROM valid")
 def _(d):
-    limit = lambda m: 1.0 if METHODS[m][2] else None
-    return d.spark.createDataFrame([(v, m, not Request(v, m, None, limit(m)).problems()) for v in BY_NAME for m in METHODS], "variable string, method string, valid boolean")
+    return _requests(d).select("id", "valid")
 
 
-@query("f20_flow_variables", "SELECT * FROM (VALUES ('q'), ('u1'), ('au'), ('qp'), ('up1'), ('ts_max')) v(name)")
+@query("f20_flow_variables", _REQUESTS + "SELECT id, variable FROM req WHERE variable IN ('q', 'u1', 'au', 'qp', 'up1', 'ts_max')")
 def _(d):
-    return d.spark.createDataFrame([(v,) for v in of_kind("flow")], "name string")
+    return _requests(d).where(c("kind") == "flow").select("id", "variable")
 
 
 @query("f21_growing", "SELECT id, bool_and(coalesce(v > p, true)) AS strict, bool_and(coalesce(v >= p, true)) AS loose FROM (SELECT event_id // 3 AS id, user_id % 7 AS v, lag(user_id % 7) OVER (PARTITION BY event_id // 3 ORDER BY event_id) AS p FROM events) GROUP BY id")
@@ -374,10 +404,11 @@ def _(d):
     return readers.selected(d.node_ts(), ends, "entity_id").select("entity_id", "t", "s1")
 
 
-@query("j07_gauge_segments", "SELECT * FROM (VALUES (1, 0, 0.0::DOUBLE, 5.0::DOUBLE), (1, 1, 30.0, 35.0), (1, 2, 60.0, 5.0)) v(gauge, segment, gx0, gy0)")
+@query("j07_gauge_segments", "SELECT s_suppkey::INTEGER AS gauge, k::INTEGER AS segment, (s_suppkey + 30 * k)::DOUBLE AS gx0, ([5, 35, s_suppkey % 11])[k + 1]::DOUBLE AS gy0 FROM supplier, range(3) r(k)")
 def _(d):
-    points = [{"x": x, "y": y} for x, y in ((0.0, 5.0), (30.0, 35.0), (60.0, 5.0), (90.0, 45.0))]
-    return gauge.gauge_segments(d.spark.createDataFrame([(1, points)], "gauge int, points array<struct<x: double, y: double>>")).select("gauge", "segment", "gx0", "gy0")
+    i = c("s_suppkey")
+    points = F.array(_pt(i, F.lit(5)), _pt(i + 30, F.lit(35)), _pt(i + 60, i % 11), _pt(i + 90, F.lit(45)))
+    return gauge.gauge_segments(d.table("supplier").select(i.cast("int").alias("gauge"), points.alias("points"))).select("gauge", "segment", "gx0", "gy0")
 
 
 @query("j08_starts_left", relations("lines", extra=_CROSS) + "SELECT gauge, id, direction = 1 AS starts_left FROM crossed")
@@ -401,7 +432,7 @@ def _(d):
     return leak.cell_pairs(graph.resolved_neighbours(*_cells(d))).groupBy("location").agg(F.count("*").alias("n"))
 
 
-@query("j14_potential_edges", relations("nodes", extra=_CELLS + ", e AS (SELECT l.id AS edge, a.id AS s, b.id AS t, a.x AS fx0, a.y AS fy0, b.x AS fx1, b.y AS fy1 FROM near l JOIN nodes a ON a.id = l.start_id JOIN nodes b ON b.id = l.end_id), o AS (SELECT id, id - 1 AS from_edge, id + 1 AS to_edge, x - 5 AS x0, y + 2 AS y0, x + 15 AS x1, y + 7 AS y1 FROM nodes WHERE id % 4 = 0)") + f"SELECT DISTINCT o.id AS obstacle, e.edge FROM o JOIN e ON (e.s IN (o.id, o.id + 1) OR e.t IN (o.id, o.id + 1)) AND e.edge NOT IN (o.from_edge, o.to_edge) WHERE sign({_side('fx0', 'fy0', 'x0', 'y0', 'x1', 'y1')}) * sign({_side('fx1', 'fy1', 'x0', 'y0', 'x1', 'y1')}) <= 0 AND sign({_side('x0', 'y0', 'fx0', 'fy0', 'fx1', 'fy1')}) * sign({_side('x1', 'y1', 'fx0', 'fy0', 'fx1', 'fy1')}) <= 0 AND NOT ({_side('fx0', 'fy0', 'x0', 'y0', 'x1', 'y1')} = 0 AND {_side('fx1', 'fy1', 'x0', 'y0', 'x1', 'y1')} = 0)")
+@query("j14_potential_edges", "WITH nodes AS MATERIALIZED (SELECT DISTINCT user_id AS id, (user_id % 15 * 10)::DOUBLE AS x, (user_id // 15 * 10)::DOUBLE AS y FROM events), " + _CELLS + ", e AS MATERIALIZED (SELECT l.id AS edge, a.id AS s, b.id AS t, a.x AS fx0, a.y AS fy0, b.x AS fx1, b.y AS fy1 FROM near l JOIN nodes a ON a.id = l.start_id JOIN nodes b ON b.id = l.end_id), o AS MATERIALIZED (SELECT id, id - 1 AS from_edge, id + 1 AS to_edge, x - 5 AS x0, y + 2 AS y0, x + 15 AS x1, y + 7 AS y1 FROM nodes WHERE id % 4 = 0)" + f" SELECT DISTINCT o.id AS obstacle, e.edge FROM o JOIN e ON (e.s IN (o.id, o.id + 1) OR e.t IN (o.id, o.id + 1)) AND e.edge NOT IN (o.from_edge, o.to_edge) WHERE sign({_side('fx0', 'fy0', 'x0', 'y0', 'x1', 'y1')}) * sign({_side('fx1', 'fy1', 'x0', 'y0', 'x1', 'y1')}) <= 0 AND sign({_side('x0', 'y0', 'fx0', 'fy0', 'fx1', 'fy1')}) * sign({_side('x1', 'y1', 'fx0', 'fy0', 'fx1', 'fy1')}) <= 0 AND NOT ({_side('fx0', 'fy0', 'x0', 'y0', 'x1', 'y1')} = 0 AND {_side('fx1', 'fy1', 'x0', 'y0', 'x1', 'y1')} = 0)")
 def _(d):
     nodes, (_, near) = d.nodes(), _cells(d)
     end = lambda k, i: nodes.select(c("id").alias(k), c("x").alias(f"fx{i}"), c("y").alias(f"fy{i}"))

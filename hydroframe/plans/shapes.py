@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
-from hydroframe.functions.registry import BY_NAME, Request, preset
-from hydroframe.operators import cells, detect, gauge, graph, leak, lines, network, raster, sampling, scenario, sections, style, xsec
-from hydroframe.plans.catalogue import _ALONG, _BEDS, _CROSS, _INVERT, _LEN, _NEAR, _SERIES, GRID, _cells, _flows, _gauges, _inverts, _levees, _scenarios, query, r
+from hydroframe.functions import requests
+from hydroframe.operators import cells, detect, gauge, graph, leak, lines, network, raster, sampling, scenario, sections, style, window, xsec
+from hydroframe.plans.catalogue import _ALONG, _BEDS, _CROSS, _INVERT, _LEN, _NEAR, _SERIES, GRADIENTS, GRID, _cells, _flows, _gauges, _inverts, _levees, _scenarios, query, r
+from hydroframe.plans.inventory import _REQUESTS, _requests
 from hydroframe.plans.sql import relations
 from hydroframe.sources import readers
 from hydroframe.sources.derived import Derived
@@ -67,9 +68,9 @@ def _(d):
     return found.select("id", F.size("o").alias("n"), F.array_min("o").alias("lowest"))
 
 
-@query("u08_replaced_settings", "SELECT 1::BIGINT AS id, 0::BIGINT AS infiltration_rate, 'rasters/infiltration.tif' AS infiltration_rate_file")
+@query("u08_replaced_settings", "SELECT r_regionkey AS id, 0 AS infiltration_rate, 'rasters/infiltration.tif' AS infiltration_rate_file FROM region")
 def _(d):
-    return readers.replaced_settings(d.spark, readers.INFILTRATION)
+    return readers.replaced_settings(d.table("region").select(c("r_regionkey").alias("id")), readers.INFILTRATION)
 
 
 @query("u09_null_where", "SELECT n_nationkey AS id, CASE WHEN n_regionkey <> 2 THEN n_name END AS name FROM nation")
@@ -212,9 +213,11 @@ def _(d):
     return rows.select("id", "row", "col", GRID.centre_x(c("col")).alias("x"), GRID.centre_y(c("row")).alias("y"))
 
 
-@query("m20_aligned_extent", "SELECT 120.0::DOUBLE AS xmin, 330.0::DOUBLE AS ymin, 410.0::DOUBLE AS xmax, 700.0::DOUBLE AS ymax")
+@query("m20_aligned_extent", "SELECT c_custkey AS id, floor(x / 10) * 10::DOUBLE AS xmin, 1000 - ceil((1000 - y) / 10) * 10::DOUBLE AS ymin, ceil((x + 31.5) / 10) * 10::DOUBLE AS xmax, 1000 - floor((1000 - y - 8) / 10) * 10::DOUBLE AS ymax FROM (SELECT c_custkey, c_custkey * 7 % 900 + 0.25::DOUBLE AS x, c_custkey * 13 % 900::DOUBLE AS y FROM customer)")
 def _(d):
-    return d.spark.createDataFrame([GRID.aligned((123.0, 331.5, 400.5, 700.0))], "xmin double, ymin double, xmax double, ymax double")
+    x, y = c("c_custkey") * 7 % 900 + 0.25, (c("c_custkey") * 13 % 900).cast("double")
+    box = GRID.aligned_of(x, y, x + 31.5, y + 8)
+    return d.table("customer").select(c("c_custkey").alias("id"), *(v.alias(n) for v, n in zip(box, ("xmin", "ymin", "xmax", "ymax"), strict=True)))
 
 
 @query("m21_raster_bounds", relations("pixels") + "SELECT 0.0::DOUBLE AS xmin, 1000 - (max(row) + 1) * 10.0::DOUBLE AS ymin, (max(col) + 1) * 10.0::DOUBLE AS xmax, 1000.0::DOUBLE AS ymax FROM pixels")
@@ -319,9 +322,10 @@ def _(d):
 # --- rasters ----------------------------------------------------------------------------------------
 
 
-@query("r02_blank_raster", "SELECT r::INTEGER AS row, c::INTEGER AS col, -9999.0::DOUBLE AS value FROM range(30, 67) a(r), range(12, 41) b(c)")
+@query("r02_blank_raster", relations("nodes", extra="b AS (SELECT min(x) - 5 AS xmin, min(y) - 5 AS ymin, max(x) + 5 AS xmax, max(y) + 5 AS ymax FROM nodes)") + "SELECT r.r::INTEGER AS row, k.k::INTEGER AS col, -9999.0::DOUBLE AS value FROM b, range(-200, 400) r(r), range(-200, 400) k(k) WHERE r.r >= floor((1000 - ymax) / 10) AND r.r < ceil((1000 - ymin) / 10) AND k.k >= floor(xmin / 10) AND k.k < ceil(xmax / 10)")
 def _(d):
-    return raster.blank(d.spark, GRID, (123.0, 331.5, 400.5, 700.0))
+    box = d.nodes().agg(F.min("x") - 5, F.min("y") - 5, F.max("x") + 5, F.max("y") + 5).first()
+    return raster.blank(d.spark, GRID, tuple(box))
 
 
 @query("r05_pixel_boxes", relations("pixels") + "SELECT (col + 0.5) * 10::DOUBLE AS x, 1000 - (row + 0.5) * 10::DOUBLE AS y, CASE WHEN z <> 1 THEN z END AS z, CASE WHEN zmax <> 50 THEN zmax END AS zmax FROM pixels WHERE z <> 1 OR zmax <> 50")
@@ -416,9 +420,9 @@ def _(d):
     return d.lines().where("end_id % 2 = 0").join(by_id, "start_id").select(c("id").alias("line"), "start_sumax")
 
 
-@query("h17_precision", "SELECT 2.0::DOUBLE AS height, 0.1::DOUBLE AS precision UNION ALL SELECT 0.5, 0.05")
+@query("h17_precision", "SELECT p_partkey AS id, least(p_size / 20.0::DOUBLE, 0.1) AS precision FROM part")
 def _(d):
-    return d.spark.createDataFrame([(h, leak.search_precision(h)) for h in (2.0, 0.5)], "height double, precision double")
+    return d.table("part").select(c("p_partkey").alias("id"), leak.search_precision(c("p_size") / 2).alias("precision"))
 
 
 @query("h18_discharge_edges", f'WITH {_BEDS} SELECT id AS edge, round(sum(z), 4) AS discharge_without_obstacle, round(sum(z) / 2, 4) AS discharge_with_obstacle, round(sum(z) / 2, 4) AS discharge_reduction FROM b GROUP BY id')
@@ -511,9 +515,9 @@ def _(d):
     return lines.merged_levees(rows, "chain", 0.1).groupBy("chain").agg(F.sum("n").alias("n"))
 
 
-@query("h24_raster_codes", "SELECT * FROM (VALUES ('maximum depth', 'depth-max-dtri', false), ('maximum level', 's1-max-dtri', false), ('damage', 'total-damage', false), ('depth', 'depth-dtri', true), ('level', 's1-dtri', true), ('rain', 'rain-quad', true)) v(name, code, timed)")
+@query("h24_raster_codes", "SELECT name, code, timed, count(*) AS n FROM customer, (VALUES ('maximum depth', 'depth-max-dtri', false), ('level', 's1-dtri', true)) v(name, code, timed) GROUP BY ALL")
 def _(d):
-    return d.spark.createDataFrame([(k, v, False) for k, v in scenario.STATIC.items()] + [(k, v, True) for k, v in scenario.TIMED.items()], "name string, code string, timed boolean")
+    return scenario.named(scenario.rasters(_scenarios(d))).groupBy("name", "code", "timed").agg(F.count("*").alias("n"))
 
 
 @query("h27_names_to_codes", "SELECT c_custkey::VARCHAR AS uuid, 'depth-max-dtri' AS depth FROM customer")
@@ -522,42 +526,39 @@ def _(d):
     return _scenarios(d).select("uuid", c("name").alias("scenario")).join(named, "scenario").select("uuid", c("m")["Depth"].alias("depth"))
 
 
-@query("h28_signed_variables", "SELECT * FROM (VALUES ('q'), ('u1'), ('qp'), ('up1'), ('grad'), ('ucx'), ('ucy'), ('q_lat'), ('q_lat_mm'), ('q_sss'), ('q_sss_mm')) v(name)")
+@query("h28_signed_variables", _REQUESTS + "SELECT variable, count(*) AS n FROM req WHERE variable IN ('q', 'u1', 'qp', 'up1', 'grad', 'ucx', 'ucy', 'q_lat', 'q_lat_mm', 'q_sss', 'q_sss_mm') GROUP BY variable")
 def _(d):
-    return d.spark.createDataFrame([(v.name,) for v in BY_NAME.values() if v.signed], "name string")
+    return _requests(d).where(requests.signed(c("variable"))).groupBy("variable").agg(F.count("*").alias("n"))
 
 
-@query("h29_request_rules", "SELECT * FROM (VALUES ('q', 'net', 'sum', true), ('s1', 'net', 'max', false), ('q', 'net', 'above_thres', false), ('s1', '', 'sum', false)) v(variable, sign, method, valid)")
+@query("h29_request_rules", _REQUESTS + "SELECT method, count(*) FILTER (WHERE NOT sign_fits) AS bad_signs, count(*) FILTER (WHERE NOT method_fits) AS bad_methods, count(*) FILTER (WHERE NOT threshold_fits) AS bad_thresholds FROM valid GROUP BY method")
 def _(d):
-    rows = [("q", "net", "sum"), ("s1", "net", "max"), ("q", "net", "above_thres"), ("s1", "", "sum")]
-    return d.spark.createDataFrame([(v, s, m, not Request(v, m, s).problems()) for v, s, m in rows], "variable string, sign string, method string, valid boolean")
+    has = lambda name: F.count(F.when(F.array_contains("problems", name), 1))
+    return _requests(d).groupBy("method").agg(has("sign").alias("bad_signs"), has("method").alias("bad_methods"), has("threshold").alias("bad_thresholds"))
 
 
-@query("h30_style_columns", "SELECT * FROM (VALUES ('s1_first'), ('s1_last'), ('s1_min'), ('s1_max')) v(name)")
+@query("h30_style_columns", _REQUESTS + "SELECT lower(replace(concat_ws('_', variable, sign, method, threshold::VARCHAR), '.', '_')) AS name, count(*) AS n FROM valid WHERE variable = 's1' AND sign_fits AND method_fits AND threshold_fits GROUP BY 1")
 def _(d):
-    return d.spark.createDataFrame([(x.column,) for x in preset("change in water level") if x.variable == "s1"], "name string")
+    return _requests(d).where("variable = 's1' and valid").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("h32_pixel_sizes", "SELECT * FROM (VALUES (0.5::DOUBLE, 0.5::DOUBLE), (2.0, 1.0)) v(own, used)")
+@query("h32_pixel_sizes", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE p_size / 2.0 END::DOUBLE AS size FROM part")
 def _(d):
-    return d.spark.createDataFrame([(0.5, raster.pixel_size(0.5, -0.50005)), (2.0, raster.pixel_size(2.0, 3.0, 1.0))], "own double, used double")
+    own = c("p_size") / 2
+    other = -own - F.when(c("p_partkey") % 3 == 0, 0.001).otherwise(0.00005)
+    return d.table("part").select(c("p_partkey").alias("id"), raster.pixel_size_of(own, other, F.lit(1.0)).alias("size"))
 
 
-@query("h35_checked_gradients", "SELECT * FROM (VALUES (100.0::DOUBLE, true), (2000.0, false)) v(diagonal, fits)")
+@query("h35_checked_gradients", "SELECT s_nationkey AS net, sqrt(pow(max(s_suppkey) * 10 - min(s_suppkey) * 10, 2) + 90000) <= 1000 AS fits FROM supplier GROUP BY s_nationkey")
 def _(d):
-    def fits(diagonal: float) -> bool:
-        try:
-            network.check_gradients([(0.0, 1000.0, 0.002)], diagonal)
-        except ValueError:
-            return False
-        return True
-
-    return d.spark.createDataFrame([(x, fits(x)) for x in (100.0, 2000.0)], "diagonal double, fits boolean")
+    ends = d.table("supplier").select(c("s_nationkey").alias("net"), (c("s_suppkey") * 10).cast("double").alias("x"), F.explode(F.array(F.lit(0.0), F.lit(300.0))).alias("y"))
+    return network.gradients_fit(ends, "net", max(high for _, high, _ in GRADIENTS))
 
 
 @query("h36_quantile_classes", "SELECT c_custkey AS id, ntile(5) OVER (ORDER BY c_acctbal, c_custkey)::INTEGER AS class FROM customer")
 def _(d):
-    return d.table("customer").select(c("c_custkey").alias("id"), F.ntile(5).over(Window.orderBy("c_acctbal", "c_custkey")).alias("class"))
+    rows = d.table("customer").select(c("c_custkey").alias("id"), "c_acctbal")
+    return window.quantile_classes(rows, 5, "c_acctbal", "id").select("id", "class")
 
 
 @query("x06_cross_discharge", relations("lines", "line_q", extra=_CROSS) + "SELECT gauge, count(*) AS n, round(sum(q * direction), 2) AS total FROM crossed JOIN line_q USING (id) JOIN lines l USING (id) WHERE l.kcu IN (100, 101) GROUP BY gauge")

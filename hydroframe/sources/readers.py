@@ -58,8 +58,9 @@ def features(table: DataFrame, geometry: str = "wkt", layer: str | None = None,
 
 
 def fields(df: DataFrame) -> DataFrame:
-    """name and kind of every column, in order."""
-    return df.sparkSession.createDataFrame(df.dtypes, "name string, kind string")
+    """name and kind of every column, and how many rows have a value in it."""
+    each = [F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count(F.col(name)).alias("n")) for name, kind in df.dtypes]
+    return df.agg(F.array(*each).alias("f")).select(F.inline("f"))
 
 
 def scenarios(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -153,9 +154,9 @@ NUMERICAL = {"id": 1, "convergence_eps": 0.00001, "integration_method": 0, "max_
 INFILTRATION = {"id": 1, "infiltration_rate": 0, "infiltration_rate_file": "rasters/infiltration.tif"}
 
 
-def replaced_settings(spark: SparkSession, row: dict) -> DataFrame:
-    """A table of settings that holds this row alone, in place of what it had."""
-    return spark.createDataFrame([tuple(row.values())], list(row))
+def replaced_settings(models: DataFrame, row: dict, key: str = "id") -> DataFrame:
+    """A table of settings that holds this row for each model, in place of what it had."""
+    return models.select(key, *(F.lit(v).alias(k) for k, v in row.items() if k != key))
 
 
 def without(df: DataFrame, column: str, condition: Column) -> DataFrame:

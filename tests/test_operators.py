@@ -476,7 +476,7 @@ def test_more_of_geometry(spark):
 
 
 def test_settings(spark, tmp_path):
-    rows = readers.replaced_settings(spark, readers.NUMERICAL)
+    rows = readers.replaced_settings(spark.createDataFrame([(1,)], "id int"), readers.NUMERICAL)
     readers.write_settings(rows, str(tmp_path / "s"))
     assert readers.settings(spark, str(tmp_path / "s"), "id long, max_degree long").first()["max_degree"] == 5
     with pytest.raises(ValueError):
