@@ -12,7 +12,7 @@ from hydroframe.operators import cells, gauge, graph, joins, leak, lines, networ
 from hydroframe.operators.aggregate import time_aggregate
 from hydroframe.plans.catalogue import _ALONG, _CELLS, _CROSS, _GRAD, _LEN, _NEAR, _Q, _ZONAL, GRID, _cells, _flows, _gauges, _levees, _line, _node, _points, _scenarios, _side, query, r
 from hydroframe.plans.sql import END, START, relations
-from hydroframe.sources import geotiff, readers
+from hydroframe.sources import geotiff, readers, wkb
 from hydroframe.sources.derived import Derived
 from hydroframe.sources.scratch import shared_folder
 
@@ -50,6 +50,40 @@ def _(d):
     return readers.features(table, layer="BUILDING").select("id", F.get("points", F.lit(0))["x"].alias("x"))
 
 
+def _plots(d: Derived) -> DataFrame:
+    """Binary geometries: a point, a line, a square with a hole, or two squares, for each supplier."""
+    i = c("s_suppkey").cast("double")
+    p = lambda x, y: F.struct((i + x).alias("x"), F.lit(float(y)).alias("y"), F.lit(None).cast("double").alias("z"))
+    square = lambda x, y, n: F.array(p(x, y), p(x + n, y), p(x + n, y + n), p(x, y + n), p(x, y))
+    kinds = {"point": F.array(F.array(F.array(p(0, 2)))), "line": F.array(F.array(F.array(p(0, 2), p(3, 4)))), "polygon": F.array(F.array(square(0, 0, 4), square(1, 1, 1))), "multipolygon": F.array(F.array(square(0, 0, 2)), F.array(square(5, 5, 3)))}
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (c("s_suppkey") % 4 + 1).cast("int"))
+    parts = F.when(kind == "point", kinds["point"]).when(kind == "line", kinds["line"]).when(kind == "polygon", kinds["polygon"]).otherwise(kinds["multipolygon"])
+    return d.table("supplier").select(c("s_suppkey").alias("id"), F.concat(F.lit("n"), c("s_nationkey")).alias("layer"), wkb.encode(kind, parts).alias("geom"))
+
+
+_PLOTS = "SELECT s_suppkey AS id, ([ 'point', 'line', 'polygon', 'multipolygon'])[s_suppkey % 4 + 1] AS kind, ([1, 1, 1, 2])[s_suppkey % 4 + 1] AS parts, ([1, 2, 10, 10])[s_suppkey % 4 + 1] AS points, s_suppkey::DOUBLE AS x, ([0, 0, 15, 13])[s_suppkey % 4 + 1]::DOUBLE AS area FROM supplier"
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    size = F.aggregate(F.flatten("parts"), F.lit(0), lambda n, ring: n + F.size(ring))
+    return rows.select("id", "kind", F.size("parts").alias("parts"), size.alias("points"), F.get(wkb.exterior(c("parts")), F.lit(0))["x"].alias("x"), r(F.when(c("kind").endswith("polygon"), wkb.area(c("parts"))).otherwise(0.0)).alias("area"))
+
+
+@query("s03_binary_scan", _PLOTS)
+def _(d):
+    return _told(wkb.features(_plots(d)))
+
+
+@query("s04_binary_layer", _PLOTS + " WHERE s_nationkey = 7")
+def _(d):
+    return _told(wkb.features(_plots(d), layer="n7"))
+
+
+@query("m39_binary_geometries", "SELECT s_suppkey AS id, ([21, 41, 177, 195])[s_suppkey % 4 + 1] AS bytes, ([1, 2, 3, 6])[s_suppkey % 4 + 1] AS code FROM supplier")
+def _(d):
+    return _plots(d).select("id", F.octet_length("geom").alias("bytes"), F.conv(F.hex(F.substring("geom", 2, 1)), 16, 10).cast("int").alias("code"))
+
+
 _TRIANGLE = [(103.0, 907.5), (309.0, 655.0), (451.0, 949.0)]
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.operators.raster import Grid
-from hydroframe.sources import geotiff
+from hydroframe.sources import geotiff, wkb
 
 GRID = geotiff.Grid(1000.0, 5000.0, 0.5)
 
@@ -75,3 +75,46 @@ def test_a_raster_without_pixels(spark, tmp_path):
     path = str(tmp_path / "raster")
     geotiff.write_raster(spark.createDataFrame([], "row int, col int, z double"), GRID, ["z"], path)
     assert geotiff.read_raster(spark, path).count() == 0
+
+
+def test_geometries_by_their_bytes():
+    point = struct.pack("<BIdd", 1, 1, 2.0, 3.0)
+    assert wkb.parts_of(point)[0] == "point" and wkb.parts_of(point)[2][0][0][0, :2].tolist() == [2.0, 3.0]
+    big = struct.pack(">BIIdddd", 0, 2, 2, 1.0, 2.0, 3.0, 4.0)
+    assert wkb.parts_of(big)[2][0][0][:, :2].tolist() == [[1, 2], [3, 4]]
+    srid = struct.pack("<BIIddd", 1, 1 | 0xA0000000, 28992, 1.0, 2.0, 9.0)
+    kind, code, parts = wkb.parts_of(srid)
+    assert (kind, code, parts[0][0].tolist()) == ("point", 28992, [[1, 2, 9]])
+    measured = struct.pack("<BIdddd", 1, 3001, 1.0, 2.0, 9.0, 77.0)
+    assert wkb.parts_of(measured)[2][0][0].tolist() == [[1, 2, 9]]
+    packed = b"GP\0\x03" + struct.pack("<i", 4326) + b"\0" * 32 + point
+    assert wkb.parts_of(packed)[:2] == ("point", 4326)
+    empty = struct.pack("<BIdd", 1, 1, float("nan"), float("nan"))
+    assert wkb.parts_of(empty) == ("point", None, [])
+    for bad in (b"", b"\1", point[:-3], struct.pack("<BII", 1, 2, 2**31), struct.pack("<BII", 1, 7, 0), struct.pack("<BII", 1, 4, 1) + big):
+        with pytest.raises((ValueError, KeyError, struct.error, IndexError)):
+            wkb.parts_of(bad)
+
+
+def test_geometries_go_round(spark):
+    r = np.random.default_rng(3)
+    ring = lambda n, z: [(float(a), float(b), float(c) if z else None) for a, b, c in r.integers(0, 9, (n, 3))]
+    rows = []
+    for i in range(60):
+        kind, z = list(wkb.CODES)[i % 6], bool(i % 4 < 2)
+        rings = {"point": [1], "line": [5]}.get(kind.removeprefix("multi"), [4, 3, 3])
+        parts = [[ring(n, z) for n in rings[: 1 + int(r.integers(len(rings)))]] for _ in range(3 if kind.startswith("multi") else 1)]
+        rows.append((i, kind, parts))
+    rows += [(100, "multipolygon", []), (101, "line", []), (102, "point", []), (103, "circle", []), (104, "point", None)]
+    df = spark.createDataFrame(rows, f"id int, kind string, parts {wkb.PARTS}").repartition(3)
+    back = wkb.features(df.select("id", wkb.encode(F.col("kind"), F.col("parts")).alias("geom"))).collect()
+    want = {i: (k, p) for i, k, p in rows}
+    for x in back:
+        kind, parts = want[x["id"]]
+        got = None if x["parts"] is None else [[[tuple(p) for p in ring] for ring in part] for part in x["parts"]]
+        assert (x["kind"], got) == ((None, None) if x["id"] > 102 else (kind, parts))
+    junk = spark.createDataFrame([(1, b"no geometry"), (2, None)], "id int, geom binary")
+    assert all(x["kind"] is None and x["parts"] is None for x in wkb.features(junk).collect())
+    square = [[(0.0, 0.0, None), (4.0, 0.0, None), (4.0, 4.0, None), (0.0, 4.0, None), (0.0, 0.0, None)], [(1.0, 1.0, None), (1.0, 2.0, None), (2.0, 2.0, None), (2.0, 1.0, None)]]
+    one = spark.createDataFrame([([square, square],)], f"parts {wkb.PARTS}")
+    assert one.select(wkb.area(F.col("parts"))).first()[0] == 30.0 and len(one.select(wkb.exterior(F.col("parts"))).first()[0]) == 10
