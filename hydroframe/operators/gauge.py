@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
+from hydroframe.operators.meeting import meetings
 
 
 def gauge_segments(gauges: DataFrame) -> DataFrame:
@@ -17,17 +18,11 @@ def gauge_segments(gauges: DataFrame) -> DataFrame:
 def crossings(lines: DataFrame, gauges: DataFrame, cell: float = 50.0) -> DataFrame:
     """gauge, id, direction for each flowline that crosses a gauge line once: 1 from left to right, else -1.
 
-    Gauges and lines meet through the grid cells that their boxes touch, so only
-    neighbours are compared; several crossings of one gauge raise an error when
-    read.  A line that starts on the gauge counts by its end.
+    Gauges and lines meet through the grid cells that they run through, of which crowded
+    ones are split, so only neighbours are compared; several crossings of one gauge raise
+    an error when read.  A line that starts on the gauge counts by its end.
     """
-    segments = gauge_segments(gauges)
-
-    def cells(df: DataFrame, a: tuple[str, str, str, str]) -> DataFrame:
-        span = lambda u, v: F.explode(F.sequence(F.floor(F.least(u, v) / cell), F.floor(F.greatest(u, v) / cell)))
-        return df.withColumn("_cx", span(a[0], a[2])).withColumn("_cy", span(a[1], a[3]))
-
-    near = cells(lines.select("id", "x0", "y0", "x1", "y1"), ("x0", "y0", "x1", "y1")).join(cells(segments, ("gx0", "gy0", "gx1", "gy1")), ["_cx", "_cy"])
+    near = meetings(lines.select("id", "x0", "y0", "x1", "y1"), gauge_segments(gauges), ("x0", "y0", "x1", "y1"), ("gx0", "gy0", "gx1", "gy1"), cell)
     one = tuple(map(F.col, ("x0", "y0", "x1", "y1")))
     two = tuple(map(F.col, ("gx0", "gy0", "gx1", "gy1")))
     hits = near.where(G.crosses(one, two)).select("gauge", "segment", "id", *one, *two).distinct()

@@ -423,6 +423,36 @@ def test_merged_levees_by_the_rule(spark):
     assert {tuple(r) for r in lines.merged_counts(df, "f", tries).collect()} == {(t, len(plain_levees(rows, t))) for t in tries}
 
 
+def segments_of(draw, n, wide):
+    """Long, short, upright, level and pointlike segments, many on corners of cells."""
+    p = draw.integers(-8, 9, (n, 2)) * 25.0
+    q = p + np.where(draw.random((n, 1)) < 0.2, 0.0, draw.normal(0, wide, (n, 2))) * draw.integers(0, 2, (n, 2))
+    return np.hstack([p, np.round(q)])
+
+
+def test_segments_meet_in_cells(spark):
+    from hydroframe.operators.meeting import along, meetings
+
+    draw = np.random.default_rng(31)
+    one, two = segments_of(draw, 250, 60.0), segments_of(draw, 100, 90.0)
+    frame = lambda rows, names: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], names)
+    a, b = frame(one, "id long, x0 double, y0 double, x1 double, y1 double"), frame(two, "g long, gx0 double, gy0 double, gx1 double, gy1 double")
+    crossing = G.crosses(tuple(map(F.col, ("x0", "y0", "x1", "y1"))), tuple(map(F.col, ("gx0", "gy0", "gx1", "gy1"))))
+    want = {tuple(r) for r in a.crossJoin(b).where(crossing).select("id", "g").collect()}
+    assert len(want) > 150
+    for most, few in ((10**9, 0), (200, 0), (20, 0), (20, 1000)):
+        import hydroframe.operators.meeting as m
+
+        before, m.FEW = m.FEW, few
+        try:
+            met = meetings(a, b, ("x0", "y0", "x1", "y1"), ("gx0", "gy0", "gx1", "gy1"), 50.0, most)
+            assert {tuple(r) for r in met.where(crossing).select("id", "g").collect()} == want
+        finally:
+            m.FEW = before
+    far = spark.createDataFrame([(0.0, 0.0, 100_000.0, 70_000.0), (5.0, 5.0, 5.0, 90_000.0), (3.0, 3.0, 3.0, 3.0)], "x0 double, y0 double, x1 double, y1 double")
+    assert [r[0] for r in far.select(F.size(along(*far.columns, 50.0))).collect()] == pytest.approx([3500, 1800, 1], abs=110)
+
+
 def test_components(spark):
     draw = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in draw.integers(0, 80, (60, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300 + i) for i in range(30)]
