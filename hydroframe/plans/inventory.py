@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions import geometry as G
-from hydroframe.functions import requests
+from hydroframe.functions import requests, tables
 from hydroframe.functions.registry import BY_NAME, METHODS, NODE_TYPES, Request
 from hydroframe.operators import cells, gauge, graph, joins, leak, lines, network, raster, sampling, scenario, window
 from hydroframe.operators.aggregate import time_aggregate
@@ -143,6 +143,18 @@ def _(d):
     return scenario.steps(scenario.rasters(_scenarios(d), True), 2.0).groupBy("scenario").agg(F.count("*").alias("n"), F.min("step").alias("first"))
 
 
+# --- SQL functions ----------------------------------------------------------------------------------
+
+
+@query("x02_time_aggregate", relations("node_w") + """SELECT entity_id, round(max(s1), 6) AS s1_max, round(median(s1), 6) AS s1_median, round(CASE WHEN count(rain) < count(*) THEN NULL ELSE sum(rain * dt) END, 3) AS rain_sum,
+round(100.0 * sum(CASE WHEN ucx > 5 THEN dt ELSE 0 END) / sum(dt), 6) AS ucx_pos_above_thres_5_0 FROM node_w GROUP BY entity_id""")
+def _(d):
+    tables.register(d.spark)
+    sql = f"SELECT * FROM time_aggregate(TABLE({{rows}}), 's1 max; s1 median; rain sum; ucx above_thres pos 5.0', {START}, {END})"
+    found = d.spark.sql(sql, rows=d.node_ts().select("entity_id", "t", "s1", "rain", "ucx"))
+    return found.select("entity_id", r("s1_max").alias("s1_max"), r("s1_median").alias("s1_median"), r("rain_sum", 3).alias("rain_sum"), r("ucx_pos_above_thres_5_0").alias("ucx_pos_above_thres_5_0"))
+
+
 # --- sinks and projections --------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,26 @@ def test_stream_equals_table(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     every = {tuple(r) for r in windowed(rows, "k", "v", "2 hours").collect()}
     assert got and got <= every  # the last windows are still open
+
+
+def test_requests_from_sql(spark):
+    from hydroframe.functions import tables
+
+    tables.register(spark)
+    draw = np.random.default_rng(4)
+    rows = [(e, float(t * 10), None if draw.random() < 0.2 else float(draw.normal()), -9999.0 if draw.random() < 0.1 else float(draw.normal()), int(draw.choice([51, 100])), float(draw.random()), 3.0) for e in range(5) for t in range(12)]
+    df = spark.createDataFrame(rows, "id long, t double, s1 double, q double, kcu int, rain double, sumax double").repartition(4)
+    df.createOrReplaceTempView("given")
+    steps = df.select("t").distinct()
+    wanted = [Request("s1", m) for m in METHODS if m != "sum" and not METHODS[m][2]] + [Request("q", m, s) for m in ("sum", "max", "mean") for s in ("net", "pos", "neg", "abs")] + [Request("q", "above_thres", "pos", 0.25), Request("rain_depth", "sum"), Request("q", "below_thres", None, 0.0), Request("uc", "max")]
+    text = "; ".join(" ".join(str(x) for x in (w.variable, w.method, w.sign, w.threshold) if x is not None) for w in wanted)
+    for start, end in ((15, 77), (None, None)):
+        ends = "" if start is None else f", {start}, {end}"
+        got = {r["id"]: r for r in spark.sql(f"SELECT * FROM time_aggregate(TABLE(given), '{text}'{ends})").collect()}
+        for r in time_aggregate(df, steps, wanted, start, end, key="id").collect():
+            for w in wanted:
+                a, b = r[w.column], got[r["id"]][w.column]
+                assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), (w, a, b)
+    for bad in ("s1 sum", "nothing max", "q above_thres net", "", "q sum net pos"):
+        with pytest.raises(Exception, match="request|takes|unknown|threshold"):
+            spark.sql(f"SELECT * FROM time_aggregate(TABLE(given), '{bad}')").collect()
