@@ -131,3 +131,27 @@ def test_requests_from_sql(spark):
     for bad in ("s1 sum", "nothing max", "q above_thres net", "", "q sum net pos"):
         with pytest.raises(Exception, match="request|takes|unknown|threshold"):
             spark.sql(f"SELECT * FROM time_aggregate(TABLE(given), '{bad}')").collect()
+
+
+def test_holds_of_a_stream(spark, tmp_path):
+    """Files that come one after another, rows out of order and too late, and a query that is started again."""
+    from hydroframe.streaming.holds import drained, held_in_table, holds
+
+    draw = random.Random(8)
+    rows = [(k, t, None if draw.random() < 0.2 else round(draw.uniform(-5, 5), 3)) for k in range(4) for t in draw.sample(range(0, 3000, 7), 60)]
+    rows += [(1, 700, 1.5), (1, 700, 9.5), (1, 700, None), (None, 5, 1.0)]
+    frame = lambda part: spark.createDataFrame(part, "k long, t long, v double").select("k", F.timestamp_seconds("t").alias("ts"), "v").coalesce(1)
+    parts = [[], [], []]
+    for r in rows:
+        parts[min(2, max(0, (r[1] + draw.randrange(-100, 100)) // 1000))].append(r)
+    where = [str(tmp_path / x) for x in ("in", "out", "log")]
+    for i, part in enumerate(parts):
+        late = [(2, 3, 77.0)] if i == 2 else []  # 2,000 seconds too late
+        frame(part + late).write.mode("append").parquet(where[0])
+        stream = spark.readStream.schema("k long, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(where[0])
+        got = drained(spark, holds(stream, "k", "v", "5 minutes"), where[1], where[2])
+    frame([(9, 100_000, 0.0)]).write.mode("append").parquet(where[0])  # the watermark passes all other rows
+    stream = spark.readStream.schema("k long, ts timestamp, v double").parquet(where[0])
+    got = drained(spark, holds(stream, "k", "v", "5 minutes"), where[1], where[2])
+    want = held_in_table(frame(rows), "k", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
