@@ -15,6 +15,7 @@ from hydroframe.plans.sql import END, START, relations
 from hydroframe.sources import geotiff, readers, wkb
 from hydroframe.sources.derived import Derived
 from hydroframe.sources.scratch import shared_folder
+from hydroframe.streaming import holds
 
 c = F.col
 
@@ -155,6 +156,16 @@ def _(d):
     return found.select("entity_id", r("s1_max").alias("s1_max"), r("s1_median").alias("s1_median"), r("rain_sum", 3).alias("rain_sum"), r("ucx_pos_above_thres_5_0").alias("ucx_pos_above_thres_5_0"))
 
 
+@query("x01_held_values", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, max(value) AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+h AS (SELECT user_id, ms, v, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS until FROM e)
+SELECT user_id, count(*) AS n, round(sum(until - ms) / 1000.0, 3)::DOUBLE AS seconds, round(sum(v * (until - ms) / 1000.0), 2) AS total FROM h WHERE until <= (SELECT max(ms) FROM e) - 3600000 GROUP BY user_id""")
+def _(d):
+    kind = d.table("events").schema
+    stream = d.spark.readStream.schema(kind).parquet(f"{d.dir.rstrip('/')}/events.parquet*").withColumn("ts", c("ts").cast("timestamp"))
+    held = holds.drained(d.spark, holds.holds(stream, "user_id", "value", "1 hour"), shared_folder(d.spark, "x01"), shared_folder(d.spark, "x01-log"))
+    return held.groupBy("user_id").agg(F.count("*").alias("n"), r(F.sum("dt"), 3).alias("seconds"), r(F.sum(c("value") * c("dt")), 2).alias("total"))
+
+
 # --- sinks and projections --------------------------------------------------------------------------
 
 
