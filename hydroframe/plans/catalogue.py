@@ -501,6 +501,14 @@ def _(d):
     return raster.rasterize(cells, raster.Grid(0.0, 1000.0, 5.0), "id", "sumax").select("id", "row", "col", "sumax")
 
 
+@query("r04_interpolated", relations("nodes", extra="b AS (SELECT max(y) AS top FROM nodes WHERE x = 140)") + "SELECT r.r::INTEGER AS row, k.k::INTEGER AS col, round(2 * (k.k + 0.5) * 4 - 3 * (200 - (r.r + 0.5) * 4) + 1, 6)::DOUBLE AS value FROM b, range(0, 50) r(r), range(0, 35) k(k) WHERE 200 - (r.r + 0.5) * 4 <= top AND 200 - (r.r + 0.5) * 4 >= 0 AND (k.k + 0.5) * 4 <= 140")
+def _(d):
+    """Between the nodes of whole rows of 15, which span a rectangle."""
+    top = d.nodes().where("x = 140").agg(F.max("y")).first()[0] or 0.0
+    centres = d.nodes().where(F.col("y") <= top).select("x", "y", (2 * F.col("x") - 3 * F.col("y") + 1).alias("value"))
+    return raster.interpolate_linear(centres, raster.Grid(0.0, 200.0, 4.0), tile=16, halo=8).withColumn("value", r("value"))
+
+
 @query("r03_presample", relations("nodes") + "SELECT id, round(sumax / 4, 6) AS split, round(sumax / 2, 6) AS scaled FROM nodes")
 def _(d):
     return d.nodes().select("id", r(raster.before_resampling(F.col("sumax"), F.lit(10.0), 5.0, "split")).alias("split"), r(raster.before_resampling(F.col("sumax"), F.lit(10.0), 5.0, "1d")).alias("scaled"))

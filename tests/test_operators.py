@@ -1,6 +1,7 @@
 """Literal cases of graph, gauge, raster, network, line, leak and cross-section operators."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -525,6 +526,39 @@ def test_linear_interpolation_keeps_planes(spark):
     assert all(math.isclose(r["value"], 2 * (r["col"] + 0.5) - 3 * (40 - r["row"] - 0.5) + 1, abs_tol=1e-6) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["loose", "grid", "line", "circle", "dense"])
+def test_triangles_with_empty_circles(kind):
+    draw = np.random.default_rng(3)
+    p = {
+        "loose": draw.uniform(0, 100, (120, 2)), "grid": np.array([(x * 10.0, y * 10.0) for x in range(9) for y in range(8)]), "line": np.array([(x, 2.0 * x) for x in range(12)] + [(3.0, 40.0)]),
+        "circle": np.array([(50 + 40 * math.cos(a), 50 + 40 * math.sin(a)) for a in np.linspace(0, 6, 17)] + [(50.0, 50.0)]), "dense": np.round(draw.normal(0, 3, (400, 2)), 1),
+    }[kind]
+    p = np.unique(p, axis=0)
+    made = raster.delaunay(draw.permutation(p))
+    again = raster.delaunay(p)
+    assert len(set(made)) == len(made) == len(again)
+    area = 0.0
+    for t in again:
+        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
+        d = 2 * ((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+        area += abs(d) / 4
+        if abs(d) < 1e-9:
+            continue
+        b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
+        ux, uy = ((cy - ay) * b2 - (by - ay) * c2) / d, ((bx - ax) * c2 - (cx - ax) * b2) / d
+        away = np.hypot(p[:, 0] - ax - ux, p[:, 1] - ay - uy)
+        assert (away >= math.hypot(ux, uy) * (1 - 1e-5) - 1e-6).all()
+    rim = raster.hull(p.tolist())
+    whole = abs(sum(a * d - b * c for (a, b), (c, d) in zip(rim, rim[1:] + rim[:1], strict=True))) / 2
+    assert math.isclose(area, whole, rel_tol=2e-3)
+
+
+def test_many_triangles_in_time():
+    p = np.random.default_rng(1).uniform(0, 1000, (20_000, 2))
+    start = time.perf_counter()
+    assert abs(len(raster.delaunay(p)) - 2 * len(p)) < 200 and time.perf_counter() - start < 30
+
+
 def test_linear_interpolation_between_wide_cells(spark):
     grid = raster.Grid(0.0, 160.0, 1.0)
     draw = np.random.default_rng(5)
