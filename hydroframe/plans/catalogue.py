@@ -871,6 +871,16 @@ def _(d):
     return xsec.mesh(_channels(d), [-5.0, -1.0, 0.0, 1.0, 5.0])
 
 
+@query("r38_level_channels", """WITH ch AS (SELECT s_suppkey * 3 % 400 + 20 AS x0, s_suppkey * 7 % 800 + 20 AS y0, s_suppkey % 5 AS z0 FROM supplier)
+SELECT (995 - y0 + r.r)::INTEGER AS row, (x0 + k.k)::INTEGER AS col, round(min(z0 + 3 * (k.k + 0.5) / 60), 6)::DOUBLE AS value FROM ch, range(10) r(r), range(60) k(k) GROUP BY 1, 2""")
+def _(d):
+    """Channels that run to the right and rise evenly: their pixels are a rectangle's, at the height of the place along it."""
+    i = F.col("s_suppkey")
+    point = lambda x, z: F.struct((i * 3 % 400 + 20 + x).cast("double").alias("x"), (i * 7 % 800 + 20).cast("double").alias("y"), (i % 5 + z).cast("double").alias("z"))
+    channels = d.table("supplier").select(i.alias("id"), F.array(point(0, 0), point(20, 1), point(60, 3)).alias("points"))
+    return raster.merge([xsec.triangle_pixels(xsec.mesh(channels, [-5.0, 0.0, 5.0]), BIG)]).withColumn("value", r("value"))
+
+
 @query("r38_mesh_pixels")
 def _(d):
     return raster.merge([xsec.triangle_pixels(xsec.mesh(_channels(d), [-5.0, 0.0, 5.0]), BIG)])
