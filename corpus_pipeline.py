@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.llm import bpe, decontam, jaccard, langid, secretscan
-from hydroframe.llm.textkit import table, tokenizer_path, written
+from hydroframe.llm.textkit import Tables, table, tokenizer_path, written
+from hydroframe.operators.window import numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,8 +45,7 @@ def _numbered(docs: DataFrame, twice: DataFrame) -> DataFrame:
     copies, texts = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars"), Window.partitionBy("doc_id").orderBy("text")
     repeated = repeated.withColumn("_n", F.row_number().over(copies)).where("_n = 1").withColumn("_n", F.row_number().over(texts))
     rows = written(single.select(*COLUMNS, F.lit(1).alias("_n")).unionByName(repeated.select(*COLUMNS, "_n")), "near-duplicates-rows")
-    order = rows.where("doc_id is not null").select("doc_id", "_n").orderBy("doc_id", "_n").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    order = written(docs.sparkSession.createDataFrame(order, "doc_id long, _n int, _row long"), "near-duplicates-order")
+    order = numbered(rows.where("doc_id is not null").select("doc_id", "_n"), "doc_id", "_n", name="_row")
     return written(rows.join(order, ["doc_id", "_n"], "left").select(*COLUMNS, "_row"), "near-duplicates-numbered")
 
 
@@ -91,8 +91,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table is deleted once the next one's is written."""
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = list(tables.paths.values()), tables.write(stage(spark, docs, sf_dir), name)
+        if last:
+            tables.drop(*[df for df, _ in last])
     return docs
