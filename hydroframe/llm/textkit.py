@@ -216,6 +216,7 @@ def trimming(run, owner: str = ""):
     def trim() -> None:
         import ctypes
 
+        pa.default_memory_pool().release_unused()  # Arrow keeps what it freed apart from malloc
         if f := getattr(ctypes.CDLL(None), "malloc_trim", None):
             f(0)
 
