@@ -146,14 +146,17 @@ def sample(points: DataFrame, pixels: DataFrame, grid: Grid, value: str = "value
 
 
 def zonal_min(points: DataFrame, pixels: DataFrame, grid: Grid, radius: float, value: str = "value", key: str = "id") -> DataFrame:
-    """key, lowest: the least value of pixels whose centre is within radius of a point; the pixels that a circle could touch are enumerated, then join by place."""
+    """key, lowest: the least value of pixels whose centre is within radius of a point; the pixels that a circle could touch are enumerated, then join by place.
+
+    Both sides are shuffled: the places look no larger than their points to the optimizer, which would broadcast them.
+    """
     reach = int(radius / grid.size) + 1
     around = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     asked = points.select(key, "x", "y", grid.row(F.col("y")).alias("_r"), grid.col(F.col("x")).alias("_c")).withColumn("_i", around).withColumn("_j", around)
     asked = asked.select(key, "x", "y", (F.col("_r") + F.col("_i")).alias("row"), (F.col("_c") + F.col("_j")).alias("col"))
     dx, dy = grid.centre_x(F.col("col")) - F.col("x"), grid.centre_y(F.col("row")) - F.col("y")
     near = asked.where(dx * dx + dy * dy <= radius * radius)
-    return near.join(pixels.select("row", "col", value), ["row", "col"]).where(F.col(value) != NODATA).groupBy(key).agg(F.min(value).alias("lowest"))
+    return near.hint("merge").join(pixels.select("row", "col", value), ["row", "col"]).where(F.col(value) != NODATA).groupBy(key).agg(F.min(value).alias("lowest"))
 
 
 def neighbour_components(pixels: DataFrame, top: float, value: str = "value") -> DataFrame:

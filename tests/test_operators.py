@@ -374,6 +374,14 @@ def test_series_file(spark, tmp_path):
     assert [tuple(x) for x in lines_] == [("0", "0.250000", "2.000000"), ("60", "1.500000", "null")] or lines_[0][1] == "0.250000"
 
 
+def test_places_around_points_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "double(id % 40) as x", "double(id div 40) as y").write.parquet(str(tmp_path / "points"))
+    pixels = spark.range(1600).selectExpr("int(id div 40) as row", "int(id % 40) as col", "double(id % 7) as value").groupBy("row", "col").agg(F.min("value").alias("value"))
+    found = raster.zonal_min(spark.read.parquet(str(tmp_path / "points")), pixels, raster.Grid(0.0, 40.0, 1.0), 2.0)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1000
+
+
 def test_more_of_rasters(spark):
     grid = raster.Grid(0.0, 30.0, 10.0)
     pixels = raster.blank(spark, grid, (0, 0, 30, 30), 1.0)
