@@ -1,62 +1,89 @@
 """Sample-and-hold over a stream: a value holds until the next one of its key, which only state and timers can tell.
 
 Every row waits in the state of its key until the watermark has passed it, so rows that
-come late, but not too late, still find their place.  Then its timer fires, in the order of
-times: the value before it held until now, and is given with its duration; the row becomes
-the one that holds.  The last value of a key holds until a next one comes, as the last step
-of a table isn't used either.  A query that is started again goes on from its checkpoint.
+come late, but not too late, still find their place.  A key has a timer at its first
+waiting row.  When it fires, all rows that the watermark has passed are taken in the order
+of times: the value before each held until then, and is given with its duration; the last
+one becomes the one that holds.  The last value of a key holds until a next one comes, as
+the last step of a table isn't used either.  A query that is started again goes on from its
+checkpoint.
+
+Rows wait in pieces of packed times and values, one for each batch that brought some, so
+calls to the state grow with keys and batches, not with rows.  The waiting rows of one key
+(16 bytes each) are sorted by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 #: The state store that timers need.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Rows given at once.
+PIECE = 10_000
+
+
+def _in_order(ms: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Times in order, each with its greatest value; NaN only where there is no other."""
+    order = np.lexsort((v, ~np.isnan(v), ms))
+    ms, v = ms[order], v[order]
+    last = np.r_[ms[1:] != ms[:-1], np.ones(len(ms[:1]), bool)]
+    return ms[last], v[last]
+
+
 class Holds(StatefulProcessor):
-    """State of a key: rows that wait (ms, value), and the one that holds."""
+    """State of a key: pieces of rows that wait (ms, v packed), and the one that holds."""
 
     def __init__(self, key: str) -> None:
         self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = StructType([StructField("v", DoubleType())])
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", StructType([StructField("ms", LongType())]), value)
-        self.holding = handle.getValueState("holding", StructType([StructField("ms", LongType()), *value.fields]))
+        self.pending = handle.getListState("pending", StructType([StructField("ms", BinaryType()), StructField("v", BinaryType())]))
+        self.holding = handle.getValueState("holding", StructType([StructField("ms", LongType()), StructField("v", DoubleType())]))
+
+    def _wait(self, ms: np.ndarray, v: np.ndarray) -> None:
+        if len(ms):
+            self.pending.appendValue((ms.tobytes(), v.tobytes()))
+            self.handle.registerTimer(int(ms[0]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            for ms, v in zip(pdf["ms"].tolist(), pdf["v"].tolist(), strict=True):
-                if ms <= passed:
-                    continue  # too late: what held then has been given
-                v = None if v is None or v != v else float(v)
-                if self.waiting.containsKey((ms,)):
-                    (old,) = self.waiting.getValue((ms,))
-                    if v is None or (old is not None and old >= v):
-                        continue
-                else:
-                    self.handle.registerTimer(ms)
-                self.waiting.updateValue((ms,), (v,))
+            ms, v = pdf["ms"].to_numpy("int64"), pdf["v"].to_numpy("float64", na_value=np.nan)
+            new = ms > passed  # others are too late: what held then has been given
+            self._wait(*_in_order(ms[new], v[new]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = int(expiredTimerInfo.getExpiryTimeInMs())
-        (v,) = self.waiting.getValue((ms,))
-        self.waiting.removeKey((ms,))
+        pieces = [(np.frombuffer(ms, "int64"), np.frombuffer(v, "float64")) for ms, v in self.pending.get()]
+        if not pieces:
+            return
+        ms, v = _in_order(*map(np.concatenate, zip(*pieces, strict=True)))
+        n = int(np.searchsorted(ms, max(timerValues.getCurrentWatermarkInMs(), int(expiredTimerInfo.getExpiryTimeInMs())), side="right"))
+        if not n:
+            return  # an earlier timer has taken the row
+        self.pending.clear()
+        self._wait(ms[n:], v[n:])
+        ms, v = ms[:n], v[:n]
+        last = (int(ms[-1]), None if np.isnan(v[-1]) else float(v[-1]))
         if self.holding.exists():
             since, held = self.holding.get()
-            yield pd.DataFrame({self.key: [key[0]], "ms": [since], "dt": [(ms - since) / 1000.0], "v": pd.Series([held], dtype="float64")})
-        self.holding.update((ms, v))
+            ms, v = np.r_[since, ms], np.r_[np.nan if held is None else held, v]
+        self.holding.update(last)
+        for at in range(0, len(ms) - 1, PIECE):
+            until = ms[at + 1 : at + 1 + PIECE]
+            here, values = ms[at : at + len(until)], pd.Series(v[at : at + len(until)])
+            yield pd.DataFrame({self.key: [key[0]] * len(until), "ms": here, "dt": (until - here) / 1000.0, "v": values.astype(object).where(values.notna(), None)})
 
     def close(self) -> None:
         pass

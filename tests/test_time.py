@@ -155,3 +155,52 @@ def test_holds_of_a_stream(spark, tmp_path):
     got = drained(spark, holds(stream, "k", "v", "5 minutes"), where[1], where[2])
     want = held_in_table(frame(rows), "k", "v")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_state_of_holds_grows_with_batches():
+    """Calls to the state and timers count batches of a key, not its rows."""
+    import pandas as pd
+
+    from hydroframe.streaming.holds import Holds
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            calls.append(name)
+            act = {"appendValue": lambda x: self.rows.append(x), "get": lambda: list(self.rows) if self.many else self.rows[0], "clear": lambda: self.rows.clear(), "exists": lambda: bool(self.rows), "update": lambda x: self.rows.__setitem__(slice(None), [x])}
+            return act[name]
+
+    class Handle:
+        def state(self, name, schema, many):
+            out = State()
+            out.many = many
+            return out
+
+        def getListState(self, name, schema):
+            return self.state(name, schema, True)
+
+        def getValueState(self, name, schema):
+            return self.state(name, schema, False)
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    h = Holds("k")
+    h.init(Handle())
+    times = [ms for ms in range(10, 10_010) if ms % 7]
+    random.Random(1).shuffle(times)
+    list(h.handleInputRows((5,), iter([pd.DataFrame({"ms": times, "v": [float(ms % 11) if ms % 11 else None for ms in times]})]), Now(0)))
+    got = pd.concat(list(h.handleExpiredTimer((5,), Now(4_000), Now(10))) + list(h.handleExpiredTimer((5,), Now(20_000), Now(4_000))))
+    times.sort()
+    assert got["ms"].tolist() == times[:-1]
+    assert got["dt"].tolist() == [(b - a) / 1000 for a, b in zip(times, times[1:])]
+    assert [None if x is None else x for x in got["v"].tolist()] == [float(ms % 11) if ms % 11 else None for ms in times[:-1]]
+    assert len(calls) < 20
