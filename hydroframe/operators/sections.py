@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.operators.xsec import TABULATED_RECTANGLE, TABULATED_TRAPEZIUM, YZ, simplified
+from hydroframe.operators.xsec import TABULATED_RECTANGLE, TABULATED_TRAPEZIUM, YZ, dealt, simplified
 
 #: What can be wrong with a section, in the order in which it is told.
 UNREADABLE, NO_TABLE, SHRINKING, FALLING, NOT_GROWING, NO_ZERO = "the table can't be read", "the shape has no table", "widths must not shrink", "y must not fall", "y must grow", "the least y must be 0"
@@ -79,7 +79,7 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def sections(rows: DataFrame, key: str = "id", wall: float = 0.01) -> DataFrame:
     """key, y, z (above datum), error of rows (key, shape, reference, text): one that can't be read has an error and no points."""
     shape, table = F.col("shape"), F.col("_table")
-    found = _once(rows.select(key, "shape", "reference", "text"), "_table", table_rows(F.col("text")))
+    found = _once(dealt(rows.select(key, "shape", "reference", "text")), "_table", table_rows(F.col("text")))
     points = F.when(shape == YZ, F.transform(table, lambda r: _point(r["a"], r["b"]))).when(shape.isin(TABULATED_RECTANGLE, TABULATED_TRAPEZIUM), halves(table, shape == TABULATED_RECTANGLE))
     found = _once(found, "_given", points)
     wrong = (

@@ -19,19 +19,24 @@ def thalweg(y: list[float], z: list[float]) -> float:
     return float(np.interp(sum(low) / len(low), range(len(y)), y))
 
 
+def _told_once(value: Column, use) -> Column:
+    """use(value), with a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def thalweg_of(y: Column, z: Column) -> Column:
     """thalweg, for arrays."""
     from hydroframe.functions.geometry import interpolate
 
     places = F.transform(F.sequence(F.lit(0), F.size(z) - 1), lambda i: i.cast("double"))
-    low = F.filter(places, lambda i: F.get(z, i.cast("int")) == F.array_min(z))
-    mean = F.aggregate(low, F.lit(0.0), lambda s, i: s + i) / F.size(low)
-    return F.when(F.size(z) > 0, interpolate(mean, places, y))
+    mean = lambda low: F.aggregate(low, F.lit(0.0), lambda s, i: s + i) / F.size(low)
+    at = _told_once(F.array_min(z), lambda least: _told_once(F.filter(places, lambda i: F.get(z, i.cast("int")) == least), mean))
+    return F.when(F.size(z) > 0, _told_once(places, lambda p: _told_once(at, lambda x: interpolate(x, p, y))))
 
 
 def offsets_of(y: Column, z: Column) -> Column:
     """Distances of all points from the thalweg, for arrays."""
-    return F.transform(y, lambda v: v - thalweg_of(y, z))
+    return _told_once(thalweg_of(y, z), lambda middle: F.transform(y, lambda v: v - middle))
 
 
 def unique_offsets_of(every: Column) -> Column:
@@ -184,6 +189,11 @@ def between(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
 CORNERS = [f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, by keys if any: few bytes are one partition, however long the Python code takes for each row."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4, *keys)
+
+
 def line_of(points) -> np.ndarray:
     """Points (x, y, z) without repeats of the one before."""
     if points is None or any(q is None or any(v is None for v in (q["x"], q["y"], q["z"])) for q in points):
@@ -214,7 +224,7 @@ def _meshed(channels: DataFrame, distances: list[float], key: str) -> DataFrame:
                 rows += [(name, i, *t, None) for i, t in enumerate(every)]
             yield pd.DataFrame(rows, columns=[key, "triangle", *CORNERS, "error"]).astype({"triangle": "Int32"})
 
-    return channels.select(key, "points").mapInPandas(run, f"{key} {kind}, triangle int, {', '.join(f'{n} double' for n in CORNERS)}, error string")
+    return dealt(channels.select(key, "points")).mapInPandas(run, f"{key} {kind}, triangle int, {', '.join(f'{n} double' for n in CORNERS)}, error string")
 
 
 def mesh(channels: DataFrame, distances: list[float], key: str = "id") -> DataFrame:
@@ -330,7 +340,7 @@ def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, schema.replace(";", ","))
+    return dealt(rows).mapInPandas(run, schema.replace(";", ","))
 
 
 def simplified_lines(channels: DataFrame, tolerance: float) -> DataFrame:
@@ -392,7 +402,8 @@ def in_order(triangles: DataFrame, key: str = "id") -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("triangle", ignore_index=True)
-        corners = [tuple(tuple(np.round(group.loc[i, [f"x{n}", f"y{n}"]].to_numpy(float), 6).tolist()) for n in (1, 2, 3)) for i in range(len(group))]
+        at = np.round(np.stack([group[[f"x{n}", f"y{n}"]].to_numpy(float) for n in (1, 2, 3)], axis=1), 6).tolist()
+        corners = [tuple(map(tuple, t)) for t in at]
         number = {q: n for n, q in enumerate(dict.fromkeys(q for t in corners for q in t))}
         numbered: dict[tuple[int, ...], list[int]] = {}
         for i, t in enumerate(corners):
@@ -400,7 +411,7 @@ def in_order(triangles: DataFrame, key: str = "id") -> DataFrame:
         order = [numbered[t].pop(0) for t in ordered_triangles([tuple(number[q] for q in t) for t in corners])]
         return group.iloc[order].assign(place=range(len(order)))
 
-    return schema.groupBy(key).applyInPandas(run, f"{kinds}, place int")
+    return dealt(schema, key).groupBy(key).applyInPandas(run, f"{kinds}, place int")
 
 
 def wedges(ends: DataFrame) -> DataFrame:

@@ -382,6 +382,25 @@ def test_places_around_points_are_not_broadcast(spark, tmp_path):
     assert found.count() == 1000
 
 
+def test_rows_of_a_small_file_use_all_cores(spark, tmp_path):
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    point = lambda x, y: F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y"), F.lit(0.0).alias("z"))
+    spark.range(200).select("id", F.array(point(0, 0), point(5, 1), point(9, 0)).alias("points")).coalesce(1).write.parquet(str(tmp_path / "channels"))
+    channels = spark.read.parquet(str(tmp_path / "channels"))
+    assert parts(channels) == 1
+    for made in (xsec.mesh(channels, [-1.0, 0.0, 1.0]), xsec.in_order(xsec.mesh(channels, [-1.0, 0.0, 1.0])), xsec.valid_parts(channels, [-1.0, 1.0])):
+        assert parts(made) >= spark.sparkContext.defaultParallelism
+    texts = channels.select("id", F.lit(7).alias("shape"), F.lit(0.0).alias("reference"), F.lit("0,1\n1,0\n2,1").alias("text"))
+    assert parts(sections.read_sections(texts)) >= spark.sparkContext.defaultParallelism
+
+
+def test_thalweg_is_told_once_for_all_points(spark):
+    rows = spark.range(1).select(F.sequence(F.lit(0), F.lit(1999)).cast("array<double>").alias("y"), F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.abs(i - 1000).cast("double")).alias("z"))
+    begun = time.time()
+    assert rows.select(xsec.offsets_of(F.col("y"), F.col("z")).alias("o")).first()["o"][:2] == [-1000.0, -999.0]
+    assert time.time() - begun < 20
+
+
 def test_more_of_rasters(spark):
     grid = raster.Grid(0.0, 30.0, 10.0)
     pixels = raster.blank(spark, grid, (0, 0, 30, 30), 1.0)
