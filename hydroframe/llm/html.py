@@ -9,10 +9,11 @@ text; formulas, texts of drawings, text areas and all options of a choice do.  B
 empty lines where a browser leaves a margin, list items have their mark and
 indent, preformatted text keeps its spaces, and cells of tables are aligned in
 columns, also under and beside cells that span several.  Columns are padded to
-WIDE characters at most (wider cells push on what follows), and a table that would
-grow beyond PADDED times its text by it isn't aligned, but keeps its lines and
-two spaces between cells; so the text is in proportion to the page.  What is
-`visibility: visible` within something hidden is shown.
+WIDE characters at most (wider cells push on what follows), and padding makes no
+run of spaces longer than GAP: what lies farther on in its row stands GAP spaces
+on.  Both are told by the row and its columns, whatever the size of the table, and
+keep the text in proportion to the page.  What is `visibility: visible` within
+something hidden is shown.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ NUMBER = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 GONE = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-#: The widest padding of a column, and how many times its text a table may grow by padding (and a little for small ones).
-WIDE, PADDED, LITTLE = 80, 4, 200
+#: The widest padding of a column, and the longest run of spaces that padding makes: two such columns.
+WIDE, GAP = 80, 160
 
 
 class Node:
@@ -228,11 +229,10 @@ def seen(node: Node, before: bool) -> bool:
 
 
 class Renderer:
-    """Lines of text, whether what comes shows, and how many characters were given, without indents and padding."""
+    """Lines of text, and whether what comes shows."""
 
     def __init__(self, shows: bool = True, in_item: bool = False) -> None:
         self.shows, self.in_item = shows, in_item  # of a list
-        self.count = 0
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
@@ -241,7 +241,6 @@ class Renderer:
     def word(self, text: str) -> None:
         if not self.shows:
             return
-        self.count += len(text)
         if not self.now:
             self.space = False
         if self.space:
@@ -385,7 +384,6 @@ def _indented(node: Node, out: Renderer, kept: bool) -> Iterator:
     end()
     inner = Renderer(out.shows)
     yield _walk(node, inner, kept or node.name in ("pre", "xmp", "textarea"))
-    out.count += inner.count
     out.block(inner.finish(), indent, indent)
     if node.name not in ("dd", "textarea"):
         end()
@@ -460,7 +458,6 @@ def _list(node: Node, out: Renderer) -> Iterator:
             item = Renderer(seen(child, out.shows), True)
             yield _walk(child, item, False)
             lines = item.finish()
-            out.count += item.count
             if lines:
                 out.block(lines, mark, " " * len(mark))
         elif (inner := _element(child, out, False)) is not None:
@@ -537,16 +534,14 @@ def _table(node: Node, to: Renderer) -> Iterator:
         if isinstance(child, str):
             if child.strip() and shows:
                 out.append(BLANK.sub(" ", child).strip())
-                to.count += len(out[-1])
         elif child.name == "tr":
             rows.append((child, section, seen(child, shows)))
         else:
             inner = Renderer(shows)
             if (more := _element(child, inner, False)) is not None:
                 yield more
-            to.count += inner.count
             out.extend(inner.finish())
-    count, taken, before, at = 0, Taken(), None, 0  # at: the row's number in its section
+    taken, before, at = Taken(), None, 0  # at: the row's number in its section
     for row, section, shows in rows:
         if section is not before:
             taken, before, at = Taken(), section, 0
@@ -557,7 +552,6 @@ def _table(node: Node, to: Renderer) -> Iterator:
             wide = high = 1
             if isinstance(child, str):
                 lines = [BLANK.sub(" ", child).strip()] if child.strip() and shows else []
-                count += sum(map(len, lines))
             elif hidden(child):
                 continue
             else:
@@ -568,7 +562,6 @@ def _table(node: Node, to: Renderer) -> Iterator:
                 elif (more := _element(child, inner, False)) is not None:
                     yield more
                 lines = inner.finish()
-                count += inner.count
             if not lines and (isinstance(child, str) or child.name not in ("td", "th")):
                 continue  # an empty form is no cell
             column = taken.free(column)
@@ -579,14 +572,13 @@ def _table(node: Node, to: Renderer) -> Iterator:
             column += wide
         at += 1
         grid.append(cells)
-    out.extend(_aligned(grid, count))
-    to.count += count
+    out.extend(_aligned(grid))
     to.block(out)
     to.gap()
 
 
-def _aligned(grid: list[dict[int, list[str]]], count: int) -> Iterator[str]:
-    """The lines of rows of cells (column: lines) that hold count characters of text."""
+def _aligned(grid: list[dict[int, list[str]]]) -> Iterator[str]:
+    """The lines of rows of cells (column: lines)."""
     used = sorted({c for cells in grid for c in cells})
     place = {c: i for i, c in enumerate(used)}  # columns without text take no room, but for one gap
     widths = [0] * len(used)
@@ -596,8 +588,6 @@ def _aligned(grid: list[dict[int, list[str]]], count: int) -> Iterator[str]:
     start = [0]
     for i, width in enumerate(widths):
         start.append(start[-1] + width + 2 * (1 if i + 1 == len(used) else min(2, used[i + 1] - used[i])))
-    padded = sum(start[place[max(cells)]] * max(map(len, cells.values())) for cells in grid if cells)
-    whole = padded <= PADDED * count + LITTLE
     for cells in grid:
         ordered = sorted(cells)
         for k in range(max(map(len, cells.values()), default=0)):
@@ -605,7 +595,8 @@ def _aligned(grid: list[dict[int, list[str]]], count: int) -> Iterator[str]:
             for c in ordered:
                 text = cells[c][k] if k < len(cells[c]) else ""
                 if text:
-                    line = (line.ljust(start[place[c]]) if whole and len(line) + 2 <= start[place[c]] else f"{line}  " if line else line) + text
+                    least = 2 if line else 0
+                    line += " " * max(least, min(start[place[c]] - len(line), GAP - len(text) + len(text.lstrip(" ")))) + text
             yield line
 
 

@@ -282,6 +282,20 @@ def test_visibility_and_sizes_of_tables():
     assert len(html.render(nest)) < 60 * len(nest)
 
 
+def test_alignment_does_not_depend_on_the_size_of_a_table():
+    head = "<tr>" + "".join(f"<td>{c * 80}" for c in "pqr") + "<td>end"
+    far = "<tr><td>a<td>b<tr><td colspan=3><td>x"
+    for n in (1, 3000):  # rows; once, those of many rows were set apart by two spaces alone
+        lines = html.render(f"<table>{head}{far * n}</table>").splitlines()
+        assert lines[1:] == ["a" + " " * 81 + "b", " " * html.GAP + "x"] * n
+    near = "<tr><td>" + "y" * 70 + "<td>z" + "<tr><td>s<td>t" * 5000
+    assert {x.index("t") for x in html.render(f"<table>{near}</table>").splitlines()[1:]} == {72}
+    inner = "<p>x" * 200
+    for _ in range(50):  # gaps of tables in tables don't add up
+        inner = f"<table><tr><td>{'w' * 79}<td>{inner}</table>"
+    assert max(len(x) - len(x.lstrip()) for x in html.render(inner).splitlines()) == html.GAP
+
+
 def test_tables_as_a_matrix():
     """Random tables with spans against a matrix of columns, filled cell by cell."""
     draw = random.Random(9)
