@@ -199,6 +199,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         grid = np.geomspace(0.1, 10, 41)
         loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), label[held]], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
+    del got, bags
+    textkit.trim()  # the driver stays beside what follows
     return model
 
 

@@ -8,6 +8,7 @@ not the batch.  Nulls read as empty text.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
@@ -206,6 +207,13 @@ def keeps(owner: str, drop: Callable[[], None]) -> None:
     _keeps[owner] = drop
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()  # Arrow keeps what it freed apart from malloc
+    if f := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        f(0)
+
+
 def trimming(run, owner: str = ""):
     """run, for one operator in a worker that others use too.
 
@@ -213,13 +221,6 @@ def trimming(run, owner: str = ""):
     system at the end, as idle workers stay beside later stages.
     """
 
-    def trim() -> None:
-        import ctypes
-
-        pa.default_memory_pool().release_unused()  # Arrow keeps what it freed apart from malloc
-        if f := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            f(0)
-
     def wrapped(batches):
         for name, drop in _keeps.items():
             if name != owner:

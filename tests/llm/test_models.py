@@ -282,6 +282,14 @@ def test_visibility_and_sizes_of_tables():
     assert len(html.render(nest)) < 60 * len(nest)
 
 
+def test_the_driver_gives_memory_back_after_training(spark, monkeypatch):
+    """The driver's Python stays beside all later stages of the pipeline."""
+    called = []
+    monkeypatch.setattr(textkit, "trim", lambda: called.append(1))
+    langid.train(spark.createDataFrame([(i, "ein wort" if i % 2 else "a word", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string"))
+    assert called
+
+
 def test_alignment_does_not_depend_on_the_size_of_a_table():
     head = "<tr>" + "".join(f"<td>{c * 80}" for c in "pqr") + "<td>end"
     far = "<tr><td>a<td>b<tr><td colspan=3><td>x"
