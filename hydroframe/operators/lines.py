@@ -15,7 +15,7 @@ from hydroframe.operators.graph import components
 from hydroframe.sources.scratch import Scratch
 
 
-#: Rows of a slice of a chain on average; a chain spans as many tasks as it has slices.
+#: Rows of a slice of a chain at most; a chain spans as many tasks as it has slices, unless they are short.
 SLICE = 1_000_000
 
 
@@ -120,6 +120,11 @@ def _folded(rows: DataFrame, group: str, order: str, value: str, max_range: floa
     return rows.repartition(keys[0]).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
 
 
+def _tasks(rows: DataFrame, n: int, slice_rows: int) -> int:
+    """Tasks for n rows: as many as there are slices, but short slices share one of up to SLICE rows or a quarter of a core's part."""
+    return min(1 + n // slice_rows, max(4 * rows.sparkSession.sparkContext.defaultParallelism, 1 + n // SLICE))
+
+
 def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: float, slice_rows: int = SLICE) -> DataFrame:
     """rows with run: within a group, in order, a new run starts where a value would stretch the run's range beyond max_range.
 
@@ -138,11 +143,14 @@ def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: f
     same = F.col(group).eqNullSafe(F.col("_group"))
     short = _folded(rows.join(own, same, "left_anti"), group, order, value, max_range, [group])
     scratch = Scratch(rows.sparkSession, "runs")
-    sliced = scratch.write(rows.join(own, same, "left_semi").repartitionByRange(1 + long[0] // slice_rows, group, order).withColumn("_slice", F.spark_partition_id()))
+    # The upper bits of the increasing id are the task, the lower ones the row in it: a task holds as many slices as it has rows for.
+    dealt = rows.join(own, same, "left_semi").repartitionByRange(_tasks(rows, long[0], slice_rows), group, order).sortWithinPartitions(group, order).withColumn("_id", F.monotonically_increasing_id())
+    row = F.col("_id").bitwiseAND((1 << 33) - 1)
+    sliced = scratch.write(dealt.withColumn("_slice", F.col("_id") - row + F.floor(row / slice_rows)).drop("_id"))
     kind = dict(rows.dtypes)[group]
 
     def transition(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("_o")["_v"].to_numpy(float)
+        v = pdf.sort_values("_o", na_position="first")["_v"].to_numpy(float)
         made = Transition.of(v[~np.isnan(v)], max_range)
         return pd.DataFrame({"_slice": pdf["_slice"].iloc[:1], "_group": pdf["_group"].iloc[:1], "low": made.low, "high": made.high, "cases": [made.cases.reshape(-1).tolist()]})
 
@@ -156,9 +164,9 @@ def range_runs(rows: DataFrame, group: str, order: str, value: str, max_range: f
         return pd.DataFrame({"_slice": pdf["_slice"], "_group": pdf["_group"]} | dict(zip(("_run", "_low", "_high"), zip(*out, strict=True), strict=True)))
 
     narrow = sliced.select("_slice", F.col(group).alias("_group"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
-    summaries = narrow.groupBy("_slice", "_group").applyInPandas(transition, f"_slice int, _group {kind}, low double, high double, cases array<double>")
-    states = scratch.write(summaries.groupBy("_group").applyInPandas(composed, f"_slice int, _group {kind}, _run long, _low double, _high double"))
-    met = sliced.join(F.broadcast(states.withColumnRenamed("_slice", "_at")), (F.col("_slice") == F.col("_at")) & same).drop("_at", "_group")
+    summaries = narrow.groupBy("_slice", "_group").applyInPandas(transition, f"_slice long, _group {kind}, low double, high double, cases array<double>")
+    states = scratch.write(summaries.groupBy("_group").applyInPandas(composed, f"_slice long, _group {kind}, _run long, _low double, _high double"))
+    met = sliced.join(states.withColumnRenamed("_slice", "_at"), (F.col("_slice") == F.col("_at")) & same).drop("_at", "_group")
     return short.unionByName(_folded(met, group, order, value, max_range, ["_slice", group], ("_run", "_low", "_high")))
 
 

@@ -352,6 +352,16 @@ def test_chains_over_many_slices(spark):
     assert got.where("run <> want").count() == 0
 
 
+def test_short_slices_share_tasks(spark, monkeypatch):
+    rows = [("g", i, float(i * 37 % 11)) for i in range(4000)]
+    df, asked = spark.createDataFrame(rows, "g string, i int, v double"), []
+    plain = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *cols: asked.append(n) or plain(self, n, *cols))
+    got = lines.range_runs(df, "g", "i", "v", 5.0, slice_rows=5).orderBy("i").collect()
+    assert [r["run"] for r in got] == list(plain_runs([v for _, _, v in rows], 5.0))
+    assert asked and max(asked) <= 4 * spark.sparkContext.defaultParallelism  # once a task for each of 801 slices
+
+
 def test_adjacent_levees(spark):
     rows = [(1, 0.0, 0.0, 1.0, 0.0, 5.0), (2, 1.00005, 0.0, 2.0, 0.0, 5.2), (3, 2.0, 0.0, 3.0, 0.0, 9.0)]
     df = spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double, height double")
