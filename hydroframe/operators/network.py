@@ -21,6 +21,11 @@ EXACT = 1e-9
 MOST_CLASSES = 1_000_000
 
 
+def _met(one: DataFrame, two: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles: rounds of joins that Spark broadcasts, each below its threshold, pass most of the network through the driver."""
+    return one.join(two.hint("merge"), on, how)
+
+
 def _forest(free: DataFrame, n: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """Ways of 1, 2, 4, ... pipes (node, to, way) over nodes that one pipe leaves (the same columns), and the longest of them if they run in circles.
 
@@ -33,7 +38,7 @@ def _forest(free: DataFrame, n: int, scratch: Scratch) -> tuple[list[DataFrame],
         if 1 << (len(ways) - 1) > n:
             break
         on = now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("way").alias("_way"))
-        now = scratch.write(now.join(on, "to").select("node", F.col("_to").alias("to"), (F.col("way") + F.col("_way")).alias("way")))
+        now = scratch.write(_met(now, on, "to").select("node", F.col("_to").alias("to"), (F.col("way") + F.col("_way")).alias("way")))
     return ways, now
 
 
@@ -43,7 +48,7 @@ def _trees(ways: list[DataFrame], scratch: Scratch) -> DataFrame:
     for way in ways:
         before = F.lit(0.0)
         if far is not None:
-            way, before = way.join(far, "node", "left"), F.coalesce("far", F.lit(0.0))
+            way, before = _met(way, far, "node", "left"), F.coalesce("far", F.lit(0.0))
         grown = way.select(F.col("to").alias("node"), (F.col("way") + before).alias("far"))
         far = scratch.write((grown if far is None else grown.unionByName(far)).groupBy("node").agg(F.max("far").alias("far")))
     return far
@@ -53,7 +58,7 @@ def _ends(ways: list[DataFrame], scratch: Scratch) -> DataFrame:
     """(node, end): where the forced way of each node ends."""
     at = ways[0].select("node", F.col("to").alias("end"))
     for way in reversed(ways):  # by the binary digits of the way's length, the greatest first
-        at = scratch.write(at.join(way.select(F.col("node").alias("end"), "to"), "end", "left").select("node", F.coalesce("to", "end").alias("end")))
+        at = scratch.write(_met(at, way.select(F.col("node").alias("end"), "to"), "end", "left").select("node", F.coalesce("to", "end").alias("end")))
     return at
 
 
@@ -67,13 +72,13 @@ def _pairs(steps: DataFrame, sources: DataFrame, ways: list[DataFrame], scratch:
     for way in ways[1:]:
         edges = edges.unionByName(way)
     edges = scratch.write(edges)
-    best = steps.join(sources.select(F.col("source").alias("node")), "node").select(F.col("node").alias("source"), F.col("to").alias("node"), "way", F.lit(True).alias("grew"))
+    best = _met(steps, sources.select(F.col("source").alias("node")), "node").select(F.col("node").alias("source"), F.col("to").alias("node"), "way", F.lit(True).alias("grew"))
     best = scratch.write(best)
     while best.where("grew").limit(1).count():
-        handed = best.where("grew").select("source", "node", F.col("way").alias("_way")).join(edges, "node").where("source <> to")
+        handed = _met(best.where("grew").select("source", "node", F.col("way").alias("_way")), edges, "node").where("source <> to")
         handed = handed.groupBy("source", F.col("to").alias("node")).agg(F.min(F.col("_way") + F.col("way")).alias("new"))
         shorter = F.col("new") < F.coalesce("way", F.lit(float("inf")))
-        merged = best.drop("grew").join(handed, ["source", "node"], "full").select("source", "node", F.least("way", "new").alias("way"), F.coalesce(shorter, F.lit(False)).alias("grew"))
+        merged = _met(best.drop("grew"), handed, ["source", "node"], "full").select("source", "node", F.least("way", "new").alias("way"), F.coalesce(shorter, F.lit(False)).alias("grew"))
         last, best = best, scratch.write(merged)
         scratch.drop(last)
     return best.drop("grew")
@@ -99,7 +104,7 @@ def upstream_distance(pipes: DataFrame) -> DataFrame:
     n = steps.count()
     degree = scratch.write(steps.groupBy("node").agg(F.count("*").alias("n"), F.max("to").alias("to"), F.max("way").alias("way")))
     free, forks = degree.where("n = 1").drop("n"), degree.where("n > 1").select(F.col("node").alias("source"))
-    others = lambda sources: free.join(sources.select(F.col("source").alias("node")), "node", "left_anti")
+    others = lambda sources: _met(free, sources.select(F.col("source").alias("node")), "node", "left_anti")
     ways, around = _forest(free, n, scratch)
     if around.limit(1).count():  # these end on circles, one at least on every node of each
         forks = scratch.write(forks.unionByName(around.select(F.col("to").alias("source")).distinct()))
@@ -108,16 +113,16 @@ def upstream_distance(pipes: DataFrame) -> DataFrame:
     if forks.limit(1).count():
         pairs = _pairs(steps, forks, ways, scratch)
         if ways:  # a node that can be reached from the fork it hangs on isn't beyond its tree: it gets ways of its own
-            back = scratch.write(_ends(ways, scratch).join(pairs.select(F.col("source").alias("end"), "node"), ["node", "end"]).select(F.col("node").alias("source")).distinct())
+            back = scratch.write(_met(_ends(ways, scratch), pairs.select(F.col("source").alias("end"), "node"), ["node", "end"]).select(F.col("node").alias("source")).distinct())
             if back.limit(1).count():
                 forks = scratch.write(forks.unionByName(back))
                 ways, _ = _forest(others(forks), n, scratch)
                 pairs = _pairs(steps, forks, ways, scratch)
     far = _trees(ways, scratch) if ways else scratch.write(steps.select("node", F.lit(0.0).alias("far")).limit(0))
     if pairs is not None:
-        hung = pairs.join(far.select(F.col("node").alias("source"), "far"), "source", "left").select("node", (F.col("way") + F.coalesce("far", F.lit(0.0))).alias("far"))
+        hung = _met(pairs, far.select(F.col("node").alias("source"), "far"), "source", "left").select("node", (F.col("way") + F.coalesce("far", F.lit(0.0))).alias("far"))
         far = hung.unionByName(far).groupBy("node").agg(F.max("far").alias("far"))
-    out = scratch.write(edges.join(far.select(F.col("node").alias("src"), "far"), "src", "left").select("id", (F.col("length") + F.coalesce("far", F.lit(0.0))).alias("distance")))
+    out = scratch.write(_met(edges, far.select(F.col("node").alias("src"), "far"), "src", "left").select("id", (F.col("length") + F.coalesce("far", F.lit(0.0))).alias("distance")))
     scratch.keep(out)
     return out
 

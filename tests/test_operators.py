@@ -352,6 +352,14 @@ def test_chains_over_many_slices(spark):
     assert got.where("run <> want").count() == 0
 
 
+def test_rounds_of_a_network_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], network.Scratch.write
+    monkeypatch.setattr(network.Scratch, "write", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
+    pipes = spark.createDataFrame([(1, 1, 2, 1.0), (2, 1, 3, 5.0), (3, 2, 3, 1.0), (4, 3, 4, 2.0)], "id long, src long, dst long, length double")
+    assert {tuple(r) for r in network.upstream_distance(pipes).collect()} == {(1, 1.0), (2, 5.0), (3, 2.0), (4, 4.0)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_short_slices_share_tasks(spark, monkeypatch):
     rows = [("g", i, float(i * 37 % 11)) for i in range(4000)]
     df, asked = spark.createDataFrame(rows, "g string, i int, v double"), []
