@@ -21,8 +21,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, order: str, *values: str)
     return both.withColumn("_value", carried).where("_side = 1").select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
 
 
+#: Parts of the points of one step; its intervals are copied to each.
+SHARES = 16
+
+
 def within(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Every point with every interval low <= at < high that holds it; they meet by steps of `width`, so only neighbours are compared."""
+    """Every point with every interval low <= at < high that holds it; they meet by steps of `width`, so only neighbours are compared.
+
+    The result can grow with the product of both tables while few steps hold them and both
+    are small; so the points of a step are dealt to SHARES parts, and all parts to a fixed
+    number of tasks for each core, which small inputs don't merge.
+    """
     step = lambda c: F.floor(c / width)
-    spread = intervals.where(F.col(low) < F.col(high)).withColumn("_step", F.explode(F.sequence(step(F.col(low)), step(F.col(high)))))
-    return points.withColumn("_step", step(F.col(at))).join(spread, "_step").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_step")
+    tasks, key = 4 * points.sparkSession.sparkContext.defaultParallelism, ["_step", "_share"]
+    spread = intervals.where(F.col(low) < F.col(high)).withColumn("_step", F.explode(F.sequence(step(F.col(low)), step(F.col(high))))).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = points.withColumn("_step", step(F.col(at))).withColumn("_share", F.pmod(F.xxhash64(*points.columns), F.lit(SHARES)).cast("int"))
+    return dealt.repartition(tasks, *key).join(spread.repartition(tasks, *key), key).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop(*key)

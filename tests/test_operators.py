@@ -360,6 +360,14 @@ def test_rounds_of_a_network_are_not_broadcast(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_points_of_one_step_are_dealt_to_several_tasks(spark):
+    points = spark.range(400).select("id", (F.col("id") % 4).cast("double").alias("at"))
+    spans = spark.range(50).select(F.col("id").alias("s"), F.lit(1.0).alias("low"), F.lit(3.0).alias("high"))
+    got = joins.within(points, spans, "at", "low", "high", 100.0)
+    assert got.count() == 200 * 50 and got.distinct().count() == 200 * 50
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4  # once one task
+
+
 def test_short_slices_share_tasks(spark, monkeypatch):
     rows = [("g", i, float(i * 37 % 11)) for i in range(4000)]
     df, asked = spark.createDataFrame(rows, "g string, i int, v double"), []
