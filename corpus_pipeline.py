@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.llm import bpe, decontam, jaccard, langid, secretscan
-from hydroframe.llm.textkit import Tables, table, tokenizer_path, written
+from hydroframe.llm.textkit import Tables, lean, table, tokenizer_path, written
 from hydroframe.operators.window import numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,6 +23,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; a missing lang becomes the prediction."""
+    lean(spark)
     model = langid.train(docs)
     found = langid.identify(docs, model)
     return found.where("accepted").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -55,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share a doc_id are told apart by their texts; those with the same
     text are one.  Rows without a doc_id can't be told apart, and stay.
     """
+    lean(spark)
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     rows = _numbered(docs.select(*COLUMNS), twice) if twice.limit(1).count() else docs.select(*COLUMNS, F.col("doc_id").alias("_row"))
     found = written(jaccard.classes(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100), "near-duplicates").where("doc_id is not null")
@@ -64,12 +66,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage of ten words."""
+    lean(spark)
     found = decontam.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), size=10, keep_text=True)
     return found.where("not contaminated").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret."""
+    lean(spark)
     found = secretscan.scan(docs.select(*COLUMNS), secretscan.train())
     changed = F.col("n_secrets") > 0
     return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -77,6 +81,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian uint32) and ids_sha256; exact: the ids decode to the text."""
+    lean(spark)
     made = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path("byte_bpe_multi_50k.tiktoken"), decoded="decoded")
     return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("exact"))
 

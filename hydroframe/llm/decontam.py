@@ -200,8 +200,11 @@ def _proved(start: np.ndarray, window: np.ndarray, windows: Windows, data: np.nd
     return np.array([raw[a:b] == windows.raw[c:d] for a, b, c, d in zip(low, high, first, last, strict=True)])
 
 
-def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
-    """docs without text, with n_words, n_hit, items of the windows that occur and, if asked for, a bit for each word."""
+def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool, text: str = "text") -> DataFrame:
+    """docs without text, with n_words, n_hit, items of the windows that occur and, if asked for, a bit for each word.
+
+    A column of another name that holds the text can stand for it; it is kept.
+    """
     spark = docs.sparkSession
     hashes, window, _ = windows.shingles(k)
     width = np.minimum(windows.lengths[window], k)
@@ -209,6 +212,7 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
     counts = occurrences(docs, keys) if keys else {}
     shared = spark.sparkContext.broadcast((Prefixes(windows, k, {w: (keys[w], counts[w]) for w in keys}), windows))
     keep = [c for c in docs.columns if c != "text"]
+    sent = keep if text in keep else [*keep, text]
     schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("hit", "binary").add("items", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,7 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
             distinct, first = np.unique(hashes, return_index=True)
             tables[w] = (Lookup(distinct), np.append(first, len(hashes)))
         for batch in batches:
-            data, at = textkit.buffers(batch.column(len(keep)))
+            data, at = textkit.buffers(batch.column(sent.index(text)))
             for first, end, part, edges in textkit.chunks(data, at):
                 starts, stops, words, n_words = _words(part, edges)
                 start, window = _matches(words, n_words, prefixes, tables, windows)
@@ -241,7 +245,7 @@ def _hits(docs: DataFrame, windows: Windows, k: int, bits: bool) -> DataFrame:
                     [*keep, "n_words", "n_hit", "hit", "items"],
                 )
 
-    return docs.select(*keep, "text").mapInArrow(textkit.trimming(run), schema)
+    return docs.select(*sent).mapInArrow(textkit.trimming(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 3, most: int = MOST_WINDOWS, keep_text: bool = False) -> DataFrame:
@@ -265,7 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int
     parts = max(1, -(-every.count() // most))
     part = lambda i: Windows(every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == i).toArrow(), size)
     if parts == 1:
-        found = _hits(docs, part(0), k, False).drop("hit")
+        found = _hits(docs, part(0), k, False, text if keep_text else "text").drop("hit")
     else:
         keyed = textkit.written(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
         found = [tables.write(_hits(keyed.select(row, "text"), part(i), k, True).where(f"{i} = 0 or n_hit > 0"), f"part{i}") for i in range(parts)]

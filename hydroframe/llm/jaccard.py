@@ -322,14 +322,13 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, ta
     that meet one v.  Repeated rows of a document can repeat pairs.
     """
     near = tables.write(_near(pairs, nodes, rule), "pairs")
-    schema = "u long, v long, slack double, inter long, n long, m long"
     shares = near.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     there = near.join(shares, "v").select(F.col("v").alias("home"), F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"), F.col("u").alias("rid"), "slack")
     both = there.unionByName(there.select("home", "share", F.col("home").alias("rid"), F.lit(None).cast("double").alias("slack")).distinct())
     asked = tables.write(both.join(nodes.select("rid", "doc_id", "a", "b"), "rid"), "asked")
     tables.drop(near)
     if not (n := asked.count()):
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.range(0).selectExpr("id u", "id v", "0d slack", "id inter", "id n", "id m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, right = None, None
@@ -352,7 +351,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, ta
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["u", "v", "slack", "inter", "n", "m"])
 
     met = _texts(docs, asked, n, rule).repartition("home", "share").sortWithinPartitions("home", "share", F.col("slack").isNotNull())
-    return met.select("home", "share", "rid", "slack", "body").mapInArrow(textkit.trimming(run), schema)
+    return met.select("home", "share", "rid", "slack", "body").mapInArrow(textkit.trimming(run), "u long, v long, slack double, inter long, n long, m long")
 
 
 def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 MAX_BATCH_BYTES = 4 << 20
+#: The same where several operators share the executors.
+LEAN_BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -234,18 +236,28 @@ def trimming(run, owner: str = ""):
     return wrapped
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = MAX_BATCH_BYTES) -> None:
     """Bound the bytes of an Arrow batch, so that long texts don't make large batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
         now = spark.conf.get(key)
-        if int(now) > MAX_BATCH_BYTES:
-            spark.conf.set(key, str(MAX_BATCH_BYTES))
+        if int(now) > most:
+            spark.conf.set(key, str(most))
     except Exception as e:  # a build without the setting, or one with a unit, keeps its own
         if "INVALID" not in str(e) and "NoSuchElement" not in str(e) and not isinstance(e, ValueError):
             raise
 
 
+def lean(spark: SparkSession) -> None:
+    """Settings that keep an executor's memory outside its heap small, for operators that run one after another.
+
+    Parquet's vectored reads hold a direct buffer as large as a column chunk in
+    every thread that read one; Arrow buffers follow the batch.
+    """
+    bounded_batches(spark, LEAN_BATCH_BYTES)
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 _local: list[str] = []
 
 
@@ -338,7 +350,8 @@ def chosen(rows: DataFrame, group: str, most: int) -> DataFrame:
     """
     tied = rows.select("name", group, "text", F.xxhash64("text").alias("tie"))
     bounds = least(tied.select(F.col(group).cast("string").alias("grp"), "name", "tie"), most).groupBy("grp").agg(F.max(F.struct("name", "tie")).alias("last"))
-    bounds = rows.sparkSession.createDataFrame(bounds.select("grp", "last.name", "last.tie").collect(), "grp string, last_name long, last_tie long")  # one row a group
+    bounds = bounds.select("grp", F.col("last.name").alias("last_name"), F.col("last.tie").alias("last_tie")).toArrow()  # one row a group
+    bounds = rows.sparkSession.createDataFrame(bounds)  # of Arrow: of a list it is an RDD, with Python workers of its own
     within = (F.col("name") < F.col("last_name")) | ((F.col("name") == F.col("last_name")) & (F.col("tie") <= F.col("last_tie")))
     met = tied.join(F.broadcast(bounds), (F.col(group).cast("string") == F.col("grp")) & within)
     return met.groupBy("name", group, "tie").agg(F.first("text").alias("text")).select("name", group, "text")

@@ -149,3 +149,36 @@ def test_stages_one_after_another(spark, data):
         docs = textkit.written(stage(spark, docs, data), "test-stage")
     got = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, data).collect()}
     assert got == {(r["doc_id"], r["ids_sha256"]) for r in docs.collect()} and len(got) > 1
+
+
+def test_the_sample_is_made_without_rdds_of_python(spark):
+    """A list becomes an RDD, whose Python workers stay in the executors beside those of the operators."""
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "lang string, name long, text string").where("name > 0")
+    bounds = textkit.chosen(spark.range(3).selectExpr("cast(id % 2 as string) lang", "id name", "string(id) text"), "lang", 5)
+    assert "ExistingRDD" not in bounds._jdf.queryExecution().toString()
+    assert sorted(map(tuple, textkit.chosen(rows, "lang", 1).select("lang", "name", "text").collect())) == [("a", 1, "x"), ("b", 3, "z")]
+    assert textkit.chosen(rows.where("name > 9"), "lang", 1).count() == 0
+
+
+def test_stages_bound_what_executors_hold_outside_the_heap(spark, data, documents):
+    import corpus_pipeline
+
+    batch, vectored = "spark.sql.execution.arrow.maxBytesPerBatch", "parquet.hadoop.vectored.io.enabled"
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set(batch, str(64 << 20))
+        spark.conf.unset(vectored)
+        stage(spark, documents.limit(20), data)
+        assert int(spark.conf.get(batch)) <= 1 << 20
+        assert spark.conf.get(vectored) == "false"
+
+
+def test_decontamination_sends_texts_once(spark, data):
+    import corpus_pipeline
+
+    stage = corpus_pipeline.decontamination(spark, table(spark, data, "documents"), data)
+    node, sent = stage._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "MapInArrow":
+            sent = [node.children().head().output().apply(i).name() for i in range(node.children().head().output().size())]
+        node = node.children().head()
+    assert [c for c in sent if "text" in c] == ["_text"]
