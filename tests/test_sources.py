@@ -156,7 +156,7 @@ def ordered_events(tmp_path_factory):
     return str(whole), str(parts)
 
 
-@pytest.mark.parametrize("name", ["s02_time_slice", "j02_series_of_line_ends", "a11_s1_above_thres_20_0", "a12_s1_below_thres_20_0", "a14_time_aggregate"])
+@pytest.mark.parametrize("name", ["s02_time_slice", "j02_series_of_line_ends", "a11_s1_above_thres_20_0", "a12_s1_below_thres_20_0", "a14_time_aggregate", "x02_time_aggregate"])
 def test_sums_of_steps_go_in_the_order_of_time(spark, ordered_events, name):
     """To the last bit, as the SQL's on a file in that order, wherever the rows lie."""
     import duckdb
