@@ -586,7 +586,7 @@ def _(d):
 UNION ALL SELECT id, (i * 7.0 - x0) / (x1 - x0) FROM lines, range(-10, 3000) r(i) WHERE x0 <> x1 AND i * 7.0 BETWEEN least(x0, x1) AND greatest(x0, x1)
 UNION ALL SELECT id, (i * 7.0 - y0) / (y1 - y0) FROM lines, range(-10, 3000) r(i) WHERE y0 <> y1 AND i * 7.0 BETWEEN least(y0, y1) AND greatest(y0, y1))) GROUP BY id""")
 def _(d):
-    parts = d.lines().select("id", F.lit(0).alias("segment"), "x0", "y0", "x1", "y1")
+    parts = xsec.dealt(d.lines().select("id", F.lit(0).alias("segment"), "x0", "y0", "x1", "y1"), "id")
     return sampling.pixelized(parts, raster.Grid(0.0, 0.0, 7.0)).groupBy("id").agg(F.count("*").alias("n"))
 
 

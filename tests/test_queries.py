@@ -44,3 +44,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_lines_cut_at_pixels_use_all_cores(spark, data):
+    """A line's cuts grow with its length, so few bytes of lines are much work."""
+    from pyspark.sql import functions as F
+
+    found = QUERIES["r09_pixelized"](spark, data)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
